@@ -25,7 +25,8 @@ TILE_URL_SUFFIX = ".png"
 
 
 def _scale(z) -> Column:
-    return F.shiftleft(F.lit(1), col_of(z) if not isinstance(z, int) else F.lit(z)).cast("double")
+    """2^z as a double (exact for every zoom)."""
+    return F.pow(F.lit(2.0), _z(z))
 
 
 def _z(z) -> Column:

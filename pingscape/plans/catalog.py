@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import colocation as C
+from . import conversions as V
+from . import tilemaps as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +39,23 @@ QUERIES: dict[str, Query] = {
     # step 7: hourly grid, envelope
     "hourly_grid_counts": C.hourly_grid_counts,
     "ping_envelope": C.ping_envelope,
+    # step 8: tile maths and pyramids
+    "tile_of_point": T.tile_of_point,
+    "tile_corners": T.tile_corners,
+    "tile_offsets": T.tile_offsets,
+    "tile_spans": T.tile_spans,
+    "heat_pixels": T.heat_pixels,
+    "heat_tiles": T.heat_tiles,
+    "heat_tiles_beijing": T.heat_tiles_beijing,
+    "line_pixels": T.line_pixels,
+    "line_tiles": T.line_tiles,
+    "lines_in_box": T.lines_in_box,
+    # step 9: coordinate conversions; shapes as text
+    "gcj_to_wgs": V.gcj_to_wgs,
+    "wgs_to_gcj": V.wgs_to_gcj,
+    "utm_points": V.utm_points,
+    "projected_points": V.projected_points,
+    "wkt_decode": V.wkt_decode,
 }
 
 # the flagship analysis (driver smoke check)

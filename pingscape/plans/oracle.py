@@ -364,3 +364,275 @@ ORACLES = {
 
 def all_sql() -> dict[str, str]:
     return {k: f() for k, f in ORACLES.items()}
+
+
+# ---------------------------------------------------------------------------
+# tiles
+# ---------------------------------------------------------------------------
+E = D(EQUATOR)
+HALF = D(EQUATOR / 2.0)
+
+
+def _tile(x: str, y: str, z: str) -> tuple[str, str]:
+    s = f"pow({D(2.0)}, {z})"
+    return (
+        f"CAST(trunc(({x} + {HALF}) / {E} * {s}) AS INTEGER)",
+        f"CAST(trunc(({HALF} - {y}) / {E} * {s}) AS INTEGER)",
+    )
+
+
+def _pixel(x: str, y: str, z: str) -> tuple[str, str]:
+    s = f"(pow({D(2.0)}, {z}) * {D(256.0)})"
+    return (
+        f"CAST(floor(({x} + {HALF}) / {E} * {s}) AS BIGINT)",
+        f"CAST(floor(({HALF} - {y}) / {E} * {s}) AS BIGINT)",
+    )
+
+
+def tile_of_point() -> str:
+    s = f"pow({D(2.0)}, 18)"
+    mtx, mty = _tile("x", "y", "18")
+    return _with(PINGS, PINGS_M) + f"""
+SELECT ping_id,
+  CAST(trunc((lng + {D(180.0)}) / {D(360.0)} * {s}) AS INTEGER) AS tx,
+  CAST(trunc(({D(1.0)} - ln(tan(radians(lat)) + {D(1.0)} / cos(radians(lat))) / pi()) / {D(2.0)} * {s}) AS INTEGER) AS ty,
+  {mtx} AS mtx, {mty} AS mty
+FROM pm"""
+
+
+def tile_corners() -> str:
+    z = P.TILE_ZOOM
+    tx, ty = _tile("x", "y", str(z))
+    s = f"pow({D(2.0)}, {z})"
+    return _with(PINGS, PINGS_M, f"t AS (SELECT DISTINCT {tx} AS tx, {ty} AS ty FROM pm)") + f"""
+SELECT {z} AS z, tx, ty,
+  round(CAST(tx AS DOUBLE) * {E} / {s} - {HALF}, 3) AS corner_x,
+  round({HALF} - CAST(ty AS DOUBLE) * {E} / {s}, 3) AS corner_y,
+  round(degrees(atan(sinh(pi() * ({D(1.0)} - {D(2.0)} * CAST(ty AS DOUBLE) / {s})))), 9) AS corner_lat,
+  round(CAST(tx AS DOUBLE) / {s} * {D(360.0)} - {D(180.0)}, 9) AS corner_lng,
+  'https://tile.openstreetmap.org/' || {z} || '/' || tx || '/' || ty || '.png' AS url
+FROM t"""
+
+
+def _env_pings() -> str:
+    return "env AS (SELECT min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM pm)"
+
+
+def _env_roads() -> str:
+    return "env AS (SELECT min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM roadm)"
+
+
+def _spans(lo: int, hi: int) -> str:
+    tx0, ty0 = _tile("min_x", "max_y", "z")
+    tx1, ty1 = _tile("max_x", "min_y", "z")
+    s = f"pow({D(2.0)}, z)"
+    return f"""sp0 AS (SELECT CAST(zz.range AS INTEGER) AS z, {tx0} AS tx0, {ty0} AS ty0, {tx1} AS tx1, {ty1} AS ty1
+  FROM env, range({lo}, {hi + 1}) zz),
+spans AS (SELECT z, tx0, ty0, tx1, ty1, tx1 - tx0 + 1 AS scale_x, ty1 - ty0 + 1 AS scale_y,
+  CAST(tx0 AS DOUBLE) * {E} / {s} - {HALF} AS min_x,
+  {HALF} - CAST(ty1 + 1 AS DOUBLE) * {E} / {s} AS min_y,
+  CAST(tx1 + 1 AS DOUBLE) * {E} / {s} - {HALF} AS max_x,
+  {HALF} - CAST(ty0 AS DOUBLE) * {E} / {s} AS max_y
+  FROM sp0)"""
+
+
+def tile_offsets() -> str:
+    tx, ty = _tile("min_x", "max_y", "z")
+    return _with(PINGS, PINGS_M, _env_pings()) + f"""
+SELECT z, {tx} AS tx, {ty} AS ty FROM (SELECT env.*, CAST(zz.range AS INTEGER) AS z FROM env, range(0, {P.MAX_ZOOM + 1}) zz)"""
+
+
+def tile_spans() -> str:
+    return _with(PINGS, PINGS_M, _env_pings(), _spans(P.MIN_ZOOM, P.MAX_ZOOM)) + """
+SELECT z, tx0, ty0, tx1, ty1, scale_x, scale_y, round(min_x, 3) AS min_x, round(min_y, 3) AS min_y,
+  round(max_x, 3) AS max_x, round(max_y, 3) AS max_y FROM spans"""
+
+
+def _inside(a: str = "") -> str:
+    p = f"{a}." if a else ""
+    return (
+        f"{p}px >= spans.tx0 * 256 AND {p}px < (spans.tx1 + 1) * 256 AND "
+        f"{p}py >= spans.ty0 * 256 AND {p}py < (spans.ty1 + 1) * 256"
+    )
+
+
+def _heat(envelope_cte: str) -> str:
+    px, py = _pixel("x", "y", "z")
+    b = P.HEAT_BLUR
+    area = float((2 * b + 1) ** 2)
+    return _with(PINGS, PINGS_M, envelope_cte, _spans(P.MIN_ZOOM, P.MAX_ZOOM)) + f""",
+pz AS (SELECT CAST(zz.range AS INTEGER) AS z, pm.x, pm.y FROM pm, range({P.MIN_ZOOM}, {P.MAX_ZOOM + 1}) zz),
+cnt AS (SELECT z, {px} AS px, {py} AS py, COUNT(*) AS n FROM pz GROUP BY 1, 2, 3),
+c2 AS (SELECT cnt.* FROM cnt JOIN spans USING (z) WHERE {_inside('cnt')}),
+bl AS (SELECT z, px + a.range AS px, py + b.range AS py, CAST(SUM(n) AS BIGINT) AS n_sum
+  FROM c2, range({-b}, {b + 1}) a, range({-b}, {b + 1}) b GROUP BY 1, 2, 3),
+heat AS (SELECT bl.z, bl.px, bl.py, bl.n_sum, CAST(bl.n_sum AS DOUBLE) / {D(area)} AS value,
+  least(CAST(bl.n_sum AS DOUBLE) / {D(area)}, {D(P.HEAT_CAP)}) / {D(P.HEAT_CAP)} AS intensity
+  FROM bl JOIN spans USING (z) WHERE {_inside('bl')})
+"""
+
+
+def heat_pixels() -> str:
+    return _heat(_env_pings()) + "SELECT * FROM heat"
+
+
+def _tiles_of(src: str, weight: str, value: str) -> str:
+    return f"""SELECT z, CAST(floor(px / 256) AS INTEGER) AS tx, CAST(floor(py / 256) AS INTEGER) AS ty,
+  COUNT(*) AS n_pixels, CAST(SUM({weight}) AS BIGINT) AS total, max({value}) AS peak
+FROM {src} GROUP BY 1, 2, 3"""
+
+
+def heat_tiles() -> str:
+    return _heat(_env_pings()) + _tiles_of("heat", "n_sum", "intensity")
+
+
+def heat_tiles_beijing() -> str:
+    x0, y0, x1, y1 = P.BEIJING_BOX_3857
+    env = f"env AS (SELECT {D(x0)} AS min_x, {D(y0)} AS min_y, {D(x1)} AS max_x, {D(y1)} AS max_y)"
+    return _heat(env) + _tiles_of("heat", "n_sum", "intensity")
+
+
+def _line_pix() -> str:
+    s = f"(pow({D(2.0)}, z) * {D(256.0)})"
+    return _with(ROADS_M, _env_roads(), _spans(P.MIN_ZOOM, P.MAX_ZOOM)) + f""",
+sz AS (SELECT segs.feature_id, CAST(zz.range AS INTEGER) AS z,
+  (x1 + {HALF}) / {E} * {s} AS fx1, ({HALF} - y1) / {E} * {s} AS fy1,
+  (x2 + {HALF}) / {E} * {s} AS fx2, ({HALF} - y2) / {E} * {s} AS fy2
+  FROM segs, range({P.MIN_ZOOM}, {P.MAX_ZOOM + 1}) zz),
+st AS (SELECT *, CAST(greatest(abs(floor(fx2) - floor(fx1)), abs(floor(fy2) - floor(fy1))) AS INTEGER) AS steps FROM sz),
+pts AS (SELECT z,
+  CAST(floor(fx1 + (fx2 - fx1) * t / CAST(greatest(steps, 1) AS DOUBLE)) AS BIGINT) AS px,
+  CAST(floor(fy1 + (fy2 - fy1) * t / CAST(greatest(steps, 1) AS DOUBLE)) AS BIGINT) AS py
+  FROM st CROSS JOIN LATERAL (SELECT unnest(range(0, st.steps + 1)) AS t)),
+lp AS (SELECT pts.z, pts.px, pts.py, COUNT(*) AS hits FROM pts JOIN spans USING (z) WHERE {_inside('pts')} GROUP BY 1, 2, 3)
+"""
+
+
+def line_pixels() -> str:
+    return _line_pix() + "SELECT * FROM lp"
+
+
+def line_tiles() -> str:
+    return _line_pix() + _tiles_of("(SELECT *, CAST(1.0 AS DOUBLE) AS intensity FROM lp)", "hits", "intensity")
+
+
+def lines_in_box() -> str:
+    x0, y0, x1, y1 = (D(v) for v in P.BEIJING_BOX_3857)
+    return _with(ROADS_M) + f"""
+SELECT feature_id FROM roadm GROUP BY feature_id
+HAVING bool_and(x >= {x0} AND x <= {x1} AND y >= {y0} AND y <= {y1})
+INTERSECT
+SELECT feature_id FROM segs
+WHERE (x1 + x2) / {D(2.0)} > {x0} AND (x1 + x2) / {D(2.0)} < {x1}
+  AND (y1 + y2) / {D(2.0)} > {y0} AND (y1 + y2) / {D(2.0)} < {y1}"""
+
+
+# ---------------------------------------------------------------------------
+# coordinate conversions
+# ---------------------------------------------------------------------------
+def _gcj_poly_lat(x: str, y: str) -> str:
+    return (
+        f"({D(-100.0)} + {D(2.0)} * {x} + {D(3.0)} * {y} + {D(0.2)} * {y} * {y} + {D(0.1)} * {x} * {y}"
+        f" + {D(0.2)} * sqrt(abs({x}))"
+        f" + ({D(20.0)} * sin({D(6.0)} * {x} * pi()) + {D(20.0)} * sin({D(2.0)} * {x} * pi())) * {D(2.0)} / {D(3.0)}"
+        f" + ({D(20.0)} * sin({y} * pi()) + {D(40.0)} * sin({y} / {D(3.0)} * pi())) * {D(2.0)} / {D(3.0)}"
+        f" + ({D(160.0)} * sin({y} / {D(12.0)} * pi()) + {D(320.0)} * sin({y} * pi() / {D(30.0)})) * {D(2.0)} / {D(3.0)})"
+    )
+
+
+def _gcj_poly_lon(x: str, y: str) -> str:
+    return (
+        f"({D(300.0)} + {x} + {D(2.0)} * {y} + {D(0.1)} * {x} * {x} + {D(0.1)} * {x} * {y}"
+        f" + {D(0.1)} * sqrt(abs({x}))"
+        f" + ({D(20.0)} * sin({D(6.0)} * {x} * pi()) + {D(20.0)} * sin({D(2.0)} * {x} * pi())) * {D(2.0)} / {D(3.0)}"
+        f" + ({D(20.0)} * sin({x} * pi()) + {D(40.0)} * sin({x} / {D(3.0)} * pi())) * {D(2.0)} / {D(3.0)}"
+        f" + ({D(150.0)} * sin({x} / {D(12.0)} * pi()) + {D(300.0)} * sin({x} / {D(30.0)} * pi())) * {D(2.0)} / {D(3.0)})"
+    )
+
+
+def _gcj_delta(lng: str, lat: str) -> tuple[str, str]:
+    from ..functions.crs import GCJ_AXIS, GCJ_EE
+
+    x = f"({lng} - {D(105.0)})"
+    y = f"({lat} - {D(35.0)})"
+    rad = f"({lat} / {D(180.0)} * pi())"
+    magic = f"({D(1.0)} - {D(GCJ_EE)} * sin({rad}) * sin({rad}))"
+    d_lat = f"(({_gcj_poly_lat(x, y)} * {D(180.0)}) / (({D(GCJ_AXIS * (1 - GCJ_EE))} / ({magic} * sqrt({magic}))) * pi()))"
+    d_lng = f"(({_gcj_poly_lon(x, y)} * {D(180.0)}) / ({D(GCJ_AXIS)} / sqrt({magic}) * cos({rad}) * pi()))"
+    return d_lng, d_lat
+
+
+def wgs_to_gcj() -> str:
+    dl, dt = _gcj_delta("lng", "lat")
+    return _with(PINGS) + f"SELECT ping_id, round(lng + {dl}, 8) AS gcj_lng, round(lat + {dt}, 8) AS gcj_lat FROM pings"
+
+
+def gcj_to_wgs() -> str:
+    from ..functions.crs import GCJ_MAX_ROUNDS, GCJ_TOLERANCE
+
+    tol = D(GCJ_TOLERANCE)
+    dl, dt = _gcj_delta("lng", "lat")
+    ctes = [
+        PINGS,
+        f"""r0 AS (SELECT ping_id, lng, lat, lng - {dl} AS wl, lat - {dt} AS wt,
+  (abs(lng) <= {tol} AND abs(lat) <= {tol}) AS done FROM pings)""",
+    ]
+    for k in range(1, GCJ_MAX_ROUNDS):
+        dl, dt = _gcj_delta("wl", "wt")
+        ctes.append(
+            f"""d{k} AS (SELECT *, {dl} AS dl, {dt} AS dt FROM r{k - 1}),
+r{k} AS (SELECT ping_id, lng, lat,
+  CASE WHEN done THEN wl ELSE lng - dl END AS wl,
+  CASE WHEN done THEN wt ELSE lat - dt END AS wt,
+  done OR (abs((lng - dl) - wl) <= {tol} AND abs((lat - dt) - wt) <= {tol}) AS done
+  FROM d{k})"""
+        )
+    last = GCJ_MAX_ROUNDS - 1
+    return _with(*ctes) + f"SELECT ping_id, round(wl, 8) AS wgs_lng, round(wt, 8) AS wgs_lat FROM r{last}"
+
+
+def utm_points() -> str:
+    ux, uy = utm_sql_text("lng", "lat")
+    return _with(PINGS) + f"SELECT ping_id, round({ux}, 3) AS x, round({uy}, 3) AS y FROM pings"
+
+
+def projected_points() -> str:
+    lng = f"({D(116.20)} + CAST((s_suppkey*611953) % 10007 AS DOUBLE)/10007*{D(0.30)})"
+    lat = f"({D(39.80)} + CAST((s_suppkey*746773) % 10009 AS DOUBLE)/10009*{D(0.25)})"
+    return f"""SELECT s_suppkey AS feature_id, s_name AS name, round({lng}, 9) AS lng, round({lat}, 9) AS lat,
+  round({mx(lng)}, 3) AS x, round({my(lat)}, 3) AS y FROM supplier ORDER BY name, feature_id"""
+
+
+def wkt_decode() -> str:
+    zone_m = zone_edges("mercator")
+    return _with(ROADS_M, ZONES, zone_m) + f"""
+SELECT feature_id, 'LINESTRING' AS kind, CAST(COUNT(*) AS INTEGER) AS n_vertices, round(SUM(x), 3) AS sum_x,
+  round(SUM(y), 3) AS sum_y,
+  round((SELECT SUM({dist_sql('s.x1', 's.y1', 's.x2', 's.y2')}) FROM segs s WHERE s.feature_id = roadm.feature_id), 3) AS measure
+FROM roadm GROUP BY feature_id
+UNION ALL
+SELECT feature_id + 100 AS feature_id, 'POLYGON' AS kind, CAST(COUNT(*) + 1 AS INTEGER) AS n_vertices,
+  round(SUM(x) + arg_min(x, k), 3) AS sum_x, round(SUM(y) + arg_min(y, k), 3) AS sum_y,
+  round(abs((SELECT SUM(e.x1 * e.y2 - e.x2 * e.y1) FROM zedges e WHERE e.feature_id = zonep.feature_id)) / {D(2.0)}, 3) AS measure
+FROM zonep GROUP BY feature_id"""
+
+
+ORACLES.update(
+    {
+        "tile_of_point": tile_of_point,
+        "tile_corners": tile_corners,
+        "tile_offsets": tile_offsets,
+        "tile_spans": tile_spans,
+        "heat_pixels": heat_pixels,
+        "heat_tiles": heat_tiles,
+        "heat_tiles_beijing": heat_tiles_beijing,
+        "line_pixels": line_pixels,
+        "line_tiles": line_tiles,
+        "lines_in_box": lines_in_box,
+        "gcj_to_wgs": gcj_to_wgs,
+        "wgs_to_gcj": wgs_to_gcj,
+        "utm_points": utm_points,
+        "projected_points": projected_points,
+        "wkt_decode": wkt_decode,
+    }
+)
