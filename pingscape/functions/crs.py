@@ -54,8 +54,14 @@ def mercator_x(lng) -> Column:
 
 
 def mercator_y(lat) -> Column:
-    """Latitude (degrees) -> Web-Mercator y (metres)."""
-    return F.ln(F.tan(F.lit(math.pi) / 4 + F.radians(col_of(lat)) / 2)) * F.lit(MERCATOR_RADIUS)
+    """Latitude (degrees) -> Web-Mercator y (metres).
+
+    `ln` is nullable in Spark (null for arguments <= 0, i.e. at the poles);
+    the NaN default keeps the column non-nullable, so the optimizer does not
+    infer `isnotnull(y)` filters that would evaluate the projection twice.
+    """
+    y = F.ln(F.tan(F.lit(math.pi) / 4 + F.radians(col_of(lat)) / 2)) * F.lit(MERCATOR_RADIUS)
+    return F.coalesce(y, F.lit(float("nan")))
 
 
 def mercator_lng(x) -> Column:
@@ -68,9 +74,17 @@ def mercator_lat(y) -> Column:
     return F.degrees(F.lit(2.0) * F.atan(F.exp(col_of(y) / F.lit(MERCATOR_RADIUS))) - F.lit(math.pi) / 2)
 
 
+def non_null(c: Column) -> Column:
+    """NaN instead of null: projected coordinates stay non-nullable, so the
+    optimizer infers no `isnotnull` guards that would re-evaluate the whole
+    projection inside the scan filter.  A NaN point fails every distance and
+    containment test, exactly like a null one."""
+    return F.coalesce(c, F.lit(float("nan")))
+
+
 def to_mercator(df: DataFrame, lng: str = "lng", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
     """Add Web-Mercator columns `x`, `y` computed from `lng`, `lat`."""
-    return df.withColumns({x: mercator_x(lng), y: mercator_y(lat)})
+    return df.withColumns({x: non_null(mercator_x(lng)), y: mercator_y(lat)})
 
 
 # ---------------------------------------------------------------------------
@@ -141,7 +155,7 @@ def to_utm50n(df: DataFrame, lng: str = "lng", lat: str = "lat", x: str = "x", y
         north_sum = north_sum + F.lit(a_j) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     k0a = UTM_K0 * big_a
     out = tmp.withColumns(
-        {x: F.lit(UTM_FALSE_EASTING) + F.lit(k0a) * east_sum, y: F.lit(k0a) * north_sum}
+        {x: non_null(F.lit(UTM_FALSE_EASTING) + F.lit(k0a) * east_sum), y: non_null(F.lit(k0a) * north_sum)}
     )
     return out.drop("_utm_t", "_utm_dlam", "_utm_xi", "_utm_eta")
 

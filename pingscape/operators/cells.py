@@ -50,8 +50,15 @@ DEFAULT_PLAN = JoinPlan()
 
 
 def cell_index(v, size: float) -> Column:
-    """Integer cell index of a coordinate."""
-    return F.floor(col_of(v) / F.lit(float(size))).cast("long")
+    """Integer cell index of a coordinate: floor(v * (1 / size)).
+
+    Both sides use this one monotone function, which is all the cell logic
+    needs.  A product (unlike a division) is non-nullable for a non-null
+    input; `floor` is nullable, hence the coalesce (it never applies to a
+    finite input, and a NaN point cannot satisfy any residual predicate).
+    Non-nullable keys mean no `isnotnull` guard is inferred for the join.
+    """
+    return F.coalesce(F.floor(col_of(v) * F.lit(1.0 / float(size))), F.lit(0).cast("long"))
 
 
 def with_point_cell(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:

@@ -10,9 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geom
-from ..functions.timefn import MS_PER_DAY, day_of, day_slices, hour_slices, local_timestamp
+from ..functions.timefn import (
+    MS_PER_DAY,
+    date_bounds,
+    day_of,
+    day_slices,
+    hour_slices,
+    local_timestamp,
+    second_bounds,
+)
 from ..operators import aggregate, filters, joins
 from ..operators.cells import DEFAULT_PLAN, JoinPlan
+from ..sources import fixtures
 from . import inputs
 from . import params as P
 
@@ -26,8 +35,9 @@ def poi_visits_by_day(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT
     Date-cut open time range; the study-area filter is *not* applied (the
     analysis counts every ping in range).  Ordered by day.
     """
+    window = date_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
     pings = filters.in_date_range(
-        inputs.only(inputs.pings_mercator(spark, sf_dir), "ping_id", "sys_time", "x", "y"),
+        inputs.only(inputs.pings_mercator(spark, sf_dir, window), "ping_id", "sys_time", "x", "y"),
         P.FROM_TIME,
         P.TO_TIME,
         P.OFFSET_MS,
@@ -92,7 +102,8 @@ def case_exposure_by_day(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFA
     +-`EXPOSURE_DAYS` of the case date, per (POI, ping day).  Pings restricted
     to the date-cut range and the study area.  A ping near a POI matched by k
     cases counts k times."""
-    pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "ping_id", "sys_time", "x", "y")
+    window = date_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
+    pings = inputs.only(inputs.pings_mercator(spark, sf_dir, window), "ping_id", "sys_time", "x", "y")
     pings = filters.within_study_area(filters.in_date_range(pings, P.FROM_TIME, P.TO_TIME, P.OFFSET_MS))
     hits = joins.case_exposure(
         pings, _poi_case_pairs(spark, sf_dir, plan), P.EXPOSURE_RADIUS, P.EXPOSURE_DAYS, P.OFFSET_MS, plan, ["ping_id"]
@@ -111,7 +122,7 @@ def zone_counts_by_day(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAUL
     whole day from midnight of the start date.  Day slices are open, so pings at
     exactly midnight are dropped; all days come from one scan and one group-by."""
     lo, hi = day_slices(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
-    pings = inputs.only(inputs.pings_utm(spark, sf_dir), "ping_id", "sys_time", "x", "y")
+    pings = inputs.only(inputs.pings_utm(spark, sf_dir, (lo, hi)), "ping_id", "sys_time", "x", "y")
     pings = filters.off_slice_edges(filters.open_range(pings, lo, hi), MS_PER_DAY, P.OFFSET_MS)
     pairs = joins.in_polygons(pings, inputs.zones_utm(spark, sf_dir), plan=plan, salt_cols=["ping_id"])
     return pairs.groupBy(day_of("sys_time", P.OFFSET_MS).alias("day"), "feature_id").agg(
@@ -122,7 +133,8 @@ def zone_counts_by_day(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAUL
 def zone_totals(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """Per zone over the whole (second-precision) range: `n` pairs and
     `n_distinct` distinct positions (the set size)."""
-    pings = inputs.only(inputs.pings_utm(spark, sf_dir), "ping_id", "sys_time", "x", "y")
+    window = second_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
+    pings = inputs.only(inputs.pings_utm(spark, sf_dir, window), "ping_id", "sys_time", "x", "y")
     pings = filters.in_time_range(pings, P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
     pairs = joins.in_polygons(pings, inputs.zones_utm(spark, sf_dir), plan=plan, salt_cols=["ping_id"])
     return aggregate.window_stats(pairs, "feature_id")
@@ -131,7 +143,8 @@ def zone_totals(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN)
 def labeled_zone_hour8(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """Pings (Mercator) inside labelled zones at local hour 8, per day.  Date-cut
     range; a ping inside two overlapping zones counts twice."""
-    pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "ping_id", "sys_time", "x", "y")
+    window = date_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
+    pings = inputs.only(inputs.pings_mercator(spark, sf_dir, window), "ping_id", "sys_time", "x", "y")
     pings = filters.at_hour(filters.in_date_range(pings, P.FROM_TIME, P.TO_TIME, P.OFFSET_MS), P.MORNING_HOUR, P.OFFSET_MS)
     pairs = joins.in_polygons(pings, inputs.zones_mercator(spark, sf_dir), plan=plan, salt_cols=["ping_id"])
     out = pairs.groupBy(day_of("sys_time", P.OFFSET_MS).alias("day")).agg(F.count(F.lit(1)).alias("join_count"))
@@ -152,7 +165,8 @@ def road_pings(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN)
 def road_visits_by_day(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """Pings inside each road buffer per (road, day), second-precision range,
     ordered by day then road."""
-    pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "ping_id", "sys_time", "x", "y")
+    window = second_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
+    pings = inputs.only(inputs.pings_mercator(spark, sf_dir, window), "ping_id", "sys_time", "x", "y")
     pings = filters.in_time_range(pings, P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
     pairs = joins.near_lines(pings, inputs.roads_mercator(spark, sf_dir), P.ROAD_RADIUS, plan=plan, salt_cols=["ping_id"])
     out = aggregate.count_by_day(pairs, "feature_id", "join_count", P.OFFSET_MS)
@@ -161,7 +175,8 @@ def road_visits_by_day(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAUL
 
 def road_visits_unordered(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """The same counts without the final ordering (no range shuffle)."""
-    pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "ping_id", "sys_time", "x", "y")
+    window = second_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
+    pings = inputs.only(inputs.pings_mercator(spark, sf_dir, window), "ping_id", "sys_time", "x", "y")
     pings = filters.in_time_range(pings, P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
     pairs = joins.near_lines(pings, inputs.roads_mercator(spark, sf_dir), P.ROAD_RADIUS, plan=plan, salt_cols=["ping_id"])
     return aggregate.count_by_day(pairs, "feature_id", "join_count", P.OFFSET_MS)
@@ -190,7 +205,8 @@ def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 def pings_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pings strictly between the two second-precision bounds, with their date."""
-    p = filters.in_time_range(fixtures_pings(spark, sf_dir), P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
+    window = second_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
+    p = filters.in_time_range(fixtures_pings(spark, sf_dir, window), P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
     return p.select("ping_id", "sys_time", day_of("sys_time", P.OFFSET_MS).alias("day"))
 
 
@@ -209,17 +225,20 @@ def winter_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def morning_pings_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pings at local hour 8 in the date-cut range, per day."""
     p = filters.at_hour(
-        filters.in_date_range(fixtures_pings(spark, sf_dir), P.FROM_TIME, P.TO_TIME, P.OFFSET_MS),
+        filters.in_date_range(
+            fixtures_pings(spark, sf_dir, date_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)),
+            P.FROM_TIME,
+            P.TO_TIME,
+            P.OFFSET_MS,
+        ),
         P.MORNING_HOUR,
         P.OFFSET_MS,
     )
     return p.groupBy(day_of("sys_time", P.OFFSET_MS).alias("day")).agg(F.count(F.lit(1)).alias("n_pings"))
 
 
-def fixtures_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources import fixtures
-
-    return fixtures.pings(spark, sf_dir)
+def fixtures_pings(spark: SparkSession, sf_dir: str, window: tuple[int, int] | None = None) -> DataFrame:
+    return fixtures.pings(spark, sf_dir, window)
 
 
 # ---------------------------------------------------------------------------
@@ -232,7 +251,7 @@ def hourly_grid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lo, hi = hour_slices(P.GRID_FROM_TIME, P.GRID_TO_TIME, P.OFFSET_MS)
     n = int(math.isqrt(P.NUM_PARTITIONS))
-    return aggregate.hourly_grid(fixtures_pings(spark, sf_dir), P.GRID_BOX, n, lo, hi, P.OFFSET_MS)
+    return aggregate.hourly_grid(fixtures_pings(spark, sf_dir, (lo, hi)), P.GRID_BOX, n, lo, hi, P.OFFSET_MS)
 
 
 def ping_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:

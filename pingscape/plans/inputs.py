@@ -9,14 +9,17 @@ from ..functions.crs import to_mercator, to_utm50n
 from ..sources import fixtures
 
 
-def pings_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`(ping_id, user_id, sys_time, lng, lat, x, y)` in Web-Mercator metres."""
-    return to_mercator(fixtures.pings(spark, sf_dir))
+def pings_mercator(spark: SparkSession, sf_dir: str, window: tuple[int, int] | None = None) -> DataFrame:
+    """`(ping_id, user_id, sys_time, lng, lat, x, y)` in Web-Mercator metres.
 
+    `window` (epoch ms) only prunes the scan; callers still apply the exact bound.
+    """
+    return to_mercator(fixtures.pings(spark, sf_dir, window))
 
-def pings_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def pings_utm(spark: SparkSession, sf_dir: str, window: tuple[int, int] | None = None) -> DataFrame:
     """Pings in UTM 50N metres."""
-    return to_utm50n(fixtures.pings(spark, sf_dir))
+    return to_utm50n(fixtures.pings(spark, sf_dir, window))
 
 
 def pois_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:

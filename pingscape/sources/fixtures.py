@@ -12,6 +12,7 @@ bit-identical doubles.
 
 from __future__ import annotations
 
+import datetime as _dt
 import math
 import os
 
@@ -31,6 +32,14 @@ ROAD_VERTICES = 4
 ZONE_VERTICES = 6
 
 
+def non_null_coordinates(df: DataFrame, lng: str = "lng", lat: str = "lat") -> DataFrame:
+    """Drop rows without a position.  Besides the semantics (a ping without
+    coordinates joins nothing), the filter marks `lng` / `lat` non-nullable, so
+    the optimizer infers no `isnotnull` guards on projected coordinates and cell
+    keys (which would re-evaluate whole projections inside the scan filter)."""
+    return df.where(F.col(lng).isNotNull() & F.col(lat).isNotNull())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -39,26 +48,42 @@ def _frac(expr: str, modulus: int) -> F.Column:
     return F.expr(f"cast(({expr}) % {modulus} as double)") / F.lit(float(modulus))
 
 
-def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`(ping_id, user_id, sys_time, lng, lat)` - one ping per event."""
+def ntz_literal(ms: int) -> F.Column:
+    """TIMESTAMP_NTZ literal at epoch milliseconds `ms` (wall time, no zone)."""
+    d = _dt.datetime(1970, 1, 1) + _dt.timedelta(milliseconds=int(ms))
+    return F.expr(f"timestamp_ntz'{d.isoformat(sep=' ', timespec='milliseconds')}'")
+
+
+def pings(spark: SparkSession, sf_dir: str, window: tuple[int, int] | None = None) -> DataFrame:
+    """`(ping_id, user_id, sys_time, lng, lat)` - one ping per event.
+
+    Rows without id or time are dropped, so the coordinates are non-nullable.
+    `window=(lo_ms, hi_ms)` adds a superset bound on the stored `ts` column
+    (pushed into the parquet scan, skips row groups); the exact bound on
+    `sys_time` is applied by the caller.
+    """
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    ev = ev.where(F.col("event_id").isNotNull() & F.col("user_id").isNotNull() & F.col("ts").isNotNull())
+    if window is not None:
+        lo, hi = window
+        ev = ev.where((F.col("ts") >= ntz_literal(lo - 1)) & (F.col("ts") < ntz_literal(hi + 1)))
     return ev.select(
         F.col("event_id").alias("ping_id"),
         F.col("user_id"),
         sys_time_from_timestamp("ts").alias("sys_time"),
         (F.lit(PING_LNG0) + _frac("event_id*7919 + user_id*104729", 100003) * F.lit(PING_DLNG)).alias("lng"),
         (F.lit(PING_LAT0) + _frac("event_id*15485863 + user_id*32452843", 100019) * F.lit(PING_DLAT)).alias("lat"),
-    )
+    ).transform(non_null_coordinates)
 
 
 def pois(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(feature_id, lng, lat)` - one POI per supplier."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey").where(F.col("s_suppkey").isNotNull())
     return s.select(
         F.col("s_suppkey").alias("feature_id"),
         (F.lit(POI_LNG0) + _frac("s_suppkey*611953", 10007) * F.lit(POI_DLNG)).alias("lng"),
         (F.lit(POI_LAT0) + _frac("s_suppkey*746773", 10009) * F.lit(POI_DLAT)).alias("lat"),
-    )
+    ).transform(non_null_coordinates)
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +94,12 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_add(F.lit(CASE_FIRST_DATE).cast("date"), F.expr("cast((c_custkey*7) % 30 as int)")).alias("case_date"),
         (F.lit(116.20) + _frac("c_custkey*49979687", 10037) * F.lit(0.30)).alias("lng"),
         (F.lit(39.80) + _frac("c_custkey*86028121", 10039) * F.lit(0.25)).alias("lat"),
-    )
+    ).transform(non_null_coordinates)
 
 
 def _nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("feature_id"))
+    n = table(spark, sf_dir, "nation").where(F.col("n_nationkey").isNotNull())
+    return n.select(F.col("n_nationkey").cast("long").alias("feature_id"))
 
 
 def road_vertex_lng(k):
