@@ -1,0 +1,70 @@
+"""POI visits per day as a Structured Streaming query.
+
+The same operator as the batch analysis: pings arriving as files are projected
+to Mercator, cell-joined with the static POI side (a stream-static inner join;
+the POI cells are broadcast after their size check), and counted per
+(POI, day) in daily event-time windows.  A watermark on the ping time bounds
+the state: a day's counts are final once pings are more than `lateness` past
+it, and `append` mode emits each (POI, day) row exactly once.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.crs import to_mercator
+from ..operators.cells import DEFAULT_PLAN, JoinPlan
+from ..operators.joins import within_distance
+
+PING_SCHEMA = "ping_id long, sys_time long, lng double, lat double"
+
+
+def read_ping_stream(spark: SparkSession, path: str, schema: str = PING_SCHEMA, fmt: str = "parquet", max_files: int = 64) -> DataFrame:
+    """A file stream of pings (`ping_id`, `sys_time` epoch ms, `lng`, `lat`)."""
+    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(path)
+
+
+def visits_per_day(
+    pings: DataFrame,
+    pois_mercator: DataFrame,
+    radius: float,
+    lateness: str = "1 day",
+    plan: JoinPlan = DEFAULT_PLAN,
+) -> DataFrame:
+    """Streaming `(feature_id, day, join_count)`: pings within `radius` of each
+    POI, per UTC day.  `pois_mercator`: static `(feature_id, x, y)`."""
+    p = pings.where(F.col("lng").isNotNull() & F.col("lat").isNotNull())
+    p = to_mercator(p).withColumn("event_time", F.timestamp_millis("sys_time"))
+    # the watermark is taken on the source stream, so pings that match no POI
+    # still advance event time and close finished days
+    p = p.withWatermark("event_time", lateness)
+    pairs = within_distance(
+        p.select("ping_id", "event_time", "x", "y"), pois_mercator, radius, closed=True, plan=plan, salt_cols=["ping_id"]
+    )
+    counted = (
+        pairs.groupBy("feature_id", F.window("event_time", "1 day").alias("w"))
+        .agg(F.count(F.lit(1)).alias("join_count"))
+    )
+    return counted.select("feature_id", F.to_date(F.col("w.start")).alias("day"), "join_count")
+
+
+def start_visits_query(
+    spark: SparkSession,
+    ping_path: str,
+    pois_mercator: DataFrame,
+    radius: float,
+    sink_path: str,
+    checkpoint: str,
+    lateness: str = "1 day",
+):
+    """Start the streaming query writing parquet in append mode.  `checkpoint`
+    must be a shared, durable folder so the query resumes after a failure."""
+    q = visits_per_day(read_ping_stream(spark, ping_path), pois_mercator, radius, lateness)
+    return (
+        q.writeStream.format("parquet")
+        .option("path", sink_path)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .start()
+    )
