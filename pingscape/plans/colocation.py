@@ -162,6 +162,24 @@ def road_pings(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN)
     return aggregate.window_stats(pairs, "feature_id")
 
 
+def road_window_stats(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
+    """Per road buffer: `n`, `n_distinct`, estimated buffer `area` (fine grid of
+    side r/16) and `density = n_distinct / area`, densest first."""
+    from ..operators.buffers import line_buffer_area
+
+    roads = inputs.roads_mercator(spark, sf_dir)
+    stats = road_pings(spark, sf_dir, plan)
+    area = line_buffer_area(roads, P.ROAD_RADIUS)
+    out = stats.join(area, "feature_id").withColumn("density", F.col("n_distinct") / F.col("area"))
+    return out.orderBy(F.col("density").desc(), "feature_id")
+
+
+def top_road_by_density(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
+    """The `FIRST_X` road buffers with the most distinct points per square metre."""
+    top = aggregate.top_windows(road_window_stats(spark, sf_dir, plan), P.FIRST_X, "density")
+    return top.select("feature_id", "n_distinct", "density")
+
+
 def road_visits_by_day(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """Pings inside each road buffer per (road, day), second-precision range,
     ordered by day then road."""

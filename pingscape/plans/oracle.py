@@ -636,3 +636,39 @@ ORACLES.update(
         "wkt_decode": wkt_decode,
     }
 )
+
+
+def _road_area() -> str:
+    r = P.ROAD_RADIUS
+    c = r / 16
+    inv = D(1.0 / c)
+    d = segment_distance_sql("cxc", "cyc", "s.x1", "s.y1", "s.x2", "s.y2")
+    return f"""bbox AS (
+  SELECT feature_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM roadm GROUP BY 1),
+cand AS (
+  SELECT b.feature_id, gx.range AS cx, gy.range AS cy,
+    (CAST(gx.range AS DOUBLE) + {D(0.5)}) * {D(c)} AS cxc, (CAST(gy.range AS DOUBLE) + {D(0.5)}) * {D(c)} AS cyc
+  FROM bbox b,
+    LATERAL (SELECT * FROM range(CAST(floor((b.x0 - {D(r)}) * {inv}) AS BIGINT), CAST(floor((b.x1 + {D(r)}) * {inv}) AS BIGINT) + 1)) gx,
+    LATERAL (SELECT * FROM range(CAST(floor((b.y0 - {D(r)}) * {inv}) AS BIGINT), CAST(floor((b.y1 + {D(r)}) * {inv}) AS BIGINT) + 1)) gy),
+inbuf AS (
+  SELECT DISTINCT cand.feature_id, cand.cx, cand.cy FROM cand JOIN segs s ON s.feature_id = cand.feature_id
+  WHERE {d} < {D(r)}),
+rarea AS (SELECT feature_id, CAST(COUNT(*) AS DOUBLE) * {D(c * c)} AS area FROM inbuf GROUP BY 1),
+rstat AS (
+  SELECT rp.feature_id, COUNT(*) AS n, COUNT(DISTINCT (x, y)) AS n_distinct FROM rp GROUP BY 1),
+rwin AS (
+  SELECT rstat.feature_id, n, n_distinct, area, n_distinct / area AS density FROM rstat JOIN rarea USING (feature_id))"""
+
+
+def road_window_stats() -> str:
+    return _with(PINGS, PINGS_M, ROADS_M, _road_pairs(), _road_area()) + "SELECT * FROM rwin ORDER BY density DESC, feature_id"
+
+
+def top_road_by_density() -> str:
+    return _with(PINGS, PINGS_M, ROADS_M, _road_pairs(), _road_area()) + (
+        f"SELECT feature_id, n_distinct, density FROM rwin ORDER BY density DESC, feature_id LIMIT {P.FIRST_X}"
+    )
+
+
+ORACLES.update({"road_window_stats": road_window_stats, "top_road_by_density": top_road_by_density})

@@ -177,3 +177,24 @@ def test_window_stats_distinct_le_bag(spark):
     for r in colocation.poi_window_stats(spark, SF01).collect():
         assert 0 < r.n_distinct <= r.n
         assert r.density == pytest.approx(r.n_distinct / (math.pi * 500.0 * 500.0))
+
+
+def test_line_buffer_area_close_to_capsule(spark):
+    from pingscape.operators.buffers import line_buffer_area
+
+    lines = _shapes(spark, [(1, "LINESTRING (1000 1000, 3000 1000)"), (2, "LINESTRING (0 0, 0 500, 0 1000)")])
+    got = {r.feature_id: r.area for r in line_buffer_area(lines, 100.0).collect()}
+    assert got[1] == pytest.approx(2 * 100 * 2000 + math.pi * 100**2, rel=0.01)
+    # two collinear segments: the shared vertex is not counted twice
+    assert got[2] == pytest.approx(2 * 100 * 1000 + math.pi * 100**2, rel=0.01)
+
+
+def test_circle_ring(spark):
+    from pingscape.functions import geom
+    from pingscape.operators.buffers import circle_ring
+
+    df = spark.createDataFrame([(10.0, 20.0)], "x double, y double").select(circle_ring("x", "y", 5.0, 64).alias("p"))
+    r = df.select("p", geom.polygon_area("p").alias("a")).first()
+    ring = r.p[0]
+    assert len(ring) == 65 and ring[0] == ring[-1]
+    assert r.a == pytest.approx(math.pi * 25, rel=0.01)
