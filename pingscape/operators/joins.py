@@ -83,12 +83,52 @@ def near_lines(
 
 
 def polygon_cells(polygons: DataFrame, size: float) -> DataFrame:
-    """`(feature_id, cx, cy, edges)` for every cell a polygon's box touches."""
+    """`(feature_id, cx, cy, full, edges)` for every cell a polygon's box touches.
+
+    Per cell only the edges that matter are kept: a ray from a point of the cell
+    towards +x can only cross edges whose y-range meets the cell's y-band and
+    which reach the cell's left side.  A cell that no edge's box touches lies
+    wholly inside or wholly outside: its centre's parity decides once, here on
+    the (small) polygon side; outside cells are dropped and inside cells are
+    marked `full` (their points need no test).  Cell bounds are padded by 1e-6
+    of a cell, so floating-point rounding of the point's cell can only add
+    edges, never lose one.
+    """
     polys = polygons.select(
         "feature_id", geom.edges("parts").alias("edges"), geom.envelope("parts").alias("env")
     )
-    cells = explode_box_cells(polys, "env.min_x", "env.min_y", "env.max_x", "env.max_y", size)
-    return cells.drop("env")
+    cells = explode_box_cells(polys, "env.min_x", "env.min_y", "env.max_x", "env.max_y", size).drop("env")
+    pad = 1e-6
+    x0 = (F.col("cx").cast("double") - pad) * F.lit(size)
+    x1 = (F.col("cx").cast("double") + 1 + pad) * F.lit(size)
+    y0 = (F.col("cy").cast("double") - pad) * F.lit(size)
+    y1 = (F.col("cy").cast("double") + 1 + pad) * F.lit(size)
+    band = F.filter(
+        "edges",
+        lambda e: (F.greatest(e["y1"], e["y2"]) >= y0)
+        & (F.least(e["y1"], e["y2"]) <= y1)
+        & (F.greatest(e["x1"], e["x2"]) >= x0),
+    )
+    touching = F.exists(
+        "edges",
+        lambda e: (F.greatest(e["x1"], e["x2"]) >= x0)
+        & (F.least(e["x1"], e["x2"]) <= x1)
+        & (F.greatest(e["y1"], e["y2"]) >= y0)
+        & (F.least(e["y1"], e["y2"]) <= y1),
+    )
+    centre_x = (F.col("cx").cast("double") + 0.5) * F.lit(size)
+    centre_y = (F.col("cy").cast("double") + 0.5) * F.lit(size)
+    cells = cells.withColumn("touching", touching)
+    cells = cells.withColumn(
+        "full", ~F.col("touching") & geom.within_polygon(centre_x, centre_y, "edges")
+    ).where(F.col("touching") | F.col("full"))
+    return cells.select(
+        "feature_id",
+        "cx",
+        "cy",
+        "full",
+        F.when(F.col("full"), F.array().cast(f"array<{geom.EDGE_TYPE}>")).otherwise(band).alias("edges"),
+    )
 
 
 def auto_cell_size(polygons: DataFrame) -> float:
@@ -116,7 +156,7 @@ def in_polygons(
     cells = polygon_cells(polygons, size)
     p = with_point_cell(points, size)
     j = keyed_join(p, cells, ["cx", "cy"], salt_cols or ["x", "y"], plan)
-    return j.where(geom.within_polygon("x", "y", "edges")).drop("cx", "cy", "edges")
+    return j.where(F.col("full") | geom.within_polygon("x", "y", "edges")).drop("cx", "cy", "full", "edges")
 
 
 def case_exposure(

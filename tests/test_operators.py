@@ -198,3 +198,17 @@ def test_circle_ring(spark):
     ring = r.p[0]
     assert len(ring) == 65 and ring[0] == ring[-1]
     assert r.a == pytest.approx(math.pi * 25, rel=0.01)
+
+
+def test_in_polygons_small_cells_use_interior_cells(spark):
+    from pingscape.operators.joins import polygon_cells
+
+    pings = inputs.only(inputs.pings_mercator(spark, SF01), "ping_id", "x", "y")
+    zones = inputs.zones_mercator(spark, SF01)
+    base = _pairs(joins.in_polygons(pings, zones), "ping_id", "feature_id")
+    assert len(base) == 2586
+    assert _pairs(joins.in_polygons(pings, zones, cell_size=90.0), "ping_id", "feature_id") == base
+    cells = polygon_cells(zones, 90.0)
+    full = cells.where("full").count()
+    assert full > cells.where("not full").count()  # most cells need no per-ping test
+    assert cells.where("full").where("size(edges) > 0").count() == 0
