@@ -268,20 +268,30 @@ def wkt_parts(text) -> Column:
     return F.when(valid, parts).cast(PARTS_TYPE)
 
 
-def _vertex_text(v: Column) -> Column:
-    return F.concat(v["x"].cast("string"), F.lit(" "), v["y"].cast("string"))
+def _vertex_text(v: Column, decimals: int | None = None) -> Column:
+    if decimals is None:
+        # shortest text that reads back to the same double
+        return F.concat(v["x"].cast("string"), F.lit(" "), v["y"].cast("string"))
+    return F.format_string(f"%.{int(decimals)}f %.{int(decimals)}f", v["x"], v["y"])
 
 
-def _part_text(p: Column) -> Column:
-    return F.concat(F.lit("("), F.array_join(F.transform(p, _vertex_text), ", "), F.lit(")"))
+def to_wkt(kind, parts, decimals: int | None = None) -> Column:
+    """Encode `parts` as WKT text for kind POINT / LINESTRING / POLYGON / MULTILINESTRING.
 
-
-def to_wkt(kind, parts) -> Column:
-    """Encode `parts` as WKT text for kind POINT / LINESTRING / POLYGON / MULTILINESTRING."""
+    `decimals=None` writes every coordinate exactly (round-trips bit for bit);
+    a number writes fixed decimals (stable text for sorting and comparing).
+    """
     kind, parts = col_of(kind), col_of(parts)
+
+    def _vertex(v):
+        return _vertex_text(v, decimals)
+
+    def _part_text(p):
+        return F.concat(F.lit("("), F.array_join(F.transform(p, _vertex), ", "), F.lit(")"))
+
     first = F.element_at(parts, 1)
     return (
-        F.when(kind == "POINT", F.concat(F.lit("POINT ("), _vertex_text(F.element_at(first, 1)), F.lit(")")))
+        F.when(kind == "POINT", F.concat(F.lit("POINT ("), _vertex(F.element_at(first, 1)), F.lit(")")))
         .when(kind == "LINESTRING", F.concat(F.lit("LINESTRING "), _part_text(first)))
         .when(
             kind == "POLYGON",

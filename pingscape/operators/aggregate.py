@@ -21,6 +21,9 @@ def count_by_day(pairs: DataFrame, key: str = "feature_id", name: str = "join_co
     return pairs.groupBy(key, day_of(ts, offset_ms).alias("day")).agg(F.count(F.lit(1)).alias(name))
 
 
+visits_by_day = count_by_day
+
+
 def window_stats(pairs: DataFrame, key: str = "feature_id") -> DataFrame:
     """Per matched window: `n` pairs, `n_distinct` distinct point positions."""
     return pairs.groupBy(key).agg(

@@ -92,7 +92,8 @@ def polygon_cells(polygons: DataFrame, size: float) -> DataFrame:
     the (small) polygon side; outside cells are dropped and inside cells are
     marked `full` (their points need no test).  Cell bounds are padded by 1e-6
     of a cell, so floating-point rounding of the point's cell can only add
-    edges, never lose one.
+    edges, never lose one, and an edge through the cell always separates the
+    padded corners by a clear margin.
     """
     polys = polygons.select(
         "feature_id", geom.edges("parts").alias("edges"), geom.envelope("parts").alias("env")
@@ -109,13 +110,24 @@ def polygon_cells(polygons: DataFrame, size: float) -> DataFrame:
         & (F.least(e["y1"], e["y2"]) <= y1)
         & (F.greatest(e["x1"], e["x2"]) >= x0),
     )
-    touching = F.exists(
-        "edges",
-        lambda e: (F.greatest(e["x1"], e["x2"]) >= x0)
-        & (F.least(e["x1"], e["x2"]) <= x1)
-        & (F.greatest(e["y1"], e["y2"]) >= y0)
-        & (F.least(e["y1"], e["y2"]) <= y1),
-    )
+    def _meets_cell(e):
+        # boxes overlap and the four cell corners are not all strictly on one
+        # side of the edge's line (separating-axis test for segment vs box)
+        def side(cx, cy):
+            return (e["x2"] - e["x1"]) * (cy - e["y1"]) - (e["y2"] - e["y1"]) * (cx - e["x1"])
+
+        c = [side(x0, y0), side(x1, y0), side(x0, y1), side(x1, y1)]
+        all_pos = (c[0] > 0) & (c[1] > 0) & (c[2] > 0) & (c[3] > 0)
+        all_neg = (c[0] < 0) & (c[1] < 0) & (c[2] < 0) & (c[3] < 0)
+        return (
+            (F.greatest(e["x1"], e["x2"]) >= x0)
+            & (F.least(e["x1"], e["x2"]) <= x1)
+            & (F.greatest(e["y1"], e["y2"]) >= y0)
+            & (F.least(e["y1"], e["y2"]) <= y1)
+            & ~(all_pos | all_neg)
+        )
+
+    touching = F.exists("edges", _meets_cell)
     centre_x = (F.col("cx").cast("double") + 0.5) * F.lit(size)
     centre_y = (F.col("cy").cast("double") + 0.5) * F.lit(size)
     cells = cells.withColumn("touching", touching)
@@ -194,3 +206,29 @@ def case_exposure(
     return j.where((d <= radius) & F.col("sys_time").between(F.col("lo_ms"), F.col("hi_ms"))).drop(
         "cx", "cy", "lo_ms", "hi_ms", "fx", "fy"
     )
+
+
+def exposure_by_day(
+    pings: DataFrame,
+    pois: DataFrame,
+    cases: DataFrame,
+    radius: float,
+    radius2: float,
+    days: int = 10,
+    offset_ms: int = 0,
+    study_area=None,
+    plan: JoinPlan = DEFAULT_PLAN,
+) -> DataFrame:
+    """The double join, composed: POIs within `radius2` of a case, then pings
+    within `radius` of those POIs and +-`days` of the case date, counted per
+    (POI, ping day).  `pings (ping_id, sys_time, x, y)`, `pois (feature_id, x, y)`,
+    `cases (case_id, case_date, x, y)`, all planar; `study_area` an optional
+    lng/lat rectangle (Mercator pings) applied to the pings first."""
+    from .filters import within_study_area
+
+    if study_area is not None:
+        pings = within_study_area(pings, study_area)
+    pairs = within_distance(pois, cases, radius2, closed=True, plan=plan, salt_cols=["feature_id"])
+    pairs = pairs.select("feature_id", F.col("x").alias("px"), F.col("y").alias("py"), "case_date")
+    hits = case_exposure(pings, pairs, radius, days, offset_ms, plan, ["ping_id"])
+    return hits.groupBy("feature_id", F.date_from_unix_date("day").alias("day")).agg(F.count(F.lit(1)).alias("join_count"))

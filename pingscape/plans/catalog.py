@@ -36,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "road_visits_by_day": C.road_visits_by_day,
     "road_visits_unordered": C.road_visits_unordered,
     "line_segments": C.line_segments,
+    "road_wkt": C.road_wkt,
     "road_window_stats": C.road_window_stats,
     "top_road_by_density": C.top_road_by_density,
     # step 7: hourly grid, envelope

@@ -162,6 +162,13 @@ def road_pings(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN)
     return aggregate.window_stats(pairs, "feature_id")
 
 
+def road_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roads (Mercator) as WKT text with millimetre decimals, ordered by the text."""
+    from ..operators.shapes import with_wkt
+
+    return with_wkt(inputs.roads_mercator(spark, sf_dir), decimals=3).select("feature_id", "wkt").orderBy("wkt")
+
+
 def road_window_stats(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """Per road buffer: `n`, `n_distinct`, estimated buffer `area` (fine grid of
     side r/16) and `density = n_distinct / area`, densest first."""

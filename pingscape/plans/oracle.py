@@ -672,3 +672,12 @@ def top_road_by_density() -> str:
 
 
 ORACLES.update({"road_window_stats": road_window_stats, "top_road_by_density": top_road_by_density})
+
+
+def road_wkt() -> str:
+    return _with(ROADS_M) + """
+SELECT feature_id, 'LINESTRING (' || string_agg(printf('%.3f %.3f', x, y), ', ' ORDER BY k) || ')' AS wkt
+FROM roadm GROUP BY feature_id ORDER BY wkt"""
+
+
+ORACLES["road_wkt"] = road_wkt

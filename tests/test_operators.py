@@ -212,3 +212,33 @@ def test_in_polygons_small_cells_use_interior_cells(spark):
     full = cells.where("full").count()
     assert full > cells.where("not full").count()  # most cells need no per-ping test
     assert cells.where("full").where("size(edges) > 0").count() == 0
+
+
+def test_composed_exposure_equals_plan(spark):
+    from pingscape.operators.filters import STUDY_AREA
+    from pingscape.plans import colocation
+    from pingscape.plans import params as P
+
+    pings = filters.in_date_range(
+        inputs.only(inputs.pings_mercator(spark, SF01), "ping_id", "sys_time", "x", "y"), P.FROM_TIME, P.TO_TIME
+    )
+    got = joins.exposure_by_day(
+        pings, inputs.pois_mercator(spark, SF01), inputs.cases_mercator(spark, SF01), 800.0, 2000.0, study_area=STUDY_AREA
+    )
+    want = colocation.case_exposure_by_day(spark, SF01)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_shape_helpers(spark):
+    from pingscape.operators import shapes
+
+    df = spark.createDataFrame([(1, "LINESTRING (0 0, 1 1, 2 0)"), (2, "bad")], "feature_id long, geometry string")
+    dec = shapes.decode_wkt(df)
+    assert [r.feature_id for r in dec.collect()] == [1]
+    segs = shapes.segments(dec).collect()
+    assert [(r.seg_idx, r.x1, r.y2) for r in segs] == [(0, 0.0, 1.0), (1, 1.0, 0.0)]
+    env = shapes.shape_envelopes(dec).first()
+    assert (env.min_x, env.max_x, env.max_y) == (0.0, 2.0, 1.0)
+    assert shapes.with_wkt(dec, decimals=2).first().wkt == "LINESTRING (0.00 0.00, 1.00 1.00, 2.00 0.00)"
+    circles = shapes.circle_rings(spark.createDataFrame([(0.0, 0.0)], "x double, y double"), 1.0, 8).first()
+    assert circles.kind == "POLYGON" and len(circles.parts[0]) == 9
