@@ -38,6 +38,9 @@ class JoinPlan:
 
     # shape-side rows (after cell explosion) that may be broadcast
     max_broadcast_rows: int = 2_000_000
+    # shape-side array elements (edges / segments carried by the rows, 32 bytes
+    # each) that may be broadcast: rows alone do not bound the bytes
+    max_broadcast_elements: int = 8_000_000
     # a cell with more points than this is split across tasks
     hot_cell_rows: int = 2_000_000
     # hot-cell list rows that may be broadcast (it is bounded by points / hot_cell_rows)
@@ -81,9 +84,15 @@ def explode_box_cells(
     return df.withColumn("cx", F.explode(F.sequence(lo_x, hi_x))).withColumn("cy", F.explode(F.sequence(lo_y, hi_y)))
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when `df` provably has at most `max_rows` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int, elements: Column | None = None, max_elements: int | None = None) -> bool:
+    """True when `df` provably has at most `max_rows` rows and, if `elements`
+    (an array-size expression) is given, at most `max_elements` elements in
+    total.  Reads at most `max_rows + 1` rows."""
+    limited = df.limit(max_rows + 1)
+    if elements is None:
+        return limited.count() <= max_rows
+    r = limited.agg(F.count(F.lit(1)).alias("n"), F.sum(elements).alias("e")).first()
+    return r["n"] <= max_rows and (r["e"] or 0) <= (max_elements if max_elements is not None else max_rows)
 
 
 def keyed_join(
@@ -92,15 +101,18 @@ def keyed_join(
     keys: list[str],
     salt_cols: list[str],
     plan: JoinPlan = DEFAULT_PLAN,
+    elements: Column | None = None,
 ) -> DataFrame:
     """Inner equi-join of the point side with the (exploded) shape side on `keys`.
 
-    `salt_cols` identify a point row (for the hot-cell salt).  Returns the
-    joined rows with the key columns kept.
+    `salt_cols` identify a point row (for the hot-cell salt); `elements` is the
+    size of the arrays a shape row carries (edges, segments), counted in the
+    broadcast check.  Returns the joined rows with the key columns kept.
     """
     mode = plan.force
     if mode is None:
-        mode = "broadcast" if fits(shapes, plan.max_broadcast_rows) else "shuffle"
+        small = fits(shapes, plan.max_broadcast_rows, elements, plan.max_broadcast_elements)
+        mode = "broadcast" if small else "shuffle"
     if mode == "broadcast":
         return points.join(F.broadcast(shapes), keys)
     if mode != "shuffle":

@@ -54,6 +54,8 @@ def segment_cells(lines: DataFrame, radius: float, size: float) -> DataFrame:
         F.greatest("seg.y1", "seg.y2").alias("_max_y"),
     )
     cells = explode_box_cells(segs, "_min_x", "_min_y", "_max_x", "_max_y", size, pad=radius)
+    # regroups pieces of one input line: a list never exceeds that line's own
+    # vertex count, and only segments near the cell are in it
     return cells.groupBy("feature_id", "cx", "cy").agg(F.collect_list("seg").alias("segs"))
 
 
@@ -74,7 +76,7 @@ def near_lines(
     size = float(cell_size or radius)
     per_cell = segment_cells(lines, radius, size)
     p = with_point_cell(points, size)
-    j = keyed_join(p, per_cell, ["cx", "cy"], salt_cols or ["x", "y"], plan)
+    j = keyed_join(p, per_cell, ["cx", "cy"], salt_cols or ["x", "y"], plan, elements=F.size("segs"))
     near = F.exists(
         "segs",
         lambda s: geom.segment_distance("x", "y", s["x1"], s["y1"], s["x2"], s["y2"]) < radius,
@@ -167,7 +169,7 @@ def in_polygons(
     size = float(cell_size or auto_cell_size(polygons))
     cells = polygon_cells(polygons, size)
     p = with_point_cell(points, size)
-    j = keyed_join(p, cells, ["cx", "cy"], salt_cols or ["x", "y"], plan)
+    j = keyed_join(p, cells, ["cx", "cy"], salt_cols or ["x", "y"], plan, elements=F.size("edges"))
     return j.where(F.col("full") | geom.within_polygon("x", "y", "edges")).drop("cx", "cy", "full", "edges")
 
 

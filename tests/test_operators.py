@@ -242,3 +242,20 @@ def test_shape_helpers(spark):
     assert shapes.with_wkt(dec, decimals=2).first().wkt == "LINESTRING (0.00 0.00, 1.00 1.00, 2.00 0.00)"
     circles = shapes.circle_rings(spark.createDataFrame([(0.0, 0.0)], "x double, y double"), 1.0, 8).first()
     assert circles.kind == "POLYGON" and len(circles.parts[0]) == 9
+
+
+def test_broadcast_check_counts_array_elements(spark):
+    from pingscape.operators.cells import fits
+
+    df = spark.createDataFrame([(i, list(range(100))) for i in range(10)], "k int, a array<int>")
+    assert fits(df, 10)
+    assert not fits(df, 9)
+    assert fits(df, 10, F.size("a"), 1000)
+    assert not fits(df, 10, F.size("a"), 999)
+    # polygons with many edges per cell fall back to the shuffle path and stay exact
+    pings = inputs.only(inputs.pings_mercator(spark, SF01), "ping_id", "x", "y")
+    zones = inputs.zones_mercator(spark, SF01)
+    tight = JoinPlan(max_broadcast_elements=10, hot_cell_rows=50)
+    assert _pairs(joins.in_polygons(pings, zones, plan=tight, salt_cols=["ping_id"]), "ping_id", "feature_id") == _pairs(
+        joins.in_polygons(pings, zones), "ping_id", "feature_id"
+    )
