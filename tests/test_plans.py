@@ -147,3 +147,12 @@ def test_tile_table_anchor(spark):
 def test_smoke_scale_runs(spark):
     for name, q in E.queries().items():
         assert q(spark, SF001).count() >= 0, name
+
+
+def test_pyramid_methods_agree(spark):
+    from pingscape.operators import raster
+
+    pings = inputs.pings_mercator(spark, SF001).select("x", "y")
+    a = sorted(map(tuple, raster.pixel_counts(pings, 3, 12, method="explode").collect()))
+    b = sorted(map(tuple, raster.pixel_counts(pings, 3, 12, method="rollup").collect()))
+    assert a == b
