@@ -184,41 +184,54 @@ def utm_sql_text(lng: str, lat: str) -> tuple[str, str]:
 # ---------------------------------------------------------------------------
 # GCJ-02
 # ---------------------------------------------------------------------------
-def _gcj_poly_lat(x: Column, y: Column) -> Column:
-    pi = F.lit(math.pi)
-    base = (
-        F.lit(-100.0) + 2.0 * x + 3.0 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * F.sqrt(F.abs(x))
+def _dbl(v: float) -> str:
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
+def _gcj_poly_lat_sql(x: str, y: str) -> str:
+    D = _dbl
+    return (
+        f"({D(-100.0)} + {D(2.0)} * {x} + {D(3.0)} * {y} + {D(0.2)} * {y} * {y} + {D(0.1)} * {x} * {y}"
+        f" + {D(0.2)} * sqrt(abs({x}))"
+        f" + ({D(20.0)} * sin({D(6.0)} * {x} * pi()) + {D(20.0)} * sin({D(2.0)} * {x} * pi())) * {D(2.0)} / {D(3.0)}"
+        f" + ({D(20.0)} * sin({y} * pi()) + {D(40.0)} * sin({y} / {D(3.0)} * pi())) * {D(2.0)} / {D(3.0)}"
+        f" + ({D(160.0)} * sin({y} / {D(12.0)} * pi()) + {D(320.0)} * sin({y} * pi() / {D(30.0)})) * {D(2.0)} / {D(3.0)})"
     )
-    wave_x = (20.0 * F.sin(6.0 * x * pi) + 20.0 * F.sin(2.0 * x * pi)) * 2.0 / 3.0
-    wave_y = (20.0 * F.sin(y * pi) + 40.0 * F.sin(y / 3.0 * pi)) * 2.0 / 3.0
-    wave_y2 = (160.0 * F.sin(y / 12.0 * pi) + 320.0 * F.sin(y * pi / 30.0)) * 2.0 / 3.0
-    return base + wave_x + wave_y + wave_y2
-
-
-def _gcj_poly_lon(x: Column, y: Column) -> Column:
-    pi = F.lit(math.pi)
-    base = F.lit(300.0) + x + 2.0 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * F.sqrt(F.abs(x))
-    wave_x = (20.0 * F.sin(6.0 * x * pi) + 20.0 * F.sin(2.0 * x * pi)) * 2.0 / 3.0
-    wave_x2 = (20.0 * F.sin(x * pi) + 40.0 * F.sin(x / 3.0 * pi)) * 2.0 / 3.0
-    wave_x3 = (150.0 * F.sin(x / 12.0 * pi) + 300.0 * F.sin(x / 30.0 * pi)) * 2.0 / 3.0
-    return base + wave_x + wave_x2 + wave_x3
-
-
-def gcj_delta(lng, lat) -> tuple[Column, Column]:
-    """GCJ-02 offset (d_lng, d_lat) in degrees at a WGS-84 position."""
-    lng, lat = col_of(lng), col_of(lat)
-    x = lng - F.lit(GCJ_LON_ORIGIN)
-    y = lat - F.lit(GCJ_LAT_ORIGIN)
-    rad_lat = lat / 180.0 * F.lit(math.pi)
-    magic = F.lit(1.0) - F.lit(GCJ_EE) * F.sin(rad_lat) * F.sin(rad_lat)
-    sqrt_magic = F.sqrt(magic)
-    d_lat = (_gcj_poly_lat(x, y) * 180.0) / (
-        (F.lit(GCJ_AXIS * (1 - GCJ_EE)) / (magic * sqrt_magic)) * F.lit(math.pi)
+
+
+def _gcj_poly_lon_sql(x: str, y: str) -> str:
+    D = _dbl
+    return (
+        f"({D(300.0)} + {x} + {D(2.0)} * {y} + {D(0.1)} * {x} * {x} + {D(0.1)} * {x} * {y}"
+        f" + {D(0.1)} * sqrt(abs({x}))"
+        f" + ({D(20.0)} * sin({D(6.0)} * {x} * pi()) + {D(20.0)} * sin({D(2.0)} * {x} * pi())) * {D(2.0)} / {D(3.0)}"
+        f" + ({D(20.0)} * sin({x} * pi()) + {D(40.0)} * sin({x} / {D(3.0)} * pi())) * {D(2.0)} / {D(3.0)}"
+        f" + ({D(150.0)} * sin({x} / {D(12.0)} * pi()) + {D(300.0)} * sin({x} / {D(30.0)} * pi())) * {D(2.0)} / {D(3.0)})"
     )
-    d_lng = (_gcj_poly_lon(x, y) * 180.0) / (F.lit(GCJ_AXIS) / sqrt_magic * F.cos(rad_lat) * F.lit(math.pi))
+
+
+def gcj_delta_sql(lng: str, lat: str) -> tuple[str, str]:
+    """GCJ-02 offset (d_lng, d_lat) as SQL text over two column expressions.
+
+    One text serves Spark (parsed once by `F.expr`) and the DuckDB oracle, so
+    both evaluate the same operations in the same order.
+    """
+    D = _dbl
+    x = f"({lng} - {D(GCJ_LON_ORIGIN)})"
+    y = f"({lat} - {D(GCJ_LAT_ORIGIN)})"
+    rad = f"({lat} / {D(180.0)} * pi())"
+    magic = f"({D(1.0)} - {D(GCJ_EE)} * sin({rad}) * sin({rad}))"
+    d_lat = f"(({_gcj_poly_lat_sql(x, y)} * {D(180.0)}) / (({D(GCJ_AXIS * (1 - GCJ_EE))} / ({magic} * sqrt({magic}))) * pi()))"
+    d_lng = f"(({_gcj_poly_lon_sql(x, y)} * {D(180.0)}) / ({D(GCJ_AXIS)} / sqrt({magic}) * cos({rad}) * pi()))"
     return d_lng, d_lat
 
 
+def gcj_delta(lng: str, lat: str) -> tuple[Column, Column]:
+    """GCJ-02 offset (d_lng, d_lat) in degrees at a WGS-84 position (column names)."""
+    d_lng, d_lat = gcj_delta_sql(f"`{lng}`", f"`{lat}`")
+    return F.expr(d_lng), F.expr(d_lat)
+
+
 def wgs84_to_gcj02(df: DataFrame, lng: str = "lng", lat: str = "lat", out_lng: str = "gcj_lng", out_lat: str = "gcj_lat") -> DataFrame:
     """Forward shift: GCJ position = WGS position + offset."""
     tmp = df.withColumns(dict(zip(("_gd_lng", "_gd_lat"), gcj_delta(lng, lat))))
@@ -238,7 +251,7 @@ def gcj02_to_wgs84(df: DataFrame, lng: str = "lng", lat: str = "lat", out_lng: s
     projection small; a finished row just carries its value forward.
     """
     g_lng, g_lat = F.col(lng), F.col(lat)
-    d_lng, d_lat = gcj_delta(g_lng, g_lat)
+    d_lng, d_lat = gcj_delta(lng, lat)
     cur = df.withColumns(
         {
             "_gw_lng": g_lng - d_lng,
@@ -247,7 +260,7 @@ def gcj02_to_wgs84(df: DataFrame, lng: str = "lng", lat: str = "lat", out_lng: s
         }
     )
     for _ in range(1, GCJ_MAX_ROUNDS):
-        d_lng, d_lat = gcj_delta(F.col("_gw_lng"), F.col("_gw_lat"))
+        d_lng, d_lat = gcj_delta("_gw_lng", "_gw_lat")
         cur = cur.withColumns({"_gw_dlng": d_lng, "_gw_dlat": d_lat})
         new_lng = g_lng - F.col("_gw_dlng")
         new_lat = g_lat - F.col("_gw_dlat")
@@ -255,11 +268,10 @@ def gcj02_to_wgs84(df: DataFrame, lng: str = "lng", lat: str = "lat", out_lng: s
             F.abs(new_lat - F.col("_gw_lat")) <= GCJ_TOLERANCE
         )
         done = F.col("_gw_done")
-        cur = cur.withColumns(
-            {
-                "_gw_lng": F.when(done, F.col("_gw_lng")).otherwise(new_lng),
-                "_gw_lat": F.when(done, F.col("_gw_lat")).otherwise(new_lat),
-                "_gw_done": done | moved_small,
-            }
-        ).drop("_gw_dlng", "_gw_dlat")
+        cur = cur.select(
+            *[c for c in cur.columns if c not in ("_gw_lng", "_gw_lat", "_gw_done", "_gw_dlng", "_gw_dlat")],
+            F.when(done, F.col("_gw_lng")).otherwise(new_lng).alias("_gw_lng"),
+            F.when(done, F.col("_gw_lat")).otherwise(new_lat).alias("_gw_lat"),
+            (done | moved_small).alias("_gw_done"),
+        )
     return cur.withColumnsRenamed({"_gw_lng": out_lng, "_gw_lat": out_lat}).drop("_gw_done")

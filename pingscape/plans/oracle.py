@@ -530,36 +530,10 @@ WHERE (x1 + x2) / {D(2.0)} > {x0} AND (x1 + x2) / {D(2.0)} < {x1}
 # ---------------------------------------------------------------------------
 # coordinate conversions
 # ---------------------------------------------------------------------------
-def _gcj_poly_lat(x: str, y: str) -> str:
-    return (
-        f"({D(-100.0)} + {D(2.0)} * {x} + {D(3.0)} * {y} + {D(0.2)} * {y} * {y} + {D(0.1)} * {x} * {y}"
-        f" + {D(0.2)} * sqrt(abs({x}))"
-        f" + ({D(20.0)} * sin({D(6.0)} * {x} * pi()) + {D(20.0)} * sin({D(2.0)} * {x} * pi())) * {D(2.0)} / {D(3.0)}"
-        f" + ({D(20.0)} * sin({y} * pi()) + {D(40.0)} * sin({y} / {D(3.0)} * pi())) * {D(2.0)} / {D(3.0)}"
-        f" + ({D(160.0)} * sin({y} / {D(12.0)} * pi()) + {D(320.0)} * sin({y} * pi() / {D(30.0)})) * {D(2.0)} / {D(3.0)})"
-    )
-
-
-def _gcj_poly_lon(x: str, y: str) -> str:
-    return (
-        f"({D(300.0)} + {x} + {D(2.0)} * {y} + {D(0.1)} * {x} * {x} + {D(0.1)} * {x} * {y}"
-        f" + {D(0.1)} * sqrt(abs({x}))"
-        f" + ({D(20.0)} * sin({D(6.0)} * {x} * pi()) + {D(20.0)} * sin({D(2.0)} * {x} * pi())) * {D(2.0)} / {D(3.0)}"
-        f" + ({D(20.0)} * sin({x} * pi()) + {D(40.0)} * sin({x} / {D(3.0)} * pi())) * {D(2.0)} / {D(3.0)}"
-        f" + ({D(150.0)} * sin({x} / {D(12.0)} * pi()) + {D(300.0)} * sin({x} / {D(30.0)} * pi())) * {D(2.0)} / {D(3.0)})"
-    )
-
-
 def _gcj_delta(lng: str, lat: str) -> tuple[str, str]:
-    from ..functions.crs import GCJ_AXIS, GCJ_EE
-
-    x = f"({lng} - {D(105.0)})"
-    y = f"({lat} - {D(35.0)})"
-    rad = f"({lat} / {D(180.0)} * pi())"
-    magic = f"({D(1.0)} - {D(GCJ_EE)} * sin({rad}) * sin({rad}))"
-    d_lat = f"(({_gcj_poly_lat(x, y)} * {D(180.0)}) / (({D(GCJ_AXIS * (1 - GCJ_EE))} / ({magic} * sqrt({magic}))) * pi()))"
-    d_lng = f"(({_gcj_poly_lon(x, y)} * {D(180.0)}) / ({D(GCJ_AXIS)} / sqrt({magic}) * cos({rad}) * pi()))"
-    return d_lng, d_lat
+    from ..functions.crs import gcj_delta_sql
+
+    return gcj_delta_sql(lng, lat)
 
 
 def wgs_to_gcj() -> str:
