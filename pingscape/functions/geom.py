@@ -111,9 +111,19 @@ def envelope(parts) -> Column:
 
 
 def ring_signed_area2(ring) -> Column:
-    """Twice the signed shoelace area of one closed ring."""
+    """Twice the signed shoelace area of one closed ring.
+
+    Coordinates are taken relative to the ring's first vertex: with projected
+    metres (~1e7) the raw cross products are ~1e14 and cancel to the area, which
+    would leave the result at the mercy of rounding and summation order.
+    """
+    ring = col_of(ring)
+    first = F.element_at(ring, 1)
+    x0, y0 = first["x"], first["y"]
     return F.aggregate(
-        part_edges(ring), F.lit(0.0), lambda acc, e: acc + (e["x1"] * e["y2"] - e["x2"] * e["y1"])
+        part_edges(ring),
+        F.lit(0.0),
+        lambda acc, e: acc + ((e["x1"] - x0) * (e["y2"] - y0) - (e["x2"] - x0) * (e["y1"] - y0)),
     )
 
 

@@ -587,7 +587,9 @@ FROM roadm GROUP BY feature_id
 UNION ALL
 SELECT feature_id + 100 AS feature_id, 'POLYGON' AS kind, CAST(COUNT(*) + 1 AS INTEGER) AS n_vertices,
   round(SUM(x) + arg_min(x, k), 3) AS sum_x, round(SUM(y) + arg_min(y, k), 3) AS sum_y,
-  round(abs((SELECT SUM(e.x1 * e.y2 - e.x2 * e.y1) FROM zedges e WHERE e.feature_id = zonep.feature_id)) / {D(2.0)}, 3) AS measure
+  round(abs((SELECT SUM((e.x1 - f.x) * (e.y2 - f.y) - (e.x2 - f.x) * (e.y1 - f.y))
+    FROM zedges e JOIN zonep f ON f.feature_id = e.feature_id AND f.k = 0
+    WHERE e.feature_id = zonep.feature_id)) / {D(2.0)}, 3) AS measure
 FROM zonep GROUP BY feature_id"""
 
 
