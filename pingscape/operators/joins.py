@@ -185,29 +185,39 @@ def case_exposure(
     """Pings near a POI that is near a case, within +-`days` of the case date.
 
     `poi_case_pairs`: `(feature_id, px, py, case_date)` - one row per (POI, case).
-    The time bound is closed: [midnight(case_date) - days, midnight + days] in ms.
-    The join key adds the ping's day to the cell, and every pair row is copied to
-    the 2*days + 1 days its window spans, so a ping meets only the pairs whose
-    window contains its day; the exact bound is the residual.
+    A ping matches a pair when it is within `radius` of the POI and its time is
+    in the closed range [midnight(case_date) - days, midnight + days].  Returns
+    the matching pings with `feature_id`, the ping's local `day` (epoch days)
+    and `weight` = the number of pairs it matches for that POI (bag semantics:
+    a ping near a POI matched by k cases counts k times).
+
+    Time is aggregated before the join.  Case dates are whole days, so the pairs
+    collapse to (POI, case day, multiplicity).  For a ping on day d the window
+    of a case on day c holds the whole day when c - days <= d <= c + days - 1,
+    and only the exact midnight when d = c + days.  Each (POI, day) row carries
+    both weights, so the shape side is at most POIs x window days x cells, no
+    matter how many cases there are, and the join key includes the day.
     """
     size = float(radius)
-    case_ms = F.col("case_date").cast("date")
-    day0 = F.unix_date(case_ms)
-    t = poi_case_pairs.select(
-        "feature_id",
-        F.col("px").alias("fx"),
-        F.col("py").alias("fy"),
-        (day0.cast("long") * MS_PER_DAY - offset_ms - days * MS_PER_DAY).alias("lo_ms"),
-        (day0.cast("long") * MS_PER_DAY - offset_ms + days * MS_PER_DAY).alias("hi_ms"),
+    c = F.unix_date(F.col("case_date").cast("date"))
+    per_day = poi_case_pairs.groupBy("feature_id", "px", "py", c.alias("case_day")).agg(F.count(F.lit(1)).alias("mult"))
+    spread = per_day.withColumn(
+        "day", F.explode(F.sequence(F.col("case_day") - days, F.col("case_day") + days))
+    )
+    last = F.col("case_day") + days
+    t = spread.groupBy("feature_id", "px", "py", "day").agg(
+        F.sum(F.when(F.col("day") < last, F.col("mult")).otherwise(F.lit(0))).alias("w_full"),
+        F.sum(F.when(F.col("day") == last, F.col("mult")).otherwise(F.lit(0))).alias("w_midnight"),
     )
-    t = t.withColumn("day", F.explode(F.sequence(epoch_day("lo_ms", offset_ms), epoch_day("hi_ms", offset_ms))))
+    t = t.withColumnsRenamed({"px": "fx", "py": "fy"})
     t = explode_box_cells(t, "fx", "fy", "fx", "fy", size, pad=radius)
     p = with_point_cell(pings.withColumn("day", epoch_day("sys_time", offset_ms)), size)
     j = keyed_join(p, t, ["cx", "cy", "day"], salt_cols or ["x", "y", "sys_time"], plan)
+    at_midnight = F.pmod(F.col("sys_time") + F.lit(int(offset_ms)), F.lit(MS_PER_DAY)) == 0
+    weight = F.col("w_full") + F.when(at_midnight, F.col("w_midnight")).otherwise(F.lit(0).cast("long"))
     d = geom.distance("x", "y", "fx", "fy")
-    return j.where((d <= radius) & F.col("sys_time").between(F.col("lo_ms"), F.col("hi_ms"))).drop(
-        "cx", "cy", "lo_ms", "hi_ms", "fx", "fy"
-    )
+    hits = j.where(d <= radius).withColumn("weight", weight).where(F.col("weight") > 0)
+    return hits.drop("cx", "cy", "fx", "fy", "w_full", "w_midnight")
 
 
 def exposure_by_day(
@@ -233,4 +243,4 @@ def exposure_by_day(
     pairs = within_distance(pois, cases, radius2, closed=True, plan=plan, salt_cols=["feature_id"])
     pairs = pairs.select("feature_id", F.col("x").alias("px"), F.col("y").alias("py"), "case_date")
     hits = case_exposure(pings, pairs, radius, days, offset_ms, plan, ["ping_id"])
-    return hits.groupBy("feature_id", F.date_from_unix_date("day").alias("day")).agg(F.count(F.lit(1)).alias("join_count"))
+    return hits.groupBy("feature_id", F.date_from_unix_date("day").alias("day")).agg(F.sum("weight").alias("join_count"))

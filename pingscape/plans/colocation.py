@@ -109,7 +109,7 @@ def case_exposure_by_day(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFA
         pings, _poi_case_pairs(spark, sf_dir, plan), P.EXPOSURE_RADIUS, P.EXPOSURE_DAYS, P.OFFSET_MS, plan, ["ping_id"]
     )
     out = hits.groupBy("feature_id", F.date_from_unix_date("day").alias("day")).agg(
-        F.count(F.lit(1)).alias("join_count")
+        F.sum("weight").alias("join_count")
     )
     return out.orderBy("day", "feature_id")
 

@@ -133,7 +133,7 @@ def test_case_exposure_closed_window(spark):
         [(7, 0.0, 0.0, "2024-01-08"), (7, 0.0, 0.0, "2024-01-09")], "feature_id long, px double, py double, case_date string"
     ).withColumn("case_date", F.to_date("case_date"))
     hits = joins.case_exposure(pings, pairs, 10.0, days=10)
-    got = sorted((r.ping_id, r.feature_id) for r in hits.collect())
+    got = sorted((r.ping_id, r.feature_id) for r in hits.collect() for _ in range(r.weight))
     # +-864000 s exactly is kept; the second case (one day later) matches 1..3 again except ping 1 (11 days before)
     assert got == [(1, 7), (2, 7), (2, 7), (3, 7)]
 
