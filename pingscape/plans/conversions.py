@@ -32,8 +32,7 @@ def utm_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named points (suppliers) projected to Mercator, keeping the name; ordered
     by their text form."""
-    s = fixtures.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("feature_id"), F.col("s_name").alias("name"))
-    p = to_mercator(fixtures.pois(spark, sf_dir).join(s, "feature_id"))
+    p = to_mercator(fixtures.pois(spark, sf_dir, with_name=True))
     out = p.select("feature_id", "name", F.round("lng", 9).alias("lng"), F.round("lat", 9).alias("lat"),
                    F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
     return out.orderBy("name", "feature_id")

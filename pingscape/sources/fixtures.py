@@ -75,11 +75,14 @@ def pings(spark: SparkSession, sf_dir: str, window: tuple[int, int] | None = Non
     ).transform(non_null_coordinates)
 
 
-def pois(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`(feature_id, lng, lat)` - one POI per supplier."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey").where(F.col("s_suppkey").isNotNull())
+def pois(spark: SparkSession, sf_dir: str, with_name: bool = False) -> DataFrame:
+    """`(feature_id, lng, lat)` - one POI per supplier (`name` too if asked)."""
+    cols = ["s_suppkey", "s_name"] if with_name else ["s_suppkey"]
+    s = table(spark, sf_dir, "supplier").select(*cols).where(F.col("s_suppkey").isNotNull())
+    extra = [F.col("s_name").alias("name")] if with_name else []
     return s.select(
         F.col("s_suppkey").alias("feature_id"),
+        *extra,
         (F.lit(POI_LNG0) + _frac("s_suppkey*611953", 10007) * F.lit(POI_DLNG)).alias("lng"),
         (F.lit(POI_LAT0) + _frac("s_suppkey*746773", 10009) * F.lit(POI_DLAT)).alias("lat"),
     ).transform(non_null_coordinates)
