@@ -134,4 +134,6 @@ def keyed_join(
     salted_shapes = shapes.join(hot_side, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_nsalt"), F.lit(1)) - 1))
     ).drop("_nsalt")
-    return salted_points.join(salted_shapes, keys + ["_salt"]).drop("_salt")
+    # the hint keeps Spark's size *estimate* from broadcasting a side that the
+    # exact check above rejected; each task hashes its share of the shapes
+    return salted_points.join(salted_shapes.hint("shuffle_hash"), keys + ["_salt"]).drop("_salt")
