@@ -84,34 +84,72 @@ def near_lines(
     return j.where(near).drop("cx", "cy", "segs")
 
 
-def polygon_cells(polygons: DataFrame, size: float) -> DataFrame:
-    """`(feature_id, cx, cy, full, edges)` for every cell a polygon's box touches.
+def _level_lit(levels: list[int], values: dict[int, float]):
+    """CASE level WHEN l THEN values[l] ... END with driver-side doubles, so both
+    join sides use bit-identical cell sizes."""
+    expr = None
+    for lv in levels:
+        branch = F.lit(float(values[lv]))
+        expr = F.when(F.col("level") == lv, branch) if expr is None else expr.when(F.col("level") == lv, branch)
+    return expr.otherwise(F.lit(float(values[levels[0]])))
+
+
+def _cell_of(v, inv):
+    return F.coalesce(F.floor(v * inv), F.lit(0).cast("long"))
+
+
+def polygon_levels(polygons: DataFrame, base_size: float, max_cells_per_axis: int = 64) -> DataFrame:
+    """`(feature_id, edges, env, level)`: level 0 unless the polygon's box spans
+    more than `max_cells_per_axis` base cells, else the smallest level whose cell
+    (base * 2^level) keeps it within that many cells per axis."""
+    polys = polygons.select("feature_id", geom.edges("parts").alias("edges"), geom.envelope("parts").alias("env"))
+    side = F.greatest(F.col("env.max_x") - F.col("env.min_x"), F.col("env.max_y") - F.col("env.min_y"))
+    ratio = side / F.lit(float(base_size) * max_cells_per_axis)
+    level = F.when(ratio <= 1.0, F.lit(0)).otherwise(F.ceil(F.log2(ratio)).cast("int"))
+    return polys.withColumn("level", level)
+
+
+def polygon_cells(
+    polygons: DataFrame, size: float, max_cells_per_axis: int = 64, levels: list[int] | None = None
+) -> DataFrame:
+    """`(feature_id, level, cx, cy, full, edges)` for every cell a polygon's box
+    touches, at the polygon's level (cell side `size * 2^level`).
 
     Per cell only the edges that matter are kept: a ray from a point of the cell
     towards +x can only cross edges whose y-range meets the cell's y-band and
-    which reach the cell's left side.  A cell that no edge's box touches lies
-    wholly inside or wholly outside: its centre's parity decides once, here on
-    the (small) polygon side; outside cells are dropped and inside cells are
-    marked `full` (their points need no test).  Cell bounds are padded by 1e-6
-    of a cell, so floating-point rounding of the point's cell can only add
-    edges, never lose one, and an edge through the cell always separates the
-    padded corners by a clear margin.
+    which reach the cell's left side.  A cell that no edge touches lies wholly
+    inside or wholly outside: its centre's parity decides once, here on the
+    (small) polygon side; outside cells are dropped and inside cells are marked
+    `full` (their points need no test).  Cell bounds are padded by 1e-6 of a
+    cell, so floating-point rounding of the point's cell can only add edges,
+    never lose one, and an edge through the cell always separates the padded
+    corners by a clear margin.
     """
-    polys = polygons.select(
-        "feature_id", geom.edges("parts").alias("edges"), geom.envelope("parts").alias("env")
-    )
-    cells = explode_box_cells(polys, "env.min_x", "env.min_y", "env.max_x", "env.max_y", size).drop("env")
+    polys = polygon_levels(polygons, size, max_cells_per_axis)
+    if levels is None:
+        levels = sorted(r["level"] for r in polys.select("level").distinct().collect()) or [0]
+    sizes = {lv: float(size) * (2.0 ** lv) for lv in levels}
+    invs = {lv: 1.0 / sizes[lv] for lv in levels}
+    cs = _level_lit(levels, sizes)
+    inv = _level_lit(levels, invs)
+    margin = cs * 1e-9
+    cells = polys.withColumn(
+        "cx", F.explode(F.sequence(_cell_of(F.col("env.min_x") - margin, inv), _cell_of(F.col("env.max_x") + margin, inv)))
+    ).withColumn(
+        "cy", F.explode(F.sequence(_cell_of(F.col("env.min_y") - margin, inv), _cell_of(F.col("env.max_y") + margin, inv)))
+    ).drop("env")
     pad = 1e-6
-    x0 = (F.col("cx").cast("double") - pad) * F.lit(size)
-    x1 = (F.col("cx").cast("double") + 1 + pad) * F.lit(size)
-    y0 = (F.col("cy").cast("double") - pad) * F.lit(size)
-    y1 = (F.col("cy").cast("double") + 1 + pad) * F.lit(size)
+    x0 = (F.col("cx").cast("double") - pad) * cs
+    x1 = (F.col("cx").cast("double") + 1 + pad) * cs
+    y0 = (F.col("cy").cast("double") - pad) * cs
+    y1 = (F.col("cy").cast("double") + 1 + pad) * cs
     band = F.filter(
         "edges",
         lambda e: (F.greatest(e["y1"], e["y2"]) >= y0)
         & (F.least(e["y1"], e["y2"]) <= y1)
         & (F.greatest(e["x1"], e["x2"]) >= x0),
     )
+
     def _meets_cell(e):
         # boxes overlap and the four cell corners are not all strictly on one
         # side of the edge's line (separating-axis test for segment vs box)
@@ -129,15 +167,15 @@ def polygon_cells(polygons: DataFrame, size: float) -> DataFrame:
             & ~(all_pos | all_neg)
         )
 
-    touching = F.exists("edges", _meets_cell)
-    centre_x = (F.col("cx").cast("double") + 0.5) * F.lit(size)
-    centre_y = (F.col("cy").cast("double") + 0.5) * F.lit(size)
-    cells = cells.withColumn("touching", touching)
+    centre_x = (F.col("cx").cast("double") + 0.5) * cs
+    centre_y = (F.col("cy").cast("double") + 0.5) * cs
+    cells = cells.withColumn("touching", F.exists("edges", _meets_cell))
     cells = cells.withColumn(
         "full", ~F.col("touching") & geom.within_polygon(centre_x, centre_y, "edges")
     ).where(F.col("touching") | F.col("full"))
     return cells.select(
         "feature_id",
+        "level",
         "cx",
         "cy",
         "full",
@@ -160,17 +198,27 @@ def in_polygons(
     cell_size: float | None = None,
     plan: JoinPlan = DEFAULT_PLAN,
     salt_cols: list[str] | None = None,
+    max_cells_per_axis: int = 64,
 ) -> DataFrame:
     """(point, polygon) pairs with the point strictly inside (boundary excluded).
 
     Overlapping polygons each get their pair.  Holes and multi-polygons follow
-    from the crossing parity over all rings.
+    from the crossing parity over all rings.  Polygons far larger than the
+    typical one sit on coarser cell levels (see `polygon_cells`); every point
+    is keyed once per level present, which is one level in the common case.
     """
     size = float(cell_size or auto_cell_size(polygons))
-    cells = polygon_cells(polygons, size)
-    p = with_point_cell(points, size)
-    j = keyed_join(p, cells, ["cx", "cy"], salt_cols or ["x", "y"], plan, elements=F.size("edges"))
-    return j.where(F.col("full") | geom.within_polygon("x", "y", "edges")).drop("cx", "cy", "full", "edges")
+    lv_frame = polygon_levels(polygons, size, max_cells_per_axis)
+    levels = sorted(r["level"] for r in lv_frame.select("level").distinct().collect()) or [0]
+    cells = polygon_cells(polygons, size, max_cells_per_axis, levels)
+    if len(levels) == 1:
+        p = points.withColumn("level", F.lit(levels[0]))
+    else:
+        p = points.withColumn("level", F.explode(F.array(*[F.lit(lv) for lv in levels])))
+    inv = _level_lit(levels, {lv: 1.0 / (size * (2.0 ** lv)) for lv in levels})
+    p = p.withColumns({"cx": _cell_of(F.col("x"), inv), "cy": _cell_of(F.col("y"), inv)})
+    j = keyed_join(p, cells, ["level", "cx", "cy"], salt_cols or ["x", "y"], plan, elements=F.size("edges"))
+    return j.where(F.col("full") | geom.within_polygon("x", "y", "edges")).drop("level", "cx", "cy", "full", "edges")
 
 
 def case_exposure(

@@ -259,3 +259,27 @@ def test_broadcast_check_counts_array_elements(spark):
     assert _pairs(joins.in_polygons(pings, zones, plan=tight, salt_cols=["ping_id"]), "ping_id", "feature_id") == _pairs(
         joins.in_polygons(pings, zones), "ping_id", "feature_id"
     )
+
+
+def test_in_polygons_mixed_sizes_use_levels(spark):
+    from pingscape.operators.joins import polygon_cells, polygon_levels
+
+    polys = _shapes(
+        spark,
+        [
+            (1, "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))"),
+            (2, "POLYGON ((1 1, 3 1, 3 3, 1 3, 1 1))"),
+            (3, "POLYGON ((-500 -500, 900 -500, 900 700, -500 700, -500 -500), (10 10, 20 10, 20 20, 10 20, 10 10))"),
+        ],
+    )
+    pts = spark.createDataFrame(
+        [(1, 0.5, 0.5), (2, 2.0, 2.0), (3, 15.0, 15.0), (4, 800.0, 600.0), (5, 950.0, 0.0), (6, 4.0, 2.0)],
+        "ping_id long, x double, y double",
+    )
+    want = [(1, 1), (1, 3), (2, 1), (2, 2), (2, 3), (4, 3), (6, 3)]
+    assert _pairs(joins.in_polygons(pts, polys, cell_size=1.0), "ping_id", "feature_id") == want
+    assert _pairs(joins.in_polygons(pts, polys, cell_size=1.0, plan=SHUFFLE_SALTED, salt_cols=["ping_id"]), "ping_id", "feature_id") == want
+    levels = {r.feature_id: r.level for r in polygon_levels(polys, 1.0).collect()}
+    assert levels[1] == 0 and levels[2] == 0 and levels[3] > 0
+    per_poly = {r.feature_id: r["count"] for r in polygon_cells(polys, 1.0).groupBy("feature_id").count().collect()}
+    assert per_poly[3] <= 65 * 65  # bounded by the level, not by the polygon's size
