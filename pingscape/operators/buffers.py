@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom
-from .cells import cell_index
+from .cells import segment_band_cells
 
 
 def circle_ring(x, y, radius: float, vertices: int = 32) -> Column:
@@ -46,25 +46,10 @@ def line_buffer_area(lines: DataFrame, radius: float, fine: int = 16) -> DataFra
     """
     c = float(radius) / fine
     r = float(radius)
-    margin = 1e-9 * c
     segs = lines.select("feature_id", F.explode(geom.edges("parts")).alias("s")).select(
         "feature_id", "s.x1", "s.y1", "s.x2", "s.y2"
     )
-    cols = segs.withColumn(
-        "cx",
-        F.explode(F.sequence(cell_index(F.least("x1", "x2") - r - margin, c), cell_index(F.greatest("x1", "x2") + r + margin, c))),
-    ).repartition("feature_id", "cx")
-    col_x0 = F.col("cx").cast("double") * F.lit(c)
-    col_x1 = (F.col("cx").cast("double") + 1.0) * F.lit(c)
-    xa = F.greatest(F.least("x1", "x2"), col_x0 - r)
-    xb = F.least(F.greatest("x1", "x2"), col_x1 + r)
-    dx = F.col("x2") - F.col("x1")
-    slope = (F.col("y2") - F.col("y1")) / dx
-    ya = F.when(dx == 0, F.least("y1", "y2")).otherwise(F.col("y1") + (xa - F.col("x1")) * slope)
-    yb = F.when(dx == 0, F.greatest("y1", "y2")).otherwise(F.col("y1") + (xb - F.col("x1")) * slope)
-    lo = cell_index(F.least(ya, yb) - r - F.lit(margin + 1e-9 * r), c)
-    hi = cell_index(F.greatest(ya, yb) + r + F.lit(margin + 1e-9 * r), c)
-    cells = cols.withColumn("cy", F.explode(F.sequence(lo, hi)))
+    cells = segment_band_cells(segs, r, c, partition_cols=["feature_id", "cx"])
     cx = (F.col("cx").cast("double") + 0.5) * F.lit(c)
     cy = (F.col("cy").cast("double") + 0.5) * F.lit(c)
     inside = cells.where(geom.segment_distance(cx, cy, "x1", "y1", "x2", "y2") < r)

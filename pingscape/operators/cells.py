@@ -137,3 +137,41 @@ def keyed_join(
     # the hint keeps Spark's size *estimate* from broadcasting a side that the
     # exact check above rejected; each task hashes its share of the shapes
     return salted_points.join(salted_shapes.hint("shuffle_hash"), keys + ["_salt"]).drop("_salt")
+
+
+def segment_band_cells(segs: DataFrame, radius: float, size: float, partition_cols: list[str] | None = None) -> DataFrame:
+    """One row per cell within `radius` of a segment's band, for segment rows
+    with columns `x1, y1, x2, y2`.
+
+    Cells are generated column by column: in the column [X0, X1] only the part
+    of the segment with x in [X0 - r, X1 + r] can be within r of a point of the
+    column, so the column's cell range is that part's y-range widened by r.  A
+    long diagonal segment therefore yields about (length / size) x (2r / size)
+    cells instead of its whole bounding box.  `partition_cols`, if given,
+    hash-partitions the column rows (spreads a small line table before the
+    per-cell work).
+    """
+    r = float(radius)
+    margin = 1e-9 * float(size) + 1e-6 * r
+    cols = segs.withColumn(
+        "cx",
+        F.explode(
+            F.sequence(
+                cell_index(F.least("x1", "x2") - r - margin, size), cell_index(F.greatest("x1", "x2") + r + margin, size)
+            )
+        ),
+    )
+    if partition_cols:
+        cols = cols.repartition(*partition_cols)
+    col_x0 = F.col("cx").cast("double") * F.lit(float(size))
+    col_x1 = (F.col("cx").cast("double") + 1.0) * F.lit(float(size))
+    xa = F.greatest(F.least("x1", "x2"), col_x0 - r)
+    xb = F.least(F.greatest("x1", "x2"), col_x1 + r)
+    dx = F.col("x2") - F.col("x1")
+    slope = (F.col("y2") - F.col("y1")) / dx
+    ya = F.when(dx == 0, F.least("y1", "y2")).otherwise(F.col("y1") + (xa - F.col("x1")) * slope)
+    yb = F.when(dx == 0, F.greatest("y1", "y2")).otherwise(F.col("y1") + (xb - F.col("x1")) * slope)
+    # widen by a relative margin too: the interpolated y carries rounding error
+    lo = cell_index(F.least(ya, yb) - r - margin - F.abs(F.least(ya, yb)) * 1e-12, size)
+    hi = cell_index(F.greatest(ya, yb) + r + margin + F.abs(F.greatest(ya, yb)) * 1e-12, size)
+    return cols.withColumn("cy", F.explode(F.sequence(lo, hi)))

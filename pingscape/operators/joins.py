@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..functions.timefn import MS_PER_DAY, epoch_day
-from .cells import DEFAULT_PLAN, JoinPlan, explode_box_cells, keyed_join, with_point_cell
+from .cells import DEFAULT_PLAN, JoinPlan, explode_box_cells, keyed_join, segment_band_cells, with_point_cell
 
 
 def within_distance(
@@ -42,18 +42,13 @@ def within_distance(
 
 
 def segment_cells(lines: DataFrame, radius: float, size: float) -> DataFrame:
-    """`(feature_id, cx, cy, segs)`: for every cell, the segments of a line whose
-    box widened by `radius` touches it.  Built on the (small) line side only."""
-    segs = lines.select("feature_id", F.explode(geom.edges("parts")).alias("seg"))
-    segs = segs.select(
-        "feature_id",
-        "seg",
-        F.least("seg.x1", "seg.x2").alias("_min_x"),
-        F.least("seg.y1", "seg.y2").alias("_min_y"),
-        F.greatest("seg.x1", "seg.x2").alias("_max_x"),
-        F.greatest("seg.y1", "seg.y2").alias("_max_y"),
+    """`(feature_id, cx, cy, segs)`: for every cell, the segments of a line that
+    come within `radius` of it (cells along each segment's band, see
+    `segment_band_cells`).  Built on the (small) line side only."""
+    segs = lines.select("feature_id", F.explode(geom.edges("parts")).alias("seg")).select(
+        "feature_id", "seg", "seg.x1", "seg.y1", "seg.x2", "seg.y2"
     )
-    cells = explode_box_cells(segs, "_min_x", "_min_y", "_max_x", "_max_y", size, pad=radius)
+    cells = segment_band_cells(segs, radius, size)
     # regroups pieces of one input line: a list never exceeds that line's own
     # vertex count, and only segments near the cell are in it
     return cells.groupBy("feature_id", "cx", "cy").agg(F.collect_list("seg").alias("segs"))

@@ -283,3 +283,40 @@ def test_in_polygons_mixed_sizes_use_levels(spark):
     assert levels[1] == 0 and levels[2] == 0 and levels[3] > 0
     per_poly = {r.feature_id: r["count"] for r in polygon_cells(polys, 1.0).groupBy("feature_id").count().collect()}
     assert per_poly[3] <= 65 * 65  # bounded by the level, not by the polygon's size
+
+
+def test_near_lines_long_diagonals_band_cells(spark):
+    import random
+
+    from pingscape.operators.joins import segment_cells
+
+    rnd = random.Random(7)
+    lines = _shapes(
+        spark,
+        [
+            (1, "LINESTRING (0 0, 5000 3700, 5200 -800)"),
+            (2, "LINESTRING (100 4000, 4100 4010)"),
+            (3, "LINESTRING (2500 -1000, 2500.5 5000)"),
+        ],
+    )
+    pts = [(i, rnd.uniform(-300, 5500), rnd.uniform(-1200, 5200)) for i in range(3000)]
+    df = spark.createDataFrame(pts, "ping_id long, x double, y double")
+    got = _pairs(joins.near_lines(df, lines, 60.0), "ping_id", "feature_id")
+
+    def seg_d(px, py, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = max(0.0, min(1.0, ((px - a[0]) * dx + (py - a[1]) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(px - (a[0] + t * dx), py - (a[1] + t * dy))
+
+    shapes = {
+        1: [(0, 0), (5000, 3700), (5200, -800)],
+        2: [(100, 4000), (4100, 4010)],
+        3: [(2500, -1000), (2500.5, 5000)],
+    }
+    want = sorted(
+        (i, f) for i, x, y in pts for f, v in shapes.items() if min(seg_d(x, y, a, b) for a, b in zip(v, v[1:])) < 60.0
+    )
+    assert got == want and len(want) > 50
+    # cells follow the band, not the bounding box of the diagonal segments
+    n_cells = segment_cells(lines, 60.0, 60.0).where("feature_id = 1").count()
+    assert n_cells < 0.25 * (5300 / 60.0) * (4600 / 60.0)
