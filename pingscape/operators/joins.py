@@ -178,13 +178,19 @@ def polygon_cells(
     )
 
 
-def auto_cell_size(polygons: DataFrame) -> float:
-    """Median of the polygons' larger box side: a typical polygon then touches
-    about 2 x 2 cells.  One small aggregate over the shape side."""
+def polygon_sides(polygons: DataFrame) -> tuple[float, float]:
+    """(median, largest) of the polygons' larger box side, in one small aggregate."""
     env = polygons.select(geom.envelope("parts").alias("e"))
     side = F.greatest(F.col("e.max_x") - F.col("e.min_x"), F.col("e.max_y") - F.col("e.min_y"))
-    v = env.agg(F.percentile_approx(side, 0.5).alias("s")).first()["s"]
-    return float(v) if v and v > 0 else 1.0
+    r = env.agg(F.percentile_approx(side, 0.5).alias("m"), F.max(side).alias("x")).first()
+    med = float(r["m"]) if r["m"] and r["m"] > 0 else 1.0
+    return med, float(r["x"] or 0.0)
+
+
+def auto_cell_size(polygons: DataFrame) -> float:
+    """Median of the polygons' larger box side: a typical polygon then touches
+    about 2 x 2 cells."""
+    return polygon_sides(polygons)[0]
 
 
 def in_polygons(
@@ -202,9 +208,13 @@ def in_polygons(
     typical one sit on coarser cell levels (see `polygon_cells`); every point
     is keyed once per level present, which is one level in the common case.
     """
-    size = float(cell_size or auto_cell_size(polygons))
-    lv_frame = polygon_levels(polygons, size, max_cells_per_axis)
-    levels = sorted(r["level"] for r in lv_frame.select("level").distinct().collect()) or [0]
+    median, largest = polygon_sides(polygons)
+    size = float(cell_size or median)
+    if largest <= size * max_cells_per_axis:
+        levels = [0]  # every polygon fits the base level: no levels job
+    else:
+        lv_frame = polygon_levels(polygons, size, max_cells_per_axis)
+        levels = sorted(r["level"] for r in lv_frame.select("level").distinct().collect()) or [0]
     cells = polygon_cells(polygons, size, max_cells_per_axis, levels)
     if len(levels) == 1:
         p = points.withColumn("level", F.lit(levels[0]))
