@@ -18,6 +18,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.crs import mercator_x, mercator_y, utm_xy
 from ..functions.geom import PARTS_TYPE
@@ -47,6 +48,11 @@ def _frac(expr: str, modulus: int) -> F.Column:
     return F.expr(f"cast(({expr}) % {modulus} as double)") / F.lit(float(modulus))
 
 
+def ltz_literal(ms: int) -> F.Column:
+    """TIMESTAMP (instant) literal at epoch milliseconds `ms` (constant-folded)."""
+    return F.timestamp_millis(F.lit(int(ms)))
+
+
 def ntz_literal(ms: int) -> F.Column:
     """TIMESTAMP_NTZ literal at epoch milliseconds `ms` (wall time, no zone)."""
     d = _dt.datetime(1970, 1, 1) + _dt.timedelta(milliseconds=int(ms))
@@ -63,13 +69,19 @@ def pings(spark: SparkSession, sf_dir: str, window: tuple[int, int] | None = Non
     """
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     ev = ev.where(F.col("event_id").isNotNull() & F.col("user_id").isNotNull() & F.col("ts").isNotNull())
+    # the stored wall-clock value in ms, whichever timestamp type the session
+    # reads it as: NTZ -> difference from the NTZ epoch; LTZ -> the instant's
+    # micros (no session time zone involved either way)
+    ntz = isinstance(ev.schema["ts"].dataType, T.TimestampNTZType)
     if window is not None:
         lo, hi = window
-        ev = ev.where((F.col("ts") >= ntz_literal(lo - 1)) & (F.col("ts") < ntz_literal(hi + 1)))
+        lit_lo, lit_hi = (ntz_literal(lo - 1), ntz_literal(hi + 1)) if ntz else (ltz_literal(lo - 1), ltz_literal(hi + 1))
+        ev = ev.where((F.col("ts") >= lit_lo) & (F.col("ts") < lit_hi))
+    sys_time = sys_time_from_timestamp("ts") if ntz else F.expr("unix_micros(`ts`) div 1000")
     return ev.select(
         F.col("event_id").alias("ping_id"),
         F.col("user_id"),
-        sys_time_from_timestamp("ts").alias("sys_time"),
+        sys_time.alias("sys_time"),
         (F.lit(PING_LNG0) + _frac("event_id*7919 + user_id*104729", 100003) * F.lit(PING_DLNG)).alias("lng"),
         (F.lit(PING_LAT0) + _frac("event_id*15485863 + user_id*32452843", 100019) * F.lit(PING_DLAT)).alias("lat"),
     ).transform(non_null_coordinates)

@@ -154,3 +154,26 @@ def test_pyramid_methods_agree(spark):
     a = sorted(map(tuple, raster.pixel_counts(pings, 3, 12, method="explode").collect()))
     b = sorted(map(tuple, raster.pixel_counts(pings, 3, 12, method="rollup").collect()))
     assert a == b
+
+
+def test_results_do_not_depend_on_session_zone_or_timestamp_type(spark):
+    import __spark_entry__ as E2
+
+    def snapshot():
+        p = inputs.pings_mercator(spark, SF01)
+        agg = tuple(p.agg(F.sum("sys_time"), F.min("sys_time"), F.max("sys_time")).first())
+        flag = sorted(map(tuple, E2.queries()["poi_visits_by_day"](spark, SF01).collect()))
+        return agg, flag
+
+    base = snapshot()
+    old_tz = spark.conf.get("spark.sql.session.timeZone")
+    old_ntz = spark.conf.get("spark.sql.parquet.inferTimestampNTZ.enabled")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
+        assert spark.read.parquet(f"{SF01}/events.parquet").schema["ts"].dataType.typeName() == "timestamp"
+        assert snapshot() == base
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old_tz)
+        spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", old_ntz)
+    assert base[0] == (17053619445353579, 1704067207179, 1706659032194)
