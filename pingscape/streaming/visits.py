@@ -46,7 +46,10 @@ def visits_per_day(
         pairs.groupBy("feature_id", F.window("event_time", "1 day").alias("w"))
         .agg(F.count(F.lit(1)).alias("join_count"))
     )
-    return counted.select("feature_id", F.to_date(F.col("w.start")).alias("day"), "join_count")
+    # windows are aligned to the epoch (UTC days); label them from the epoch
+    # seconds so the session time zone plays no part
+    day = F.date_from_unix_date((F.unix_seconds(F.col("w.start")) / F.lit(86400)).cast("int"))
+    return counted.select("feature_id", day.alias("day"), "join_count")
 
 
 def start_visits_query(
