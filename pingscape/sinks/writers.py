@@ -19,14 +19,22 @@ def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.mode("overwrite").option("header", header).csv(path)
 
 
-def write_partitioned(df: DataFrame, path: str, by: str | list[str], header: bool = True, fmt: str = "csv") -> None:
-    """One sub-directory per value of `by` (e.g. one per day or per hour).
-
-    Rows are clustered by the partition column first so each task writes few
-    files even when there are many days.
-    """
+def _spread(df: DataFrame, cols: list[str], buckets: int) -> DataFrame:
+    """Cluster rows by the partition columns plus a hash bucket of the whole row:
+    a value's rows go to at most `buckets` tasks (so at most that many files per
+    value), and a hot value (one day holding a third of the rows, the finest
+    zoom of a pyramid) is still written by `buckets` tasks, not one.  The
+    bucket is a hash, so a retried task writes the same rows."""
+    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(int(buckets)))
+    return df.repartition(*[F.col(c) for c in cols], bucket)
+
+
+def write_partitioned(
+    df: DataFrame, path: str, by: str | list[str], header: bool = True, fmt: str = "csv", buckets: int = 16
+) -> None:
+    """One sub-directory per value of `by` (e.g. one per day or per hour)."""
     cols = [by] if isinstance(by, str) else list(by)
-    w = df.repartition(*cols).write.mode("overwrite").partitionBy(*cols)
+    w = _spread(df, cols, buckets).write.mode("overwrite").partitionBy(*cols)
     if fmt == "csv":
         w.option("header", header).csv(path)
     else:
@@ -49,6 +57,7 @@ def write_small(df: DataFrame, path: str, max_rows: int, header: bool = True) ->
     df.limit(int(max_rows)).coalesce(1).write.mode("overwrite").option("header", header).csv(path)
 
 
-def write_tiles(df: DataFrame, path: str) -> None:
-    """Tile / pixel tables as parquet partitioned by zoom."""
-    df.repartition("z").write.mode("overwrite").partitionBy("z").parquet(path)
+def write_tiles(df: DataFrame, path: str, buckets: int = 16) -> None:
+    """Tile / pixel tables as parquet partitioned by zoom (the finest zoom holds
+    most rows, so each zoom is spread over `buckets` tasks)."""
+    _spread(df, ["z"], buckets).write.mode("overwrite").partitionBy("z").parquet(path)

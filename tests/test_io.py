@@ -107,3 +107,13 @@ def test_sql_functions_equal_column_functions(spark):
     assert s.gl == pytest.approx(c.gcj_lng, abs=1e-12) and s.gt == pytest.approx(c.gcj_lat, abs=1e-12)
     assert s.d == 5.0 and s.tx == int((116.39 + 180) / 360 * 2**14)
     assert "BatchEvalPython" not in spark.sql("SELECT mercator_x(lng) FROM pt")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_partition_value_is_written_by_several_tasks(spark, scratch):
+    rows = [("2024-01-01", i) for i in range(3000)] + [("2024-01-02", i) for i in range(30)]
+    df = spark.createDataFrame(rows, "day string, v long")
+    out = os.path.join(scratch, "hot")
+    writers.write_partitioned(df, out, "day", buckets=4)
+    hot_files = [f for f in os.listdir(os.path.join(out, "day=2024-01-01")) if f.endswith(".csv")]
+    assert 1 < len(hot_files) <= 4
+    assert spark.read.option("header", True).csv(out).count() == 3030
