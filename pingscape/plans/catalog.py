@@ -52,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "heat_tiles_beijing": T.heat_tiles_beijing,
     "line_pixels": T.line_pixels,
     "line_tiles": T.line_tiles,
+    "line_tiles_beijing": T.line_tiles_beijing,
     "lines_in_box": T.lines_in_box,
     # step 9: coordinate conversions; shapes as text
     "gcj_to_wgs": V.gcj_to_wgs,

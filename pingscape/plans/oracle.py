@@ -492,13 +492,13 @@ def heat_tiles_beijing() -> str:
     return _heat(env) + _tiles_of("heat", "n_sum", "intensity")
 
 
-def _line_pix() -> str:
+def _line_pix(env_cte: str | None = None, road_filter: str = "TRUE") -> str:
     s = f"(pow({D(2.0)}, z) * {D(256.0)})"
-    return _with(ROADS_M, _env_roads(), _spans(P.MIN_ZOOM, P.MAX_ZOOM)) + f""",
+    return _with(ROADS_M, env_cte or _env_roads(), _spans(P.MIN_ZOOM, P.MAX_ZOOM)) + f""",
 sz AS (SELECT segs.feature_id, CAST(zz.range AS INTEGER) AS z,
   (x1 + {HALF}) / {E} * {s} AS fx1, ({HALF} - y1) / {E} * {s} AS fy1,
   (x2 + {HALF}) / {E} * {s} AS fx2, ({HALF} - y2) / {E} * {s} AS fy2
-  FROM segs, range({P.MIN_ZOOM}, {P.MAX_ZOOM + 1}) zz),
+  FROM segs, range({P.MIN_ZOOM}, {P.MAX_ZOOM + 1}) zz WHERE {road_filter}),
 st AS (SELECT *, CAST(greatest(abs(floor(fx2) - floor(fx1)), abs(floor(fy2) - floor(fy1))) AS INTEGER) AS steps FROM sz),
 pts AS (SELECT z,
   CAST(floor(fx1 + (fx2 - fx1) * t / CAST(greatest(steps, 1) AS DOUBLE)) AS BIGINT) AS px,
@@ -516,10 +516,9 @@ def line_tiles() -> str:
     return _line_pix() + _tiles_of("(SELECT *, CAST(1.0 AS DOUBLE) AS intensity FROM lp)", "hits", "intensity")
 
 
-def lines_in_box() -> str:
+def _in_box_ids() -> str:
     x0, y0, x1, y1 = (D(v) for v in P.BEIJING_BOX_3857)
-    return _with(ROADS_M) + f"""
-SELECT feature_id FROM roadm GROUP BY feature_id
+    return f"""SELECT feature_id FROM roadm GROUP BY feature_id
 HAVING bool_and(x >= {x0} AND x <= {x1} AND y >= {y0} AND y <= {y1})
 INTERSECT
 SELECT feature_id FROM segs
@@ -527,6 +526,17 @@ WHERE (x1 + x2) / {D(2.0)} > {x0} AND (x1 + x2) / {D(2.0)} < {x1}
   AND (y1 + y2) / {D(2.0)} > {y0} AND (y1 + y2) / {D(2.0)} < {y1}"""
 
 
+def lines_in_box() -> str:
+    return _with(ROADS_M) + _in_box_ids()
+
+
+def line_tiles_beijing() -> str:
+    x0, y0, x1, y1 = P.BEIJING_BOX_3857
+    env = f"env AS (SELECT {D(x0)} AS min_x, {D(y0)} AS min_y, {D(x1)} AS max_x, {D(y1)} AS max_y)"
+    body = _line_pix(env, f"segs.feature_id IN ({_in_box_ids()})")
+    return body + _tiles_of("(SELECT *, CAST(1.0 AS DOUBLE) AS intensity FROM lp)", "hits", "intensity")
+
+
 # ---------------------------------------------------------------------------
 # coordinate conversions
 # ---------------------------------------------------------------------------
@@ -605,6 +615,7 @@ ORACLES.update(
         "line_pixels": line_pixels,
         "line_tiles": line_tiles,
         "lines_in_box": lines_in_box,
+        "line_tiles_beijing": line_tiles_beijing,
         "gcj_to_wgs": gcj_to_wgs,
         "wgs_to_gcj": wgs_to_gcj,
         "utm_points": utm_points,

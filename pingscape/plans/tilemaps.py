@@ -93,6 +93,15 @@ def line_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.assemble_tiles(pix, weight="hits")
 
 
+def line_tiles_beijing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line tiles restricted to the Beijing box: only roads wholly inside it are
+    drawn, on the box's tile span."""
+    roads = raster.lines_in_box(inputs.roads_mercator(spark, sf_dir), P.BEIJING_BOX_3857)
+    spans = raster.tile_spans(raster.box_envelope(spark, P.BEIJING_BOX_3857), P.MIN_ZOOM, P.MAX_ZOOM)
+    pix = raster.line_pixels(roads, spans, P.MIN_ZOOM, P.MAX_ZOOM).withColumn("intensity", F.lit(1.0))
+    return raster.assemble_tiles(pix, weight="hits")
+
+
 def lines_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roads wholly inside the Beijing box (Mercator)."""
     return raster.lines_in_box(inputs.roads_mercator(spark, sf_dir), P.BEIJING_BOX_3857).select("feature_id")
