@@ -160,6 +160,45 @@ def to_utm50n(df: DataFrame, lng: str = "lng", lat: str = "lat", x: str = "x", y
     return out.drop("_utm_t", "_utm_dlam", "_utm_xi", "_utm_eta")
 
 
+def utm50n_parts(parts) -> Column:
+    """Project every vertex of a `parts` column (degrees) to UTM 50N metres.
+
+    Lambdas get no common-subexpression elimination, so the projection is
+    staged: each `transform` stores its intermediate quantities in a struct and
+    the next one reads them, so `t`, `xi` and `eta` are computed once per vertex
+    (the same operations, in the same order, as `to_utm50n`).
+    """
+    big_a, alpha, ecc, lam0 = _utm_constants(UTM50_LON0_DEG)
+    k0a = UTM_K0 * big_a
+
+    def stage1(v):
+        sphi = F.sin(F.radians(v["y"]))
+        return F.struct(
+            F.sinh(F.atanh(sphi) - F.lit(ecc) * F.atanh(F.lit(ecc) * sphi)).alias("t"),
+            (F.radians(v["x"]) - F.lit(lam0)).alias("dlam"),
+        )
+
+    def stage2(s):
+        return F.struct(
+            F.atan2(s["t"], F.cos(s["dlam"])).alias("xi"),
+            F.atanh(F.sin(s["dlam"]) / F.sqrt(F.lit(1.0) + s["t"] * s["t"])).alias("eta"),
+        )
+
+    def stage3(s):
+        xi, eta = s["xi"], s["eta"]
+        east_sum, north_sum = eta, xi
+        for j, a_j in enumerate(alpha, start=1):
+            east_sum = east_sum + F.lit(a_j) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            north_sum = north_sum + F.lit(a_j) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return F.struct(
+            (F.lit(UTM_FALSE_EASTING) + F.lit(k0a) * east_sum).alias("x"), (F.lit(k0a) * north_sum).alias("y")
+        )
+
+    return F.transform(
+        col_of(parts), lambda ring: F.transform(F.transform(F.transform(ring, stage1), stage2), stage3)
+    )
+
+
 def utm_sql_text(lng: str, lat: str) -> tuple[str, str]:
     """The same UTM 50N formulas as SQL text (Spark SQL and DuckDB both accept it)."""
     big_a, alpha, ecc, lam0 = _utm_constants(UTM50_LON0_DEG)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.crs import mercator_x, mercator_y, utm_xy
+from ..functions.crs import mercator_x, mercator_y, utm50n_parts
 from ..functions.geom import PARTS_TYPE
 from ..functions.timefn import sys_time_from_timestamp
 
@@ -181,9 +181,5 @@ def project_parts(df: DataFrame, system: str = "mercator", parts: str = "parts")
         )
         return df.withColumn(parts, proj)
     if system == "utm50n":
-        def _v(v):
-            e, n = utm_xy(v["x"], v["y"])
-            return F.struct(e.alias("x"), n.alias("y"))
-
-        return df.withColumn(parts, F.transform(F.col(parts), lambda ring: F.transform(ring, _v)))
+        return df.withColumn(parts, utm50n_parts(parts))
     raise ValueError(f"unknown system {system!r}")
