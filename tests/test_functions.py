@@ -223,3 +223,12 @@ def test_time_helpers(spark):
     ).first()
     assert str(r.d) == "2024-01-01" and r.h == 8 and str(r.d_west) == "2023-12-31"
     assert r.t == "2024-01-01 00:00:07"
+
+
+def test_staged_utm_parts_equal_point_projection(spark):
+    pts = [(116.2 + i * 0.0137, 39.8 + i * 0.0071) for i in range(30)]
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in pts], "lng double, lat double")
+    per_point = [(r.x, r.y) for r in crs.to_utm50n(df).collect()]
+    parts = spark.createDataFrame([([[{"x": x, "y": y} for x, y in pts]],)], "parts array<array<struct<x:double,y:double>>>")
+    staged = parts.select(crs.utm50n_parts("parts").alias("p")).first().p[0]
+    assert [(v.x, v.y) for v in staged] == per_point  # bit for bit
