@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "pings_in_range": C.pings_in_range,
     "winter_pings": C.winter_pings,
     "morning_pings_by_day": C.morning_pings_by_day,
+    "study_area_pings_by_day": C.study_area_pings_by_day,
     # step 3: window statistics and rankings
     "poi_window_stats": C.poi_window_stats,
     "matched_windows": C.matched_windows,

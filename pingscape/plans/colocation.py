@@ -247,6 +247,12 @@ def winter_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def study_area_pings_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pings (Mercator) strictly inside the study-area rectangle, per day."""
+    p = filters.within_study_area(inputs.pings_mercator(spark, sf_dir))
+    return p.groupBy(day_of("sys_time", P.OFFSET_MS).alias("day")).agg(F.count(F.lit(1)).alias("n_pings"))
+
+
 def morning_pings_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pings at local hour 8 in the date-cut range, per day."""
     p = filters.at_hour(

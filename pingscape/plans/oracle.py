@@ -668,3 +668,11 @@ FROM roadm GROUP BY feature_id ORDER BY wkt"""
 
 
 ORACLES["road_wkt"] = road_wkt
+
+
+def study_area_pings_by_day() -> str:
+    return _with(PINGS, PINGS_M) + f"""
+SELECT {day_sql('sys_time')} AS day, COUNT(*) AS n_pings FROM pm WHERE {_study_area_sql('x', 'y')} GROUP BY 1"""
+
+
+ORACLES["study_area_pings_by_day"] = study_area_pings_by_day
