@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import geom
 from ..functions.tiles import latlon_to_tile, mercator_to_tile, tile_to_latlon, tile_to_mercator, tile_url
 from ..operators import aggregate, raster
-from ..sources import fixtures
 from . import inputs
 from . import params as P
 
@@ -106,5 +105,3 @@ def lines_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roads wholly inside the Beijing box (Mercator)."""
     return raster.lines_in_box(inputs.roads_mercator(spark, sf_dir), P.BEIJING_BOX_3857).select("feature_id")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["fixtures"]

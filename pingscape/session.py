@@ -6,7 +6,6 @@ local one, and set a checkpoint folder only when the cluster names none.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
