@@ -83,29 +83,32 @@ def hourly_grid(
     that has at least one ping in its time slice.
 
     Hour slices are open at both ends, so pings exactly on the hour are dropped.
-    One pass: bin every ping to (hour, cell) with cell -1 for pings outside the
-    box, count with map-side combine; the grid of each present hour is generated
-    by `explode(sequence)` (no cross join) and left-joined to the counts.
+    One scan: every ping is binned to (hour, cell), with cell -1 for pings
+    outside the box (they still make their hour present), and counted with a
+    map-side combine.  The counts of an hour are then gathered into one map
+    (at most cells + 1 entries: bounded by the grid, not by the data) and the
+    hour's full grid is generated by `explode(sequence)` with a map lookup, so
+    there is no join, no second scan and no cross product.
     """
     min_lng, min_lat, max_lng, max_lat = box
     n = int(cells_per_axis)
     p = pings.where((F.col("sys_time") > lo_ms) & (F.col("sys_time") < hi_ms))
     p = p.where(F.pmod(F.col("sys_time") + F.lit(int(offset_ms)), F.lit(MS_PER_HOUR)) != 0)
     in_box = F.col(lng).between(min_lng, max_lng) & F.col(lat).between(min_lat, max_lat)
+    cell = grid_cell_index(lng, min_lng, max_lng, n) * F.lit(n) + grid_cell_index(lat, min_lat, max_lat, n)
     binned = p.select(
         epoch_hour("sys_time", offset_ms).alias("hour"),
-        F.when(in_box, grid_cell_index(lng, min_lng, max_lng, n)).otherwise(F.lit(-1)).alias("cell_i"),
-        F.when(in_box, grid_cell_index(lat, min_lat, max_lat, n)).otherwise(F.lit(-1)).alias("cell_j"),
+        F.when(in_box, cell).otherwise(F.lit(-1)).alias("cell"),
     )
-    counts = binned.groupBy("hour", "cell_i", "cell_j").agg(F.count(F.lit(1)).alias("number_of_records"))
-    hours = counts.select("hour").distinct()
-    grid = (
-        hours.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
-        .withColumn("cell_i", (F.col("cell") / F.lit(n)).cast("int"))
-        .withColumn("cell_j", F.pmod(F.col("cell"), F.lit(n)))
-        .drop("cell")
+    counts = binned.groupBy("hour", "cell").agg(F.count(F.lit(1)).alias("c"))
+    per_hour = counts.groupBy("hour").agg(F.map_from_entries(F.collect_list(F.struct("cell", "c"))).alias("m"))
+    out = per_hour.select("hour", "m", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("cell"))
+    out = out.select(
+        "hour",
+        (F.col("cell") / F.lit(n)).cast("int").alias("cell_i"),
+        F.pmod(F.col("cell"), F.lit(n)).alias("cell_j"),
+        F.coalesce(F.try_element_at("m", F.col("cell")), F.lit(0).cast("long")).alias("number_of_records"),
     )
-    out = grid.join(counts.where(F.col("cell_i") >= 0), ["hour", "cell_i", "cell_j"], "left")
     w_lng = (max_lng - min_lng) / n
     w_lat = (max_lat - min_lat) / n
     return out.select(
@@ -116,5 +119,5 @@ def hourly_grid(
         (F.lit(float(min_lat)) + F.col("cell_j") * F.lit(w_lat)).alias("min_lat"),
         (F.lit(float(min_lng)) + (F.col("cell_i") + 1) * F.lit(w_lng)).alias("max_lng"),
         (F.lit(float(min_lat)) + (F.col("cell_j") + 1) * F.lit(w_lat)).alias("max_lat"),
-        F.coalesce(F.col("number_of_records"), F.lit(0).cast("long")).alias("number_of_records"),
+        "number_of_records",
     )
