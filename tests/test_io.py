@@ -123,3 +123,17 @@ def test_hot_partition_value_is_written_by_several_tasks(spark, scratch):
     hot_files = [f for f in os.listdir(os.path.join(out, "day=2024-01-01")) if f.endswith(".csv")]
     assert 1 < len(hot_files) <= 4
     assert spark.read.option("header", True).csv(out).count() == 3030
+
+
+def test_run_cli_writes_results(spark, scratch):
+    from pingscape import run
+
+    out = os.path.join(scratch, "fishnet")
+    run.main(["zone_counts_by_day", "/root/testdata/sf0.001", out, "--partition-by", "day"])
+    days = [d for d in os.listdir(out) if d.startswith("day=")]
+    assert days
+    back = spark.read.option("header", True).csv(out)
+    assert set(back.columns) == {"feature_id", "join_count", "day"}
+    out2 = os.path.join(scratch, "visits")
+    run.main(["poi_visits_by_day", "/root/testdata/sf0.001", out2, "--format", "parquet"])
+    assert spark.read.parquet(out2).columns == ["feature_id", "day", "join_count"]
