@@ -47,6 +47,11 @@ class JoinPlan:
     max_hot_cells: int = 1_000_000
     # force a strategy: None (decide by size), "broadcast", "shuffle"
     force: str | None = None
+    # hot cells on the shuffle path: "salt" finds them with an exact count (one
+    # extra pass over the point side) and splits them up front; "aqe" leaves the
+    # split to adaptive execution, which reads the shuffle statistics (no extra
+    # pass) - used only while the session has skew-join handling switched on
+    skew: str = "salt"
 
 
 DEFAULT_PLAN = JoinPlan()
@@ -95,6 +100,12 @@ def fits(df: DataFrame, max_rows: int, elements: Column | None = None, max_eleme
     return r["n"] <= max_rows and (r["e"] or 0) <= (max_elements if max_elements is not None else max_rows)
 
 
+def _aqe_splits_skew(df: DataFrame) -> bool:
+    conf = df.sparkSession.conf
+    on = lambda k, d: str(conf.get(k, d)).lower() == "true"
+    return on("spark.sql.adaptive.enabled", "true") and on("spark.sql.adaptive.skewJoin.enabled", "true")
+
+
 def keyed_join(
     points: DataFrame,
     shapes: DataFrame,
@@ -117,6 +128,8 @@ def keyed_join(
         return points.join(F.broadcast(shapes), keys)
     if mode != "shuffle":
         raise ValueError(f"unknown join mode {mode!r}")
+    if plan.skew == "aqe" and _aqe_splits_skew(points):
+        return points.join(shapes.hint("shuffle_hash"), keys)
 
     hot = (
         points.groupBy(*keys)

@@ -16,6 +16,7 @@ SF01 = "/root/testdata/sf0.01"
 
 SHUFFLE_SALTED = JoinPlan(force="shuffle", hot_cell_rows=5, max_hot_cells=1000)
 SHUFFLE_BIG_LIST = JoinPlan(force="shuffle", hot_cell_rows=5, max_hot_cells=0)
+SHUFFLE_AQE = JoinPlan(force="shuffle", skew="aqe")
 BROADCAST = JoinPlan(force="broadcast")
 
 
@@ -48,7 +49,7 @@ def test_distance_join_independent_of_cell_size(spark):
         assert _pairs(joins.within_distance(pings, pois, 500.0, cell_size=size), "ping_id", "feature_id") == base
 
 
-@pytest.mark.parametrize("plan", [SHUFFLE_SALTED, SHUFFLE_BIG_LIST])
+@pytest.mark.parametrize("plan", [SHUFFLE_SALTED, SHUFFLE_BIG_LIST, SHUFFLE_AQE])
 def test_shuffle_and_salted_path_equal_broadcast(spark, plan):
     pings = inputs.only(inputs.pings_mercator(spark, SF01), "ping_id", "x", "y")
     pois = inputs.pois_mercator(spark, SF01)
