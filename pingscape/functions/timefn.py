@@ -61,6 +61,21 @@ def local_timestamp(ms, offset_ms: int = 0) -> Column:
     return F.timestamp_add("MILLISECOND", local_ms(ms, offset_ms), F.expr(EPOCH_NTZ))
 
 
+def date_text(ms, offset_ms: int = 0) -> Column:
+    """'yyyy-MM-dd' of an epoch-ms value in the zone."""
+    return F.date_format(local_timestamp(ms, offset_ms), "yyyy-MM-dd")
+
+
+def time_text(ms, offset_ms: int = 0) -> Column:
+    """'HH:mm:ss' of an epoch-ms value in the zone."""
+    return F.date_format(local_timestamp(ms, offset_ms), "HH:mm:ss")
+
+
+def timestamp_text(ms, offset_ms: int = 0) -> Column:
+    """'yyyy-MM-dd HH:mm:ss' of an epoch-ms value in the zone."""
+    return F.date_format(local_timestamp(ms, offset_ms), "yyyy-MM-dd HH:mm:ss")
+
+
 def hour_start(hour_index) -> Column:
     """TIMESTAMP_NTZ at the start of an epoch hour index."""
     return F.timestamp_add("HOUR", col_of(hour_index), F.expr(EPOCH_NTZ))

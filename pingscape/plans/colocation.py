@@ -18,6 +18,7 @@ from ..functions.timefn import (
     hour_slices,
     local_timestamp,
     second_bounds,
+    timestamp_text,
 )
 from ..operators import aggregate, filters, joins
 from ..operators.cells import DEFAULT_PLAN, JoinPlan
@@ -244,7 +245,7 @@ def winter_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(
         "ping_id",
         "sys_time",
-        F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("time_text"),
+        timestamp_text("sys_time", P.OFFSET_MS).alias("time_text"),
         F.month(ts).alias("month"),
     )
 

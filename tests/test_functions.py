@@ -232,3 +232,13 @@ def test_staged_utm_parts_equal_point_projection(spark):
     parts = spark.createDataFrame([([[{"x": x, "y": y} for x, y in pts]],)], "parts array<array<struct<x:double,y:double>>>")
     staged = parts.select(crs.utm50n_parts("parts").alias("p")).first().p[0]
     assert [(v.x, v.y) for v in staged] == per_point  # bit for bit
+
+
+def test_time_texts(spark):
+    ms = 1704098107179  # 2024-01-01 08:35:07.179 UTC
+    r = spark.range(1).select(
+        timefn.date_text(F.lit(ms)).alias("d"),
+        timefn.time_text(F.lit(ms)).alias("t"),
+        timefn.timestamp_text(F.lit(ms), offset_ms=8 * 3600000).alias("ts"),
+    ).first()
+    assert (r.d, r.t, r.ts) == ("2024-01-01", "08:35:07", "2024-01-01 16:35:07")
