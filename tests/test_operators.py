@@ -321,3 +321,14 @@ def test_near_lines_long_diagonals_band_cells(spark):
     # cells follow the band, not the bounding box of the diagonal segments
     n_cells = segment_cells(lines, 60.0, 60.0).where("feature_id = 1").count()
     assert n_cells < 0.25 * (5300 / 60.0) * (4600 / 60.0)
+
+
+@pytest.mark.parametrize("plan", [SHUFFLE_SALTED, SHUFFLE_AQE])
+def test_exposure_shuffle_paths_equal_broadcast(spark, plan):
+    from pingscape.operators.filters import STUDY_AREA
+
+    pings = inputs.only(inputs.pings_mercator(spark, SF01), "ping_id", "sys_time", "x", "y")
+    args = (pings, inputs.pois_mercator(spark, SF01), inputs.cases_mercator(spark, SF01), 800.0, 2000.0)
+    a = joins.exposure_by_day(*args, study_area=STUDY_AREA, plan=BROADCAST)
+    b = joins.exposure_by_day(*args, study_area=STUDY_AREA, plan=plan)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
