@@ -2,8 +2,8 @@
 
 A spatial predicate (distance, containment) cannot be an equi-join, and a
 plain predicate join plans as a nested loop.  Instead both sides get integer
-cell keys: the point side one cell (`floor(x / size)`, `floor(y / size)`), the
-shape side every cell its (padded) bounding box touches.  An exact predicate
+cell keys: the point side one cell (`floor(x * (1 / size))`, same for y), the
+shape side every cell its (padded) bounding box or band touches.  An exact predicate
 then runs on the candidate pairs.  Every true pair shares the point's cell, and
 each (point, shape-row) pair meets in exactly one cell, so no pair is lost and
 none is produced twice.
@@ -11,15 +11,17 @@ none is produced twice.
 Strategy
 --------
 * The shape side is the smaller one (POIs, roads, zones, case places).  It is
-  broadcast only after `limit(max_rows + 1).count()` proved it has at most
-  `max_broadcast_rows` rows; the point side then never shuffles.
+  broadcast only after `limit(max_rows + 1)` proved it has at most
+  `max_broadcast_rows` rows carrying at most `max_broadcast_elements` array
+  elements; the point side then never shuffles.
 * Otherwise both sides shuffle on the cell key.  A single cell may hold a large
   share of all points (a station, a mall), so cells holding more than
   `hot_cell_rows` points are found with an exact, map-side-combined count and
   split: their points get a deterministic salt (hash of the row, stable under
   recomputation after an executor loss) in `0..n-1`, and the shape rows of those
-  cells are copied once per salt value.  Cold cells keep salt 0.  AQE's skew-join
-  splitting stays on as a second line.
+  cells are copied once per salt value.  Cold cells keep salt 0.  The join is
+  pinned to a shuffled hash join; AQE's skew-join splitting stays on as a
+  second line (or, with `skew="aqe"`, as the only one).
 """
 
 from __future__ import annotations
