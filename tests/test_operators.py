@@ -332,3 +332,41 @@ def test_exposure_shuffle_paths_equal_broadcast(spark, plan):
     a = joins.exposure_by_day(*args, study_area=STUDY_AREA, plan=BROADCAST)
     b = joins.exposure_by_day(*args, study_area=STUDY_AREA, plan=plan)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_heat_blur_and_cap_on_hand_made_points(spark):
+    from pingscape.functions.tiles import EQUATOR
+    from pingscape.operators import raster
+
+    # pixel centres at zoom 10: one point alone, and 40 points stacked on one pixel
+    z = 10
+    size = EQUATOR / (256 * 2**z)
+
+    def centre(px, py):
+        return (px + 0.5) * size - EQUATOR / 2, EQUATOR / 2 - (py + 0.5) * size
+
+    lone = centre(100000, 90000)
+    hot = centre(100010, 90000)
+    pts = spark.createDataFrame([lone] + [hot] * 40, "x double, y double")
+    spans = raster.tile_spans(raster.box_envelope(spark, (-EQUATOR / 2, -EQUATOR / 2, EQUATOR / 2, EQUATOR / 2)), z, z)
+    pix = {(r.px, r.py): r for r in raster.heat_pixels(pts, spans, z, z, blur=1, cap=2.0).collect()}
+    assert len(pix) == 18
+    r = pix[(100000, 90000)]
+    assert (r.n_sum, r.value, r.intensity) == (1, 1 / 9, (1 / 9) / 2.0)
+    h = pix[(100011, 90001)]
+    assert h.n_sum == 40 and h.intensity == 1.0  # capped at 2.0, scaled to 1
+
+
+def test_line_pixels_contiguous(spark):
+    from pingscape.functions.tiles import EQUATOR
+    from pingscape.operators import raster
+
+    z = 12
+    size = EQUATOR / (256 * 2**z)
+    y = EQUATOR / 2 - (500000 + 0.5) * size
+    x0 = (700000 + 0.5) * size - EQUATOR / 2
+    x1 = (700020 + 0.5) * size - EQUATOR / 2
+    lines = _shapes(spark, [(1, f"LINESTRING ({x0!r} {y!r}, {x1!r} {y!r})")])
+    spans = raster.tile_spans(raster.box_envelope(spark, (-EQUATOR / 2, -EQUATOR / 2, EQUATOR / 2, EQUATOR / 2)), z, z)
+    got = sorted((r.px, r.py) for r in raster.line_pixels(lines, spans, z, z).collect())
+    assert got == [(700000 + i, 500000) for i in range(21)]
