@@ -84,3 +84,48 @@ def test_near_lines_matches_bruteforce(spark, pts, line, radius, plan_i):
     got = sorted(r.ping_id for r in joins.near_lines(p, lines, radius, plan=PLANS[plan_i], salt_cols=["ping_id"]).collect())
     want = sorted(i for i, (x, y) in enumerate(pts) if min(_seg_d(x, y, a, b) for a, b in zip(line, line[1:])) < radius)
     assert got == want
+
+
+H0 = 1704067200000
+HOUR = 3600000
+
+
+@settings(**SETTINGS)
+@given(
+    rows=st.lists(
+        st.tuples(
+            st.one_of(st.integers(0, 5 * HOUR), st.sampled_from([0, HOUR, 2 * HOUR, 5 * HOUR])),
+            st.one_of(st.floats(-1.0, 5.0), st.sampled_from([0.0, 4.0])),
+            st.one_of(st.floats(-1.0, 5.0), st.sampled_from([0.0, 4.0])),
+        ),
+        min_size=1,
+        max_size=80,
+    ),
+    n=st.integers(1, 4),
+)
+def test_hourly_grid_matches_bruteforce(spark, rows, n):
+    from pingscape.operators import aggregate
+
+    box = (0.0, 0.0, 4.0, 4.0)
+    lo, hi = H0, H0 + 4 * HOUR
+    df = spark.createDataFrame(
+        [(i, H0 + t, float(x), float(y)) for i, (t, x, y) in enumerate(rows)], "ping_id long, sys_time long, lng double, lat double"
+    )
+    got = {
+        (int((r.hour_start - __import__("datetime").datetime(1970, 1, 1)).total_seconds() * 1000), r.cell_i, r.cell_j): r.number_of_records
+        for r in aggregate.hourly_grid(df, box, n, lo, hi).collect()
+    }
+    want = {}
+    hours = set()
+    for t, x, y in rows:
+        ms = H0 + t
+        if not (lo < ms < hi) or ms % HOUR == 0:
+            continue
+        h = ms - ms % HOUR
+        hours.add(h)
+        if 0.0 <= x <= 4.0 and 0.0 <= y <= 4.0:
+            i = min(n - 1, math.floor((x - 0.0) / 4.0 * n))
+            j = min(n - 1, math.floor((y - 0.0) / 4.0 * n))
+            want[(h, i, j)] = want.get((h, i, j), 0) + 1
+    full = {(h, i, j): want.get((h, i, j), 0) for h in hours for i in range(n) for j in range(n)}
+    assert got == full
