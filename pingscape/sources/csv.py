@@ -104,3 +104,12 @@ def load_point_layer(
     if mercator:
         return to_mercator(df)
     return df.withColumns({"x": F.col("lng"), "y": F.col("lat")})
+
+
+def load_point_layer_with_envelope(spark: SparkSession, path: str, **kwargs) -> tuple[DataFrame, DataFrame]:
+    """`load_point_layer` plus its envelope: a one-row frame with min / max of
+    x and y and the point count (one aggregate, combined map-side)."""
+    from ..operators.aggregate import envelope
+
+    layer = load_point_layer(spark, path, **kwargs)
+    return layer, envelope(layer)

@@ -137,3 +137,12 @@ def test_run_cli_writes_results(spark, scratch):
     out2 = os.path.join(scratch, "visits")
     run.main(["poi_visits_by_day", "/root/testdata/sf0.001", out2, "--format", "parquet"])
     assert spark.read.parquet(out2).columns == ["feature_id", "day", "join_count"]
+
+
+def test_point_layer_envelope(spark, scratch):
+    p = os.path.join(scratch, "env", "a.csv")
+    _write_text(p, ["lng,lat", "116.0,39.0", "117.0,40.0", "bad,1"])
+    layer, env = csv_src.load_point_layer_with_envelope(spark, os.path.dirname(p), mercator=False)
+    e = env.first()
+    assert (e.min_x, e.min_y, e.max_x, e.max_y, e.n) == (116.0, 39.0, 117.0, 40.0, 2)
+    assert layer.count() == 2
