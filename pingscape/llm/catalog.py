@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pingscape.llm import packing, quality
+from pingscape.llm import bpe, chat, embeddings, html_text, minhash, packing, quality, sharding, substring, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,71 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact class, near-duplicate component and keep flag of every document."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.98 within a label, component and keep flag of every vector."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a 20-word window which also starts earlier, and the digest of the rest."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    df, found = substring.without_repeats(docs)
+    return df.select("doc_id", F.col(f"{found}.n_words").alias("n_words"), F.col(f"{found}.n_removed").alias("n_removed"), F.sha2(F.col(f"{found}.kept"), 256).alias("kept_sha256"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under a keyed permutation of the row numbers (law `rows`, 24 shards)."""
+    rows = sharding.shard_rows(_table(spark, sf_dir, "documents"), 24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level BPE ids and of what they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(ids, path).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+#: A conversation whose texts are control strings (fixed by the query's contract).
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one that holds control strings, read back from their formatted text."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(turns.unionByName(hard)))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_order_minhash": op3_order_minhash,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op8_sharding": op8_sharding,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_chat_formatting": op10_chat_formatting,
 }
