@@ -206,17 +206,18 @@ def choose(root: Node) -> list[Node]:
     threshold = min(n.density for n in path)
     chosen: list[Node] = []
 
-    def descend(n: Node, depth: int) -> None:
-        below = path[depth - 1]
-        for c in n.children:
-            if c is below:
-                chosen.append(core) if depth == 1 else descend(below, depth - 1)
-            elif isinstance(c, Node) and not c.furniture and c.density >= threshold and 2 * c.link_chars < c.chars:
-                chosen.append(c)
-
     if len(path) == 1:
         return [root]
-    descend(root, len(path) - 1)
+    # from the body down to the core: on either side of the path, blocks as dense as its least dense node
+    after: list[list[Node]] = []
+    for n, below in zip(path[:0:-1], path[-2::-1], strict=True):
+        at = next(i for i, c in enumerate(n.children) if c is below)
+        dense = [isinstance(c, Node) and not c.furniture and c.density >= threshold and 2 * c.link_chars < c.chars for c in n.children]
+        chosen += [c for c, d in zip(n.children[:at], dense[:at], strict=True) if d]
+        after.append([c for c, d in zip(n.children[at + 1 :], dense[at + 1 :], strict=True) if d])
+    chosen.append(core)
+    for some in reversed(after):
+        chosen += some
     return chosen
 
 
