@@ -23,6 +23,7 @@ documents, ordered by text.  Only the id and text columns are read.
 from __future__ import annotations
 
 import os
+import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingscape.llm.slots import SlotTokens, word_segments
+from pingscape.llm.slots import MAX_ENTRIES, SlotTokens, word_segments
 
 LENGTH = 4096
 END_ID = 2
@@ -42,36 +43,112 @@ TAIL_COST = 16.0
 WORD_STEP = 16
 BROKEN_STEP = 64
 BLOCK_TOKENS = 1 << 19
+CALL_ROWS = 256
+CALL_WORDS = 1 << 18
 
 _END = b" end"  # not a word: it holds a space
-_STOPS = tuple(s.encode() for s in (".", "!", "?", "…", "。", "！", "？", '."', '!"', '?"', ".)", "!)", "?)"))
-_PAUSES = tuple(s.encode() for s in (",", ";", ":", "，", "；", "：", ")", "|"))
+_QUOTES = b"\"')]"
+_KIND = {ord(c): SENTENCE for c in ".!?"} | {ord(c): CLAUSE for c in ",;:|)]"}
+_WIDE = {"…": SENTENCE, "。": SENTENCE, "！": SENTENCE, "？": SENTENCE, "，": CLAUSE, "；": CLAUSE, "：": CLAUSE}
 
 
 def word_end(word: bytes) -> int:
     """What kind of boundary the end of a word is."""
-    return DOCUMENT if word is _END else SENTENCE if word.endswith(_STOPS) else CLAUSE if word.endswith(_PAUSES) else WORD
+    if word is _END:
+        return DOCUMENT
+    last = word[-1]
+    if last in _QUOTES and len(word) > 1 and _KIND.get(word[-2]) == SENTENCE:
+        return SENTENCE
+    if last < 128:
+        return _KIND.get(last, WORD)
+    return _WIDE.get(word[-3:].decode("utf-8", "ignore"), WORD)
+
 
 SCHEMA = "doc_id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def word_tokenizer(path: str, end_id: int = END_ID) -> SlotTokens:
-    """Encoder of single words by a tokenizer file whose pre-tokenizer drops white space.
+def _byte_letters() -> dict[int, str]:
+    """The printable characters that byte-level vocabularies write for the 256 bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    Such a tokenizer never joins text across white space, so the ids of a text are
-    the ids of its words one after the other (a test holds this against whole texts).
+
+#: A word of letters with ASCII marks after it, no apostrophe: two pre-tokens that are coded apart.
+_PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+_OWN_CASE = "\u0130"
+
+
+class WordEncoder:
+    """Ids of single words by a tokenizer file (BPE with word ends).
+
+    Most words are letters and marks; their two pre-tokens go straight to the
+    tokenizer's model and are remembered, since a word comes with many marks and
+    capitals.  All others go through the whole tokenizer.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    def __init__(self, path: str, end_id: int) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self._whole = Tokenizer.from_file(path)
+        self._whole.encode_special_tokens = True
+        self._model, self._normal = self._whole.model, self._whole.normalizer.normalize_str
+        self._letters = _byte_letters()
+        self._end = [end_id]
+        self._known: dict[str, list[int]] = {}
+
+    def _pre_token(self, text: str) -> list[int]:
+        got = self._known.get(text)
+        if got is None:
+            if len(self._known) > MAX_ENTRIES:
+                self._known.clear()
+            shown = text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(self._letters)
+            got = self._known[text] = [t.id for t in self._model.tokenize(shown)]
+        return got
+
+    def __call__(self, words: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        other: list[tuple[int, str]] = []
+        for i, w in enumerate(words):
+            if w is _END:
+                out[i] = self._end
+                continue
+            text = w.decode("utf-8")
+            m = _PLAIN.fullmatch(text)
+            if m is None:
+                other.append((i, text))
+                continue
+            stem, marks = m.groups()
+            if max(stem) < _OWN_CASE:  # composed letters whose lower case is one letter everywhere
+                stem = stem.lower()
+            else:
+                stem = self._normal(stem)
+                if not stem.isalpha():
+                    other.append((i, text))
+                    continue
+            out[i] = self._pre_token(stem) + self._pre_token(marks) if marks else self._pre_token(stem)
+        if other:
+            coded = self._whole.encode_batch_fast([t for _, t in other], add_special_tokens=False)
+            for (i, _), c in zip(other, coded, strict=True):
+                out[i] = c.ids
+        return out
+
+
+_encoders: dict[tuple[str, int], SlotTokens] = {}
 
-    def encode(words: list[bytes]) -> list[list[int]]:
-        coded = t.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [[end_id] if w is _END else c.ids for w, c in zip(words, coded, strict=True)]
 
-    return SlotTokens(encode, mark=lambda words: [word_end(w) for w in words])
+def word_tokenizer(path: str, end_id: int = END_ID) -> SlotTokens:
+    """Encoder of words for a tokenizer whose pre-tokenizer drops white space; one for all tasks of a worker process.
+
+    Such a tokenizer never joins text across white space, so the ids of a text are
+    the ids of its words one after the other (tests hold this against whole texts).
+    """
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = SlotTokens(WordEncoder(path, end_id), mark=lambda words: [word_end(w) for w in words])
+    return _encoders[path, end_id]
 
 
 def cuts(pos: np.ndarray, cost: np.ndarray, length: int, last: bool) -> list[int]:
@@ -151,20 +228,41 @@ class _Stream:
         self.costs: list[np.ndarray] = []
         self.docs: list[tuple[object, int, int]] = []  # id, position of its first token (may be negative), tokens
         self.size = 0
+        self.begun = 0  # where the next document begins
         self.sequence = 0
 
-    def add(self, doc_id, parts: Iterable[list[bytes]], encode: SlotTokens) -> None:
-        begin = self.size
-        for part in (*parts, [_END]):
-            ids, lengths, kinds = encode(part)
-            ends = self.size + np.cumsum(lengths)
-            offered = (kinds != WORD) | (ends // WORD_STEP != (ends - lengths) // WORD_STEP)
-            offered &= lengths > 0
-            self.ids.append(ids)
-            self.stops.append(ends[offered])
-            self.costs.append(COSTS[kinds[offered]])
-            self.size += len(ids)
-        self.docs.append((doc_id, begin, self.size - begin))
+    def add(self, doc_ids: list, texts: Iterable[bytes], encode: SlotTokens) -> None:
+        """Whole documents; the words of many are coded in one call, a very long text in several."""
+        held: list[bytes] = []
+        counts: list[tuple[int, object, bool]] = []  # words of a part, its document, whether it is the document's end
+        for doc_id, text in zip(doc_ids, texts, strict=True):
+            for part in word_segments(text):
+                held += part
+                counts.append((len(part), doc_id, False))
+                if len(held) >= CALL_WORDS:
+                    self._settle(held, counts, encode)
+            held.append(_END)
+            counts.append((1, doc_id, True))
+        self._settle(held, counts, encode)
+
+    def _settle(self, held: list[bytes], counts: list, encode: SlotTokens) -> None:
+        ids, lengths, kinds = encode(held)
+        ends = np.cumsum(lengths)
+        offered = (kinds != WORD) | ((self.size + ends) // WORD_STEP != (self.size + ends - lengths) // WORD_STEP)
+        offered &= lengths > 0
+        self.ids.append(ids)
+        self.stops.append(self.size + ends[offered])
+        self.costs.append(COSTS[kinds[offered]])
+        at = 0
+        for n, doc_id, last in counts:
+            at += n
+            if last:
+                end = self.size + int(ends[at - 1])
+                self.docs.append((doc_id, self.begun, end - self.begun))
+                self.begun = end
+        self.size += len(ids)
+        held.clear()
+        counts.clear()
 
     def flush(self, last: bool) -> list[tuple]:
         """Pieces of the windows that are settled; the rest stays."""
@@ -193,6 +291,7 @@ class _Stream:
         self.stops, self.costs = [stops[stops > done] - done], [price[stops > done]]
         self.docs = [(i, p - done, n) for i, p, n in self.docs if p + n > done]
         self.size -= done
+        self.begun -= done
         return out
 
 
@@ -215,10 +314,10 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
             if encode is None:
                 encode = word_tokenizer(tokenizer_path, end_id)
                 types = [b.schema.field("doc_id").type, *[pa.int64()] * 5, pa.binary()]
-            for i in range(b.num_rows):
-                text = b.column("text")[i].as_buffer()
-                data = text.to_pybytes() if text is not None else b""
-                stream.add(b.column("doc_id")[i].as_py(), word_segments(data), encode)
+            for at in range(0, b.num_rows, CALL_ROWS):
+                part = b.slice(at, CALL_ROWS)
+                texts = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column("text"))
+                stream.add(part.column("doc_id").to_pylist(), texts, encode)
                 if stream.size >= BLOCK_TOKENS:
                     rows = stream.flush(False)
                     if rows:
