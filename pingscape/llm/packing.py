@@ -23,9 +23,8 @@ documents, ordered by text.  Only the id and text columns are read.
 from __future__ import annotations
 
 import os
-import re
-from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingscape.llm.slots import MAX_ENTRIES, SlotTokens, word_segments
+from pingscape.llm import text as tx
+from pingscape.llm.slots import MAX_ENTRIES, text_segments
 
 LENGTH = 4096
 END_ID = 2
@@ -43,25 +43,29 @@ TAIL_COST = 16.0
 WORD_STEP = 16
 BROKEN_STEP = 64
 BLOCK_TOKENS = 1 << 19
-CALL_ROWS = 256
-CALL_WORDS = 1 << 18
-
-_END = b" end"  # not a word: it holds a space
-_QUOTES = b"\"')]"
-_KIND = {ord(c): SENTENCE for c in ".!?"} | {ord(c): CLAUSE for c in ",;:|)]"}
-_WIDE = {"…": SENTENCE, "。": SENTENCE, "！": SENTENCE, "？": SENTENCE, "，": CLAUSE, "；": CLAUSE, "：": CLAUSE}
-
-
-def word_end(word: bytes) -> int:
-    """What kind of boundary the end of a word is."""
-    if word is _END:
-        return DOCUMENT
-    last = word[-1]
-    if last in _QUOTES and len(word) > 1 and _KIND.get(word[-2]) == SENTENCE:
-        return SENTENCE
-    if last < 128:
-        return _KIND.get(last, WORD)
-    return _WIDE.get(word[-3:].decode("utf-8", "ignore"), WORD)
+CALL_ROWS = 4096
+CALL_BYTES = 8 << 20
+
+#: What the last byte of a word says about the boundary after it.
+_KIND = np.full(256, WORD, dtype=np.int8)
+_KIND[list(b".!?")] = SENTENCE
+_KIND[list(b",;:|)]")] = CLAUSE
+_QUOTE = np.zeros(256, dtype=bool)
+_QUOTE[list(b"\"')]")] = True
+_WIDE_KINDS = {int.from_bytes(c.encode(), "little"): k for k, cs in ((SENTENCE, "…。！？"), (CLAUSE, "，；：")) for c in cs}
+
+
+def word_kinds(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What kind of boundary the end of each word is."""
+    last = buf[end - 1]
+    kinds = _KIND[last]
+    # a closing quote or bracket after the end of a sentence
+    kinds[_QUOTE[last] & (end - start > 1) & (_KIND[buf[np.maximum(end - 2, 0)]] == SENTENCE)] = SENTENCE
+    wide = np.flatnonzero((last >= 128) & (end - start > 2))
+    code = sum(buf[end[wide] - 3 + i].astype(np.int64) << (8 * i) for i in range(3))
+    for c, k in _WIDE_KINDS.items():
+        kinds[wide[code == c]] = k
+    return kinds
 
 
 SCHEMA = "doc_id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -74,22 +78,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-#: A word of letters with ASCII marks after it, no apostrophe: two pre-tokens that are coded apart.
-_PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
-
-
 _OWN_CASE = "\u0130"
+#: ASCII marks that form one pre-token with their neighbours (an apostrophe may begin a contraction).
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_IS_MARK = np.zeros(256, dtype=bool)
+_IS_MARK[list(_MARKS)] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+MOST_MARKS = 16
 
 
-class WordEncoder:
-    """Ids of single words by a tokenizer file (BPE with word ends).
+class PieceEncoder:
+    """Ids of word pieces by a tokenizer file (BPE with word ends).
 
-    Most words are letters and marks; their two pre-tokens go straight to the
-    tokenizer's model and are remembered, since a word comes with many marks and
-    capitals.  All others go through the whole tokenizer.
+    Letters alone and marks alone are single pre-tokens; they go straight to the
+    tokenizer's model.  All other pieces go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, end_id: int) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,57 +103,128 @@ class WordEncoder:
         self._whole.encode_special_tokens = True
         self._model, self._normal = self._whole.model, self._whole.normalizer.normalize_str
         self._letters = _byte_letters()
-        self._end = [end_id]
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[bytes, list[int]] = {}
 
     def _pre_token(self, text: str) -> list[int]:
-        got = self._known.get(text)
-        if got is None:
-            if len(self._known) > MAX_ENTRIES:
-                self._known.clear()
-            shown = text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(self._letters)
-            got = self._known[text] = [t.id for t in self._model.tokenize(shown)]
-        return got
-
-    def __call__(self, words: list[bytes]) -> list[list[int]]:
-        out: list = [None] * len(words)
-        other: list[tuple[int, str]] = []
-        for i, w in enumerate(words):
-            if w is _END:
-                out[i] = self._end
-                continue
-            text = w.decode("utf-8")
-            m = _PLAIN.fullmatch(text)
-            if m is None:
-                other.append((i, text))
-                continue
-            stem, marks = m.groups()
-            if max(stem) < _OWN_CASE:  # composed letters whose lower case is one letter everywhere
-                stem = stem.lower()
-            else:
-                stem = self._normal(stem)
-                if not stem.isalpha():
-                    other.append((i, text))
-                    continue
-            out[i] = self._pre_token(stem) + self._pre_token(marks) if marks else self._pre_token(stem)
-        if other:
-            coded = self._whole.encode_batch_fast([t for _, t in other], add_special_tokens=False)
-            for (i, _), c in zip(other, coded, strict=True):
-                out[i] = c.ids
+        shown = text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(self._letters)
+        return [t.id for t in self._model.tokenize(shown)]
+
+    def _code(self, piece: bytes) -> list[int]:
+        text = piece.decode("utf-8")
+        if text.isascii():
+            return self._pre_token(text.lower()) if text.isalpha() or not piece.strip(_MARKS) else self._by_library(text)
+        if max(text) < _OWN_CASE:  # these letters are composed and have one lower-case letter each
+            return self._pre_token(text.lower()) if text.isalpha() else self._by_library(text)
+        normal = self._normal(text)
+        return self._pre_token(normal) if normal.isalpha() else self._by_library(text)
+
+    def _by_library(self, text: str) -> list[int]:
+        return self._whole.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, pieces: list[bytes]) -> list[list[int]]:
+        known, code = self._known, self._code
+        if len(known) > MAX_ENTRIES:
+            known.clear()
+        out = []
+        for p in pieces:
+            ids = known.get(p)
+            if ids is None:
+                ids = known[p] = code(p)
+            out.append(ids)
         return out
 
 
-_encoders: dict[tuple[str, int], SlotTokens] = {}
-
-
-def word_tokenizer(path: str, end_id: int = END_ID) -> SlotTokens:
-    """Encoder of words for a tokenizer whose pre-tokenizer drops white space; one for all tasks of a worker process.
-
-    Such a tokenizer never joins text across white space, so the ids of a text are
-    the ids of its words one after the other (tests hold this against whole texts).
+def _stem_ends(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where each word splits into a piece and the marks after it: a place between a letter or digit and
+    an ASCII mark is always between two pre-tokens.  The word's end where it has no such place."""
+    at = end.copy()
+    todo = np.flatnonzero(_IS_MARK[buf[end - 1]])
+    for _ in range(MOST_MARKS):
+        at[todo] -= 1
+        todo = todo[at[todo] > start[todo]]
+        todo = todo[_IS_MARK[buf[at[todo] - 1]]]
+        if not len(todo):
+            break
+    at[todo] = start[todo]  # many marks: left whole
+    last, before = buf[np.maximum(at - 1, 0)], buf[np.maximum(at - 2, 0)]
+    letter = (last >= 97) & (last < 123) | (last >= 48) & (last < 58) | (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+    return np.where((at > start) & letter, at, end)
+
+
+class TextEncoder:
+    """Ids of whole texts for a tokenizer that ignores case and drops white space.
+
+    Such a tokenizer never joins text across white space, nor letters and the marks
+    after them, so the ids of a text are the ids of these pieces one after the other
+    (tests hold this against whole texts).  The equal pieces of a block are found by
+    sorting their hashes, and every distinct one is coded once.
     """
+
+    def __init__(self, path: str, end_id: int = END_ID) -> None:
+        self._pieces, self._end_id = PieceEncoder(path), end_id
+
+    def __call__(self, texts: list[bytes], closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, lengths, kinds, first) for a list of texts: all ids; per word its number of ids and
+        the kind of its end; the first word of each text.  `closed` texts end with the end id, as a last word."""
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        buf = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+        start, end, first = tx.words(buf, offs)
+        split = _stem_ends(buf, start, end)
+        two = split < end
+        place = np.cumsum(1 + two) - (1 + two)  # first piece of each word
+        begin, stop = np.empty(len(start) + int(two.sum()), np.int64), np.empty(len(start) + int(two.sum()), np.int64)
+        begin[place], stop[place] = start, split
+        begin[place[two] + 1], stop[place[two] + 1] = split[two], end[two]
+        number, at = _distinct(buf, begin, stop)
+        data = buf.tobytes()
+        coded = self._pieces([data[i:j] for i, j in zip(begin[at].tolist(), stop[at].tolist(), strict=True)])
+        coded.append([self._end_id])
+        length = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        flat = np.fromiter(chain.from_iterable(coded), dtype=np.int32, count=int(length.sum()))
+        origin = np.cumsum(length) - length
+        # the end id is one more piece, and one more word, after each closed text
+        piece_first = np.append(place, len(begin))[first]
+        number = np.insert(number, piece_first[1:][closed], len(coded) - 1)
+        per_word = np.insert((1 + two).astype(np.int64), first[1:][closed], 1)
+        kinds = np.insert(word_kinds(buf, start, end), first[1:][closed], DOCUMENT)
+        first = first + np.concatenate([[0], np.cumsum(closed)])
+        lengths = length[number]
+        ends = np.cumsum(lengths)
+        ids = flat[np.repeat(origin[number] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        word_ends = ends[np.cumsum(per_word) - 1] if len(per_word) else ends
+        return ids, np.diff(word_ends, prepend=0), kinds, first
+
+
+def _distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word's text, a place of each number): equal words get equal numbers.
+
+    Words are told apart by a 64-bit hash, and by length and first and last eight
+    bytes: exact for words up to sixteen bytes."""
+    length = end - start
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8), shape=(len(buf) + 1, 8), strides=(1, 1))
+    low = np.full(9, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    low[:8] = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)
+    keep = low[np.minimum(length, 8)]
+    head = np.ascontiguousarray(eight[start]).view("<u8").ravel() & keep
+    tail = np.ascontiguousarray(eight[np.maximum(start, end - 8)]).view("<u8").ravel() & keep
+    mixed = tx.span_hashes(buf, start, end)
+    _, at, number = np.unique(mixed, return_index=True, return_inverse=True)
+    same = at[number]
+    odd = np.flatnonzero((length != length[same]) | (head != head[same]) | (tail != tail[same]))
+    if len(odd):  # two words share a hash: such words get numbers of their own
+        at = np.concatenate([at, odd])
+        number[odd] = len(at) - len(odd) + np.arange(len(odd))
+    return number, at
+
+
+_encoders: dict[tuple[str, int], TextEncoder] = {}
+
+
+def text_encoder(path: str, end_id: int = END_ID) -> TextEncoder:
+    """One encoder for all tasks of a worker process."""
     if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = SlotTokens(WordEncoder(path, end_id), mark=lambda words: [word_end(w) for w in words])
+        _encoders[path, end_id] = TextEncoder(path, end_id)
     return _encoders[path, end_id]
 
 
@@ -161,18 +238,20 @@ def cuts(pos: np.ndarray, cost: np.ndarray, length: int, last: bool) -> list[int
     m = len(pos)
     at, cut = pos.tolist(), cost.tolist()
     f, back = [0.0] * m, [0] * m
-    queue: deque[tuple[float, int]] = deque([(float(at[0]), 0)])
+    # the queue: boundaries with increasing f(j) + pos(j), the live part from `head` on
+    worth, where, head = [float(at[0])], [0], 0
     for i in range(1, m):
         p = at[i]
         low = p - length
-        while at[queue[0][1]] < low:
-            queue.popleft()
-        value, j = queue[0]
-        f[i], back[i] = cut[i] + length - p + value, j
-        value = f[i] + p
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, i))
+        while at[where[head]] < low:
+            head += 1
+        best = worth[head] + cut[i] + length
+        f[i], back[i] = best - p, where[head]
+        while len(worth) > head and worth[-1] >= best:
+            worth.pop()
+            where.pop()
+        worth.append(best)
+        where.append(i)
     first = int(np.searchsorted(pos, pos[-1] - length, side="left"))
     if last:
         def total(j: int) -> float:
@@ -231,38 +310,34 @@ class _Stream:
         self.begun = 0  # where the next document begins
         self.sequence = 0
 
-    def add(self, doc_ids: list, texts: Iterable[bytes], encode: SlotTokens) -> None:
-        """Whole documents; the words of many are coded in one call, a very long text in several."""
-        held: list[bytes] = []
-        counts: list[tuple[int, object, bool]] = []  # words of a part, its document, whether it is the document's end
+    def add(self, doc_ids: list, texts: Iterable[bytes], encode: TextEncoder) -> None:
+        """Whole documents; many are coded in one call, a very long text in several."""
+        held: list[tuple[bytes, object, bool]] = []  # piece of a text, its document, whether it is the last one
+        size = 0
         for doc_id, text in zip(doc_ids, texts, strict=True):
-            for part in word_segments(text):
-                held += part
-                counts.append((len(part), doc_id, False))
-                if len(held) >= CALL_WORDS:
-                    self._settle(held, counts, encode)
-            held.append(_END)
-            counts.append((1, doc_id, True))
-        self._settle(held, counts, encode)
-
-    def _settle(self, held: list[bytes], counts: list, encode: SlotTokens) -> None:
-        ids, lengths, kinds = encode(held)
-        ends = np.cumsum(lengths)
-        offered = (kinds != WORD) | ((self.size + ends) // WORD_STEP != (self.size + ends - lengths) // WORD_STEP)
+            pieces = list(text_segments(text, CALL_BYTES))
+            for n, piece in enumerate(pieces, 1):
+                held.append((piece, doc_id, n == len(pieces)))
+                size += len(piece)
+                if size >= CALL_BYTES:
+                    self._settle(held, encode)
+                    held, size = [], 0
+        self._settle(held, encode)
+
+    def _settle(self, held: list[tuple[bytes, object, bool]], encode: TextEncoder) -> None:
+        closed = np.array([last for _, _, last in held], dtype=bool)
+        ids, lengths, kinds, first = encode([piece for piece, _, _ in held], closed)
+        ends = self.size + np.cumsum(lengths)
+        offered = (kinds != WORD) | (ends // WORD_STEP != (ends - lengths) // WORD_STEP)
         offered &= lengths > 0
         self.ids.append(ids)
-        self.stops.append(self.size + ends[offered])
+        self.stops.append(ends[offered])
         self.costs.append(COSTS[kinds[offered]])
-        at = 0
-        for n, doc_id, last in counts:
-            at += n
-            if last:
-                end = self.size + int(ends[at - 1])
-                self.docs.append((doc_id, self.begun, end - self.begun))
-                self.begun = end
+        last_word = first[1:][closed] - 1
+        for doc_id, end in zip([d for _, d, last in held if last], ends[last_word].tolist(), strict=True):
+            self.docs.append((doc_id, self.begun, end - self.begun))
+            self.begun = end
         self.size += len(ids)
-        held.clear()
-        counts.clear()
 
     def flush(self, last: bool) -> list[tuple]:
         """Pieces of the windows that are settled; the rest stays."""
@@ -312,7 +387,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
         for b in batches:
             if encode is None:
-                encode = word_tokenizer(tokenizer_path, end_id)
+                encode = text_encoder(tokenizer_path, end_id)
                 types = [b.schema.field("doc_id").type, *[pa.int64()] * 5, pa.binary()]
             for at in range(0, b.num_rows, CALL_ROWS):
                 part = b.slice(at, CALL_ROWS)

@@ -86,13 +86,19 @@ class SlotTokens:
         return self._ids[np.repeat(self._start[at] - (ends - length), length) + np.arange(total)], length, self._mark[at]
 
 
-def word_segments(data: bytes, limit: int = SEGMENT_BYTES) -> Iterator[list[bytes]]:
-    """The words of one text in lists of about `limit` bytes of text, so a very long text is never split at once."""
+def text_segments(data: bytes, limit: int = SEGMENT_BYTES) -> Iterator[bytes]:
+    """One text in pieces of about `limit` bytes, cut at white space."""
     at = 0
     while len(data) - at > limit:
         cut = _SPACE.search(data, at + limit)
         if cut is None:
             break
-        yield data[at : cut.start()].split()
+        yield data[at : cut.start()]
         at = cut.end()
-    yield data[at:].split()
+    yield data[at:] if at else data
+
+
+def word_segments(data: bytes, limit: int = SEGMENT_BYTES) -> Iterator[list[bytes]]:
+    """The words of one text in lists of about `limit` bytes of text, so a very long text is never split at once."""
+    for part in text_segments(data, limit):
+        yield part.split()

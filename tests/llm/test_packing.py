@@ -56,6 +56,45 @@ def test_smoke_table(spark):
         assert q["ids_crc32"] == zlib.crc32(r["ids"]) and q["length"] == r["length"]
 
 
+def test_words_equal_the_library():
+    rng = random.Random(2)
+    letters = "abÉéßİıſKÅΣσς̃́'s-.,!_0９²¼ªº漢字かﬁ🙂ʰˠ\x85\xa0‍…—ǅ|#"
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 7))).encode() for _ in range(40_000)}
+    words = [w for w in words if w.split() == [w]]
+    want = library().encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+    encode = packing.TextEncoder(PATH)
+    ids, lengths, _, first = encode([b" ".join(words)], np.array([False]))
+    assert first.tolist() == [0, len(words)]
+    ends = np.cumsum(lengths)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, lengths, strict=True)] == [w.ids for w in want]
+
+
+def test_kinds_of_word_ends():
+    words = ["a.", "a", "b,", 'c."', "d)", "e.)", "…", "f。", "g，", "h!!", "é", ".", "'", "x…y"]
+    text = " ".join(words).encode()
+    _, _, kinds, _ = packing.TextEncoder(PATH)([text], np.array([True]))
+    S, C, W = packing.SENTENCE, packing.CLAUSE, packing.WORD
+    assert kinds.tolist() == [S, W, C, S, C, S, S, S, C, S, W, S, W, W, packing.DOCUMENT]
+
+
+def test_equal_words_get_equal_numbers(monkeypatch):
+    from pingscape.llm import text as tx
+
+    rng = random.Random(7)
+    words = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 20))) for _ in range(3000)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    start, end, _ = tx.words(data, np.array([0, len(data)]))
+    for spoil in (False, True):  # also where all words share few hashes
+        if spoil:
+            real = tx.span_hashes
+            monkeypatch.setattr(tx, "span_hashes", lambda *a: real(*a) % np.uint64(5))
+        number, at = packing._distinct(data, start, end)
+        for i, w in enumerate(words):
+            k = int(at[number[i]])
+            assert words[k] == w or (spoil and len(w) > 16)
+    assert packing._distinct(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))[0].tolist() == []
+
+
 def test_awkward_texts(spark):
     texts = [None, "", " \n\t", "<|endoftext|> x", "a" * 30_000, "x" * 9000 + " y", "Wörter, Ñandú.  \x1c\x85\xa0 don't 漢字🙂 é", "tok " * 20_000, "A. B! C?", "q|w|e"]
     rows = list(enumerate(texts)) + [(None, "no id")]
@@ -116,7 +155,7 @@ def test_blocks_do_not_change_the_tiling(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["alpha", "beta,", "gamma."]) for _ in range(rng.randint(0, 900)))) for i in range(60)]
     monkeypatch.setattr(packing, "BLOCK_TOKENS", 5000)
-    encode, stream = packing.word_tokenizer(PATH), packing._Stream(512)
+    encode, stream = packing.text_encoder(PATH), packing._Stream(512)
     pieces = []
     for i, t in rows:
         stream.add([i], [t.encode()], encode)
