@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pingscape.llm import text as tx
-from pingscape.llm.slots import MAX_ENTRIES, text_segments
+from pingscape.llm.slots import text_segments
 
 LENGTH = 4096
 END_ID = 2
@@ -44,7 +44,7 @@ WORD_STEP = 16
 BROKEN_STEP = 64
 BLOCK_TOKENS = 1 << 19
 CALL_ROWS = 4096
-CALL_BYTES = 8 << 20
+CALL_BYTES = 4 << 20
 
 #: What the last byte of a word says about the boundary after it.
 _KIND = np.full(256, WORD, dtype=np.int8)
@@ -86,6 +86,8 @@ _IS_MARK[list(_MARKS)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 MOST_MARKS = 16
+#: Coded pieces that a worker process remembers.
+MAX_PIECES = 200_000
 
 
 class PieceEncoder:
@@ -123,7 +125,7 @@ class PieceEncoder:
 
     def __call__(self, pieces: list[bytes]) -> list[list[int]]:
         known, code = self._known, self._code
-        if len(known) > MAX_ENTRIES:
+        if len(known) > MAX_PIECES:
             known.clear()
         out = []
         for p in pieces:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 
-MAX_ENTRIES = 400_000
+MAX_ENTRIES = 200_000
 MAX_IDS = 4_000_000
 SEGMENT_BYTES = 1 << 20
 
