@@ -7,7 +7,6 @@ sources/    readers (CSV points, shapefiles) and the derived test fixtures
 operators/  DataFrame -> DataFrame operators (cell joins, filters, aggregates, rasters)
 plans/      the named analyses, built from operators, plus their DuckDB oracles
 sinks/      writers (CSV, partitioned, text, tile tables)
-streaming/  the visit counts as a Structured Streaming query
 """
 
 __version__ = "0.1.0"

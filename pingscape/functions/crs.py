@@ -82,6 +82,12 @@ def non_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(float("nan")))
 
 
+def finite(x="x", y="y") -> Column:
+    """Both coordinates are finite: a position outside the projection's range is not."""
+    limit = F.lit(1e300)
+    return (F.abs(col_of(x)) < limit) & (F.abs(col_of(y)) < limit) & ~F.isnan(col_of(x)) & ~F.isnan(col_of(y))
+
+
 def to_mercator(df: DataFrame, lng: str = "lng", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
     """Add Web-Mercator columns `x`, `y` computed from `lng`, `lat`."""
     return df.withColumns({x: non_null(mercator_x(lng)), y: mercator_y(lat)})
@@ -300,7 +306,9 @@ def gcj02_to_wgs84(df: DataFrame, lng: str = "lng", lat: str = "lat", out_lng: s
     )
     for _ in range(1, GCJ_MAX_ROUNDS):
         d_lng, d_lat = gcj_delta("_gw_lng", "_gw_lat")
-        cur = cur.withColumns({"_gw_dlng": d_lng, "_gw_dlat": d_lat})
+        # a finished row needs no further offset
+        open_row = ~F.col("_gw_done")
+        cur = cur.withColumns({"_gw_dlng": F.when(open_row, d_lng).otherwise(F.lit(0.0)), "_gw_dlat": F.when(open_row, d_lat).otherwise(F.lit(0.0))})
         new_lng = g_lng - F.col("_gw_dlng")
         new_lat = g_lat - F.col("_gw_dlat")
         moved_small = (F.abs(new_lng - F.col("_gw_lng")) <= GCJ_TOLERANCE) & (

@@ -51,6 +51,16 @@ def segment_distance(px, py, x1, y1, x2, y2) -> Column:
     return distance(px, py, cx, cy)
 
 
+def ready_segment_distance(px, py, seg: Column) -> Column:
+    """`segment_distance` to a segment given as struct (x1, y1, dx, dy, len2): the
+    same arithmetic with the point-independent part done beforehand."""
+    px, py = col_of(px), col_of(py)
+    t = F.when(seg["len2"] == 0, F.lit(0.0)).otherwise(
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - seg["x1"]) * seg["dx"] + (py - seg["y1"]) * seg["dy"]) / seg["len2"]))
+    )
+    return distance(px, py, seg["x1"] + t * seg["dx"], seg["y1"] + t * seg["dy"])
+
+
 SEGMENT_DISTANCE_SQL = (
     "sqrt(({px} - ({x1} + {t} * ({x2} - {x1}))) * ({px} - ({x1} + {t} * ({x2} - {x1}))) + "
     "({py} - ({y1} + {t} * ({y2} - {y1}))) * ({py} - ({y1} + {t} * ({y2} - {y1}))))"
@@ -97,6 +107,12 @@ def edges(parts) -> Column:
     return F.flatten(F.transform(col_of(parts), part_edges))
 
 
+def segments_of(parts) -> Column:
+    """`edges`, and for a part with a single vertex one edge of length 0."""
+    point = lambda p: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), p["x"].alias("x2"), p["y"].alias("y2"))
+    return F.flatten(F.transform(col_of(parts), lambda p: F.when(F.size(p) == 1, F.transform(p, point)).otherwise(part_edges(p))))
+
+
 def envelope(parts) -> Column:
     """Bounding box of a shape as struct(min_x, min_y, max_x, max_y)."""
     v = vertices(parts)
@@ -118,7 +134,7 @@ def ring_signed_area2(ring) -> Column:
     would leave the result at the mercy of rounding and summation order.
     """
     ring = col_of(ring)
-    first = F.element_at(ring, 1)
+    first = F.try_element_at(ring, F.lit(1))
     x0, y0 = first["x"], first["y"]
     return F.aggregate(
         part_edges(ring),
@@ -127,16 +143,37 @@ def ring_signed_area2(ring) -> Column:
     )
 
 
+def _contains(ring: Column, other: Column) -> Column:
+    """Whether a ring surrounds another one (the middle of the other's first edge decides)."""
+    a, b = F.try_element_at(other, F.lit(1)), F.try_element_at(other, F.lit(2))
+    x, y = (a["x"] + b["x"]) / 2.0, (a["y"] + b["y"]) / 2.0
+    crossed = F.aggregate(part_edges(ring), F.lit(0), lambda acc, e: acc + F.when(_crosses(x, y, e), 1).otherwise(0))
+    return (crossed % 2) == 1
+
+
+def ring_depths(parts) -> Column:
+    """Per ring, how many of the other rings surround it: even for shells, odd for holes.
+
+    Holds for any orientation of the rings and for any number of members."""
+    parts = col_of(parts)
+    others = lambda r, i: F.filter(parts, lambda o, j: (j != i) & _contains(o, r))
+    return F.transform(parts, lambda r, i: F.size(others(r, i)))
+
+
+def polygon_members(parts) -> Column:
+    """The rings grouped by member: every shell with the holes directly inside it."""
+    parts = col_of(parts)
+    rings = F.zip_with(parts, ring_depths(parts), lambda r, d: F.struct(r.alias("ring"), d.alias("depth")))
+    shells = F.filter(rings, lambda r: r["depth"] % 2 == 0)
+    holes = lambda s: F.filter(rings, lambda h: (h["depth"] == s["depth"] + 1) & _contains(s["ring"], h["ring"]))
+    return F.transform(shells, lambda s: F.concat(F.array(s["ring"]), F.transform(holes(s), lambda h: h["ring"])))
+
+
 def polygon_area(parts) -> Column:
-    """Area of a polygon given as rings: |shell| minus |holes| (shoelace)."""
+    """Area of a polygon or multi-polygon given as rings: shells count, holes are taken off (shoelace)."""
     parts = col_of(parts)
-    shell = F.abs(ring_signed_area2(F.element_at(parts, 1))) / 2.0
-    holes = F.aggregate(
-        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-        F.lit(0.0),
-        lambda acc, r: acc + F.abs(ring_signed_area2(r)) / 2.0,
-    )
-    return shell - holes
+    areas = F.zip_with(parts, ring_depths(parts), lambda r, d: F.when(d % 2 == 0, 1.0).otherwise(-1.0) * F.abs(ring_signed_area2(r)) / 2.0)
+    return F.aggregate(areas, F.lit(0.0), lambda acc, v: acc + v)
 
 
 def line_length(parts) -> Column:
@@ -184,9 +221,17 @@ def on_boundary(px, py, edge_array) -> Column:
 def within_polygon(px, py, edge_array) -> Column:
     """Strictly inside (boundary excluded): odd crossing parity and not on an edge.
 
-    Works for holes and multi-polygons because every ring's edges are in the array.
+    One fold over the edges; once the point is found on an edge the state stays
+    negative.  Works for holes and multi-polygons because every ring's edges
+    are in the array.
     """
-    return ((crossing_count(px, py, edge_array) % 2) == 1) & ~on_boundary(px, py, edge_array)
+    px, py = col_of(px), col_of(py)
+    state = F.aggregate(
+        col_of(edge_array),
+        F.lit(0),
+        lambda acc, e: F.when((acc < 0) | _on_edge(px, py, e), -1).otherwise(acc + F.when(_crosses(px, py, e), 1).otherwise(0)),
+    )
+    return (state > 0) & (state % 2 == 1)
 
 
 CROSSING_SQL = (
@@ -200,16 +245,6 @@ ON_EDGE_SQL = (
 )
 
 
-def min_segment_distance(px, py, edge_array) -> Column:
-    """Smallest distance from the point to any of the segments."""
-    px, py = col_of(px), col_of(py)
-    return F.array_min(
-        F.transform(
-            col_of(edge_array), lambda e: segment_distance(px, py, e["x1"], e["y1"], e["x2"], e["y2"])
-        )
-    )
-
-
 def within_box(px, py, min_x, min_y, max_x, max_y) -> Column:
     """Strictly inside an axis-aligned rectangle (boundary excluded)."""
     px, py = col_of(px), col_of(py)
@@ -239,43 +274,61 @@ def box_contains_line(parts, min_x, min_y, max_x, max_y) -> Column:
 # ---------------------------------------------------------------------------
 # WKT
 # ---------------------------------------------------------------------------
-_NUM = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+# keyword, then optionally Z / M / ZM, then EMPTY or a body in parentheses
+_WKT = r"(?is)^([a-z]+)\s*(?:zm|z|m)?\s*(empty|\(.*\))$"
+_KINDS = ("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
+
+
+def _wkt_text(text) -> Column:
+    """The text without surrounding white space and SRID prefix."""
+    return F.regexp_replace(F.trim(col_of(text)), r"(?i)^srid\s*=\s*\d+\s*;\s*", "")
 
 
 def wkt_kind(text) -> Column:
     """Upper-case geometry keyword of a WKT text (POINT, LINESTRING, POLYGON, ...)."""
-    return F.upper(F.regexp_extract(F.trim(col_of(text)), r"^([A-Za-z]+)", 1))
+    return F.upper(F.regexp_extract(_wkt_text(text), r"(?i)^(MULTI)?(POINT|LINESTRING|POLYGON|[a-z]+?)(?=\s*(?:zm|z|m)?\s*(?:\(|empty|$))", 0))
+
+
+def _nesting(body: Column) -> Column:
+    """Depth of a well-formed body, 0 for any other: vertex lists are folded level by level."""
+    folded = F.regexp_replace(body, r"[^(),]+", "v")
+    depth = F.lit(0)
+    for level in (1, 2, 3):
+        folded = F.regexp_replace(folded, ",v(?=[,)])", "")
+        depth = F.when((depth == 0) & (folded == "(v)"), F.lit(level)).otherwise(depth)
+        folded = F.replace(folded, F.lit("(v)"), F.lit("v"))
+    return depth
 
 
 def wkt_parts(text) -> Column:
     """Decode WKT text into `parts` (see module doc).  Malformed text -> null.
 
-    The body between the outer parentheses is split into parts at `),(`
-    (any nesting depth), every part into vertices at `,`, and every vertex into
-    two numbers.  Runs as one projection over the whole column.
+    Z and M values and an SRID prefix are read over; an EMPTY shape has no parts.
+    The text is well formed when its parentheses nest as its kind asks for and
+    every vertex is two to four numbers.  One projection over the whole column.
     """
-    t = F.trim(col_of(text))
-    body = F.regexp_extract(t, r"^[A-Za-z]+\s*(?:[ZzMm]\s*)?\((.*)\)\s*$", 1)
-    # normalise the separators between parts: ")   ,   (" at any depth -> "|"
-    flat = F.regexp_replace(body, r"\)+\s*,\s*\(+", "|")
-    flat = F.regexp_replace(flat, r"[()]", "")
-    part_texts = F.split(flat, r"\|")
-    parts = F.transform(
-        part_texts,
-        lambda p: F.transform(
-            F.split(F.trim(p), r"\s*,\s*"),
-            lambda v: F.struct(
-                F.element_at(F.split(F.trim(v), r"\s+"), 1).try_cast("double").alias("x"),
-                F.element_at(F.split(F.trim(v), r"\s+"), 2).try_cast("double").alias("y"),
-            ),
-        ),
-    )
-    valid = (
-        (F.length(body) > 0)
-        & F.forall(parts, lambda p: (F.size(p) > 0) & F.forall(p, lambda v: v["x"].isNotNull() & v["y"].isNotNull()))
-        & wkt_kind(text).isin("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
-    )
-    return F.when(valid, parts).cast(PARTS_TYPE)
+    t = _wkt_text(text)
+    kind = wkt_kind(text)
+    body = F.regexp_replace(F.regexp_extract(t, _WKT, 2), r"\s*([(),])\s*", "$1")
+    empty = F.lower(body) == "empty"
+    depth = _nesting(body)
+    wanted = F.when(kind.isin("POINT", "LINESTRING"), F.lit(1)).when(kind == "MULTIPOLYGON", F.lit(3)).otherwise(F.lit(2))
+    single = (kind == "MULTIPOINT") & (depth == 1)  # MULTIPOINT (1 1, 2 2)
+    # separators between parts, at any depth, become "|"
+    flat = F.regexp_replace(F.regexp_replace(body, r"\)+,\(+", "|"), r"[()]", "")
+    flat = F.when(single, F.replace(flat, F.lit(","), F.lit("|"))).otherwise(flat)
+
+    def vertex(v: Column) -> Column:
+        n = F.split(v, r"\s+")
+        number = lambda i: F.try_element_at(n, F.lit(i)).try_cast("double")
+        good = F.size(n).between(2, 4) & number(1).isNotNull() & number(2).isNotNull()
+        return F.when(good, F.struct(number(1).alias("x"), number(2).alias("y")))
+
+    parts = F.transform(F.split(flat, r"\|"), lambda p: F.transform(F.split(p, ","), vertex))
+    valid = kind.isin(*_KINDS) & ((depth == wanted) | single) & F.forall(parts, lambda p: F.forall(p, lambda v: v.isNotNull()))
+    valid = valid & ((kind != "POINT") | (F.size(F.flatten(parts)) == 1))
+    none = F.array().cast(PARTS_TYPE)
+    return F.when(kind.isin(*_KINDS) & empty, none).when(valid, parts).cast(PARTS_TYPE)
 
 
 def _vertex_text(v: Column, decimals: int | None = None) -> Column:
@@ -286,34 +339,19 @@ def _vertex_text(v: Column, decimals: int | None = None) -> Column:
 
 
 def to_wkt(kind, parts, decimals: int | None = None) -> Column:
-    """Encode `parts` as WKT text for kind POINT / LINESTRING / POLYGON / MULTILINESTRING.
+    """Encode `parts` as WKT text (all six kinds; without parts, `KIND EMPTY`).
 
     `decimals=None` writes every coordinate exactly (round-trips bit for bit);
     a number writes fixed decimals (stable text for sorting and comparing).
     """
     kind, parts = col_of(kind), col_of(parts)
-
-    def _vertex(v):
-        return _vertex_text(v, decimals)
-
-    def _part_text(p):
-        return F.concat(F.lit("("), F.array_join(F.transform(p, _vertex), ", "), F.lit(")"))
-
-    first = F.element_at(parts, 1)
-    return (
-        F.when(kind == "POINT", F.concat(F.lit("POINT ("), _vertex(F.element_at(first, 1)), F.lit(")")))
-        .when(kind == "LINESTRING", F.concat(F.lit("LINESTRING "), _part_text(first)))
-        .when(
-            kind == "POLYGON",
-            F.concat(F.lit("POLYGON ("), F.array_join(F.transform(parts, _part_text), ", "), F.lit(")")),
-        )
-        .when(
-            kind == "MULTILINESTRING",
-            F.concat(F.lit("MULTILINESTRING ("), F.array_join(F.transform(parts, _part_text), ", "), F.lit(")")),
-        )
+    listed = lambda a, f: F.concat(F.lit("("), F.array_join(F.transform(a, f), ", "), F.lit(")"))
+    vertex = lambda v: _vertex_text(v, decimals)
+    ring = lambda p: listed(p, vertex)
+    first = F.try_element_at(parts, F.lit(1))
+    body = (
+        F.when(kind.isin("POINT", "LINESTRING"), ring(first))
+        .when(kind.isin("POLYGON", "MULTILINESTRING", "MULTIPOINT"), listed(parts, ring))
+        .when(kind == "MULTIPOLYGON", listed(polygon_members(parts), lambda m: listed(m, ring)))
     )
-
-
-def point_parts(x, y) -> Column:
-    """A point as `parts`."""
-    return F.array(F.array(F.struct(col_of(x).alias("x"), col_of(y).alias("y"))))
+    return F.when(F.size(parts) == 0, F.concat(kind, F.lit(" EMPTY"))).otherwise(F.concat(kind, F.lit(" "), body))

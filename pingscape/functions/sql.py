@@ -10,13 +10,37 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .crs import GCJ_AXIS, GCJ_EE, MERCATOR_RADIUS
+from .crs import GCJ_MAX_ROUNDS, GCJ_TOLERANCE, MERCATOR_RADIUS, gcj_delta_sql
+from .geom import CROSSING_SQL, ON_EDGE_SQL, segment_distance_sql
 from .tiles import EQUATOR
 
 _R = repr(MERCATOR_RADIUS)
 _E = repr(EQUATOR)
+_PARTS = "ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>"
+_EDGE = {"x1": "e.x1", "y1": "e.y1", "x2": "e.x2", "y2": "e.y2"}
+_D_LNG, _D_LAT = gcj_delta_sql("lng", "lat")
+_S_LNG, _S_LAT = gcj_delta_sql("s.wl", "s.wt")
+_TOL = f"CAST({GCJ_TOLERANCE!r} AS DOUBLE)"
+
+# The inverse shift as a fold over the rounds: a finished state is handed on, so the
+# offset is computed only in the rounds that a position needs.
+_INVERSE = (
+    "transform(array(aggregate(sequence(1, "
+    f"{GCJ_MAX_ROUNDS - 1}), "
+    f"named_struct('wl', lng - {_D_LNG}, 'wt', lat - {_D_LAT}, 'done', abs(lng) <= {_TOL} AND abs(lat) <= {_TOL}), "
+    "(s, i) -> CASE WHEN s.done THEN s ELSE "
+    f"transform(array(named_struct('wl', lng - {_S_LNG}, 'wt', lat - {_S_LAT})), "
+    f"n -> named_struct('wl', n.wl, 'wt', n.wt, 'done', abs(n.wl - s.wl) <= {_TOL} AND abs(n.wt - s.wt) <= {_TOL}))[0] END)), "
+    "r -> named_struct('lng', r.wl, 'lat', r.wt))[0]"
+)
 
 FUNCTIONS = {
+    "shape_edges": (
+        f"parts {_PARTS}",
+        "ARRAY<STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>>",
+        "flatten(transform(parts, p -> zip_with(slice(p, 1, greatest(size(p) - 1, 0)), slice(p, 2, greatest(size(p) - 1, 0)), "
+        "(a, b) -> named_struct('x1', a.x, 'y1', a.y, 'x2', b.x, 'y2', b.y))))",
+    ),
     "mercator_x": ("lng DOUBLE", "DOUBLE", f"radians(lng) * CAST({_R} AS DOUBLE)"),
     "mercator_y": ("lat DOUBLE", "DOUBLE", f"ln(tan(pi() / 4 + radians(lat) / 2)) * CAST({_R} AS DOUBLE)"),
     "planar_distance": (
@@ -30,38 +54,32 @@ FUNCTIONS = {
     "tile_corner_y": ("ty INT, z INT", "DOUBLE", f"CAST({_E} AS DOUBLE) / 2 - ty * CAST({_E} AS DOUBLE) / pow(2, z)"),
     "tile_corner_lat": ("ty INT, z INT", "DOUBLE", "degrees(atan(sinh(pi() * (1 - 2 * ty / pow(2, z)))))"),
     "tile_corner_lng": ("tx INT, z INT", "DOUBLE", "tx / pow(2, z) * 360 - 180"),
-    "gcj_poly_lat": (
-        "x DOUBLE, y DOUBLE",
-        "DOUBLE",
-        "-100.0D + 2.0D * x + 3.0D * y + 0.2D * y * y + 0.1D * x * y + 0.2D * sqrt(abs(x))"
-        " + (20.0D * sin(6.0D * x * pi()) + 20.0D * sin(2.0D * x * pi())) * 2.0D / 3.0D"
-        " + (20.0D * sin(y * pi()) + 40.0D * sin(y / 3.0D * pi())) * 2.0D / 3.0D"
-        " + (160.0D * sin(y / 12.0D * pi()) + 320.0D * sin(y * pi() / 30.0D)) * 2.0D / 3.0D",
+    "wgs_to_gcj_lng": ("lng DOUBLE, lat DOUBLE", "DOUBLE", f"lng + {_D_LNG}"),
+    "wgs_to_gcj_lat": ("lng DOUBLE, lat DOUBLE", "DOUBLE", f"lat + {_D_LAT}"),
+    "gcj_to_wgs": ("lng DOUBLE, lat DOUBLE", "STRUCT<lng: DOUBLE, lat: DOUBLE>", _INVERSE),
+    "gcj_to_wgs_lng": ("lng DOUBLE, lat DOUBLE", "DOUBLE", "gcj_to_wgs(lng, lat).lng"),
+    "gcj_to_wgs_lat": ("lng DOUBLE, lat DOUBLE", "DOUBLE", "gcj_to_wgs(lng, lat).lat"),
+    # shapes are arrays of parts (see functions.geom)
+    "shape_within": (
+        f"x DOUBLE, y DOUBLE, parts {_PARTS}",
+        "BOOLEAN",
+        "aggregate(shape_edges(parts), 0, (acc, e) -> CASE WHEN acc < 0 OR "
+        + ON_EDGE_SQL.format(px="x", py="y", **_EDGE)
+        + " THEN -1 ELSE acc + "
+        + CROSSING_SQL.format(px="x", py="y", **_EDGE)
+        + " END) % 2 = 1",
     ),
-    "gcj_poly_lng": (
-        "x DOUBLE, y DOUBLE",
-        "DOUBLE",
-        "300.0D + x + 2.0D * y + 0.1D * x * x + 0.1D * x * y + 0.1D * sqrt(abs(x))"
-        " + (20.0D * sin(6.0D * x * pi()) + 20.0D * sin(2.0D * x * pi())) * 2.0D / 3.0D"
-        " + (20.0D * sin(x * pi()) + 40.0D * sin(x / 3.0D * pi())) * 2.0D / 3.0D"
-        " + (150.0D * sin(x / 12.0D * pi()) + 300.0D * sin(x / 30.0D * pi())) * 2.0D / 3.0D",
+    "shape_contains_box": (
+        f"x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, parts {_PARTS}",
+        "BOOLEAN",
+        "forall(flatten(parts), p -> p.x >= x0 AND p.x <= x1 AND p.y >= y0 AND p.y <= y1) AND "
+        "exists(shape_edges(parts), e -> (e.x1 + e.x2) / 2 > x0 AND (e.x1 + e.x2) / 2 < x1 AND (e.y1 + e.y2) / 2 > y0 AND (e.y1 + e.y2) / 2 < y1)",
     ),
-    "gcj_delta_lat": (
-        "lng DOUBLE, lat DOUBLE",
-        "DOUBLE",
-        f"(gcj_poly_lat(lng - 105.0D, lat - 35.0D) * 180.0D) / ((CAST({GCJ_AXIS * (1 - GCJ_EE)!r} AS DOUBLE)"
-        f" / ((1.0D - CAST({GCJ_EE!r} AS DOUBLE) * sin(lat / 180.0D * pi()) * sin(lat / 180.0D * pi()))"
-        f" * sqrt(1.0D - CAST({GCJ_EE!r} AS DOUBLE) * sin(lat / 180.0D * pi()) * sin(lat / 180.0D * pi())))) * pi())",
-    ),
-    "gcj_delta_lng": (
-        "lng DOUBLE, lat DOUBLE",
-        "DOUBLE",
-        f"(gcj_poly_lng(lng - 105.0D, lat - 35.0D) * 180.0D) / (CAST({GCJ_AXIS!r} AS DOUBLE)"
-        f" / sqrt(1.0D - CAST({GCJ_EE!r} AS DOUBLE) * sin(lat / 180.0D * pi()) * sin(lat / 180.0D * pi()))"
-        " * cos(lat / 180.0D * pi()) * pi())",
+    "shape_near": (
+        f"x DOUBLE, y DOUBLE, radius DOUBLE, parts {_PARTS}",
+        "BOOLEAN",
+        "exists(shape_edges(parts), e -> " + segment_distance_sql("x", "y", "e.x1", "e.y1", "e.x2", "e.y2") + " < radius)",
     ),
-    "wgs_to_gcj_lng": ("lng DOUBLE, lat DOUBLE", "DOUBLE", "lng + gcj_delta_lng(lng, lat)"),
-    "wgs_to_gcj_lat": ("lng DOUBLE, lat DOUBLE", "DOUBLE", "lat + gcj_delta_lat(lng, lat)"),
 }
 
 

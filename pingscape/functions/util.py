@@ -9,8 +9,3 @@ from pyspark.sql import functions as F
 def col_of(c) -> Column:
     """Accept a column name or a Column."""
     return F.col(c) if isinstance(c, str) else c
-
-
-def dlit(v: float) -> Column:
-    """A DOUBLE literal (a bare `0.3` in SQL text would be a decimal)."""
-    return F.lit(float(v))

@@ -8,11 +8,10 @@ also spreads a hot key over many tasks.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.crs import finite
 from ..functions.timefn import MS_PER_HOUR, day_of, epoch_hour, hour_start
 
 
@@ -21,9 +20,6 @@ def count_by_day(pairs: DataFrame, key: str = "feature_id", name: str = "join_co
     return pairs.groupBy(key, day_of(ts, offset_ms).alias("day")).agg(F.count(F.lit(1)).alias(name))
 
 
-visits_by_day = count_by_day
-
-
 def window_stats(pairs: DataFrame, key: str = "feature_id") -> DataFrame:
     """Per matched window: `n` pairs, `n_distinct` distinct point positions."""
     return pairs.groupBy(key).agg(
@@ -38,10 +34,6 @@ def with_density(stats: DataFrame, area) -> DataFrame:
     return stats.withColumn("area", a).withColumn("density", F.col("n_distinct") / F.col("area"))
 
 
-def circle_area(radius: float) -> float:
-    return math.pi * radius * radius
-
-
 def top_windows(stats: DataFrame, k: int, by: str = "density", key: str = "feature_id") -> DataFrame:
     """The `k` windows with the largest `by`; ties broken by key (deterministic).
 
@@ -52,13 +44,15 @@ def top_windows(stats: DataFrame, k: int, by: str = "density", key: str = "featu
 
 
 def envelope(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """One row: min / max of x and y, and the row count."""
+    """One row: min / max of x and y over the points with finite coordinates, and their count."""
+    good = finite(x, y)
+    of = lambda c: F.when(good, F.col(c))
     return df.agg(
-        F.min(x).alias("min_x"),
-        F.min(y).alias("min_y"),
-        F.max(x).alias("max_x"),
-        F.max(y).alias("max_y"),
-        F.count(F.lit(1)).alias("n"),
+        F.min(of(x)).alias("min_x"),
+        F.min(of(y)).alias("min_y"),
+        F.max(of(x)).alias("max_x"),
+        F.max(of(y)).alias("max_y"),
+        F.count(of(x)).alias("n"),
     )
 
 
@@ -83,12 +77,11 @@ def hourly_grid(
     that has at least one ping in its time slice.
 
     Hour slices are open at both ends, so pings exactly on the hour are dropped.
-    One scan: every ping is binned to (hour, cell), with cell -1 for pings
-    outside the box (they still make their hour present), and counted with a
-    map-side combine.  The counts of an hour are then gathered into one map
-    (at most cells + 1 entries: bounded by the grid, not by the data) and the
-    hour's full grid is generated by `explode(sequence)` with a map lookup, so
-    there is no join, no second scan and no cross product.
+    Every ping is binned to (hour, cell), with cell -1 for pings outside the box
+    (they still make their hour present), and counted with a map-side combine.
+    The full grid of the hours present is generated and left-joined to the counts
+    on (hour, cell): work grows with hours x cells, and no row holds more than one cell.
+    Both sides start from the same aggregate, whose exchange is reused.
     """
     min_lng, min_lat, max_lng, max_lat = box
     n = int(cells_per_axis)
@@ -101,13 +94,13 @@ def hourly_grid(
         F.when(in_box, cell).otherwise(F.lit(-1)).alias("cell"),
     )
     counts = binned.groupBy("hour", "cell").agg(F.count(F.lit(1)).alias("c"))
-    per_hour = counts.groupBy("hour").agg(F.map_from_entries(F.collect_list(F.struct("cell", "c"))).alias("m"))
-    out = per_hour.select("hour", "m", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("cell"))
-    out = out.select(
+    hours = counts.groupBy("hour").agg(F.sum("c").alias("total")).where("total > 0")
+    grid = hours.select("hour", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("cell"))
+    out = grid.join(counts, ["hour", "cell"], "left").select(
         "hour",
         (F.col("cell") / F.lit(n)).cast("int").alias("cell_i"),
         F.pmod(F.col("cell"), F.lit(n)).alias("cell_j"),
-        F.coalesce(F.try_element_at("m", F.col("cell")), F.lit(0).cast("long")).alias("number_of_records"),
+        F.coalesce("c", F.lit(0).cast("long")).alias("number_of_records"),
     )
     w_lng = (max_lng - min_lng) / n
     w_lat = (max_lat - min_lat) / n

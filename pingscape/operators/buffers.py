@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from ..functions.util import col_of
 from .cells import segment_band_cells
 
 
@@ -33,6 +34,27 @@ def circle_ring(x, y, radius: float, vertices: int = 32) -> Column:
     return F.array(F.concat(F.slice(ring, 1, vertices), F.slice(ring, 1, 1)))
 
 
+def capsule_ring(seg, radius: float, vertices: int = 32) -> Column:
+    """A closed ring around one segment (struct x1, y1, x2, y2): a half circle at each
+    end, joined by the two parallels.  A segment of length 0 gives a circle."""
+    s = col_of(seg)
+    heading = F.atan2(s["y2"] - s["y1"], s["x2"] - s["x1"])
+    half = vertices // 2
+    step = math.pi / half
+
+    def arc(x: Column, y: Column, start: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(half)),
+            lambda k: F.struct(
+                (x + F.lit(float(radius)) * F.cos(start + k.cast("double") * step)).alias("x"),
+                (y + F.lit(float(radius)) * F.sin(start + k.cast("double") * step)).alias("y"),
+            ),
+        )
+
+    ring = F.concat(arc(s["x2"], s["y2"], heading - math.pi / 2), arc(s["x1"], s["y1"], heading + math.pi / 2))
+    return F.array(F.concat(ring, F.slice(ring, 1, 1)))
+
+
 def line_buffer_area(lines: DataFrame, radius: float, fine: int = 16) -> DataFrame:
     """`(feature_id, area)`: estimated area of each line's `radius` buffer.
 

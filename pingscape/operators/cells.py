@@ -11,17 +11,16 @@ none is produced twice.
 Strategy
 --------
 * The shape side is the smaller one (POIs, roads, zones, case places).  It is
-  broadcast only after `limit(max_rows + 1)` proved it has at most
-  `max_broadcast_rows` rows carrying at most `max_broadcast_elements` array
-  elements; the point side then never shuffles.
-* Otherwise both sides shuffle on the cell key.  A single cell may hold a large
-  share of all points (a station, a mall), so cells holding more than
-  `hot_cell_rows` points are found with an exact, map-side-combined count and
-  split: their points get a deterministic salt (hash of the row, stable under
-  recomputation after an executor loss) in `0..n-1`, and the shape rows of those
-  cells are copied once per salt value.  Cold cells keep salt 0.  The join is
-  pinned to a shuffled hash join; AQE's skew-join splitting stays on as a
-  second line (or, with `skew="aqe"`, as the only one).
+  broadcast only after one aggregate (row count and summed row widths, combined
+  map-side) proved that it has at most `max_broadcast_rows` rows of at most
+  `max_broadcast_bytes` bytes in all; the point side then never shuffles.
+* Otherwise both sides shuffle on the cell key in a sort-merge join, which can
+  spill.  A single cell may hold a large share of all points (a station, a mall):
+  adaptive execution splits such a partition from the shuffle statistics, without
+  another pass over the points.  Where skew handling is switched off in the session, or
+  `salts` asks for it, every key is split over `salts` tasks: a point takes a hash of
+  its whole row (stable under recomputation), and the shape rows are copied once
+  per salt.
 """
 
 from __future__ import annotations
@@ -30,6 +29,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.util import col_of
 
@@ -40,22 +40,17 @@ class JoinPlan:
 
     # shape-side rows (after cell explosion) that may be broadcast
     max_broadcast_rows: int = 2_000_000
-    # shape-side array elements (edges / segments carried by the rows, 32 bytes
-    # each) that may be broadcast: rows alone do not bound the bytes
-    max_broadcast_elements: int = 8_000_000
-    # a cell with more points than this is split across tasks
-    hot_cell_rows: int = 2_000_000
-    # hot-cell list rows that may be broadcast (it is bounded by points / hot_cell_rows)
-    max_hot_cells: int = 1_000_000
+    # bytes of those rows, text and array columns included
+    max_broadcast_bytes: int = 256 << 20
     # force a strategy: None (decide by size), "broadcast", "shuffle"
     force: str | None = None
-    # hot cells on the shuffle path: "salt" finds them with an exact count (one
-    # extra pass over the point side) and splits them up front; "aqe" leaves the
-    # split to adaptive execution, which reads the shuffle statistics (no extra
-    # pass) - used only while the session has skew-join handling switched on
-    skew: str = "salt"
+    # tasks that share one key on the shuffle path; 1 leaves hot keys to adaptive execution
+    salts: int = 1
 
 
+# tasks per key where the session has skew handling switched off
+FALLBACK_SALTS = 16
+
 DEFAULT_PLAN = JoinPlan()
 
 
@@ -91,15 +86,39 @@ def explode_box_cells(
     return df.withColumn("cx", F.explode(F.sequence(lo_x, hi_x))).withColumn("cy", F.explode(F.sequence(lo_y, hi_y)))
 
 
-def fits(df: DataFrame, max_rows: int, elements: Column | None = None, max_elements: int | None = None) -> bool:
-    """True when `df` provably has at most `max_rows` rows and, if `elements`
-    (an array-size expression) is given, at most `max_elements` elements in
-    total.  Reads at most `max_rows + 1` rows."""
-    limited = df.limit(max_rows + 1)
-    if elements is None:
-        return limited.count() <= max_rows
-    r = limited.agg(F.count(F.lit(1)).alias("n"), F.sum(elements).alias("e")).first()
-    return r["n"] <= max_rows and (r["e"] or 0) <= (max_elements if max_elements is not None else max_rows)
+def _width(t: T.DataType, c: Column) -> Column:
+    """Bytes a value takes at most, as an expression (variable types are measured)."""
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return F.lit(16) + F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(t, T.StructType):
+        out = F.lit(16)
+        for f in t.fields:
+            out = out + _width(f.dataType, c[f.name])
+        return out
+    if isinstance(t, T.ArrayType):
+        if isinstance(t.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            each = F.aggregate(c, F.lit(0), lambda acc, v: acc + _width(t.elementType, v).cast("int"))
+        else:
+            each = F.size(c) * 16
+        return F.lit(32) + F.coalesce(each, F.lit(0))
+    if isinstance(t, T.MapType):
+        return F.lit(32) + _width(T.ArrayType(t.keyType), F.map_keys(c)) + _width(T.ArrayType(t.valueType), F.map_values(c))
+    return F.lit(16)
+
+
+def row_width(df: DataFrame) -> Column:
+    """Bytes a row of `df` takes at most."""
+    out = F.lit(16)
+    for f in df.schema.fields:
+        out = out + _width(f.dataType, F.col(f"`{f.name}`"))
+    return out
+
+
+def fits(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> bool:
+    """True when `df` provably has at most `max_rows` rows and at most `max_bytes`
+    bytes.  One aggregate that is combined map-side: a row per task is shuffled."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_width(df).cast("long")).alias("b")).first()
+    return r["n"] <= max_rows and (max_bytes is None or (r["b"] or 0) <= max_bytes)
 
 
 def _aqe_splits_skew(df: DataFrame) -> bool:
@@ -108,50 +127,28 @@ def _aqe_splits_skew(df: DataFrame) -> bool:
     return on("spark.sql.adaptive.enabled", "true") and on("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
-def keyed_join(
-    points: DataFrame,
-    shapes: DataFrame,
-    keys: list[str],
-    salt_cols: list[str],
-    plan: JoinPlan = DEFAULT_PLAN,
-    elements: Column | None = None,
-) -> DataFrame:
+def keyed_join(points: DataFrame, shapes: DataFrame, keys: list[str], plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """Inner equi-join of the point side with the (exploded) shape side on `keys`.
 
-    `salt_cols` identify a point row (for the hot-cell salt); `elements` is the
-    size of the arrays a shape row carries (edges, segments), counted in the
-    broadcast check.  Returns the joined rows with the key columns kept.
+    Returns the joined rows with the key columns kept.  The point side is read once
+    on every path.
     """
     mode = plan.force
     if mode is None:
-        small = fits(shapes, plan.max_broadcast_rows, elements, plan.max_broadcast_elements)
-        mode = "broadcast" if small else "shuffle"
+        mode = "broadcast" if fits(shapes, plan.max_broadcast_rows, plan.max_broadcast_bytes) else "shuffle"
     if mode == "broadcast":
         return points.join(F.broadcast(shapes), keys)
     if mode != "shuffle":
         raise ValueError(f"unknown join mode {mode!r}")
-    if plan.skew == "aqe" and _aqe_splits_skew(points):
-        return points.join(shapes.hint("shuffle_hash"), keys)
-
-    hot = (
-        points.groupBy(*keys)
-        .count()
-        .where(F.col("count") > plan.hot_cell_rows)
-        .select(*keys, F.ceil(F.col("count") / F.lit(plan.hot_cell_rows)).cast("int").alias("_nsalt"))
-    )
-    hot_side = F.broadcast(hot) if fits(hot, plan.max_hot_cells) else hot
-    salted_points = points.join(hot_side, keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_nsalt").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.col("_nsalt")).cast("int")
-        ),
-    ).drop("_nsalt")
-    salted_shapes = shapes.join(hot_side, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_nsalt"), F.lit(1)) - 1))
-    ).drop("_nsalt")
+    salts = plan.salts if _aqe_splits_skew(points) else max(plan.salts, FALLBACK_SALTS)
     # the hint keeps Spark's size *estimate* from broadcasting a side that the
-    # exact check above rejected; each task hashes its share of the shapes
-    return salted_points.join(salted_shapes.hint("shuffle_hash"), keys + ["_salt"]).drop("_salt")
+    # exact check above rejected; a sort-merge join spills on both sides
+    if salts <= 1:
+        return points.join(shapes.hint("merge"), keys)
+    whole_row = F.xxhash64(*[F.col(f"`{c}`") for c in points.columns])
+    salted_points = points.withColumn("_salt", F.pmod(whole_row, F.lit(int(salts))).cast("int"))
+    salted_shapes = shapes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(int(salts) - 1))))
+    return salted_points.join(salted_shapes.hint("merge"), keys + ["_salt"]).drop("_salt")
 
 
 def segment_band_cells(segs: DataFrame, radius: float, size: float, partition_cols: list[str] | None = None) -> DataFrame:

@@ -43,17 +43,6 @@ def off_slice_edges(df: DataFrame, period_ms: int, offset_ms: int = 0, col: str
     return df.where(F.pmod(F.col(col) + F.lit(int(offset_ms)), F.lit(int(period_ms))) != 0)
 
 
-def study_area_box_mercator(box=STUDY_AREA) -> tuple[float, float, float, float]:
-    """The lng/lat rectangle's corners in Mercator metres (computed on the driver)."""
-    import math
-
-    r = 6378137.0
-    lng0, lat0, lng1, lat1 = box
-    mx = lambda v: math.radians(v) * r
-    my = lambda v: math.log(math.tan(math.pi / 4 + math.radians(v) / 2)) * r
-    return mx(lng0), my(lat0), mx(lng1), my(lat1)
-
-
 def within_study_area(df: DataFrame, box=STUDY_AREA, x: str = "x", y: str = "y") -> DataFrame:
     """Mercator point strictly inside the (Mercator-projected) study rectangle.
 
@@ -75,7 +64,3 @@ def in_months(df: DataFrame, months=(12, 1, 2), offset_ms: int = 0, col: str = "
 def at_hour(df: DataFrame, hour: int = 8, offset_ms: int = 0, col: str = "sys_time") -> DataFrame:
     """Local hour of day equals `hour`."""
     return df.where(hour_of_day(col, offset_ms) == hour)
-
-
-def in_closed_box(df: DataFrame, min_x, min_y, max_x, max_y, x: str = "x", y: str = "y") -> DataFrame:
-    return df.where(F.col(x).between(min_x, max_x) & F.col(y).between(min_y, max_y))

@@ -21,7 +21,6 @@ def within_distance(
     radius: float,
     closed: bool = True,
     plan: JoinPlan = DEFAULT_PLAN,
-    salt_cols: list[str] | None = None,
     cell_size: float | None = None,
 ) -> DataFrame:
     """Pairs (point, target) with distance <= radius (`closed`) or < radius.
@@ -34,7 +33,7 @@ def within_distance(
     t = targets.withColumnsRenamed({"x": "fx", "y": "fy"})
     t = explode_box_cells(t, "fx", "fy", "fx", "fy", size, pad=radius)
     p = with_point_cell(points, size)
-    j = keyed_join(p, t, ["cx", "cy"], salt_cols or ["x", "y"], plan)
+    j = keyed_join(p, t, ["cx", "cy"], plan)
     d = geom.distance("x", "y", "fx", "fy")
     j = j.withColumn("dist", d)
     cond = F.col("dist") <= radius if closed else F.col("dist") < radius
@@ -42,16 +41,24 @@ def within_distance(
 
 
 def segment_cells(lines: DataFrame, radius: float, size: float) -> DataFrame:
-    """`(feature_id, cx, cy, segs)`: for every cell, the segments of a line that
+    """`(feature_id, line, cx, cy, segs)`: for every cell, the segments of a line that
     come within `radius` of it (cells along each segment's band, see
-    `segment_band_cells`).  Built on the (small) line side only."""
-    segs = lines.select("feature_id", F.explode(geom.edges("parts")).alias("seg")).select(
-        "feature_id", "seg", "seg.x1", "seg.y1", "seg.x2", "seg.y2"
+    `segment_band_cells`).  Built on the (small) line side only.
+
+    `line` numbers the input rows, so two rows that share a `feature_id` (or have
+    none) stay two lines.  A part with one vertex is a segment of length 0.
+    """
+    numbered = lines.select("feature_id", F.monotonically_increasing_id().alias("line"), geom.segments_of("parts").alias("edges"))
+    segs = numbered.select("feature_id", "line", F.explode("edges").alias("seg")).select(
+        "feature_id", "line", "seg", "seg.x1", "seg.y1", "seg.x2", "seg.y2"
     )
     cells = segment_band_cells(segs, radius, size)
+    # what the distance test needs of a segment is computed once, here
+    dx, dy = F.col("seg.x2") - F.col("seg.x1"), F.col("seg.y2") - F.col("seg.y1")
+    ready = F.struct(F.col("seg.x1").alias("x1"), F.col("seg.y1").alias("y1"), dx.alias("dx"), dy.alias("dy"), (dx * dx + dy * dy).alias("len2"))
     # regroups pieces of one input line: a list never exceeds that line's own
     # vertex count, and only segments near the cell are in it
-    return cells.groupBy("feature_id", "cx", "cy").agg(F.collect_list("seg").alias("segs"))
+    return cells.groupBy("feature_id", "line", "cx", "cy").agg(F.collect_list(ready).alias("segs"))
 
 
 def near_lines(
@@ -59,7 +66,6 @@ def near_lines(
     lines: DataFrame,
     radius: float,
     plan: JoinPlan = DEFAULT_PLAN,
-    salt_cols: list[str] | None = None,
     cell_size: float | None = None,
 ) -> DataFrame:
     """(point, line) pairs with point-to-line distance < radius (inside the buffer).
@@ -71,12 +77,9 @@ def near_lines(
     size = float(cell_size or radius)
     per_cell = segment_cells(lines, radius, size)
     p = with_point_cell(points, size)
-    j = keyed_join(p, per_cell, ["cx", "cy"], salt_cols or ["x", "y"], plan, elements=F.size("segs"))
-    near = F.exists(
-        "segs",
-        lambda s: geom.segment_distance("x", "y", s["x1"], s["y1"], s["x2"], s["y2"]) < radius,
-    )
-    return j.where(near).drop("cx", "cy", "segs")
+    j = keyed_join(p, per_cell, ["cx", "cy"], plan)
+    near = F.exists("segs", lambda s: geom.ready_segment_distance("x", "y", s) < radius)
+    return j.where(near).drop("cx", "cy", "line", "segs")
 
 
 def _level_lit(levels: list[int], values: dict[int, float]):
@@ -93,57 +96,62 @@ def _cell_of(v, inv):
     return F.coalesce(F.floor(v * inv), F.lit(0).cast("long"))
 
 
+def _box_side() -> F.Column:
+    """Larger side of the shape's box, without a vertex 0."""
+    e = geom.envelope("parts")
+    return F.coalesce(F.greatest(e["max_x"] - e["min_x"], e["max_y"] - e["min_y"]), F.lit(0.0))
+
+
 def polygon_levels(polygons: DataFrame, base_size: float, max_cells_per_axis: int = 64) -> DataFrame:
-    """`(feature_id, edges, env, level)`: level 0 unless the polygon's box spans
-    more than `max_cells_per_axis` base cells, else the smallest level whose cell
+    """The polygons with `level`: 0 unless the polygon's box spans more than
+    `max_cells_per_axis` base cells, else the smallest level whose cell
     (base * 2^level) keeps it within that many cells per axis."""
-    polys = polygons.select("feature_id", geom.edges("parts").alias("edges"), geom.envelope("parts").alias("env"))
-    side = F.greatest(F.col("env.max_x") - F.col("env.min_x"), F.col("env.max_y") - F.col("env.min_y"))
-    ratio = side / F.lit(float(base_size) * max_cells_per_axis)
+    ratio = _box_side() / F.lit(float(base_size) * max_cells_per_axis)
     level = F.when(ratio <= 1.0, F.lit(0)).otherwise(F.ceil(F.log2(ratio)).cast("int"))
-    return polys.withColumn("level", level)
+    return polygons.withColumn("level", level)
 
 
 def polygon_cells(
     polygons: DataFrame, size: float, max_cells_per_axis: int = 64, levels: list[int] | None = None
 ) -> DataFrame:
-    """`(feature_id, level, cx, cy, full, edges)` for every cell a polygon's box
-    touches, at the polygon's level (cell side `size * 2^level`).
-
-    Per cell only the edges that matter are kept: a ray from a point of the cell
-    towards +x can only cross edges whose y-range meets the cell's y-band and
-    which reach the cell's left side.  A cell that no edge touches lies wholly
-    inside or wholly outside: its centre's parity decides once, here on the
-    (small) polygon side; outside cells are dropped and inside cells are marked
-    `full` (their points need no test).  Cell bounds are padded by 1e-6 of a
-    cell, so floating-point rounding of the point's cell can only add edges,
-    never lose one, and an edge through the cell always separates the padded
-    corners by a clear margin.
+    """`(feature_id, level, cx, cy, full, edges)` for every cell that a polygon
+    meets, at the polygon's level (cell side `size * 2^level`).
+
+    Built edge by edge: every edge goes to the rows of cells that its y-range
+    meets, the edges of one (polygon, row) are gathered, and each such row is
+    split into its cells on its own, so a polygon with very many vertices is the
+    work of many tasks.  A ray from a point towards +x stays in the point's row,
+    so the row's edges decide everything about its cells; of those a cell keeps the
+    ones that reach its left side.  A cell that no edge touches lies wholly inside
+    or outside: its centre's parity decides once; outside cells are dropped and
+    inside cells are marked `full` (their points need no test).  Cell bounds are
+    padded by 1e-6 of a cell, so floating-point rounding of the point's cell can
+    only add edges, never lose one, and an edge through the cell always separates
+    the padded corners by a clear margin.
+
+    Input rows are polygons of their own, whatever their `feature_id`.
     """
     polys = polygon_levels(polygons, size, max_cells_per_axis)
     if levels is None:
         levels = sorted(r["level"] for r in polys.select("level").distinct().collect()) or [0]
     sizes = {lv: float(size) * (2.0 ** lv) for lv in levels}
-    invs = {lv: 1.0 / sizes[lv] for lv in levels}
     cs = _level_lit(levels, sizes)
-    inv = _level_lit(levels, invs)
-    margin = cs * 1e-9
-    cells = polys.withColumn(
-        "cx", F.explode(F.sequence(_cell_of(F.col("env.min_x") - margin, inv), _cell_of(F.col("env.max_x") + margin, inv)))
-    ).withColumn(
-        "cy", F.explode(F.sequence(_cell_of(F.col("env.min_y") - margin, inv), _cell_of(F.col("env.max_y") + margin, inv)))
-    ).drop("env")
+    inv = _level_lit(levels, {lv: 1.0 / sizes[lv] for lv in levels})
     pad = 1e-6
+    margin = cs * (2 * pad)
+    polys = polys.select("feature_id", "level", F.monotonically_increasing_id().alias("poly"), geom.edges("parts").alias("edges"))
+    each = polys.select("feature_id", "level", "poly", F.explode("edges").alias("e"))
+    low, high = F.least("e.y1", "e.y2") - margin, F.greatest("e.y1", "e.y2") + margin
+    rows = each.withColumn("cy", F.explode(F.sequence(_cell_of(low, inv), _cell_of(high, inv))))
+    rows = rows.groupBy("feature_id", "level", "poly", "cy").agg(
+        F.collect_list("e").alias("edges"), F.min(F.least("e.x1", "e.x2")).alias("left"), F.max(F.greatest("e.x1", "e.x2")).alias("right")
+    )
+    cells = rows.withColumn("cx", F.explode(F.sequence(_cell_of(F.col("left") - margin, inv), _cell_of(F.col("right") + margin, inv))))
     x0 = (F.col("cx").cast("double") - pad) * cs
     x1 = (F.col("cx").cast("double") + 1 + pad) * cs
     y0 = (F.col("cy").cast("double") - pad) * cs
     y1 = (F.col("cy").cast("double") + 1 + pad) * cs
-    band = F.filter(
-        "edges",
-        lambda e: (F.greatest(e["y1"], e["y2"]) >= y0)
-        & (F.least(e["y1"], e["y2"]) <= y1)
-        & (F.greatest(e["x1"], e["x2"]) >= x0),
-    )
+    reach = F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= x0)
 
     def _meets_cell(e):
         # boxes overlap and the four cell corners are not all strictly on one
@@ -174,23 +182,25 @@ def polygon_cells(
         "cx",
         "cy",
         "full",
-        F.when(F.col("full"), F.array().cast(f"array<{geom.EDGE_TYPE}>")).otherwise(band).alias("edges"),
+        F.when(F.col("full"), F.array().cast(f"array<{geom.EDGE_TYPE}>")).otherwise(reach).alias("edges"),
     )
 
 
+# cells of a typical polygon per axis: most of its points then fall in cells
+# that lie wholly inside, and need no edge test
+CELLS_PER_POLYGON = 12
+
+
 def polygon_sides(polygons: DataFrame) -> tuple[float, float]:
     """(median, largest) of the polygons' larger box side, in one small aggregate."""
-    env = polygons.select(geom.envelope("parts").alias("e"))
-    side = F.greatest(F.col("e.max_x") - F.col("e.min_x"), F.col("e.max_y") - F.col("e.min_y"))
-    r = env.agg(F.percentile_approx(side, 0.5).alias("m"), F.max(side).alias("x")).first()
+    r = polygons.select(_box_side().alias("side")).agg(F.percentile_approx("side", 0.5).alias("m"), F.max("side").alias("x")).first()
     med = float(r["m"]) if r["m"] and r["m"] > 0 else 1.0
     return med, float(r["x"] or 0.0)
 
 
 def auto_cell_size(polygons: DataFrame) -> float:
-    """Median of the polygons' larger box side: a typical polygon then touches
-    about 2 x 2 cells."""
-    return polygon_sides(polygons)[0]
+    """A CELLS_PER_POLYGON-th of the median of the polygons' larger box side."""
+    return polygon_sides(polygons)[0] / CELLS_PER_POLYGON
 
 
 def in_polygons(
@@ -198,7 +208,6 @@ def in_polygons(
     polygons: DataFrame,
     cell_size: float | None = None,
     plan: JoinPlan = DEFAULT_PLAN,
-    salt_cols: list[str] | None = None,
     max_cells_per_axis: int = 64,
 ) -> DataFrame:
     """(point, polygon) pairs with the point strictly inside (boundary excluded).
@@ -209,7 +218,7 @@ def in_polygons(
     is keyed once per level present, which is one level in the common case.
     """
     median, largest = polygon_sides(polygons)
-    size = float(cell_size or median)
+    size = float(cell_size or median / CELLS_PER_POLYGON)
     if largest <= size * max_cells_per_axis:
         levels = [0]  # every polygon fits the base level: no levels job
     else:
@@ -222,7 +231,7 @@ def in_polygons(
         p = points.withColumn("level", F.explode(F.array(*[F.lit(lv) for lv in levels])))
     inv = _level_lit(levels, {lv: 1.0 / (size * (2.0 ** lv)) for lv in levels})
     p = p.withColumns({"cx": _cell_of(F.col("x"), inv), "cy": _cell_of(F.col("y"), inv)})
-    j = keyed_join(p, cells, ["level", "cx", "cy"], salt_cols or ["x", "y"], plan, elements=F.size("edges"))
+    j = keyed_join(p, cells, ["level", "cx", "cy"], plan)
     return j.where(F.col("full") | geom.within_polygon("x", "y", "edges")).drop("level", "cx", "cy", "full", "edges")
 
 
@@ -233,11 +242,11 @@ def case_exposure(
     days: int = 10,
     offset_ms: int = 0,
     plan: JoinPlan = DEFAULT_PLAN,
-    salt_cols: list[str] | None = None,
 ) -> DataFrame:
     """Pings near a POI that is near a case, within +-`days` of the case date.
 
-    `poi_case_pairs`: `(feature_id, px, py, case_date)` - one row per (POI, case).
+    `poi_case_pairs`: `(feature_id, px, py, case_date[, n_cases])` - a row per POI and
+    case, or per POI, place and date of `n_cases` cases.
     A ping matches a pair when it is within `radius` of the POI and its time is
     in the closed range [midnight(case_date) - days, midnight + days].  Returns
     the matching pings with `feature_id`, the ping's local `day` (epoch days)
@@ -253,7 +262,7 @@ def case_exposure(
     """
     size = float(radius)
     c = F.unix_date(F.col("case_date").cast("date"))
-    per_day = poi_case_pairs.groupBy("feature_id", "px", "py", c.alias("case_day")).agg(F.count(F.lit(1)).alias("mult"))
+    per_day = poi_case_pairs.groupBy("feature_id", "px", "py", c.alias("case_day")).agg(F.sum("n_cases" if "n_cases" in poi_case_pairs.columns else F.lit(1)).alias("mult"))
     spread = per_day.withColumn(
         "day", F.explode(F.sequence(F.col("case_day") - days, F.col("case_day") + days))
     )
@@ -265,7 +274,7 @@ def case_exposure(
     t = t.withColumnsRenamed({"px": "fx", "py": "fy"})
     t = explode_box_cells(t, "fx", "fy", "fx", "fy", size, pad=radius)
     p = with_point_cell(pings.withColumn("day", epoch_day("sys_time", offset_ms)), size)
-    j = keyed_join(p, t, ["cx", "cy", "day"], salt_cols or ["x", "y", "sys_time"], plan)
+    j = keyed_join(p, t, ["cx", "cy", "day"], plan)
     at_midnight = F.pmod(F.col("sys_time") + F.lit(int(offset_ms)), F.lit(MS_PER_DAY)) == 0
     weight = F.col("w_full") + F.when(at_midnight, F.col("w_midnight")).otherwise(F.lit(0).cast("long"))
     d = geom.distance("x", "y", "fx", "fy")
@@ -273,6 +282,14 @@ def case_exposure(
     return hits.drop("cx", "cy", "fx", "fy", "w_full", "w_midnight")
 
 
+def exposed_pois(pois: DataFrame, cases: DataFrame, radius2: float, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
+    """`(feature_id, px, py, case_date, n_cases)`: POIs within `radius2` of a place with
+    cases.  Cases at one place and date are one row before the join."""
+    places = cases.groupBy("x", "y", "case_date").agg(F.count(F.lit(1)).alias("n_cases"))
+    pairs = within_distance(pois, places, radius2, closed=True, plan=plan)
+    return pairs.select("feature_id", F.col("x").alias("px"), F.col("y").alias("py"), "case_date", "n_cases")
+
+
 def exposure_by_day(
     pings: DataFrame,
     pois: DataFrame,
@@ -293,7 +310,6 @@ def exposure_by_day(
 
     if study_area is not None:
         pings = within_study_area(pings, study_area)
-    pairs = within_distance(pois, cases, radius2, closed=True, plan=plan, salt_cols=["feature_id"])
-    pairs = pairs.select("feature_id", F.col("x").alias("px"), F.col("y").alias("py"), "case_date")
-    hits = case_exposure(pings, pairs, radius, days, offset_ms, plan, ["ping_id"])
+    pairs = exposed_pois(pois, cases, radius2, plan)
+    hits = case_exposure(pings, pairs, radius, days, offset_ms, plan)
     return hits.groupBy("feature_id", F.date_from_unix_date("day").alias("day")).agg(F.sum("weight").alias("join_count"))

@@ -12,8 +12,12 @@ Heat map
    coordinates at zoom z - k are those at z scaled by 2^-k, and floor commutes
    with that scaling).  The finest-level table is exploded to every zoom and
    re-aggregated; a hot pixel is combined map-side before any shuffle.
-3. Pixels outside the zoom's tile span are dropped, the rest are blurred with a
-   (2b+1)^2 mean (explode of offsets + sum), capped and scaled to [0, 1].
+3. The tile spans of the data follow from the smallest and largest tile of that same
+   table (tiles are pixels shifted right), so the points are read once; a fixed box
+   gives its spans without reading them.
+4. The counts are blurred with a (2b+1)^2 mean in two passes, along x and then along
+   y (2b+1 copies each), pixels outside the zoom's span are dropped, the rest capped
+   and scaled to [0, 1].
 
 Line map
 --------
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from ..functions.crs import finite
 from ..functions.tiles import EQUATOR, TILE_PIXELS, mercator_to_tile, tile_to_mercator, world_pixel
 
 
@@ -93,7 +98,8 @@ def _with_spans(df: DataFrame, spans: DataFrame) -> DataFrame:
 def pixel_counts(
     points: DataFrame, min_zoom: int, max_zoom: int, x: str = "x", y: str = "y", method: str = "explode"
 ) -> DataFrame:
-    """`(z, px, py, n)` raw point counts per pixel for every zoom in the range.
+    """`(z, px, py, n)` raw point counts per pixel for every zoom in the range
+    (points without finite coordinates are on no pixel).
 
     Both methods aggregate the points once, at the finest zoom.
     `explode`: that table is copied to every zoom and re-aggregated in one
@@ -103,9 +109,10 @@ def pixel_counts(
     finest table in total), at the price of one stage per zoom level.
     """
     px, py = world_pixel(x, y, int(max_zoom))
-    finest = points.select(px.cast("long").alias("px"), py.cast("long").alias("py")).groupBy("px", "py").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    # counted with weight 0 rather than filtered: a filter on projected coordinates would be
+    # pushed below the projection and evaluate it again
+    seen = points.select(px.cast("long").alias("px"), py.cast("long").alias("py"), finite(x, y).cast("long").alias("here"))
+    finest = seen.groupBy("px", "py").agg(F.sum("here").alias("n")).where("n > 0")
     if method == "rollup":
         level = finest
         levels = [finest.select(F.lit(int(max_zoom)).alias("z"), "px", "py", "n")]
@@ -130,30 +137,46 @@ def pixel_counts(
     return levels.groupBy("z", "px", "py").agg(F.sum("n").alias("n"))
 
 
+def spans_of_pixels(counts: DataFrame) -> DataFrame:
+    """Per zoom, the tiles that hold the pixels of a `(z, px, py, n)` table."""
+    # the test on n keeps this branch's aggregate equal to the table's own, so its exchange is reused
+    seen = counts.where("n > 0")
+    tile = lambda f, c: F.floor(f(c) / TILE_PIXELS).cast("int")
+    return seen.groupBy("z").agg(tile(F.min, "px").alias("tx0"), tile(F.min, "py").alias("ty0"), tile(F.max, "px").alias("tx1"), tile(F.max, "py").alias("ty1"))
+
+
+def _blur_along(counts: DataFrame, axis: str, blur: int) -> DataFrame:
+    """Sum of the 2 * blur + 1 neighbours along one axis."""
+    other = "py" if axis == "px" else "px"
+    moved = counts.withColumn("d", F.explode(F.sequence(F.lit(-blur), F.lit(blur))))
+    return moved.groupBy("z", (F.col(axis) + F.col("d")).alias(axis), other).agg(F.sum("n").alias("n"))
+
+
 def heat_pixels(
     points: DataFrame,
-    spans: DataFrame,
     min_zoom: int,
     max_zoom: int,
     blur: int = 1,
     cap: float = 2.0,
+    spans: DataFrame | None = None,
     method: str = "explode",
 ) -> DataFrame:
-    """Blurred heat-map pixels inside each zoom's tile span.
+    """Blurred heat-map pixels inside each zoom's tile span (`spans`, or the span of the data).
 
     Columns: z, px, py, n_sum (points in the (2b+1)^2 neighbourhood),
     value = n_sum / (2b+1)^2, intensity = min(value, cap) / cap.
     """
-    counts = _with_spans(pixel_counts(points, min_zoom, max_zoom, method=method), spans).where(_inside_span()).select("z", "px", "py", "n")
+    counts = pixel_counts(points, min_zoom, max_zoom, method=method)
     b = int(blur)
-    if b > 0:
-        offs = F.sequence(F.lit(-b), F.lit(b))
-        spread = counts.withColumn("dx", F.explode(offs)).withColumn("dy", F.explode(offs))
-        spread = spread.select("z", (F.col("px") + F.col("dx")).alias("px"), (F.col("py") + F.col("dy")).alias("py"), "n")
-        blurred = spread.groupBy("z", "px", "py").agg(F.sum("n").alias("n_sum"))
-        blurred = _with_spans(blurred, spans).where(_inside_span()).select("z", "px", "py", "n_sum")
+    blurred = counts
+    if spans is None:
+        spans = spans_of_pixels(counts)
     else:
-        blurred = counts.withColumnRenamed("n", "n_sum")
+        blurred = _with_spans(counts, spans).where(_inside_span()).select("z", "px", "py", "n")
+    if b > 0:
+        blurred = _blur_along(_blur_along(blurred, "px", b), "py", b)
+        blurred = _with_spans(blurred, spans).where(_inside_span())
+    blurred = blurred.select("z", "px", "py", F.col("n").alias("n_sum"))
     area = float((2 * b + 1) ** 2)
     value = F.col("n_sum") / F.lit(area)
     return blurred.select(

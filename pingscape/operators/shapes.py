@@ -11,11 +11,16 @@ from .buffers import circle_ring
 
 def decode_wkt(df: DataFrame, col: str = "geometry", kind: str = "kind", parts: str = "parts") -> DataFrame:
     """Add `kind` and `parts` decoded from a WKT text column; rows whose text
-    does not decode are dropped."""
+    does not decode are left out (`undecoded_wkt` returns those)."""
     out = df.withColumns({kind: geom.wkt_kind(col), parts: geom.wkt_parts(col)})
     return out.where(F.col(parts).isNotNull())
 
 
+def undecoded_wkt(df: DataFrame, col: str = "geometry") -> DataFrame:
+    """The rows whose text does not decode, with the text as `corrupt_record`."""
+    return df.where(geom.wkt_parts(col).isNull()).withColumn("corrupt_record", F.col(col))
+
+
 def segments(lines: DataFrame) -> DataFrame:
     """One row per segment: `feature_id, seg_idx, x1, y1, x2, y2`."""
     s = lines.select("feature_id", F.posexplode(geom.edges("parts")).alias("seg_idx", "s"))

@@ -61,6 +61,22 @@ QUERIES: dict[str, Query] = {
     "utm_points": V.utm_points,
     "projected_points": V.projected_points,
     "wkt_decode": V.wkt_decode,
+    # shapes with holes and members, shared text ids, windows as text, wide inputs
+    "shape_measures": C.shape_measures,
+    "block_totals": C.block_totals,
+    "road_visits_by_text_id": C.road_visits_by_text_id,
+    "poi_circles": C.poi_circles,
+    "segment_capsules": C.segment_capsules,
+    "wide_winter_pings": C.wide_winter_pings,
+    "wide_hourly_grid_counts": C.wide_hourly_grid_counts,
+    "wide_heat_tiles": T.wide_heat_tiles,
+    "wide_heat_tiles_beijing": T.wide_heat_tiles_beijing,
+    "wide_lines_in_box": T.wide_lines_in_box,
+    "heat_pixels_gcj": T.heat_pixels_gcj,
+    "tile_offsets_gcj": T.tile_offsets_gcj,
+    "road_tile_offsets": T.road_tile_offsets,
+    "road_tile_spans": T.road_tile_spans,
+    "gcj_to_wgs_sql": V.gcj_to_wgs_sql,
 }
 
 # the flagship analysis (driver smoke check)

@@ -44,7 +44,7 @@ def poi_visits_by_day(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT
         P.OFFSET_MS,
     )
     pairs = joins.within_distance(
-        pings, inputs.pois_mercator(spark, sf_dir), P.POI_RADIUS, closed=True, plan=plan, salt_cols=["ping_id"]
+        pings, inputs.pois_mercator(spark, sf_dir), P.POI_RADIUS, closed=True, plan=plan
     )
     out = aggregate.count_by_day(pairs, "feature_id", "join_count", P.OFFSET_MS)
     return out.orderBy("day", "feature_id")
@@ -55,7 +55,7 @@ def _poi_windows(spark: SparkSession, sf_dir: str, plan: JoinPlan) -> DataFrame:
     area = pi r^2 and density = n_distinct / area.  All pings, no time filter."""
     pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "ping_id", "x", "y")
     pairs = joins.within_distance(
-        pings, inputs.pois_mercator(spark, sf_dir), P.POI_RADIUS, closed=False, plan=plan, salt_cols=["ping_id"]
+        pings, inputs.pois_mercator(spark, sf_dir), P.POI_RADIUS, closed=False, plan=plan
     )
     stats = aggregate.window_stats(pairs, "feature_id")
     return aggregate.with_density(stats, F.lit(P.POI_RADIUS) * F.lit(P.POI_RADIUS) * F.pi())
@@ -71,16 +71,33 @@ def matched_windows(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_P
     return _poi_windows(spark, sf_dir, plan).agg(F.count(F.lit(1)).alias("n_windows"))
 
 
+def _with_circle_wkt(spark: SparkSession, sf_dir: str, top: DataFrame) -> DataFrame:
+    """The ranked windows with their circle as WKT text (millimetres): at most FIRST_X rows are joined."""
+    from ..operators.shapes import circle_rings, with_wkt
+
+    rings = with_wkt(circle_rings(inputs.pois_mercator(spark, sf_dir), P.POI_RADIUS), decimals=3)
+    # the ranking has at most FIRST_X rows, a fixed number
+    return rings.select("feature_id", "wkt").join(F.broadcast(top), "feature_id")
+
+
 def top_poi_by_density(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
-    """The `FIRST_X` densest windows: feature, set size, density."""
+    """The `FIRST_X` densest windows: window text, set size, density."""
     top = aggregate.top_windows(_poi_windows(spark, sf_dir, plan), P.FIRST_X, "density")
-    return top.select("feature_id", "n_distinct", "density")
+    return _with_circle_wkt(spark, sf_dir, top).select("feature_id", "wkt", "n_distinct", "density").orderBy(F.col("density").desc(), "feature_id")
 
 
 def top_poi_by_count(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
-    """The `FIRST_X` windows with the most distinct points."""
+    """The `FIRST_X` windows with the most distinct points, with the window text."""
     top = aggregate.top_windows(_poi_windows(spark, sf_dir, plan), P.FIRST_X, "n_distinct")
-    return top.select("feature_id", "n_distinct")
+    return _with_circle_wkt(spark, sf_dir, top).select("feature_id", "wkt", "n_distinct").orderBy(F.col("n_distinct").desc(), "feature_id")
+
+
+def poi_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every POI's circle as a polygon: text, vertices, area of the ring."""
+    from ..operators.shapes import circle_rings, with_wkt
+
+    rings = with_wkt(circle_rings(inputs.pois_mercator(spark, sf_dir), P.POI_RADIUS), decimals=3)
+    return rings.select("feature_id", "wkt", F.size(geom.vertices("parts")).alias("n_vertices"), F.round(geom.polygon_area("parts"), 3).alias("area"))
 
 
 # ---------------------------------------------------------------------------
@@ -89,7 +106,7 @@ def top_poi_by_count(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_
 def _poi_case_pairs(spark: SparkSession, sf_dir: str, plan: JoinPlan) -> DataFrame:
     pois = inputs.pois_mercator(spark, sf_dir)
     cases = inputs.cases_mercator(spark, sf_dir)
-    pairs = joins.within_distance(pois, cases, P.CASE_RADIUS, closed=True, plan=plan, salt_cols=["feature_id"])
+    pairs = joins.within_distance(pois, cases, P.CASE_RADIUS, closed=True, plan=plan)
     return pairs.select("feature_id", F.col("x").alias("px"), F.col("y").alias("py"), "case_id", "case_date")
 
 
@@ -107,7 +124,9 @@ def case_exposure_by_day(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFA
     pings = inputs.only(inputs.pings_mercator(spark, sf_dir, window), "ping_id", "sys_time", "x", "y")
     pings = filters.within_study_area(filters.in_date_range(pings, P.FROM_TIME, P.TO_TIME, P.OFFSET_MS))
     hits = joins.case_exposure(
-        pings, _poi_case_pairs(spark, sf_dir, plan), P.EXPOSURE_RADIUS, P.EXPOSURE_DAYS, P.OFFSET_MS, plan, ["ping_id"]
+        pings,
+        joins.exposed_pois(inputs.pois_mercator(spark, sf_dir), inputs.cases_mercator(spark, sf_dir), P.CASE_RADIUS, plan),
+        P.EXPOSURE_RADIUS, P.EXPOSURE_DAYS, P.OFFSET_MS, plan
     )
     out = hits.groupBy("feature_id", F.date_from_unix_date("day").alias("day")).agg(
         F.sum("weight").alias("join_count")
@@ -125,7 +144,7 @@ def zone_counts_by_day(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAUL
     lo, hi = day_slices(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
     pings = inputs.only(inputs.pings_utm(spark, sf_dir, (lo, hi)), "ping_id", "sys_time", "x", "y")
     pings = filters.off_slice_edges(filters.open_range(pings, lo, hi), MS_PER_DAY, P.OFFSET_MS)
-    pairs = joins.in_polygons(pings, inputs.zones_utm(spark, sf_dir), plan=plan, salt_cols=["ping_id"])
+    pairs = joins.in_polygons(pings, inputs.zones_utm(spark, sf_dir), plan=plan)
     return pairs.groupBy(day_of("sys_time", P.OFFSET_MS).alias("day"), "feature_id").agg(
         F.count(F.lit(1)).alias("join_count")
     )
@@ -137,17 +156,31 @@ def zone_totals(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN)
     window = second_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
     pings = inputs.only(inputs.pings_utm(spark, sf_dir, window), "ping_id", "sys_time", "x", "y")
     pings = filters.in_time_range(pings, P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
-    pairs = joins.in_polygons(pings, inputs.zones_utm(spark, sf_dir), plan=plan, salt_cols=["ping_id"])
+    pairs = joins.in_polygons(pings, inputs.zones_utm(spark, sf_dir), plan=plan)
     return aggregate.window_stats(pairs, "feature_id")
 
 
+def block_totals(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
+    """Pings inside multi-polygons with holes and of very different sizes, per polygon."""
+    pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "ping_id", "x", "y")
+    return aggregate.window_stats(joins.in_polygons(pings, inputs.blocks_mercator(spark, sf_dir), plan=plan), "feature_id")
+
+
+def shape_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-polygons with holes written as text, read back and measured: kind, rings, members, area."""
+    shapes = inputs.blocks_mercator(spark, sf_dir)
+    text = shapes.select("feature_id", geom.to_wkt("kind", "parts").alias("wkt"))
+    back = text.select("feature_id", geom.wkt_kind("wkt").alias("kind"), geom.wkt_parts("wkt").alias("parts"))
+    return back.select("feature_id", "kind", F.size("parts").alias("n_rings"), F.size(geom.polygon_members("parts")).alias("n_members"), F.round(geom.polygon_area("parts"), 2).alias("area"))
+
+
 def labeled_zone_hour8(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """Pings (Mercator) inside labelled zones at local hour 8, per day.  Date-cut
     range; a ping inside two overlapping zones counts twice."""
     window = date_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
     pings = inputs.only(inputs.pings_mercator(spark, sf_dir, window), "ping_id", "sys_time", "x", "y")
     pings = filters.at_hour(filters.in_date_range(pings, P.FROM_TIME, P.TO_TIME, P.OFFSET_MS), P.MORNING_HOUR, P.OFFSET_MS)
-    pairs = joins.in_polygons(pings, inputs.zones_mercator(spark, sf_dir), plan=plan, salt_cols=["ping_id"])
+    pairs = joins.in_polygons(pings, inputs.zones_mercator(spark, sf_dir), plan=plan)
     out = pairs.groupBy(day_of("sys_time", P.OFFSET_MS).alias("day")).agg(F.count(F.lit(1)).alias("join_count"))
     return out.orderBy("day")
 
@@ -159,7 +192,7 @@ def road_pings(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN)
     """Pings strictly nearer than `ROAD_RADIUS` to each road (all pings):
     `n` distinct pings, `n_distinct` distinct positions."""
     pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "ping_id", "x", "y")
-    pairs = joins.near_lines(pings, inputs.roads_mercator(spark, sf_dir), P.ROAD_RADIUS, plan=plan, salt_cols=["ping_id"])
+    pairs = joins.near_lines(pings, inputs.roads_mercator(spark, sf_dir), P.ROAD_RADIUS, plan=plan)
     return aggregate.window_stats(pairs, "feature_id")
 
 
@@ -196,7 +229,7 @@ def road_visits_by_day(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAUL
     window = second_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
     pings = inputs.only(inputs.pings_mercator(spark, sf_dir, window), "ping_id", "sys_time", "x", "y")
     pings = filters.in_time_range(pings, P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
-    pairs = joins.near_lines(pings, inputs.roads_mercator(spark, sf_dir), P.ROAD_RADIUS, plan=plan, salt_cols=["ping_id"])
+    pairs = joins.near_lines(pings, inputs.roads_mercator(spark, sf_dir), P.ROAD_RADIUS, plan=plan)
     out = aggregate.count_by_day(pairs, "feature_id", "join_count", P.OFFSET_MS)
     return out.orderBy("day", "feature_id")
 
@@ -206,10 +239,33 @@ def road_visits_unordered(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEF
     window = second_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
     pings = inputs.only(inputs.pings_mercator(spark, sf_dir, window), "ping_id", "sys_time", "x", "y")
     pings = filters.in_time_range(pings, P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
-    pairs = joins.near_lines(pings, inputs.roads_mercator(spark, sf_dir), P.ROAD_RADIUS, plan=plan, salt_cols=["ping_id"])
+    pairs = joins.near_lines(pings, inputs.roads_mercator(spark, sf_dir), P.ROAD_RADIUS, plan=plan)
     return aggregate.count_by_day(pairs, "feature_id", "join_count", P.OFFSET_MS)
 
 
+def segment_capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The `ROAD_RADIUS` buffer of every road segment as a ring (a capsule): text-free
+    summary of its vertices and area."""
+    from ..operators.buffers import capsule_ring
+
+    roads = inputs.roads_mercator(spark, sf_dir)
+    segs = roads.select("feature_id", F.posexplode(geom.edges("parts")).alias("seg_idx", "s"))
+    rings = segs.withColumn("parts", capsule_ring("s", P.ROAD_RADIUS))
+    e = geom.envelope("parts")
+    return rings.select(
+        "feature_id", "seg_idx", F.size(geom.vertices("parts")).alias("n_vertices"), F.round(geom.polygon_area("parts"), 2).alias("area"),
+        *[F.round(e[c], 3).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")],
+    )
+
+
+def road_visits_by_text_id(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
+    """Pings near the wide roads per text id; roads that share a text id each count their pings."""
+    pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "ping_id", "x", "y")
+    roads = inputs.wide_roads_mercator(spark, sf_dir).select(F.col("text_id").alias("feature_id"), "kind", "parts")
+    pairs = joins.near_lines(pings, roads, P.ROAD_RADIUS, plan=plan)
+    return pairs.groupBy(F.col("feature_id").alias("text_id")).agg(F.count(F.lit(1)).alias("join_count"))
+
+
 def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segment table of the roads: one row per segment with its end points,
     length and the bounding box of its `ROAD_RADIUS` buffer."""
@@ -250,6 +306,20 @@ def winter_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_winter_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The season filter on pings of all months."""
+    p = filters.in_months(fixtures.wide_pings(spark, sf_dir), P.WINTER_MONTHS, P.OFFSET_MS)
+    return p.select("ping_id", "sys_time", F.month(local_timestamp("sys_time", P.OFFSET_MS)).alias("month"))
+
+
+def wide_hourly_grid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly grid on pings that leave most hours empty and lie partly outside the box."""
+    import math
+
+    lo, hi = hour_slices(P.WIDE_GRID_FROM_TIME, P.WIDE_GRID_TO_TIME, P.OFFSET_MS)
+    return aggregate.hourly_grid(fixtures.wide_pings(spark, sf_dir), P.GRID_BOX, int(math.isqrt(P.NUM_PARTITIONS)), lo, hi, P.OFFSET_MS)
+
+
 def study_area_pings_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pings (Mercator) strictly inside the study-area rectangle, per day."""
     p = filters.within_study_area(inputs.pings_mercator(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from ..functions.sql import register_sql_functions
 from ..functions.crs import gcj02_to_wgs84, to_mercator, to_utm50n, wgs84_to_gcj02
 from ..sources import fixtures
 from . import inputs
@@ -17,6 +18,13 @@ def gcj_to_wgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("ping_id", F.round("wgs_lng", 8).alias("wgs_lng"), F.round("wgs_lat", 8).alias("wgs_lat"))
 
 
+def gcj_to_wgs_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same correction by the SQL functions."""
+    register_sql_functions(spark)
+    p = fixtures.pings(spark, sf_dir).select("ping_id", F.expr("gcj_to_wgs(lng, lat)").alias("w"))
+    return p.select("ping_id", F.round("w.lng", 8).alias("wgs_lng"), F.round("w.lat", 8).alias("wgs_lat"))
+
+
 def wgs_to_gcj(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pings shifted from WGS-84 to GCJ-02."""
     p = wgs84_to_gcj02(fixtures.pings(spark, sf_dir).select("ping_id", "lng", "lat"), "lng", "lat", "gcj_lng", "gcj_lat")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.crs import to_mercator, to_utm50n
+from ..functions.crs import gcj02_to_wgs84, to_mercator, to_utm50n
 from ..sources import fixtures
 
 
@@ -47,3 +47,21 @@ def zones_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def only(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(c) for c in cols])
+
+
+def pings_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pings read as GCJ-02 positions, corrected and projected to Mercator."""
+    p = gcj02_to_wgs84(fixtures.pings(spark, sf_dir).select("ping_id", "lng", "lat"), "lng", "lat", "wgs_lng", "wgs_lat")
+    return to_mercator(p, "wgs_lng", "wgs_lat").select("ping_id", "x", "y")
+
+
+def wide_pings_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_mercator(fixtures.wide_pings(spark, sf_dir))
+
+
+def wide_roads_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.project_parts(fixtures.wide_roads_lnglat(spark, sf_dir), "mercator")
+
+
+def blocks_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.project_parts(fixtures.blocks_lnglat(spark, sf_dir), "mercator")

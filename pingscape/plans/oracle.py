@@ -156,18 +156,34 @@ def matched_windows() -> str:
     return _with(PINGS, PINGS_M, POIS_M, _windows()) + "SELECT COUNT(*) AS n_windows FROM wstat"
 
 
+def _circles(vertices: int = 32) -> str:
+    """Circle rings of the POIs: vertex k at angle 2 pi k / vertices, the last on the first."""
+    step = D(2.0 * math.pi / vertices)
+    return f"""cv AS (
+  SELECT feature_id, k.range AS k, x + {D(P.POI_RADIUS)} * cos(CAST(k.range % {vertices} AS DOUBLE) * {step}) AS vx,
+    y + {D(P.POI_RADIUS)} * sin(CAST(k.range % {vertices} AS DOUBLE) * {step}) AS vy
+  FROM poim, range({vertices + 1}) k),
+cw AS (SELECT feature_id, 'POLYGON ((' || string_agg(printf('%.3f %.3f', vx, vy), ', ' ORDER BY k) || '))' AS wkt, COUNT(*) AS n FROM cv GROUP BY 1)"""
+
+
 def top_poi_by_density() -> str:
-    return _with(PINGS, PINGS_M, POIS_M, _windows()) + (
-        f"SELECT feature_id, n_distinct, density FROM wstat ORDER BY density DESC, feature_id LIMIT {P.FIRST_X}"
+    return _with(PINGS, PINGS_M, POIS_M, _windows(), _circles()) + (
+        f"SELECT feature_id, wkt, n_distinct, density FROM wstat JOIN cw USING (feature_id) ORDER BY density DESC, feature_id LIMIT {P.FIRST_X}"
     )
 
 
 def top_poi_by_count() -> str:
-    return _with(PINGS, PINGS_M, POIS_M, _windows()) + (
-        f"SELECT feature_id, n_distinct FROM wstat ORDER BY n_distinct DESC, feature_id LIMIT {P.FIRST_X}"
+    return _with(PINGS, PINGS_M, POIS_M, _windows(), _circles()) + (
+        f"SELECT feature_id, wkt, n_distinct FROM wstat JOIN cw USING (feature_id) ORDER BY n_distinct DESC, feature_id LIMIT {P.FIRST_X}"
     )
 
 
+def poi_circles() -> str:
+    return _with(POIS_M, _circles()) + f"""
+SELECT cw.feature_id, wkt, CAST(n AS INTEGER) AS n_vertices, round({D(32 * math.sin(2 * math.pi / 32) / 2)} * {D(P.POI_RADIUS)} * {D(P.POI_RADIUS)}, 3) AS area
+FROM cw"""
+
+
 def _poi_case_pairs() -> str:
     return f"""pc AS (
   SELECT poim.feature_id, poim.x AS px, poim.y AS py, casem.case_id, casem.case_date
@@ -676,3 +692,154 @@ SELECT {day_sql('sys_time')} AS day, COUNT(*) AS n_pings FROM pm WHERE {_study_a
 
 
 ORACLES["study_area_pings_by_day"] = study_area_pings_by_day
+
+
+# ---------------------------------------------------------------------------
+# wide inputs, multi-polygons, shared text ids
+# ---------------------------------------------------------------------------
+WIDE_PINGS = f"""wide AS (
+  SELECT ping_id, sys_time + ((ping_id * 7) % 13) * {30 * 86400000} AS sys_time,
+    {D(115.2)} + CAST((ping_id*7919) % 100003 AS DOUBLE)/100003*{D(2.4)} AS lng,
+    {D(39.2)} + CAST((ping_id*15485863) % 100019 AS DOUBLE)/100019*{D(1.6)} AS lat
+  FROM pings)"""
+
+WIDE_ROADS = f"""wroadv AS (
+  SELECT CAST(s_suppkey AS BIGINT) AS feature_id, r.range AS k,
+    {D(115.7)} + CAST((CAST(s_suppkey AS BIGINT)*611953) % 10007 AS DOUBLE)/10007*{D(1.4)} + CAST(r.range AS DOUBLE)*{D(0.02)} AS lng,
+    {D(39.4)} + CAST((CAST(s_suppkey AS BIGINT)*746773) % 10009 AS DOUBLE)/10009*{D(1.1)}
+      + CAST((CAST(s_suppkey AS BIGINT)*(r.range+3)) % 7 AS DOUBLE)*{D(0.006)} AS lat
+  FROM supplier, range(4) r),
+roadm AS (SELECT feature_id, k, {mx('lng')} AS x, {my('lat')} AS y FROM wroadv),
+segs AS (
+  SELECT a.feature_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
+  FROM roadm a JOIN roadm b ON a.feature_id = b.feature_id AND b.k = a.k + 1)"""
+
+# squares: corners in order, ring by ring (part 1, 1/2 and 1/4 of the half side)
+BLOCKS = f"""corner(k, sx, sy) AS (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)),
+part(ring, p) AS (VALUES (0, {D(1.0)}), (1, {D(0.5)}), (2, {D(0.25)})),
+blockv AS (
+  SELECT CAST(s_suppkey AS BIGINT) AS feature_id, ring, k,
+    {D(116.20)} + CAST((s_suppkey*49979687) % 10037 AS DOUBLE)/10037*{D(0.30)} + CAST(sx AS DOUBLE) * ({D(0.0005)} * pow({D(2.0)}, CAST(s_suppkey % 7 AS DOUBLE)) * p) AS lng,
+    {D(39.80)} + CAST((s_suppkey*86028121) % 10039 AS DOUBLE)/10039*{D(0.25)} + CAST(sy AS DOUBLE) * ({D(0.0005)} * pow({D(2.0)}, CAST(s_suppkey % 7 AS DOUBLE)) * p) AS lat
+  FROM supplier, part, corner),
+blockm AS (SELECT feature_id, ring, k, {mx('lng')} AS x, {my('lat')} AS y FROM blockv),
+box AS (SELECT feature_id, ring, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM blockm GROUP BY 1, 2)"""
+
+
+def shape_measures() -> str:
+    """Axis-aligned squares stay rectangles under Mercator: area by side lengths, shells plus, holes minus."""
+    return _with(BLOCKS) + """
+SELECT feature_id, 'MULTIPOLYGON' AS kind, CAST(COUNT(*) AS INTEGER) AS n_rings, CAST(2 AS INTEGER) AS n_members,
+  round(SUM((CASE WHEN ring = 1 THEN -1 ELSE 1 END) * (x1 - x0) * (y1 - y0)), 2) AS area
+FROM box GROUP BY 1"""
+
+
+def block_totals() -> str:
+    """Strictly inside the outer square and not in the closed hole, or strictly inside the inner square."""
+    inside = lambda b: f"x > {b}.x0 AND x < {b}.x1 AND y > {b}.y0 AND y < {b}.y1"
+    return _with(PINGS, PINGS_M, BLOCKS) + f""",
+hit AS (
+  SELECT a.feature_id, x, y FROM pm, box a JOIN box b ON a.feature_id = b.feature_id AND b.ring = 1 JOIN box c ON a.feature_id = c.feature_id AND c.ring = 2
+  WHERE a.ring = 0 AND (({inside('a')} AND NOT (x >= b.x0 AND x <= b.x1 AND y >= b.y0 AND y <= b.y1)) OR ({inside('c')})))
+SELECT feature_id, COUNT(*) AS n, COUNT(DISTINCT (x, y)) AS n_distinct FROM hit GROUP BY 1"""
+
+
+def road_visits_by_text_id() -> str:
+    return _with(PINGS, PINGS_M, WIDE_ROADS, _road_pairs()) + """
+SELECT 'R-' || CASE WHEN feature_id % 3 = 0 THEN feature_id + 1 ELSE feature_id END AS text_id, COUNT(*) AS join_count FROM rp GROUP BY 1"""
+
+
+def segment_capsules(vertices: int = 32) -> str:
+    """Half circles of vertices / 2 steps around both ends; area of the polygon by shoelace."""
+    half, r = vertices // 2, D(P.ROAD_RADIUS)
+    return _with(ROADS_M) + f""",
+arc AS (
+  SELECT feature_id, seg_idx, side.range AS side, k.range AS k,
+    (CASE WHEN side.range = 0 THEN x2 ELSE x1 END) + {r} * cos(atan2(y2 - y1, x2 - x1) + (side.range * 2 - 1) * {D(math.pi / 2)} + CAST(k.range AS DOUBLE) * {D(math.pi / half)}) AS x,
+    (CASE WHEN side.range = 0 THEN y2 ELSE y1 END) + {r} * sin(atan2(y2 - y1, x2 - x1) + (side.range * 2 - 1) * {D(math.pi / 2)} + CAST(k.range AS DOUBLE) * {D(math.pi / half)}) AS y
+  FROM segs, range(2) side, range({half + 1}) k),
+ring AS (SELECT *, row_number() OVER w AS i, lead(x) OVER w AS nx, lead(y) OVER w AS ny, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy
+  FROM arc WINDOW w AS (PARTITION BY feature_id, seg_idx ORDER BY side, k))
+SELECT feature_id, CAST(seg_idx AS INTEGER) AS seg_idx, CAST(COUNT(*) + 1 AS INTEGER) AS n_vertices,
+  round(abs(SUM((x - fx) * (coalesce(ny, fy) - fy) - (coalesce(nx, fx) - fx) * (y - fy))) / {D(2.0)}, 2) AS area,
+  round(min(x), 3) AS min_x, round(min(y), 3) AS min_y, round(max(x), 3) AS max_x, round(max(y), 3) AS max_y
+FROM ring GROUP BY 1, 2"""
+
+
+def wide_winter_pings() -> str:
+    ts = f"(TIMESTAMP '1970-01-01 00:00:00' + to_milliseconds(sys_time + {OFF}))"
+    return _with(PINGS, WIDE_PINGS) + f"""
+SELECT ping_id, sys_time, CAST(month({ts}) AS INTEGER) AS month FROM wide WHERE month({ts}) IN (12, 1, 2)"""
+
+
+def wide_hourly_grid_counts() -> str:
+    """The bounds are written out: from 2024-06-01 to 2024-07-16, whole hours, both ends open."""
+    lo, hi = 1717200000000, 1721088000000
+    text = hourly_grid_counts()
+    old_lo, old_hi = hour_slices(P.GRID_FROM_TIME, P.GRID_TO_TIME, OFF)
+    text = text.replace(f"sys_time > {old_lo} AND sys_time < {old_hi}", f"sys_time > {lo} AND sys_time < {hi}")
+    return text.replace("SELECT * FROM pings WHERE", "SELECT * FROM wide WHERE").replace(_with(PINGS), _with(PINGS, WIDE_PINGS))
+
+
+_WIDE_M = f"wm AS (SELECT ping_id, {mx('lng')} AS x, {my('lat')} AS y FROM wide)"
+
+
+def _wide_heat(envelope_cte: str) -> str:
+    text = _heat(envelope_cte).replace("FROM pm, range", "FROM wm, range").replace("pm.x, pm.y", "wm.x, wm.y")
+    return text.replace(PINGS_M, ",\n".join([WIDE_PINGS, _WIDE_M]))
+
+
+def wide_heat_tiles() -> str:
+    return _wide_heat(_env_pings().replace("FROM pm", "FROM wm")) + _tiles_of("heat", "n_sum", "intensity")
+
+
+def wide_heat_tiles_beijing() -> str:
+    x0, y0, x1, y1 = P.BEIJING_BOX_3857
+    return _wide_heat(f"env AS (SELECT {D(x0)} AS min_x, {D(y0)} AS min_y, {D(x1)} AS max_x, {D(y1)} AS max_y)") + _tiles_of("heat", "n_sum", "intensity")
+
+
+def wide_lines_in_box() -> str:
+    return _with(WIDE_ROADS) + _in_box_ids()
+
+
+def _corrected() -> str:
+    """The corrected positions as Mercator points `pm` (full precision)."""
+    inner = gcj_to_wgs().replace("round(wl, 8)", "wl").replace("round(wt, 8)", "wt")
+    return f"fixed AS ({inner}),\npm AS (SELECT ping_id, {mx('wgs_lng')} AS x, {my('wgs_lat')} AS y FROM fixed)"
+
+
+def heat_pixels_gcj() -> str:
+    return heat_pixels().replace(PINGS_M, _corrected())
+
+
+def tile_offsets_gcj() -> str:
+    return tile_offsets().replace(PINGS_M, _corrected())
+
+
+def road_tile_offsets() -> str:
+    return tile_offsets().replace(_with(PINGS, PINGS_M, _env_pings()), _with(ROADS_M, _env_roads()))
+
+
+def road_tile_spans() -> str:
+    return tile_spans().replace(_with(PINGS, PINGS_M, _env_pings(), _spans(P.MIN_ZOOM, P.MAX_ZOOM)), _with(ROADS_M, _env_roads(), _spans(P.MIN_ZOOM, P.MAX_ZOOM)))
+
+
+ORACLES.update(
+    {
+        "poi_circles": poi_circles,
+        "shape_measures": shape_measures,
+        "block_totals": block_totals,
+        "road_visits_by_text_id": road_visits_by_text_id,
+        "segment_capsules": segment_capsules,
+        "wide_winter_pings": wide_winter_pings,
+        "wide_hourly_grid_counts": wide_hourly_grid_counts,
+        "wide_heat_tiles": wide_heat_tiles,
+        "wide_heat_tiles_beijing": wide_heat_tiles_beijing,
+        "wide_lines_in_box": wide_lines_in_box,
+        "heat_pixels_gcj": heat_pixels_gcj,
+        "tile_offsets_gcj": tile_offsets_gcj,
+        "road_tile_offsets": road_tile_offsets,
+        "road_tile_spans": road_tile_spans,
+        "gcj_to_wgs_sql": gcj_to_wgs,
+    }
+)

@@ -12,6 +12,9 @@ TO_TIME = "2024-01-27 18:00:00"
 # the whole fixture month, for the hourly grid
 GRID_FROM_TIME = "2024-01-01 00:00:00"
 GRID_TO_TIME = "2024-01-31 00:00:00"
+# a stretch of the wide pings, for the grid with empty hours
+WIDE_GRID_FROM_TIME = "2024-06-01 00:00:00"
+WIDE_GRID_TO_TIME = "2024-07-16 00:00:00"
 # zone offset of the wall time, ms (0 = UTC)
 OFFSET_MS = 0
 

@@ -56,15 +56,28 @@ def tile_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tile_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tile span and aligned bounds of the ping envelope per zoom."""
-    s = raster.tile_spans(_ping_env(spark, sf_dir), P.MIN_ZOOM, P.MAX_ZOOM)
+    return _rounded(raster.tile_spans(_ping_env(spark, sf_dir), P.MIN_ZOOM, P.MAX_ZOOM))
+
+
+def _rounded(s: DataFrame) -> DataFrame:
     return s.select(*[F.round(c, 3).alias(c) if c.startswith(("min_", "max_")) else F.col(c) for c in s.columns])
 
 
 def heat_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blurred heat-map pixels of all pings, zooms MIN_ZOOM..MAX_ZOOM (one job)."""
+    """Blurred heat-map pixels of all pings, zooms MIN_ZOOM..MAX_ZOOM (one job, one scan)."""
     pings = inputs.pings_mercator(spark, sf_dir).select("x", "y")
-    spans = raster.tile_spans(_ping_env(spark, sf_dir), P.MIN_ZOOM, P.MAX_ZOOM)
-    return raster.heat_pixels(pings, spans, P.MIN_ZOOM, P.MAX_ZOOM, P.HEAT_BLUR, P.HEAT_CAP)
+    return raster.heat_pixels(pings, P.MIN_ZOOM, P.MAX_ZOOM, P.HEAT_BLUR, P.HEAT_CAP)
+
+
+def heat_pixels_gcj(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heat map of pings given in GCJ-02, corrected to WGS-84 first."""
+    pings = inputs.pings_corrected(spark, sf_dir).select("x", "y")
+    return raster.heat_pixels(pings, P.MIN_ZOOM, P.MAX_ZOOM, P.HEAT_BLUR, P.HEAT_CAP)
+
+
+def tile_offsets_gcj(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-left tile of the corrected pings' envelope at zooms 0..MAX_ZOOM."""
+    return raster.tile_offsets(aggregate.envelope(inputs.pings_corrected(spark, sf_dir)).drop("n"), P.MAX_ZOOM)
 
 
 def heat_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +85,41 @@ def heat_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.assemble_tiles(heat_pixels(spark, sf_dir))
 
 
+def _box_spans(spark: SparkSession) -> DataFrame:
+    return raster.tile_spans(raster.box_envelope(spark, P.BEIJING_BOX_3857), P.MIN_ZOOM, P.MAX_ZOOM)
+
+
 def heat_tiles_beijing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heat-map tiles over the fixed Beijing box instead of the data envelope."""
     pings = inputs.pings_mercator(spark, sf_dir).select("x", "y")
-    spans = raster.tile_spans(raster.box_envelope(spark, P.BEIJING_BOX_3857), P.MIN_ZOOM, P.MAX_ZOOM)
-    pix = raster.heat_pixels(pings, spans, P.MIN_ZOOM, P.MAX_ZOOM, P.HEAT_BLUR, P.HEAT_CAP)
-    return raster.assemble_tiles(pix)
+    return raster.assemble_tiles(raster.heat_pixels(pings, P.MIN_ZOOM, P.MAX_ZOOM, P.HEAT_BLUR, P.HEAT_CAP, _box_spans(spark)))
+
+
+def wide_heat_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heat-map tiles of the wide pings (they reach beyond the box)."""
+    pings = inputs.wide_pings_mercator(spark, sf_dir).select("x", "y")
+    return raster.assemble_tiles(raster.heat_pixels(pings, P.MIN_ZOOM, P.MAX_ZOOM, P.HEAT_BLUR, P.HEAT_CAP))
+
+
+def wide_heat_tiles_beijing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heat-map tiles of the wide pings on the Beijing box: those beyond it are cut off."""
+    pings = inputs.wide_pings_mercator(spark, sf_dir).select("x", "y")
+    return raster.assemble_tiles(raster.heat_pixels(pings, P.MIN_ZOOM, P.MAX_ZOOM, P.HEAT_BLUR, P.HEAT_CAP, _box_spans(spark)))
+
+
+def road_tile_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-left tile of the road envelope at zooms 0..MAX_ZOOM."""
+    return raster.tile_offsets(_road_env(spark, sf_dir), P.MAX_ZOOM)
+
+
+def road_tile_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile span and aligned bounds of the road envelope per zoom."""
+    return _rounded(raster.tile_spans(_road_env(spark, sf_dir), P.MIN_ZOOM, P.MAX_ZOOM))
+
+
+def wide_lines_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide roads (one per supplier) wholly inside the Beijing box; others cross its edge or lie beyond."""
+    return raster.lines_in_box(inputs.wide_roads_mercator(spark, sf_dir), P.BEIJING_BOX_3857).select("feature_id")
 
 
 def line_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,11 @@
 """Session helpers for tests, scripts and the bench.
 
 On a cluster the session comes from the submitter; these helpers only build a
-local one, and set a checkpoint folder only when the cluster names none.
+local one.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -24,20 +22,4 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: `spark.checkpoint.dir` from the session if
-    set (a cluster sets it to shared storage); otherwise a local scratch folder
-    for tests."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="pingscape-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured

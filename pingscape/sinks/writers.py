@@ -1,9 +1,8 @@
 """Result writers.
 
 Every writer is a DataFrame write executed by the tasks; nothing is gathered
-on the driver.  Results that are small by construction (a count, a top-k) are
-written as a single file after a `coalesce(1)`, which is only done behind the
-limit that bounds them.
+on the driver.  Results that are small by construction (a count, a top-k) can be
+written as a single file.
 """
 
 from __future__ import annotations
@@ -19,22 +18,15 @@ def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.mode("overwrite").option("header", header).csv(path)
 
 
-def _spread(df: DataFrame, cols: list[str], buckets: int) -> DataFrame:
-    """Cluster rows by the partition columns plus a hash bucket of the whole row:
-    a value's rows go to at most `buckets` tasks (so at most that many files per
-    value), and a hot value (one day holding a third of the rows, the finest
-    zoom of a pyramid) is still written by `buckets` tasks, not one.  The
-    bucket is a hash, so a retried task writes the same rows."""
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(int(buckets)))
-    return df.repartition(*[F.col(c) for c in cols], bucket)
+def write_partitioned(df: DataFrame, path: str, by: str | list[str], header: bool = True, fmt: str = "csv", spread: list[str] | None = None) -> None:
+    """One sub-directory per value of `by` (e.g. one per day or per hour).
 
-
-def write_partitioned(
-    df: DataFrame, path: str, by: str | list[str], header: bool = True, fmt: str = "csv", buckets: int = 16
-) -> None:
-    """One sub-directory per value of `by` (e.g. one per day or per hour)."""
+    Rows are rebalanced by `by` (and by `spread`, columns with many values): small
+    values share tasks, and a value that holds a large share of the rows is split
+    by size, so the number of its files follows the data.
+    """
     cols = [by] if isinstance(by, str) else list(by)
-    w = _spread(df, cols, buckets).write.mode("overwrite").partitionBy(*cols)
+    w = df.hint("rebalance", *[F.col(c) for c in cols + (spread or [])]).write.mode("overwrite").partitionBy(*cols)
     if fmt == "csv":
         w.option("header", header).csv(path)
     else:
@@ -49,15 +41,16 @@ def write_text_lines(df: DataFrame, path: str, line) -> None:
 def shape_lines(df: DataFrame, kind: str = "kind", parts: str = "parts", *values: str) -> DataFrame:
     """`wkt,value1,value2,...` text per shape row."""
     items = [geom.to_wkt(kind, parts)] + [F.col(v).cast("string") for v in values]
-    return df.select(F.concat_ws(",", *items).alias("value"))
+    # a missing value leaves its field empty, so that the fields keep their places
+    return df.select(F.concat_ws(",", *[F.coalesce(i, F.lit("")) for i in items]).alias("value"))
 
 
-def write_small(df: DataFrame, path: str, max_rows: int, header: bool = True) -> None:
-    """A result bounded by `max_rows` (a count, a top-k) as one CSV file."""
-    df.limit(int(max_rows)).coalesce(1).write.mode("overwrite").option("header", header).csv(path)
+def write_small(df: DataFrame, path: str, header: bool = True) -> None:
+    """A result that is small by construction (a count, a top-k) as one CSV file; all its rows are written."""
+    df.coalesce(1).write.mode("overwrite").option("header", header).csv(path)
 
 
-def write_tiles(df: DataFrame, path: str, buckets: int = 16) -> None:
-    """Tile / pixel tables as parquet partitioned by zoom (the finest zoom holds
-    most rows, so each zoom is spread over `buckets` tasks)."""
-    _spread(df, ["z"], buckets).write.mode("overwrite").partitionBy("z").parquet(path)
+def write_tiles(df: DataFrame, path: str) -> None:
+    """Tile / pixel tables as parquet partitioned by zoom, each zoom spread by its tiles."""
+    tiles = [c for c in ("tx", "ty") if c in df.columns] or [c for c in ("px", "py") if c in df.columns]
+    write_partitioned(df, path, "z", fmt="parquet", spread=tiles)

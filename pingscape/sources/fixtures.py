@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.crs import mercator_x, mercator_y, utm50n_parts
 from ..functions.geom import PARTS_TYPE
-from ..functions.timefn import sys_time_from_timestamp
+from ..functions.timefn import MS_PER_DAY, sys_time_from_timestamp
 
 # Fixture boxes and multipliers (lng/lat degrees).
 PING_LNG0, PING_LAT0, PING_DLNG, PING_DLAT = 116.20, 39.80, 0.30, 0.25
@@ -87,6 +87,22 @@ def pings(spark: SparkSession, sf_dir: str, window: tuple[int, int] | None = Non
     ).transform(non_null_coordinates)
 
 
+def wide_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pings over more than a year and well beyond the study boxes, one per event.
+
+    A season filter, the hourly-grid box and the Beijing box each lose some of
+    them, and most hours of the year have none.
+    """
+    p = pings(spark, sf_dir)
+    months = F.expr("cast((ping_id * 7) % 13 as bigint)")
+    return p.select(
+        "ping_id",
+        (F.col("sys_time") + months * F.lit(30 * MS_PER_DAY)).alias("sys_time"),
+        (F.lit(115.2) + _frac("ping_id*7919", 100003) * F.lit(2.4)).alias("lng"),
+        (F.lit(39.2) + _frac("ping_id*15485863", 100019) * F.lit(1.6)).alias("lat"),
+    ).transform(non_null_coordinates)
+
+
 def pois(spark: SparkSession, sf_dir: str, with_name: bool = False) -> DataFrame:
     """`(feature_id, lng, lat)` - one POI per supplier (`name` too if asked)."""
     cols = ["s_suppkey", "s_name"] if with_name else ["s_suppkey"]
@@ -142,6 +158,40 @@ def roads_lnglat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("feature_id", F.lit("LINESTRING").alias("kind"), F.array(line).cast(PARTS_TYPE).alias("parts"))
 
 
+def wide_roads_lnglat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One 4-vertex line per supplier, spread over more than the Beijing box; every
+    third line goes by the text id of its neighbour, so text ids repeat."""
+    s = table(spark, sf_dir, "supplier").where(F.col("s_suppkey").isNotNull()).select(F.col("s_suppkey").cast("long").alias("feature_id"))
+    line = F.transform(
+        F.sequence(F.lit(0), F.lit(ROAD_VERTICES - 1)),
+        lambda k: F.struct(
+            (F.lit(115.7) + _frac("feature_id*611953", 10007) * F.lit(1.4) + k.cast("double") * F.lit(0.02)).alias("x"),
+            (F.lit(39.4) + _frac("feature_id*746773", 10009) * F.lit(1.1) + F.pmod(F.col("feature_id") * (k + 3), F.lit(7)).cast("double") * F.lit(0.006)).alias("y"),
+        ),
+    )
+    text_id = F.concat(F.lit("R-"), F.when(F.col("feature_id") % 3 == 0, F.col("feature_id") + 1).otherwise(F.col("feature_id")).cast("string"))
+    return s.select("feature_id", text_id.alias("text_id"), F.lit("LINESTRING").alias("kind"), F.array(line).cast(PARTS_TYPE).alias("parts"))
+
+
+def blocks_lnglat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-polygons of very different sizes, one per supplier: a square with a square
+    hole, and a second, smaller square inside that hole.  The rings' orientation changes
+    with the key."""
+    s = table(spark, sf_dir, "supplier").where(F.col("s_suppkey").isNotNull()).select(F.col("s_suppkey").cast("long").alias("feature_id"))
+    cx = F.lit(116.20) + _frac("feature_id*49979687", 10037) * F.lit(0.30)
+    cy = F.lit(39.80) + _frac("feature_id*86028121", 10039) * F.lit(0.25)
+    half = F.lit(0.0005) * F.pow(F.lit(2.0), F.expr("cast(feature_id % 7 as double)"))
+
+    def square(part: float):
+        h = half * F.lit(part)
+        at = lambda sx, sy: F.struct((cx + F.lit(sx) * h).alias("x"), (cy + F.lit(sy) * h).alias("y"))
+        ring = F.array(at(-1.0, -1.0), at(1.0, -1.0), at(1.0, 1.0), at(-1.0, 1.0), at(-1.0, -1.0))
+        return F.when(F.col("feature_id") % 2 == 0, F.reverse(ring)).otherwise(ring)
+
+    parts = F.array(square(1.0), square(0.5), square(0.25))
+    return s.select("feature_id", F.lit("MULTIPOLYGON").alias("kind"), parts.cast(PARTS_TYPE).alias("parts"))
+
+
 def _zone_ring(k):
     ang = k.cast("double") * F.lit(math.pi) / F.lit(3.0)
     return F.struct(

@@ -21,9 +21,6 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    from pingscape.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(s)
     yield s
 
 

@@ -43,55 +43,20 @@ def test_utm_expression_matches_helper(spark):
         assert r.y == pytest.approx(r.n, abs=1e-6)
 
 
-def _gcj_delta_py(lng, lat):
-    """Independent scalar version of the published GCJ-02 offset formulas."""
-    a, ee = 6378245.0, 0.00669342162296594323
-    x, y = lng - 105.0, lat - 35.0
-    pi = math.pi
-    dlat = -100.0 + 2.0 * x + 3.0 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * math.sqrt(abs(x))
-    dlat += (20.0 * math.sin(6.0 * x * pi) + 20.0 * math.sin(2.0 * x * pi)) * 2.0 / 3.0
-    dlat += (20.0 * math.sin(y * pi) + 40.0 * math.sin(y / 3.0 * pi)) * 2.0 / 3.0
-    dlat += (160.0 * math.sin(y / 12.0 * pi) + 320 * math.sin(y * pi / 30.0)) * 2.0 / 3.0
-    dlng = 300.0 + x + 2.0 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * math.sqrt(abs(x))
-    dlng += (20.0 * math.sin(6.0 * x * pi) + 20.0 * math.sin(2.0 * x * pi)) * 2.0 / 3.0
-    dlng += (20.0 * math.sin(x * pi) + 40.0 * math.sin(x / 3.0 * pi)) * 2.0 / 3.0
-    dlng += (150.0 * math.sin(x / 12.0 * pi) + 300.0 * math.sin(x / 30.0 * pi)) * 2.0 / 3.0
-    rad = lat / 180.0 * pi
-    magic = 1 - ee * math.sin(rad) ** 2
-    sm = math.sqrt(magic)
-    dlat = (dlat * 180.0) / ((a * (1 - ee)) / (magic * sm) * pi)
-    dlng = (dlng * 180.0) / (a / sm * math.cos(rad) * pi)
-    return dlng, dlat
-
-
-def _gcj_inverse_py(glng, glat):
-    wl, wt = glng, glat
-    dlng_c, dlat_c = 1.0, 1.0
-    k = 0
-    while (dlat_c > 1e-7 or dlng_c > 1e-7) and k <= 5:
-        dl, dt = _gcj_delta_py(wl, wt)
-        if k == 0:
-            dlng_c, dlat_c = abs(wl), abs(wt)
-        else:
-            dlng_c, dlat_c = abs(glng - dl - wl), abs(glat - dt - wt)
-        wl, wt = glng - dl, glat - dt
-        k += 1
-    return wl, wt
+def test_gcj_forward_golden_position(spark):
+    # a widely published pair: Tiananmen in both systems
+    r = crs.wgs84_to_gcj02(spark.createDataFrame([(116.404, 39.915)], "lng double, lat double")).first()
+    assert r.gcj_lng == pytest.approx(116.41024449916938, abs=1e-11)
+    assert r.gcj_lat == pytest.approx(39.91640428150164, abs=1e-11)
 
 
-def test_gcj_forward_and_inverse_match_scalar_loop(spark):
-    pts = [(116.2 + i * 0.013, 39.8 + i * 0.007) for i in range(40)] + [(121.47, 31.23), (0.0, 0.0)]
+def test_gcj_round_trips_leave_no_residue(spark):
+    pts = [(116.2 + i * 0.013, 39.8 + i * 0.007) for i in range(40)] + [(121.47, 31.23), (87.6, 43.8)]
     df = spark.createDataFrame(pts, "lng double, lat double")
-    fwd = crs.wgs84_to_gcj02(df).collect()
-    inv = crs.gcj02_to_wgs84(df).collect()
-    for r in fwd:
-        dl, dt = _gcj_delta_py(r.lng, r.lat)
-        assert r.gcj_lng == pytest.approx(r.lng + dl, abs=1e-12)
-        assert r.gcj_lat == pytest.approx(r.lat + dt, abs=1e-12)
-    for r in inv:
-        el, et = _gcj_inverse_py(r.lng, r.lat)
-        assert r.wgs_lng == pytest.approx(el, abs=1e-12)
-        assert r.wgs_lat == pytest.approx(et, abs=1e-12)
+    there = crs.gcj02_to_wgs84(crs.wgs84_to_gcj02(df), "gcj_lng", "gcj_lat", "bx", "by").collect()
+    assert all(abs(r.bx - r.lng) < 1e-6 and abs(r.by - r.lat) < 1e-6 for r in there)
+    back = crs.wgs84_to_gcj02(crs.gcj02_to_wgs84(df), "wgs_lng", "wgs_lat", "fx", "fy").collect()
+    assert all(abs(r.fx - r.lng) < 1e-6 and abs(r.fy - r.lat) < 1e-6 for r in back)
 
 
 def test_gcj_inverse_undoes_forward(spark):
@@ -242,3 +207,58 @@ def test_time_texts(spark):
         timefn.timestamp_text(F.lit(ms), offset_ms=8 * 3600000).alias("ts"),
     ).first()
     assert (r.d, r.t, r.ts) == ("2024-01-01", "08:35:07", "2024-01-01 16:35:07")
+
+
+def test_wkt_forms(spark):
+    good = {
+        "POINT Z (1 2 3)": ("POINT", [[(1.0, 2.0)]]),
+        "POINTZM(1 2 3 4)": ("POINT", [[(1.0, 2.0)]]),
+        "SRID=4326; point ( 1   2 )": ("POINT", [[(1.0, 2.0)]]),
+        "LINESTRING EMPTY": ("LINESTRING", []),
+        "MULTIPOINT (1 1, 2 2)": ("MULTIPOINT", [[(1.0, 1.0)], [(2.0, 2.0)]]),
+        "MULTIPOINT ((1 1), (2 2))": ("MULTIPOINT", [[(1.0, 1.0)], [(2.0, 2.0)]]),
+        "MULTILINESTRING ((0 0, 1 1),(2 2,3 3))": ("MULTILINESTRING", [[(0.0, 0.0), (1.0, 1.0)], [(2.0, 2.0), (3.0, 3.0)]]),
+    }
+    bad = ["POINT (5)", "LINESTRING (0 0, 1)", "POLYGON ((0 0, 1 1, 1 0, 0 0)", "POLYGON (0 0, 1 1, 1 0, 0 0)", "POINT (1 2, 3 4)", "POINT ((1 2))", "LINESTRING (0 0,, 1 1)",
+           "MULTIPOLYGON ((0 0, 1 1, 1 0, 0 0))", "POINT (1 2) x", "POINT", "", "CIRCLE (1 2)", "POINT (1 2 3 4 5)", "POINT (a b)", None]
+    df = spark.createDataFrame([(t,) for t in [*good, *bad]], "t string").select("t", geom.wkt_kind("t").alias("k"), geom.wkt_parts("t").alias("p"))
+    for r in df.collect():
+        if r.t in good:
+            assert (r.k, [[tuple(v) for v in p] for p in r.p]) == good[r.t], r.t
+        else:
+            assert r.p is None, r.t
+
+
+def test_multi_shapes_areas_members_and_text(spark):
+    texts = [
+        # areas 1 and 9; then a shell with a hole and an island in the hole, rings in any orientation
+        ("MULTIPOLYGON (((0 0, 1 0, 1 1, 0 1, 0 0)), ((10 10, 13 10, 13 13, 10 13, 10 10)))", 10.0, 2),
+        ("MULTIPOLYGON (((0 0, 0 10, 10 10, 10 0, 0 0), (2 2, 8 2, 8 8, 2 8, 2 2)), ((4 4, 6 4, 6 6, 4 6, 4 4)))", 68.0, 2),
+        ("MULTIPOINT ((1 1), (2 2))", None, None),
+        ("MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))", None, None),
+        ("POLYGON EMPTY", 0.0, 0),
+    ]
+    df = spark.createDataFrame([(t,) for t, _, _ in texts], "t string").select("t", geom.wkt_kind("t").alias("k"), geom.wkt_parts("t").alias("p"))
+    rows = {r.t: r for r in df.select("t", "k", "p", geom.polygon_area("p").alias("a"), F.size(geom.polygon_members("p")).alias("m"), geom.to_wkt("k", "p", 0).alias("w")).collect()}
+    for t, area, members in texts:
+        assert rows[t].w == t
+        if area is not None:
+            assert rows[t].a == pytest.approx(area) and rows[t].m == members
+    with_kinds = df.withColumn("n", F.lit(3))
+    from pingscape.sinks import writers
+
+    lines = {r.value for r in writers.shape_lines(with_kinds, "k", "p", "n").collect()}
+    assert "MULTIPOINT ((1.0 1.0), (2.0 2.0)),3" in lines
+
+
+def test_one_bad_latitude_leaves_the_envelope(spark):
+    from pingscape.operators import aggregate, raster
+
+    good = [(116.3, 39.9), (116.4, 40.0)]
+    frames = [crs.to_mercator(spark.createDataFrame(rows, "lng double, lat double")) for rows in (good, [*good, (116.35, 95.0), (116.35, -95.0)])]
+    envs = [tuple(aggregate.envelope(f).first()) for f in frames]
+    assert envs[0] == envs[1]
+    pixels = [sorted(map(tuple, raster.heat_pixels(f, 8, 10).collect())) for f in frames]
+    assert pixels[0] == pixels[1]
+    offsets = [raster.tile_offsets(aggregate.envelope(f).drop("n"), 10).collect() for f in frames]
+    assert offsets[0] == offsets[1]

@@ -14,9 +14,8 @@ from pingscape.plans import inputs
 
 SF01 = "/root/testdata/sf0.01"
 
-SHUFFLE_SALTED = JoinPlan(force="shuffle", hot_cell_rows=5, max_hot_cells=1000)
-SHUFFLE_BIG_LIST = JoinPlan(force="shuffle", hot_cell_rows=5, max_hot_cells=0)
-SHUFFLE_AQE = JoinPlan(force="shuffle", skew="aqe")
+SHUFFLE_SALTED = JoinPlan(force="shuffle", salts=4)
+SHUFFLE_AQE = JoinPlan(force="shuffle")
 BROADCAST = JoinPlan(force="broadcast")
 
 
@@ -49,12 +48,12 @@ def test_distance_join_independent_of_cell_size(spark):
         assert _pairs(joins.within_distance(pings, pois, 500.0, cell_size=size), "ping_id", "feature_id") == base
 
 
-@pytest.mark.parametrize("plan", [SHUFFLE_SALTED, SHUFFLE_BIG_LIST, SHUFFLE_AQE])
+@pytest.mark.parametrize("plan", [SHUFFLE_SALTED, SHUFFLE_AQE])
 def test_shuffle_and_salted_path_equal_broadcast(spark, plan):
     pings = inputs.only(inputs.pings_mercator(spark, SF01), "ping_id", "x", "y")
     pois = inputs.pois_mercator(spark, SF01)
-    a = _pairs(joins.within_distance(pings, pois, 500.0, plan=BROADCAST, salt_cols=["ping_id"]), "ping_id", "feature_id")
-    b = _pairs(joins.within_distance(pings, pois, 500.0, plan=plan, salt_cols=["ping_id"]), "ping_id", "feature_id")
+    a = _pairs(joins.within_distance(pings, pois, 500.0, plan=BROADCAST), "ping_id", "feature_id")
+    b = _pairs(joins.within_distance(pings, pois, 500.0, plan=plan), "ping_id", "feature_id")
     assert a == b
 
 
@@ -64,8 +63,8 @@ def test_hot_cell_is_split(spark):
     cold = [(1000 + i, 500.0 + i * 3.0, 500.0) for i in range(600)]
     pts = spark.createDataFrame(hot + cold, "ping_id long, x double, y double")
     tgt = spark.createDataFrame([(1, 10.0, 10.0), (2, 800.0, 500.0)], "feature_id long, x double, y double")
-    plan = JoinPlan(force="shuffle", hot_cell_rows=50)
-    got = joins.within_distance(pts, tgt, 20.0, plan=plan, salt_cols=["ping_id"])
+    plan = JoinPlan(force="shuffle", salts=7)
+    got = joins.within_distance(pts, tgt, 20.0, plan=plan)
     want = joins.within_distance(pts, tgt, 20.0, plan=BROADCAST)
     assert _pairs(got, "ping_id", "feature_id") == _pairs(want, "ping_id", "feature_id")
     assert got.where("feature_id = 1").count() == 300
@@ -89,7 +88,7 @@ def test_near_lines_one_row_per_pair_and_strict(spark):
     got = _pairs(joins.near_lines(pts, lines, 1.0), "ping_id", "feature_id")
     # ping 1 is near two segments of line 1 but appears once; ping 3 is exactly 1 away (outside)
     assert got == [(1, 1), (4, 2), (5, 1)]
-    got_shuffle = _pairs(joins.near_lines(pts, lines, 1.0, plan=SHUFFLE_SALTED, salt_cols=["ping_id"]), "ping_id", "feature_id")
+    got_shuffle = _pairs(joins.near_lines(pts, lines, 1.0, plan=SHUFFLE_SALTED), "ping_id", "feature_id")
     assert got_shuffle == got
 
 
@@ -108,7 +107,7 @@ def test_in_polygons_edges_vertices_overlap(spark):
     want = [(1, 1), (3, 1), (3, 2), (4, 2), (6, 2)]  # hole, edge and vertex excluded; overlap counted twice
     for size in (None, 1.0, 3.0, 50.0):
         assert _pairs(joins.in_polygons(pts, polys, cell_size=size), "ping_id", "feature_id") == want
-    assert _pairs(joins.in_polygons(pts, polys, plan=SHUFFLE_SALTED, salt_cols=["ping_id"]), "ping_id", "feature_id") == want
+    assert _pairs(joins.in_polygons(pts, polys, plan=SHUFFLE_SALTED), "ping_id", "feature_id") == want
 
 
 # ---------------------------------------------------------------------------
@@ -251,13 +250,15 @@ def test_broadcast_check_counts_array_elements(spark):
     df = spark.createDataFrame([(i, list(range(100))) for i in range(10)], "k int, a array<int>")
     assert fits(df, 10)
     assert not fits(df, 9)
-    assert fits(df, 10, F.size("a"), 1000)
-    assert not fits(df, 10, F.size("a"), 999)
+    assert fits(df, 10, 40_000)
+    assert not fits(df, 10, 10 * 100 * 4)
+    wide = spark.createDataFrame([(1, "x" * 5000, {"k": "y" * 3000})], "k int, t string, m map<string,string>")
+    assert fits(wide, 1, 9000) and not fits(wide, 1, 8000)
     # polygons with many edges per cell fall back to the shuffle path and stay exact
     pings = inputs.only(inputs.pings_mercator(spark, SF01), "ping_id", "x", "y")
     zones = inputs.zones_mercator(spark, SF01)
-    tight = JoinPlan(max_broadcast_elements=10, hot_cell_rows=50)
-    assert _pairs(joins.in_polygons(pings, zones, plan=tight, salt_cols=["ping_id"]), "ping_id", "feature_id") == _pairs(
+    tight = JoinPlan(max_broadcast_bytes=10)
+    assert _pairs(joins.in_polygons(pings, zones, plan=tight), "ping_id", "feature_id") == _pairs(
         joins.in_polygons(pings, zones), "ping_id", "feature_id"
     )
 
@@ -279,7 +280,7 @@ def test_in_polygons_mixed_sizes_use_levels(spark):
     )
     want = [(1, 1), (1, 3), (2, 1), (2, 2), (2, 3), (4, 3), (6, 3)]
     assert _pairs(joins.in_polygons(pts, polys, cell_size=1.0), "ping_id", "feature_id") == want
-    assert _pairs(joins.in_polygons(pts, polys, cell_size=1.0, plan=SHUFFLE_SALTED, salt_cols=["ping_id"]), "ping_id", "feature_id") == want
+    assert _pairs(joins.in_polygons(pts, polys, cell_size=1.0, plan=SHUFFLE_SALTED), "ping_id", "feature_id") == want
     levels = {r.feature_id: r.level for r in polygon_levels(polys, 1.0).collect()}
     assert levels[1] == 0 and levels[2] == 0 and levels[3] > 0
     per_poly = {r.feature_id: r["count"] for r in polygon_cells(polys, 1.0).groupBy("feature_id").count().collect()}
@@ -349,7 +350,7 @@ def test_heat_blur_and_cap_on_hand_made_points(spark):
     hot = centre(100010, 90000)
     pts = spark.createDataFrame([lone] + [hot] * 40, "x double, y double")
     spans = raster.tile_spans(raster.box_envelope(spark, (-EQUATOR / 2, -EQUATOR / 2, EQUATOR / 2, EQUATOR / 2)), z, z)
-    pix = {(r.px, r.py): r for r in raster.heat_pixels(pts, spans, z, z, blur=1, cap=2.0).collect()}
+    pix = {(r.px, r.py): r for r in raster.heat_pixels(pts, z, z, blur=1, cap=2.0, spans=spans).collect()}
     assert len(pix) == 18
     r = pix[(100000, 90000)]
     assert (r.n_sum, r.value, r.intensity) == (1, 1 / 9, (1 / 9) / 2.0)
@@ -370,3 +371,88 @@ def test_line_pixels_contiguous(spark):
     spans = raster.tile_spans(raster.box_envelope(spark, (-EQUATOR / 2, -EQUATOR / 2, EQUATOR / 2, EQUATOR / 2)), z, z)
     got = sorted((r.px, r.py) for r in raster.line_pixels(lines, spans, z, z).collect())
     assert got == [(700000 + i, 500000) for i in range(21)]
+
+
+def test_size_check_ships_one_row_per_task(spark):
+    import contextlib
+    import io
+
+    from pingscape.operators import cells
+
+    seen = []
+    real = cells.row_width
+
+    def spy(df):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.agg(F.count(F.lit(1)), F.sum(real(df).cast("long"))).explain()
+        seen.append(buf.getvalue())
+        return real(df)
+
+    cells.row_width = spy
+    try:
+        joins.within_distance(inputs.pings_mercator(spark, SF01), inputs.pois_mercator(spark, SF01), 500.0)
+    finally:
+        cells.row_width = real
+    assert seen and "Limit" not in seen[0]
+    # partial aggregate below the only exchange
+    assert seen[0].index("Exchange SinglePartition") < seen[0].index("partial_count")
+
+
+def test_shuffle_path_reads_the_points_once(spark):
+    for plan in (SHUFFLE_AQE, SHUFFLE_SALTED):
+        j = joins.within_distance(inputs.only(inputs.pings_mercator(spark, SF01), "ping_id", "x", "y"), inputs.pois_mercator(spark, SF01), 500.0, plan=plan)
+        text = j._jdf.queryExecution().executedPlan().toString()
+        assert text.count("event_id") and text.count("FileScan parquet [event_id") == 1
+        assert "SortMergeJoin" in text
+
+
+def test_identical_positions_are_spread(spark):
+    pts = spark.createDataFrame([(i, 0.0, 0.0) for i in range(2000)], "ping_id long, x double, y double")
+    salt = F.pmod(F.xxhash64("ping_id", "x", "y"), F.lit(16))
+    assert pts.select(salt).distinct().count() == 16
+    tgt = spark.createDataFrame([(1, 0.0, 0.0)], "feature_id long, x double, y double")
+    assert joins.within_distance(pts, tgt, 1.0, plan=JoinPlan(force="shuffle", salts=16)).count() == 2000
+    on = spark.conf.get("spark.sql.adaptive.skewJoin.enabled")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        j = joins.within_distance(pts, tgt, 1.0, plan=SHUFFLE_AQE)
+        assert "_salt" in j._jdf.queryExecution().toString() and j.count() == 2000
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", on)
+
+
+def test_lines_that_share_an_id_stay_apart(spark):
+    lines = spark.createDataFrame(
+        [("A", "LINESTRING", [[(0.0, 0.0), (10.0, 0.0)]]), ("A", "LINESTRING", [[(0.0, 0.5), (10.0, 0.5)]]), (None, "LINESTRING", [[(100.0, 0.0), (110.0, 0.0)]]), (None, "LINESTRING", [[(200.0, 0.0)]])],
+        "feature_id string, kind string, parts array<array<struct<x:double,y:double>>>",
+    )
+    pts = spark.createDataFrame([(1, 5.0, 0.2), (2, 105.0, 0.2), (3, 200.0, 0.3)], "ping_id long, x double, y double")
+    got = sorted(_pairs(joins.near_lines(pts, lines, 1.0), "ping_id", "feature_id"), key=str)
+    assert got == [(1, "A"), (1, "A"), (2, None), (3, None)]
+
+
+def test_hourly_grid_grows_with_its_cells(spark):
+    import time
+
+    pings = spark.createDataFrame([(1 + i * 97, 0.1 + (i % 10) * 0.05, 0.2 + (i % 7) * 0.1) for i in range(200)], "sys_time long, lng double, lat double")
+    took = {}
+    for n in (4, 100, 300):
+        start = time.time()
+        out = aggregate.hourly_grid(pings, (0.0, 0.0, 1.0, 1.0), n, 0, MS_PER_HOUR)
+        assert out.agg(F.count(F.lit(1)), F.sum("number_of_records")).first() == (n * n, 200)
+        took[n] = time.time() - start
+    assert took[300] < took[4] + 10
+
+
+def test_polygon_with_many_vertices_is_split_over_rows(spark):
+    from pingscape.operators.joins import polygon_cells
+
+    n = 20_000
+    ring = [(1000 * math.cos(2 * math.pi * k / n), 1000 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    polys = spark.createDataFrame([(1, "POLYGON", [ring + ring[:1]])], "feature_id long, kind string, parts array<array<struct<x:double,y:double>>>")
+    cells = polygon_cells(polys, 100.0).collect()
+    # a cell's edges are those of its row, not the whole ring
+    assert max(len(c.edges) for c in cells) < n / 4 and sum(c.full for c in cells) > 200
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 999.0, 0.0), (3, 1001.0, 0.0), (4, 710.0, 710.0), (5, 700.0, 700.0)], "ping_id long, x double, y double")
+    assert _pairs(joins.in_polygons(pts, polys, cell_size=100.0), "ping_id") == [(1,), (2,), (5,)]

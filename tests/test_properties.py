@@ -13,7 +13,7 @@ from pingscape.operators.cells import JoinPlan
 SETTINGS = dict(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 coord = st.floats(min_value=-1000.0, max_value=1000.0, allow_nan=False, allow_infinity=False)
 points = st.lists(st.tuples(coord, coord), min_size=20, max_size=200)
-PLANS = [JoinPlan(force="broadcast"), JoinPlan(force="shuffle", hot_cell_rows=3)]
+PLANS = [JoinPlan(force="broadcast"), JoinPlan(force="shuffle", salts=3)]
 
 
 def _seg_d(px, py, a, b):
@@ -40,7 +40,7 @@ def test_within_distance_matches_bruteforce(spark, pts, tgts, radius, size_facto
     t = spark.createDataFrame([(j, x, y) for j, (x, y) in enumerate(tgts)], "feature_id long, x double, y double")
     got = sorted(
         (r.ping_id, r.feature_id)
-        for r in joins.within_distance(p, t, radius, cell_size=radius * size_factor, plan=PLANS[plan_i], salt_cols=["ping_id"]).collect()
+        for r in joins.within_distance(p, t, radius, cell_size=radius * size_factor, plan=PLANS[plan_i]).collect()
     )
     want = sorted(
         (i, j)
@@ -67,7 +67,7 @@ def test_in_polygons_matches_bruteforce(spark, pts, n_vertices, radius, scale, s
         "feature_id", geom.wkt_kind("t").alias("kind"), geom.wkt_parts("t").alias("parts")
     )
     p = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pts)], "ping_id long, x double, y double")
-    got = sorted(r.ping_id for r in joins.in_polygons(p, polys, cell_size=size, plan=PLANS[plan_i], salt_cols=["ping_id"]).collect())
+    got = sorted(r.ping_id for r in joins.in_polygons(p, polys, cell_size=size, plan=PLANS[plan_i]).collect())
     want = sorted(i for i, (x, y) in enumerate(pts) if _inside(x, y, ring))
     assert got == want
 
@@ -81,7 +81,7 @@ def test_near_lines_matches_bruteforce(spark, pts, line, radius, plan_i):
         "feature_id", geom.wkt_kind("t").alias("kind"), geom.wkt_parts("t").alias("parts")
     )
     p = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pts)], "ping_id long, x double, y double")
-    got = sorted(r.ping_id for r in joins.near_lines(p, lines, radius, plan=PLANS[plan_i], salt_cols=["ping_id"]).collect())
+    got = sorted(r.ping_id for r in joins.near_lines(p, lines, radius, plan=PLANS[plan_i]).collect())
     want = sorted(i for i, (x, y) in enumerate(pts) if min(_seg_d(x, y, a, b) for a, b in zip(line, line[1:])) < radius)
     assert got == want
 

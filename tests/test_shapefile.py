@@ -22,8 +22,10 @@ def test_read_lines_and_polygons(spark):
         3,
         [([[(v.x, v.y) for v in part] for part in r.parts], {"ID": str(r.feature_id), "NAME": f"road {r.feature_id}"}) for r in roads],
     )
-    got = read_shapes(spark, os.path.join(d, "roads.shp"), id_field="ID", records_per_partition=4)
-    assert got.rdd.getNumPartitions() == 7  # 25 records in ranges of 4
+    got = read_shapes(spark, os.path.join(d, "roads.shp"), id_field="ID", bytes_per_partition=500)
+    size = os.path.getsize(os.path.join(d, "roads.shp"))
+    assert got.rdd.getNumPartitions() == -(-(size - 100) // 500) > 4  # byte ranges
+    got = got.withColumn("feature_id", F.col("feature_id").cast("long"))
     rows = {r.feature_id: r for r in got.collect()}
     assert set(rows) == {r.feature_id for r in roads}
     for r in roads:
@@ -49,7 +51,7 @@ def test_read_lines_and_polygons(spark):
             parts.append([(cx - 10, cy - 10), (cx + 10, cy - 10), (cx + 10, cy + 10), (cx - 10, cy + 10), (cx - 10, cy - 10)])
         recs.append((parts, {"OID_": str(z.feature_id)}))
     write_layer(os.path.join(d, "zones"), 5, recs)
-    zs = read_shapes(spark, os.path.join(d, "zones.shp"), id_field="OID_")
+    zs = read_shapes(spark, "file://" + os.path.join(d, "zones.shp"), id_field="OID_").withColumn("feature_id", F.col("feature_id").cast("long"))
     kinds = {r.feature_id: (r.kind, len(r.parts)) for r in zs.collect()}
     assert kinds[0] == ("POLYGON", 2) and kinds[1] == ("POLYGON", 1)
     hits_file = joins.in_polygons(pings, zs.select("feature_id", "kind", "parts")).where(F.col("feature_id") != 0).count()
@@ -64,3 +66,25 @@ def test_points_and_directory(spark):
     df = read_shapes(spark, d)
     rows = sorted((r.attrs["N"], r.kind, r.parts[0][0].x) for r in df.collect())
     assert rows == [("x", "POINT", 1.0), ("y", "POINT", 3.0), ("z", "POINT", 5.0)]
+
+
+def test_text_ids_and_deleted_records(spark):
+    d = tempfile.mkdtemp(prefix="pingscape-shp-")
+    write_layer(os.path.join(d, "r"), 3, [([[(0.0, i), (1.0, i)]], {"ID": f"R-{i}"}) for i in range(5)])
+    with open(os.path.join(d, "r.dbf"), "r+b") as f:
+        data = f.read()
+        header, width = int.from_bytes(data[8:10], "little"), int.from_bytes(data[10:12], "little")
+        f.seek(header + 2 * width)
+        f.write(b"*")  # record 2 is marked deleted
+    df = read_shapes(spark, os.path.join(d, "r.shp"), id_field="ID", bytes_per_partition=100)
+    assert sorted(r.feature_id for r in df.collect()) == ["R-0", "R-1", "R-3", "R-4"]
+
+
+def test_multi_polygon_from_a_file(spark):
+    from pingscape.functions import geom
+
+    d = tempfile.mkdtemp(prefix="pingscape-shp-")
+    square = lambda x, s: [(x, 0.0), (x, s), (x + s, s), (x + s, 0.0), (x, 0.0)]  # clockwise
+    write_layer(os.path.join(d, "m"), 5, [([square(0.0, 1.0), square(10.0, 3.0)], {"ID": "a"})])
+    r = read_shapes(spark, os.path.join(d, "m.shp"), id_field="ID").select("kind", geom.polygon_area("parts").alias("a"), geom.to_wkt("kind", "parts", 0).alias("w")).first()
+    assert (r.kind, r.a) == ("MULTIPOLYGON", 10.0) and r.w.startswith("MULTIPOLYGON (((0 0")
