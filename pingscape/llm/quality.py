@@ -206,13 +206,16 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, max_conditions: int, max_th
     return conditions
 
 
-def _prune(conditions: list[tuple[str, str, float]], x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
-    """Cut trailing conditions where that does not lower (bad - good) / covered on the held-out third."""
-    best, worth = Rule(tuple(conditions)), -2.0
+def _prune(conditions: list[tuple[str, str, float]], x: dict[str, np.ndarray], bad: np.ndarray, held: np.ndarray, min_precision: float) -> Rule | None:
+    """The leading conditions with the largest (bad - good) / covered on the `held` rows, the shorter at
+    a tie, among those precise enough over all rows; None if none is."""
+    best, worth = None, -2.0
     for k in range(len(conditions), 0, -1):
         r = Rule(tuple(conditions[:k]))
         hit = r.covers(x)
-        p, n = int(bad[hit].sum()), int((~bad[hit]).sum())
+        if not hit.any() or bad[hit].mean() < min_precision:
+            continue
+        p, n = int(bad[hit & held].sum()), int((~bad[hit & held]).sum())
         w = (p - n) / (p + n) if p + n else -1.0
         if w >= worth:
             best, worth = r, w
@@ -223,6 +226,7 @@ def learn_rules(
     x: dict[str, np.ndarray],
     bad: np.ndarray,
     min_precision: float = 0.95,
+    min_held_out: float = 0.8,
     min_support: int = 5,
     max_rules: int = 32,
     max_conditions: int = 4,
@@ -232,26 +236,26 @@ def learn_rules(
     """Sequential covering over labelled rows.
 
     Each rule is grown on two thirds of what is left and pruned on the other
-    third; covering ends when a rule covers fewer than `min_support` bad rows or
-    its share of bad rows falls under `min_precision` on either part.  Without
-    labelled rows, or with one class only, the list is empty (all are kept).
+    third; covering ends when a rule covers fewer than `min_support` bad rows, or
+    its share of bad rows is under `min_precision` over both parts or under
+    `min_held_out` on the third it was not grown on.  Without labelled rows, or with
+    one class only, the list is empty (all are kept).
     """
     rules: list[Rule] = []
     grow = np.random.default_rng(seed).random(len(bad)) < 2 / 3
     left = np.ones(len(bad), dtype=bool)
     while len(rules) < max_rules and bad[left & grow].any():
         part = lambda m: {f: v[m] for f, v in x.items()}
-        g, p = left & grow, left & ~grow
+        g = left & grow
         conditions = _grow(part(g), bad[g], max_conditions, max_thresholds)
         if not conditions:
             break
-        rule = _prune(conditions, part(p), bad[p])
-        good = True
-        for m in (g, p):
-            hit = rule.covers(part(m))
-            good &= not hit.any() or bad[m][hit].mean() >= min_precision
+        rule = _prune(conditions, part(left), bad[left], ~grow[left], min_precision)
+        if rule is None:
+            break
         hit = rule.covers(x) & left
-        if not good or bad[hit].sum() < min_support:
+        held_out = hit & ~grow
+        if bad[hit].sum() < min_support or (held_out.any() and bad[held_out].mean() < min_held_out):
             break
         rules.append(rule)
         left &= ~hit

@@ -52,14 +52,14 @@ def test_query_equals_brute_force_on_the_smoke_table(spark):
 
 
 def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # about 2,000 held-out rows
     x, bad = quality.labelled_sample(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "text")
     half = np.arange(len(bad)) % 2 == 0
     rules = quality.learn_rules({f: v[half] for f, v in x.items()}, bad[half])
     kept, truth = rules.keeps({f: v[~half] for f, v in x.items()}), bad[~half]
     assert 1 <= len(rules.rules) <= 6
-    assert (~kept[truth]).mean() > 0.9
-    assert kept[~truth].mean() > 0.98
+    assert (~kept[truth]).mean() > 0.95
+    assert kept[~truth].mean() > 0.99
 
 
 def test_rules_as_columns_equal_rules_in_numpy(spark):
