@@ -1,8 +1,10 @@
 """Near-duplicate vectors: iterative quantisation, multi-index Hamming tables, exact rerank.
 
-1. A bounded sample is centred, projected on its principal directions and rotated so that
-   the signs lose least (iterative quantisation): balanced binary codes.  More than one
-   rotation (each from another start) gives as many bits as the tables need.
+1. A bounded sample is projected on its principal directions and rotated so that the signs
+   lose least (iterative quantisation): balanced binary codes.  Signs are taken about the
+   origin, so that two vectors at a given angle agree in a bit with a known chance wherever
+   the data lie, also where most of them form one cluster.  More than one rotation
+   (each from another start) gives as many bits as the tables need.
 2. The code is cut into tables of `bits` bits; two vectors are candidates where any
    table agrees.  `bits` follows the logarithm of the rows per label, so buckets keep
    their size as the input grows; the number of tables follows from the angle of the
@@ -41,14 +43,12 @@ BLOCK_ROWS = 1024
 TARGET_RECALL = 0.995
 
 
-def fit_rotations(sample: np.ndarray, n_bits: int, seed: int = 7, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) with at least n_bits columns: principal directions times learned rotations."""
+def fit_rotations(sample: np.ndarray, n_bits: int, seed: int = 7, rounds: int = 40) -> np.ndarray:
+    """Projection with at least n_bits columns: principal directions times learned rotations."""
     d = sample.shape[1]
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(d)
-    x = sample - mean
-    _, directions = np.linalg.eigh(x.T @ x + 1e-12 * np.eye(d))
-    v = x @ directions
-    out = []
+    _, directions = np.linalg.eigh(sample.T @ sample + 1e-12 * np.eye(d))
+    v = sample @ directions
+    out: list[np.ndarray] = []
     rng = np.random.default_rng(seed)
     while sum(p.shape[1] for p in out) < n_bits:
         r, _ = np.linalg.qr(rng.standard_normal((d, d)))
@@ -56,7 +56,7 @@ def fit_rotations(sample: np.ndarray, n_bits: int, seed: int = 7, rounds: int =
             u, _, wt = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ wt).T
         out.append(directions @ r)
-    return mean, np.hstack(out)
+    return np.hstack(out)
 
 
 def table_layout(rows_per_label: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -115,8 +115,8 @@ def _bucketed(reps: DataFrame, models: dict, bits: int, tables: int) -> DataFram
             _, by = _vectors(b.column("embedding"))
             values = np.zeros((b.num_rows, tables), dtype=np.int32)
             for d, (rows, x) in by.items():
-                mean, projection = models.value[d] if d in models.value else fit_rotations(np.zeros((0, d)), bits * tables)
-                values[rows] = _chunks((x - mean) @ projection >= 0, bits, tables)
+                projection = models.value[d] if d in models.value else fit_rotations(np.zeros((0, d)), bits * tables)
+                values[rows] = _chunks(x @ projection >= 0, bits, tables)
             chunks = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * tables), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, chunks], names=[*b.schema.names, "chunks"])
 
