@@ -39,14 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pingscape.llm import text as tx
+from pingscape.llm.bits import bit_table, is_set, place
 from pingscape.llm.storage import free_name, saved
 
 MIN_WORDS = 20
 ANCHOR_WORDS = 8
 #: Bits of the table of repeated anchors (a power of two): 16 MB, whatever the input's size.
 TABLE_BITS = 1 << 27
-_BUCKET = 32768  # bits per row of Spark's bitmap_construct_agg
-
 _SPAN = "struct<s:int,e:int>"
 
 
@@ -97,18 +96,7 @@ def _anchor_counts(docs: DataFrame, min_words: int, k: int) -> DataFrame:
 def _repeated_table(counts: DataFrame, bits: int) -> np.ndarray:
     """Bit table of the anchors that occur twice or more (bits / 8 bytes; holds no document)."""
     repeated = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    place = F.pmod(F.col("anchor"), F.lit(bits)) + 1
-    rows = repeated.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
-    table = np.zeros(bits // 8, dtype=np.uint8)
-    for bucket, part in zip(rows["bucket"].to_pylist(), rows["bits"].to_pylist(), strict=True):
-        at = (bucket - 1) * _BUCKET // 8
-        table[at : at + len(part)] = np.frombuffer(part, np.uint8)[: len(table) - at]
-    return table
-
-
-def _is_set(table: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarray:
-    place = anchors.view(np.int64) & (bits - 1)
-    return (table[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+    return bit_table(repeated.select(place(F.col("anchor"), bits).alias("place")), bits)
 
 
 _CLAIMS = "text_key long, anchor long, extension long, start int, n int, windows array<long>, cut array<" + _SPAN + ">"
@@ -134,7 +122,7 @@ def _claims(docs: DataFrame, table, bits: int, min_words: int, k: int) -> DataFr
             base = 0
             for lo, _, buf, offs in tx.slices(b.column("text")):
                 o = occurrences(buf, offs, min_words, k)
-                keep = _is_set(table.value, o["anchor"], bits)
+                keep = is_set(table.value, o["anchor"].view(np.int64) & (bits - 1))
                 for c in ("anchor", "extension", "start", "n"):
                     got[c].append(o[c][keep])
                 got["row"].append(o["doc"][keep] + lo)
