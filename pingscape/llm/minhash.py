@@ -15,11 +15,13 @@ edited text.
    in a sketch share a bucket.
 3. In a bucket every member is verified against one leader (the member that
    shares most buckets: the hub of a group of edited copies), which is linear in
-   the bucket.  Then, in buckets that still hold several components, members are
-   verified against another leader and against their neighbours in a hashed
-   order, rounds of it until one finds no new link.
+   the bucket.  Then rounds: in buckets that still hold several components, every
+   member takes one bucket by lot and is verified there against a leader and its
+   neighbours in a hashed order (in a bucket of up to NEIGHBOURS + 1 members that is every
+   pair), until a round finds no new link.
 4. Verification aligns in a band: a shingle pair too far off the diagonal to be part of
-   a sufficient alignment is dropped, which loses none that is sufficient.
+   a sufficient alignment is dropped, which loses none that is sufficient.  Only documents
+   of candidate pairs leave the scan, as shingle hashes (a bit table of fixed size tells which).
 
 Shorter texts have one shingle of all their words.  Documents without words (null
 or empty texts) and rows without id link with nothing and are kept.  Rows that
@@ -33,10 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingscape.llm import text as tx
+from pingscape.llm.bits import bit_table, is_set, place
 from pingscape.llm.components import connected, leaders, salted
 from pingscape.llm.storage import saved
 
@@ -46,6 +49,8 @@ N_SKETCHES = 16
 SKETCH_SIZE = 2
 BLOCK_MEMBERS = 256
 NEIGHBOURS = 3
+#: Bits of the table of documents in candidate pairs (8 MB, whatever the input's size).
+TABLE_BITS = 1 << 26
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +59,8 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle hash, labelled hash, first, word hash parts): shingles of all documents in text order, and where each document begins."""
+    """(shingle hash, labelled hash, begin, content): shingles of all documents in text order, where each
+    document begins, and two hashes of each document's words."""
     start, end, first = tx.words(buf, offs)
     hashes = tx.span_hashes(buf, start, end)
     count = np.diff(first)
@@ -77,8 +83,8 @@ def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE_WORDS) -> tuple
     seen[order] = (np.arange(len(out)) - np.repeat(head, np.diff(np.append(head, len(out))))).astype(np.uint64)
     labelled = tx.mix(out ^ (seen * np.uint64(0xD6E8FEB86659FD93)))
     words = tx.mix(hashes + (np.arange(len(hashes)) - np.repeat(first[:-1], count)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    sums = np.concatenate([[0], np.cumsum(words)]).astype(np.uint64), np.concatenate([[0], np.cumsum(tx.mix(words ^ np.uint64(0xA5A5A5A55A5A5A5A)))]).astype(np.uint64)
-    content = np.stack([s[first[1:]] - s[first[:-1]] for s in sums], axis=1)
+    totals = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)]) for h in (words, tx.mix(words ^ np.uint64(0xA5A5A5A55A5A5A5A)))]
+    content = np.stack([t[first[1:]] - t[first[:-1]] for t in totals], axis=1)
     return out, labelled, begin, content
 
 
@@ -158,11 +164,12 @@ def _sketches(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, keys array<long>")
 
 
-def _sequences(df: DataFrame) -> DataFrame:
-    """(doc_id, seq): labelled shingles in text order, as bytes."""
+def _sequences(df: DataFrame, table) -> DataFrame:
+    """(doc_id, seq): labelled shingles in text order, as bytes, of the documents whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for whole in batches:
+            b = whole.filter(pa.array(is_set(table.value, whole.column("place").to_numpy())))
             for lo, hi, buf, offs in tx.slices(b.column("text")):
                 _, labelled, begin, _ = shingles(buf, offs)
                 seq = [labelled[i:j].tobytes() for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
@@ -173,9 +180,12 @@ def _sequences(df: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that are similar."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = _sequences(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["doc_id"])
-    both = pairs.join(wanted.withColumnsRenamed({"doc_id": "a", "seq": "seq_a"}), "a").join(wanted.withColumnsRenamed({"doc_id": "b", "seq": "seq_b"}), "b")
+    spot = lambda c: place(F.xxhash64(c), TABLE_BITS).alias("place")
+    table = bit_table(pairs.select(spot("a")).unionByName(pairs.select(spot("b"))), TABLE_BITS)
+    wanted = _sequences(docs.select("doc_id", "text", spot("doc_id")), docs.sparkSession.sparkContext.broadcast(table))
+    # both joins take the sequences by id: one exchange serves both
+    both = pairs.join(wanted.withColumnsRenamed({"doc_id": "a", "seq": "seq_a"}).hint("merge"), "a")
+    both = both.join(wanted.withColumnsRenamed({"doc_id": "b", "seq": "seq_b"}).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -189,23 +199,28 @@ def _long_enough(similarity: float):
     return F.least("n", "other_n") >= F.lit(similarity) * F.greatest("n", "other_n")
 
 
-def _led_pairs(members: DataFrame, rank, similarity: float) -> DataFrame:
-    """(a, b): every member of a bucket with the bucket's highest-ranked member."""
-    head = members.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), (-F.col("id")).alias("minus"), F.col("n").alias("other_n"))).alias("head"))
-    pairs = members.join(head.select("key", (-F.col("head.minus")).alias("lead"), F.col("head.other_n").alias("other_n")), "key")
-    return pairs.where((F.col("id") != F.col("lead")) & _long_enough(similarity)).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+def _pair(id_: str = "id", other: str = "lead"):
+    return F.least(id_, other).alias("a"), F.greatest(id_, other).alias("b")
+
+
+def _led_pairs(members: DataFrame, rank: Column, similarity: float) -> DataFrame:
+    """(a, b): every member of a bucket that is `chosen` with the bucket's highest-ranked member, if
+    their components differ."""
+    head = members.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), (-F.col("id")).alias("minus"), F.col("n").alias("n"), F.col("component").alias("component"))).alias("head"))
+    head = head.select("key", (-F.col("head.minus")).alias("lead"), F.col("head.n").alias("other_n"), F.col("head.component").alias("other"))
+    pairs = members.where("chosen").join(head, "key")
+    return pairs.where((F.col("component") != F.col("other")) & _long_enough(similarity)).select(*_pair())
 
 
 def _neighbour_pairs(members: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """(a, b): members next to each other in a hashed order, inside blocks of a bucket of about BLOCK_MEMBERS."""
-    size = members.groupBy("key").agg(F.count("*").alias("size"))
-    mixed = members.join(size, "key").withColumn("place", F.xxhash64(F.lit(turn), "key", "id"))
-    mixed = mixed.withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "id"), F.ceil(F.col("size") / BLOCK_MEMBERS)))
-    w = Window.partitionBy("key", "block").orderBy("place", "id")
-    near = [F.lag(F.struct(F.col("id").alias("id"), F.col("n").alias("n")), i).over(w) for i in range(1, NEIGHBOURS + 1)]
-    pairs = mixed.withColumn("near", F.array(*near)).select("id", "n", F.explode("near").alias("o")).where("o is not null")
-    pairs = pairs.select("id", "n", F.col("o.id").alias("lead"), F.col("o.n").alias("other_n")).where("id <> lead")
-    return pairs.where(_long_enough(similarity)).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+    """(a, b): members with their neighbours in a hashed order, in the bucket that each took by lot;
+    buckets are cut into blocks of about BLOCK_MEMBERS.  Members of one component are not paired."""
+    mixed = members.withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "id"), F.ceil(F.col("size") / BLOCK_MEMBERS)))
+    w = Window.partitionBy("key", "block").orderBy(F.xxhash64(F.lit(turn), "key", "id"), "id")
+    near = [F.lag(F.struct("id", "n", "component"), i).over(w) for i in range(1, NEIGHBOURS + 1)]
+    pairs = mixed.withColumn("near", F.array(*near)).where("chosen").select("id", "n", "component", F.explode("near").alias("o"))
+    pairs = pairs.select("id", "n", "component", F.col("o.id").alias("lead"), F.col("o.n").alias("other_n"), F.col("o.component").alias("other"))
+    return pairs.where((F.col("id") != F.col("lead")) & (F.col("component") != F.col("other")) & _long_enough(similarity)).select(*_pair())
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -217,31 +232,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     led = saved(leaders(sketches.select("doc_id", *key), key, "doc_id"))
 
     # members of buckets with two representatives or more
-    reps = sketches.join(led.select(*key, F.col("leader").alias("doc_id")).distinct(), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id"])
+    reps = sketches.groupBy(*key).agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("r.*")
     cells = reps.select(F.col("doc_id").alias("id"), "n", F.explode(F.array_distinct("keys")).alias("key"))
     shared = cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = saved(cells.join(shared, "key"))
     hubs = members.groupBy("id").agg(F.sum("size").alias("hub"))
-    ranked = members.drop("size").join(hubs, "id")
+    ranked = members.join(hubs, "id").withColumns({"component": F.col("id"), "chosen": F.lit(True)})
     tested = saved(_led_pairs(ranked, F.col("hub"), similarity).distinct())
     links = saved(_verified(tested, docs, similarity))
-    comps = connected(links)
+    comps = saved(connected(links))
 
     turn = 0
     while True:
-        # buckets that still hold several components
-        now = members.join(comps, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+        # buckets that still hold several components; every member takes one of its own by lot
+        now = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        open_members = saved(now.join(mixed, "key", "left_semi"))
-        pairs = _led_pairs(open_members, F.xxhash64(F.lit(turn), "id"), similarity).unionByName(_neighbour_pairs(open_members, turn, similarity)).distinct()
-        label = open_members.select("id", "component").distinct()
-        pairs = pairs.join(label.withColumnsRenamed({"id": "a", "component": "ca"}), "a").join(label.withColumnsRenamed({"id": "b", "component": "cb"}), "b").where("ca <> cb").select("a", "b")
-        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"))
+        lot = F.xxhash64(F.lit(turn), "key")
+        held = now.join(mixed, "key", "left_semi")
+        open_members = saved(held.join(held.groupBy("id").agg(F.min(lot).alias("lot")), "id").withColumn("chosen", F.col("lot") == lot).drop("lot"))
+        led_now = _led_pairs(open_members, F.xxhash64(F.lit(turn), "id"), similarity)
+        pairs = led_now.unionByName(_neighbour_pairs(open_members, turn, similarity)).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = saved(pairs)
         found = saved(_verified(pairs, docs, similarity))
-        if found.isEmpty():
+        tested = tested.unionByName(pairs)
+        # a pair of one component adds nothing
+        sides = found.join(comps.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left").join(comps.withColumnsRenamed({"id": "b", "component": "cb"}), "b", "left")
+        if sides.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).isEmpty():
             break
-        tested, links = tested.unionByName(pairs), links.unionByName(found)
-        comps = connected(links)
+        links = links.unionByName(found)
+        comps = saved(connected(links))
         turn += 1
 
     per_class = led.join(comps.withColumnsRenamed({"id": "leader"}), "leader", "left").select(*key, "salt", F.col("leader").alias("class_id"), F.coalesce("component", "leader").alias("component_id"))
