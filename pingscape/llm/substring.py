@@ -46,6 +46,8 @@ MIN_WORDS = 20
 ANCHOR_WORDS = 8
 #: Bits of the table of repeated anchors (a power of two): 16 MB, whatever the input's size.
 TABLE_BITS = 1 << 27
+#: Bits of the table of documents that lose words (8 MB).
+DOCUMENT_BITS = 1 << 26
 _SPAN = "struct<s:int,e:int>"
 
 
@@ -177,19 +179,20 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     local = rows.where("cut is not null").select("doc_id", "text_key", "cut")
     claims = rows.where("cut is null").drop("cut")
 
-    # equal extensions: every claim but the first is cut whole
+    # one row per (anchor, extension): its first claim, and whether the anchor has other extensions
     spot = F.struct("doc_id", "start")
-    firsts = claims.groupBy("anchor", "extension").agg(F.min(spot).alias("spot"), F.count("*").alias("claims"))
-    firsts = saved(firsts)
-    again = firsts.where("claims > 1").select("anchor", "extension", "spot")
-    whole = claims.drop("windows").join(again, ["anchor", "extension"]).where(F.struct("doc_id", "start") > F.col("spot"))
-    whole = whole.select("doc_id", "text_key", F.array(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n") + (min_words - 1)).alias("e"))).alias("cut"))
+    firsts = saved(claims.groupBy("anchor", "extension").agg(F.min(spot).alias("spot"), F.count("*").alias("claims")))
+    kinds = firsts.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    facts = firsts.join(kinds, "anchor").where("claims > 1 or kinds > 1").select("anchor", "extension", "spot", (F.col("kinds") > 1).alias("varied"))
+    known = claims.join(facts, ["anchor", "extension"]).withColumn("first", F.struct("doc_id", "start").eqNullSafe(F.col("spot")))
+    known = saved(known.where("varied or not first").withColumn("windows", F.when(F.col("first"), F.col("windows"))).drop("spot", "extension"))
+
+    # equal extensions: every claim but the first is cut whole
+    whole = known.where("not first").select("doc_id", "text_key", F.array(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n") + (min_words - 1)).alias("e"))).alias("cut"))
 
     # different extensions of one anchor: windows one by one, over the first claim of each extension
-    varied = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    heads = firsts.join(varied, "anchor", "left_semi").select("anchor", "extension", "spot")
-    heads = claims.join(heads, ["anchor", "extension"]).where(F.struct("doc_id", "start").eqNullSafe(F.col("spot"))).drop("spot")
-    single = saved(heads.select("doc_id", "text_key", "anchor", F.col("start"), F.posexplode("windows").alias("nth", "window")).select("doc_id", "text_key", "anchor", "window", (F.col("start") + F.col("nth")).alias("start")))
+    single = known.where("first").select("doc_id", "text_key", "anchor", "start", F.posexplode("windows").alias("nth", "window"))
+    single = saved(single.select("doc_id", "text_key", "anchor", "window", (F.col("start") + F.col("nth")).alias("start")))
     earliest = single.groupBy("anchor", "window").agg(F.min(spot).alias("spot"), F.count("*").alias("n")).where("n > 1").drop("n")
     partial = single.join(earliest, ["anchor", "window"]).where(F.struct("doc_id", "start") > F.col("spot"))
     partial = partial.select("doc_id", "text_key", F.array(F.struct(F.col("start").alias("s"), (F.col("start") + min_words).alias("e"))).alias("cut"))
@@ -201,16 +204,34 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, str]:
     """`df` with one more struct column (n_words, n_removed, removed word intervals, kept words joined by
     one space, the text with the removed words cut out); returns the frame and the column's name."""
-    out = free_name(df.columns, "repeats")
-    cut = repeats(df, id_col, text_col, **options).select(F.col("doc_id").alias(f"{out}_id"), F.col("text_key").alias(f"{out}_key"), F.col("cut").alias(f"{out}_cut"))
-    joined = df.join(cut, F.col(f"`{id_col}`").eqNullSafe(F.col(f"{out}_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(f"{out}_key")), "left").drop(f"{out}_id", f"{out}_key")
-    names = df.columns
+    names = list(df.columns)
+    out = free_name(names, "repeats")
+    cut = saved(repeats(df, id_col, text_col, **options))
+    # only documents that lose words meet their cuts in a shuffle; a bit table tells which may
+    spot = place(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_key"), DOCUMENT_BITS)
+    table = df.sparkSession.sparkContext.broadcast(bit_table(cut.select(spot.alias("place")), DOCUMENT_BITS))
+    key = F.xxhash64(F.col(f"`{text_col}`"))
+    marked = df.withColumn(f"{out}_place", place(F.xxhash64(F.coalesce(F.col(f"`{id_col}`"), F.lit(-1)), key), DOCUMENT_BITS))
+    nothing = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(~is_set(table.value, b.column(f"{out}_place").to_numpy())))
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.nulls(b.num_rows, nothing)], names=[*names, f"{out}_cut"])
+
+    def losing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(is_set(table.value, b.column(f"{out}_place").to_numpy()))).select(names)
+
+    cut = cut.select(F.col("doc_id").alias(f"{out}_id"), F.col("text_key").alias(f"{out}_key"), F.col("cut").alias(f"{out}_cut"))
+    some = marked.mapInArrow(losing, df.schema)
+    some = some.join(cut, F.col(f"`{id_col}`").eqNullSafe(F.col(f"{out}_id")) & (key == F.col(f"{out}_key")), "left").drop(f"{out}_id", f"{out}_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         interval = pa.struct([("s", pa.int32()), ("e", pa.int32())])
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
                 words, removed, spans, kept, left = [], [], [], [], []
                 for text, cuts in zip(b.column(text_col), b.column(f"{out}_cut"), strict=True):
                     buf = text.as_buffer()
@@ -245,4 +266,5 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.StructArray.from_arrays(list(fields.values()), names=list(fields))], names=[*names, out])
 
     types = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], f"`{out}` struct<n_words:long,n_removed:long,removed:array<{_SPAN}>,kept:string,text:string>"])
-    return joined.mapInArrow(run, types), out
+    both = marked.mapInArrow(lambda it: run(whole(it)), types).unionByName(some.mapInArrow(run, types))
+    return both, out
