@@ -15,10 +15,10 @@ edited text.
    in a sketch share a bucket.
 3. In a bucket every member is verified against one leader (the member that
    shares most buckets: the hub of a group of edited copies), which is linear in
-   the bucket.  Then rounds: in buckets that still hold several components, every
-   member takes one bucket by lot and is verified there against a leader and its
-   neighbours in a hashed order (in a bucket of up to NEIGHBOURS + 1 members that is every
-   pair), until a round finds no new link.
+   the bucket.  Then rounds: in buckets that still hold several components, members (all
+   of a small bucket, every LOTS-th by lot of a large one) are verified against another
+   leader and their neighbours in a hashed order (in a bucket of up to NEIGHBOURS + 1 members
+   that is every pair), until a round finds no new link.
 4. Verification aligns in a band: a shingle pair too far off the diagonal to be part of
    a sufficient alignment is dropped, which loses none that is sufficient.  Only documents
    of candidate pairs leave the scan, as shingle hashes (a bit table of fixed size tells which).
@@ -49,6 +49,8 @@ N_SKETCHES = 16
 SKETCH_SIZE = 2
 BLOCK_MEMBERS = 256
 NEIGHBOURS = 3
+SMALL_BUCKET = 16
+LOTS = 4
 #: Bits of the table of documents in candidate pairs (8 MB, whatever the input's size).
 TABLE_BITS = 1 << 26
 
@@ -179,7 +181,7 @@ def _sequences(df: DataFrame, table) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar."""
+    """The pairs (a, b, ca, cb) that are similar."""
     spot = lambda c: place(F.xxhash64(c), TABLE_BITS).alias("place")
     table = bit_table(pairs.select(spot("a")).unionByName(pairs.select(spot("b"))), TABLE_BITS)
     wanted = _sequences(docs.select("doc_id", "text", spot("doc_id")), docs.sparkSession.sparkContext.broadcast(table))
@@ -190,21 +192,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             hit = [similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), similarity) for a, b in zip(x.column("seq_a"), x.column("seq_b"), strict=True)]
-            yield x.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            yield x.select(["a", "b", "ca", "cb"]).filter(pa.array(hit, pa.bool_()))
 
-    return both.select("a", "b", "seq_a", "seq_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ca", "cb", "seq_a", "seq_b").mapInArrow(run, "a long, b long, ca long, cb long")
 
 
 def _long_enough(similarity: float):
     return F.least("n", "other_n") >= F.lit(similarity) * F.greatest("n", "other_n")
 
 
-def _pair(id_: str = "id", other: str = "lead"):
-    return F.least(id_, other).alias("a"), F.greatest(id_, other).alias("b")
+def _pair() -> tuple[Column, Column, Column, Column]:
+    """The two documents with the smaller id first, and their components."""
+    first = F.col("id") < F.col("lead")
+    swap = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return swap("id", "lead").alias("a"), swap("lead", "id").alias("b"), swap("component", "other").alias("ca"), swap("other", "component").alias("cb")
 
 
 def _led_pairs(members: DataFrame, rank: Column, similarity: float) -> DataFrame:
-    """(a, b): every member of a bucket that is `chosen` with the bucket's highest-ranked member, if
+    """(a, b, ca, cb): every member of a bucket that is `chosen` with the bucket's highest-ranked member, if
     their components differ."""
     head = members.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), (-F.col("id")).alias("minus"), F.col("n").alias("n"), F.col("component").alias("component"))).alias("head"))
     head = head.select("key", (-F.col("head.minus")).alias("lead"), F.col("head.n").alias("other_n"), F.col("head.component").alias("other"))
@@ -213,8 +218,7 @@ def _led_pairs(members: DataFrame, rank: Column, similarity: float) -> DataFrame
 
 
 def _neighbour_pairs(members: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """(a, b): members with their neighbours in a hashed order, in the bucket that each took by lot;
-    buckets are cut into blocks of about BLOCK_MEMBERS.  Members of one component are not paired."""
+    """(a, b, ca, cb): `chosen` members with their neighbours in a hashed order; buckets are cut into blocks of about BLOCK_MEMBERS.  Members of one component are not paired."""
     mixed = members.withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "id"), F.ceil(F.col("size") / BLOCK_MEMBERS)))
     w = Window.partitionBy("key", "block").orderBy(F.xxhash64(F.lit(turn), "key", "id"), "id")
     near = [F.lag(F.struct("id", "n", "component"), i).over(w) for i in range(1, NEIGHBOURS + 1)]
@@ -238,32 +242,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = saved(cells.join(shared, "key"))
     hubs = members.groupBy("id").agg(F.sum("size").alias("hub"))
     ranked = members.join(hubs, "id").withColumns({"component": F.col("id"), "chosen": F.lit(True)})
-    tested = saved(_led_pairs(ranked, F.col("hub"), similarity).distinct())
-    links = saved(_verified(tested, docs, similarity))
-    comps = saved(connected(links))
+    pairs = saved(_led_pairs(ranked, F.col("hub"), similarity).distinct())
+    found = saved(_verified(pairs, docs, similarity))
+    comps = hubs.select("id", F.col("id").alias("component"))
 
     turn = 0
-    while True:
-        # buckets that still hold several components; every member takes one of its own by lot
-        now = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    while not found.isEmpty() or not turn:
+        # pairs are of different components, so every link joins two: only the components are connected anew
+        joined = connected(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        comps = saved(comps.join(joined.select(F.col("component").alias("whole"), F.col("id").alias("component")), "component", "left").select("id", F.coalesce("whole", "component").alias("component")))
+        # buckets that still hold several components; members of large ones take part by lot
+        now = members.join(comps, "id")
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        lot = F.xxhash64(F.lit(turn), "key")
-        held = now.join(mixed, "key", "left_semi")
-        open_members = saved(held.join(held.groupBy("id").agg(F.min(lot).alias("lot")), "id").withColumn("chosen", F.col("lot") == lot).drop("lot"))
-        led_now = _led_pairs(open_members, F.xxhash64(F.lit(turn), "id"), similarity)
-        pairs = led_now.unionByName(_neighbour_pairs(open_members, turn, similarity)).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs)
-        found = saved(_verified(pairs, docs, similarity))
-        tested = tested.unionByName(pairs)
-        # a pair of one component adds nothing
-        sides = found.join(comps.withColumnsRenamed({"id": "a", "component": "ca"}), "a", "left").join(comps.withColumnsRenamed({"id": "b", "component": "cb"}), "b", "left")
-        if sides.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).isEmpty():
-            break
-        links = links.unionByName(found)
-        comps = saved(connected(links))
+        lot = (F.col("size") <= SMALL_BUCKET) | (F.pmod(F.xxhash64(F.lit(turn), "key", "id"), F.lit(LOTS)) == 0)
+        open_members = saved(now.join(mixed, "key", "left_semi").withColumn("chosen", lot))
+        pairs = _led_pairs(open_members, F.xxhash64(F.lit(turn), "id"), similarity).unionByName(_neighbour_pairs(open_members, turn, similarity))
+        found = saved(_verified(saved(pairs.distinct()), docs, similarity))
         turn += 1
 
-    per_class = led.join(comps.withColumnsRenamed({"id": "leader"}), "leader", "left").select(*key, "salt", F.col("leader").alias("class_id"), F.coalesce("component", "leader").alias("component_id"))
+    per_class = led.join(comps.withColumnRenamed("id", "leader"), "leader", "left").select(*key, "salt", F.col("leader").alias("class_id"), F.coalesce("component", "leader").alias("component_id"))
     judged = salted(sketches.select("doc_id", *key), "doc_id").join(per_class, [*key, "salt"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id"))
     out = every.select("doc_id").join(judged, "doc_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
