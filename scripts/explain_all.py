@@ -1,4 +1,4 @@
-"""Write PLANS.md: the physical plan tree of every registered query.
+"""Write PLANS.md: the physical plan tree of every analysis.
 
 Usage: python scripts/explain_all.py [sf_dir]   (default /root/testdata/sf0.1)
 Only the operator tree of `explain("formatted")` is kept, plus the scan lines
@@ -16,7 +16,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-import __spark_entry__ as E  # noqa: E402
+from pingscape.plans import catalog  # noqa: E402
 from pingscape.session import local_session  # noqa: E402
 
 
@@ -48,7 +48,7 @@ def main() -> None:
         "`BroadcastExchange` sides passed the size check in `operators/cells.py`).",
         "",
     ]
-    for name, q in E.queries().items():
+    for name, q in catalog.QUERIES.items():
         parts += [f"## {name}", "", "```", tree_and_scans(q(spark, sf_dir)), "```", ""]
     with open(os.path.join(ROOT, "PLANS.md"), "w") as f:
         f.write("\n".join(parts))
