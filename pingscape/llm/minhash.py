@@ -15,10 +15,12 @@ edited text.
    in a sketch share a bucket.
 3. In a bucket every member is verified against one leader (the member that
    shares most buckets: the hub of a group of edited copies), which is linear in
-   the bucket.  Then rounds: in buckets that still hold several components, members (all
-   of a small bucket, every LOTS-th by lot of a large one) are verified against another
-   leader and their neighbours in a hashed order (in a bucket of up to NEIGHBOURS + 1 members
-   that is every pair), until a round finds no new link.
+   the bucket.  Buckets that then still hold several components are finished exactly:
+   all pairs of different components in a bucket of up to PAIRED_MEMBERS members,
+   and in larger ones blocks of members against blocks of members, where one
+   matrix product counts the common shingles of all pairs of two blocks; pairs with enough
+   of them are aligned unless links found meanwhile joined them.  Every pair
+   that shares a sketch is thus verified or already in one component.
 4. Verification aligns in a band: a shingle pair too far off the diagonal to be part of
    a sufficient alignment is dropped, which loses none that is sufficient.  Only documents
    of candidate pairs leave the scan, as shingle hashes (a bit table of fixed size tells which).
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pingscape.llm import text as tx
@@ -47,10 +49,12 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 N_SKETCHES = 16
 SKETCH_SIZE = 2
+PAIRED_MEMBERS = 8
+#: A block has about so many members, or shingles where its documents are long.
 BLOCK_MEMBERS = 256
-NEIGHBOURS = 3
-SMALL_BUCKET = 16
-LOTS = 4
+BLOCK_SHINGLES = 1 << 18
+#: Shingles of one step of the product that counts common ones.
+STEP_SHINGLES = 4096
 #: Bits of the table of documents in candidate pairs (8 MB, whatever the input's size).
 TABLE_BITS = 1 << 26
 
@@ -180,11 +184,16 @@ def _sequences(df: DataFrame, table) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, seq binary")
 
 
+def _wanted(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, seq) of the documents in column `id` (and of some others, where bits meet)."""
+    spot = lambda c: place(F.xxhash64(c), TABLE_BITS).alias("place")
+    table = bit_table(ids.select(spot("id")), TABLE_BITS)
+    return _sequences(docs.select("doc_id", "text", spot("doc_id")), docs.sparkSession.sparkContext.broadcast(table))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b, ca, cb) that are similar."""
-    spot = lambda c: place(F.xxhash64(c), TABLE_BITS).alias("place")
-    table = bit_table(pairs.select(spot("a")).unionByName(pairs.select(spot("b"))), TABLE_BITS)
-    wanted = _sequences(docs.select("doc_id", "text", spot("doc_id")), docs.sparkSession.sparkContext.broadcast(table))
+    wanted = _wanted(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), docs)
     # both joins take the sequences by id: one exchange serves both
     both = pairs.join(wanted.withColumnsRenamed({"doc_id": "a", "seq": "seq_a"}).hint("merge"), "a")
     both = both.join(wanted.withColumnsRenamed({"doc_id": "b", "seq": "seq_b"}).hint("merge"), "b")
@@ -209,22 +218,117 @@ def _pair() -> tuple[Column, Column, Column, Column]:
 
 
 def _led_pairs(members: DataFrame, rank: Column, similarity: float) -> DataFrame:
-    """(a, b, ca, cb): every member of a bucket that is `chosen` with the bucket's highest-ranked member, if
+    """(a, b, ca, cb): every member of a bucket with the bucket's highest-ranked member, if
     their components differ."""
     head = members.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), (-F.col("id")).alias("minus"), F.col("n").alias("n"), F.col("component").alias("component"))).alias("head"))
     head = head.select("key", (-F.col("head.minus")).alias("lead"), F.col("head.n").alias("other_n"), F.col("head.component").alias("other"))
-    pairs = members.where("chosen").join(head, "key")
+    pairs = members.join(head, "key")
     return pairs.where((F.col("component") != F.col("other")) & _long_enough(similarity)).select(*_pair())
 
 
-def _neighbour_pairs(members: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """(a, b, ca, cb): `chosen` members with their neighbours in a hashed order; buckets are cut into blocks of about BLOCK_MEMBERS.  Members of one component are not paired."""
-    mixed = members.withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "id"), F.ceil(F.col("size") / BLOCK_MEMBERS)))
-    w = Window.partitionBy("key", "block").orderBy(F.xxhash64(F.lit(turn), "key", "id"), "id")
-    near = [F.lag(F.struct("id", "n", "component"), i).over(w) for i in range(1, NEIGHBOURS + 1)]
-    pairs = mixed.withColumn("near", F.array(*near)).where("chosen").select("id", "n", "component", F.explode("near").alias("o"))
-    pairs = pairs.select("id", "n", "component", F.col("o.id").alias("lead"), F.col("o.n").alias("other_n"), F.col("o.component").alias("other"))
-    return pairs.where((F.col("id") != F.col("lead")) & (F.col("component") != F.col("other")) & _long_enough(similarity)).select(*_pair())
+def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ca, cb): all pairs of members of a bucket whose components differ."""
+    others = members.select("key", F.col("id").alias("lead"), F.col("n").alias("other_n"), F.col("component").alias("other"))
+    pairs = members.join(others, "key").where("id < lead and component <> other")
+    return pairs.where(_long_enough(similarity)).select(*_pair())
+
+
+def common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left x right) numbers of labelled shingles that two documents have in common."""
+    n = len(left) + len(right)
+    owner = np.repeat(np.arange(n), [len(x) for x in (*left, *right)])
+    values, code = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    on_left = owner < len(left)
+    both = (np.bincount(code[on_left], minlength=len(values)) > 0) & (np.bincount(code[~on_left], minlength=len(values)) > 0)
+    at = (np.cumsum(both) - 1)[code]
+    held = both[code]
+    order = np.argsort(at[held], kind="stable")
+    owner, at = owner[held][order], at[held][order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for lo in range(0, int(both.sum()), STEP_SHINGLES):
+        i, j = np.searchsorted(at, [lo, lo + STEP_SHINGLES])
+        has = np.zeros((n, STEP_SHINGLES), dtype=np.float32)
+        has[owner[i:j], at[i:j] - lo] = 1.0
+        out += has[: len(left)] @ has[len(left) :].T
+    return out
+
+
+def block_links(left: list[tuple], right: list[tuple] | None, key: int, similarity: float = SIMILARITY) -> list[tuple]:
+    """Links (a, b, ca, cb) that join all similar pairs of two blocks of a bucket, or of one block
+    (`right` is None), whose components differ; members are (id, component, keys, shingles).
+
+    A pair that shares an earlier sketch is left to that bucket.
+    """
+    other = left if right is None else right
+    if not left or not other or len({m[1] for m in (*left, *other)}) == 1:
+        return []
+    counts = common_shingles([m[3] for m in left], [m[3] for m in other])
+    total = np.add.outer([len(m[3]) for m in left], [len(m[3]) for m in other])
+    enough = counts >= np.ceil(similarity / (1 + similarity) * total - 1e-9)
+    enough &= np.not_equal.outer([m[1] for m in left], [m[1] for m in other])
+    if right is None:
+        enough = np.triu(enough, 1)
+    a, b = np.nonzero(enough)
+    if not len(a):
+        return []
+    keys, other_keys = np.stack([m[2] for m in left]), np.stack([m[2] for m in other])
+    sketch = int(np.argmax(keys[0] == key))
+    here = ~(keys[a, :sketch] == other_keys[b, :sketch]).any(axis=1)
+    a, b = a[here], b[here]
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    links = []
+    # the most alike first: they join the most components before the others are looked at
+    for i in np.argsort(-counts[a, b] / total[a, b], kind="stable").tolist():
+        x, y = left[a[i]], other[b[i]]
+        cx, cy = find(x[1]), find(y[1])
+        if cx != cy and similar(x[3], y[3], similarity):
+            parent[max(cx, cy)] = min(cx, cy)
+            links.append((x[0], y[0], x[1], y[1]) if x[0] < y[0] else (y[0], x[0], y[1], x[1]))
+    return links
+
+
+def _block_links(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ca, cb): links that join all similar members of a bucket; every two blocks of a bucket meet in a group of their own."""
+    weights = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = members.join(weights, "key").withColumn("block", F.pmod(F.xxhash64("key", "id"), "blocks"))
+    placed = placed.join(_wanted(members, docs).withColumnRenamed("doc_id", "id").hint("merge"), "id")
+    each = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = each.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), (F.col("block") > F.col("with")).alias("second"), "id", "component", "keys", "seq")
+    each = each.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sides = None, ([], [])
+
+        def links() -> pa.RecordBatch:
+            rows = block_links(sides[0], None if group[1] == group[2] else sides[1], group[0], similarity)
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=["a", "b", "ca", "cb"])
+
+        for x in batches:
+            lists = x.column("keys")
+            for r, now in enumerate(zip(*(x.column(c).to_pylist() for c in ("key", "lo", "hi")), strict=True)):
+                if now != group:
+                    if group is not None:
+                        yield links()
+                    group, sides = now, ([], [])
+                member = x.column("id")[r].as_py(), x.column("component")[r].as_py(), lists[r].values.to_numpy(), np.frombuffer(x.column("seq")[r].as_py(), np.uint64)
+                sides[x.column("second")[r].as_py()].append(member)
+        if group is not None:
+            yield links()
+
+    return each.mapInArrow(run, "a long, b long, ca long, cb long")
+
+
+def _joined(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, component) after the links `found`, which are of different components: only the components are connected anew."""
+    whole = connected(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    whole = whole.select(F.col("component").alias("whole"), F.col("id").alias("component"))
+    return saved(comps.join(whole, "component", "left").select("id", F.coalesce("whole", "component").alias("component")))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -241,24 +345,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = saved(cells.join(shared, "key"))
     hubs = members.groupBy("id").agg(F.sum("size").alias("hub"))
-    ranked = members.join(hubs, "id").withColumns({"component": F.col("id"), "chosen": F.lit(True)})
+    ranked = members.join(hubs, "id").withColumn("component", F.col("id"))
     pairs = saved(_led_pairs(ranked, F.col("hub"), similarity).distinct())
-    found = saved(_verified(pairs, docs, similarity))
-    comps = hubs.select("id", F.col("id").alias("component"))
-
-    turn = 0
-    while not found.isEmpty() or not turn:
-        # pairs are of different components, so every link joins two: only the components are connected anew
-        joined = connected(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        comps = saved(comps.join(joined.select(F.col("component").alias("whole"), F.col("id").alias("component")), "component", "left").select("id", F.coalesce("whole", "component").alias("component")))
-        # buckets that still hold several components; members of large ones take part by lot
-        now = members.join(comps, "id")
-        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        lot = (F.col("size") <= SMALL_BUCKET) | (F.pmod(F.xxhash64(F.lit(turn), "key", "id"), F.lit(LOTS)) == 0)
-        open_members = saved(now.join(mixed, "key", "left_semi").withColumn("chosen", lot))
-        pairs = _led_pairs(open_members, F.xxhash64(F.lit(turn), "id"), similarity).unionByName(_neighbour_pairs(open_members, turn, similarity))
-        found = saved(_verified(saved(pairs.distinct()), docs, similarity))
-        turn += 1
+    found = _verified(pairs, docs, similarity)
+    comps = _joined(hubs.select("id", F.col("id").alias("component")), found)
+
+    # buckets that still hold several components are finished exactly
+    now = members.join(comps, "id")
+    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    open_members = saved(now.join(mixed, "key", "left_semi"))
+    pairs = saved(_all_pairs(open_members.where(F.col("size") <= PAIRED_MEMBERS), similarity).distinct())
+    large = saved(open_members.where(F.col("size") > PAIRED_MEMBERS).join(reps.select(F.col("doc_id").alias("id"), "keys"), "id"))
+    comps = _joined(comps, _verified(pairs, docs, similarity).unionByName(_block_links(large, docs, similarity)))
 
     per_class = led.join(comps.withColumnRenamed("id", "leader"), "leader", "left").select(*key, "salt", F.col("leader").alias("class_id"), F.coalesce("component", "leader").alias("component_id"))
     judged = salted(sketches.select("doc_id", *key), "doc_id").join(per_class, [*key, "salt"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id"))

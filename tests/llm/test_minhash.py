@@ -87,6 +87,36 @@ def test_planted_groups_equal_brute_force(spark):
     assert {i: r.class_id for i, r in got.items()} == {i: first[texts[i].split().__str__()] for i in texts}
 
 
+def spun_copies(seed, n=300, planted=30, slots=20, variants=4):
+    """One template whose slots are filled by chance, so that members share sketches but are not linked,
+    and `planted` members that differ from an earlier one in just as many slots as a link allows."""
+    rng = random.Random(seed)
+    fixed = [[f"w{s}x{i}" for i in range(14)] for s in range(slots)]
+    filled = [[rng.randrange(variants) for _ in range(slots)] for _ in range(n)]
+    for i in range(planted):
+        near = list(filled[i])
+        for s in rng.sample(range(slots), 6):
+            near[s] = (near[s] + 1) % variants
+        filled.append(near)
+    rng.shuffle(filled)
+    return [(i, " ".join(" ".join([*fixed[s], f"slot{s}is{v}"]) for s, v in enumerate(f))) for i, f in enumerate(filled)]
+
+
+def test_planted_links_in_a_large_group_of_unlinked_members(spark):
+    rows = spun_copies(7)
+    want = brute(rows)
+    assert 25 <= len(rows) - len(set(want.values())) <= 60
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == want
+
+
+def test_blocks_of_a_bucket_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 20)
+    monkeypatch.setattr(minhash, "STEP_SHINGLES", 64)
+    rows = spun_copies(8, n=120, planted=15)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows)).collect()} == brute(rows)
+
+
 def test_query_equals_brute_force_on_the_smoke_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
