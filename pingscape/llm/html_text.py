@@ -3,7 +3,9 @@
 A page is read into a tree with the usual implied end tags; head, scripts, styles,
 forms and the like never enter it, and subtrees that a page marks as furniture
 (navigation, footers, page headers, sidebars, adverts, notices, reader comments,
-by element, role, or class and id words) are set aside.  For every node with C
+by element, role, or a whole class or id) are set aside.  A class or id that is a known name
+does so only where its subtree does not hold the core, most of the page's text outside links or
+its largest `article` or `main`; reader comments count where the page has other text.  For every node with C
 characters in T tags, of which LC lie in LT links, the density is C / T times
 (1 + log(C/LC * T/LT)) / (1 + log(base)), where the base grows with the link text
 of the node and of the page (denominators at least 1).  A node's density sum is that of its children.  The
@@ -44,23 +46,28 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl body html td th article section div".split())
+MAIN = frozenset("html body article main".split())
 FURNITURE = frozenset("nav footer aside form button menu dialog head".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-FURNITURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright "
-    "dialog disqus disclaimer donate footer form header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification "
-    "overlay pager pagination paywall popup promo promotion recommended related replies respond share sharing sidebar signup sitemap skip social "
-    "sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
+COMMENT_NAMES = frozenset("comment comments comment-list commentlist comment-section comments-section comments-area comments-list disqus disqus-thread replies respond".split())
+FURNITURE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox ad-banner ad-box ad-container ad-slot ad-wrapper banner "
+    "breadcrumb breadcrumbs breadcrumb-nav cookie cookies cookie-banner cookie-bar cookie-consent cookie-notice consent-banner copyright disclaimer donate "
+    "footer site-footer page-footer main-footer global-footer footer-links header site-header global-header masthead login "
+    "menu main-menu mobile-menu nav-menu menubar modal popup overlay nav navbar nav-bar nav-links main-nav site-nav top-nav navigation main-navigation site-navigation "
+    "newsletter newsletter-signup notice notices notification pager pagination paywall promo promotion recommended related related-articles related-links related-posts related-stories "
+    "share share-bar share-buttons share-links sharing social social-bar social-buttons social-icons social-links social-media social-share "
+    "sidebar left-sidebar right-sidebar sidebar-left sidebar-right signup sitemap skip skip-link skip-links sponsor sponsored subscribe subscription tag-list toolbar topbar top-bar widget widgets widget-area".split()
 )
-_WORD = re.compile(r"[a-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("name", "children", "furniture", "chars", "tags", "link_chars", "link_tags", "density", "density_sum", "parent")
+    __slots__ = ("name", "children", "furniture", "named", "chars", "tags", "link_chars", "link_tags", "density", "density_sum", "parent")
 
-    def __init__(self, name: str, parent: Node | None, furniture: bool = False) -> None:
-        self.name, self.parent, self.furniture = name, parent, furniture
+    def __init__(self, name: str, parent: Node | None, furniture: bool = False, named: frozenset[str] = frozenset()) -> None:
+        self.name, self.parent, self.furniture, self.named = name, parent, furniture, named
         self.children: list = []  # nodes and texts
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.density_sum = 0.0
@@ -76,7 +83,7 @@ def _is_furniture(name: str, attributes: str, parent: Node) -> bool:
                 return False
             node = node.parent
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in MAIN:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -84,11 +91,17 @@ def _is_furniture(name: str, attributes: str, parent: Node) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
-        if key in ("class", "id") and not FURNITURE_WORDS.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
-            return True
     return False
 
 
+def _known_names(name: str, attributes: str) -> frozenset[str]:
+    """The classes and ids of an element that are, as a whole, known names of furniture."""
+    if not attributes or name in MAIN or name in HEADINGS:
+        return frozenset()
+    names = (n for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id") for n in (m[2] or m[3] or m[4] or "").split())
+    return frozenset(n for n in (_CAMEL.sub("-", n).lower().replace("_", "-").strip("-") for n in names) if n in FURNITURE_NAMES or n in COMMENT_NAMES)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; its root is the body."""
     root = node = Node("body", None)
@@ -125,7 +138,7 @@ def parse(page: str) -> Node:
                 match = match.parent
             while match is not root and match.name in ends:
                 node = match = match.parent
-        child = Node(name, node, _is_furniture(name, m[4], node))
+        child = Node(name, node, _is_furniture(name, m[4], node), _known_names(name, m[4]))
         node.children.append(child)
         if name not in VOID and not m[4].endswith("/"):
             node = child
@@ -148,6 +161,8 @@ def measure(root: Node) -> list[Node]:
     """Set characters, tags, links, density and density sum of every node outside furniture."""
     nodes = _in_order(root)
     for n in reversed(nodes):
+        n.chars = n.tags = n.link_chars = n.link_tags = 0
+        n.density = 0.0
         for c in n.children:
             if isinstance(c, str):
                 n.chars += len(" ".join(html.unescape(c).split()))
@@ -192,8 +207,37 @@ def _path(node: Node) -> list[Node]:
     return out
 
 
+def _own_text(node: Node) -> int:
+    return node.chars - node.link_chars
+
+
+def set_named_aside(root: Node) -> None:
+    """Make furniture of the subtrees whose class or id names them so, as far as they cannot be the article."""
+    everything = _in_order(root)
+    comments = [n for n in everything if not n.named.isdisjoint(COMMENT_NAMES)]
+    named = [n for n in everything if n.named and n.named.isdisjoint(COMMENT_NAMES)]
+    if not comments and not named:
+        return
+    for n in comments:
+        n.furniture = True
+    nodes = measure(root)
+    if comments and not root.chars:  # the page has nothing else
+        for n in comments:
+            n.furniture = False
+        nodes = measure(root)
+    core = max(nodes, key=lambda n: n.density_sum)
+    marked = [n for n in nodes if n.name in ("article", "main")]
+    held = set(map(id, _path(core)))
+    if marked:
+        held.update(map(id, _path(max(marked, key=_own_text))))
+    for n in named:
+        if id(n) not in held and not (n.density_sum > 0.0 and 2 * _own_text(n) > _own_text(root)):
+            n.furniture = True
+
+
 def choose(root: Node) -> list[Node]:
     """Subtrees that make up the article, in page order."""
+    set_named_aside(root)
     nodes = measure(root)
     core = max(nodes, key=lambda n: n.density_sum)
     if core.density_sum <= 0.0:

@@ -42,6 +42,28 @@ def test_query_on_generated_pages(spark):
         assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, article(pages[r.page_id].html), len(r.text))
 
 
+STORY = "".join(f"<p>Sentence {i} of the story, which goes on for some more words.</p>" for i in range(8))
+TOLD = " ".join(f"Sentence {i} of the story, which goes on for some more words." for i in range(8))
+
+
+@pytest.mark.parametrize("name", ["layout-with-sidebar", "has-sidebar", "no-header", "elementor-widget-container", "content-widget", "widget", "header"])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<div>{}</div>"])
+def test_names_of_wrappers_lose_no_article(name, inner):
+    page = f"<body><div class='menu'><a href=/>home</a></div><div class='{name}'>{inner.format(STORY)}<div class='sidebar'><p>aside</p></div></div></body>"
+    assert html_text.main_text(page) == TOLD
+
+
+def test_names_inside_an_article_lose_no_section():
+    page = f"<article>{STORY}<section id='related-work'><h2 id='social-effects'>Effects</h2><div class='section-header'>Work</div><p id='tags'>on tags</p><h3 class=notice>End</h3></section><ul class='share-buttons'><li>tweet</li></ul></article>"
+    assert html_text.main_text(page) == TOLD + " Effects Work on tags End"
+
+
+def test_named_furniture_is_set_aside():
+    teasers = "<div class='related'><p>Read this other one next.</p></div>"
+    comments = "<div id=comments>" + "".join(f"<article><p>Reader {i} has much to say about this story and goes on and on.</p></article>" for i in range(30)) + "</div>"
+    assert html_text.main_text(f"<body><div class='siteHeader'>site</div><div>{STORY}</div>{teasers}{comments}<div id='cookie_notice'><p>We use cookies.</p></div></body>") == TOLD
+
+
 def test_density_prefers_text_to_links():
     links = "<div>" + "".join(f"<li><a href=/{i}>entry number {i} of the list</a></li>" for i in range(60)) + "</div>"
     text = "<div>" + "".join(f"<p>Sentence {i} of a long text, without any link in it at all.</p>" for i in range(12)) + "</div>"
