@@ -13,8 +13,10 @@ node with the largest sum is the core; the least density on the path from it to
 the body is the threshold; the topmost nodes that reach it and, like the core,
 are not made of links give the text.
 
-Where a page marks an `article` or `main` element, the one around the core is taken
-whole.  The text of the chosen nodes is not cut: character references decoded, white space
+An `article` or `main` element is a hint that only adds text: the innermost one around the core is
+taken whole in the core's place, and with an article the further articles beside it that
+are not made of links.  A core outside any such element stands as it is.
+The text of the chosen nodes is not cut: character references decoded, white space
 inside a block made one space, blocks joined by one space.  Null, empty or
 tag-only pages give an empty text.  Markup that is cut off or badly nested is read
 as far as it goes.
@@ -243,20 +245,21 @@ def choose(root: Node) -> list[Node]:
     if core.density_sum <= 0.0:
         return [root]
     path = _path(core)
-    marked = [n for n in nodes if n.name in ("article", "main") and n.chars]
-    holding = [n for n in path if n in marked]
-    if marked:  # the page says where its article is
-        return [holding[0] if holding else max(marked, key=lambda n: n.chars)]
     threshold = min(n.density for n in path)
-    chosen: list[Node] = []
-
     if len(path) == 1:
         return [root]
+    # an article or main element around the core widens it, and further articles beside that one are parts of the same text
+    marked = [i for i, n in enumerate(path) if n.name in ("article", "main")]
+    path = path[marked[0] if marked else 0 :]
+    core = path[0]
+    chosen: list[Node] = []
+
     # from the body down to the core: on either side of the path, blocks as dense as its least dense node
     after: list[list[Node]] = []
     for n, below in zip(path[:0:-1], path[-2::-1], strict=True):
         at = next(i for i, c in enumerate(n.children) if c is below)
-        dense = [isinstance(c, Node) and not c.furniture and c.density >= threshold and 2 * c.link_chars < c.chars for c in n.children]
+        parts = core.name == "article" and below is core
+        dense = [isinstance(c, Node) and not c.furniture and (c.density >= threshold or parts and c.name == "article") and 2 * c.link_chars < c.chars for c in n.children]
         chosen += [c for c, d in zip(n.children[:at], dense[:at], strict=True) if d]
         after.append([c for c, d in zip(n.children[at + 1 :], dense[at + 1 :], strict=True) if d])
     chosen.append(core)

@@ -58,6 +58,24 @@ def test_names_inside_an_article_lose_no_section():
     assert html_text.main_text(page) == TOLD + " Effects Work on tags End"
 
 
+def test_a_marked_teaser_does_not_replace_the_core():
+    for teaser in ("<article><p>Read this next.</p></article>", "<div class='related'><article><p>Read this next.</p></article></div>"):
+        assert html_text.main_text(f"<body><div class='post'>{STORY}</div>{teaser}</body>") == TOLD
+
+
+def test_an_article_in_several_elements_is_whole():
+    parts = "".join(f"<article><h2>Part {i}</h2>{'<p>Some sentence of this part of it all.</p>' * n}</article>" for i, n in enumerate((3, 9, 2)))
+    want = " ".join(f"Part {i}" + " Some sentence of this part of it all." * n for i, n in enumerate((3, 9, 2)))
+    assert html_text.main_text(f"<body><div>{parts}</div></body>") == want
+    assert html_text.main_text(f"<body><main>{parts}</main></body>") == want
+
+
+def test_text_as_dense_as_the_path_is_kept_beside_an_article():
+    more = "<div>" + "<p>" + "A long paragraph that goes on outside of the marked article. " * 12 + "</p></div>"
+    got = html_text.main_text(f"<body><article>{STORY}</article>{more}</body>")
+    assert TOLD in got and "outside of the marked article" in got
+
+
 def test_named_furniture_is_set_aside():
     teasers = "<div class='related'><p>Read this other one next.</p></div>"
     comments = "<div id=comments>" + "".join(f"<article><p>Reader {i} has much to say about this story and goes on and on.</p></article>" for i in range(30)) + "</div>"
