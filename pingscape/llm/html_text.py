@@ -35,11 +35,16 @@ from pyspark.sql import functions as F
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|$)"
-    r"|<(script|style|textarea|noscript|template|svg|math|iframe|select|title)\b(?:\"[^\"]*\"|'[^']*'|[^>])*?>.*?(?:</\1\s*>|$)"
     r"|<[!?][^>]*(?:>|$)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*?)(?:>|$)",
     re.DOTALL | re.IGNORECASE,
 )
+#: Elements that are left out up to their end tag.  Without one, raw text goes on to the page's end, the others lose only the tag.
+RAW_TEXT = frozenset("script style textarea iframe title".split())
+LEFT_OUT = RAW_TEXT | frozenset("noscript template svg math select".split())
+_END = {name: re.compile(rf"</{name}(?=[\s/>]|$)[^>]*(?:>|$)", re.IGNORECASE) for name in LEFT_OUT}
+#: A tag of foreign content (or a frame) that closes itself has no content; a slash inside an unquoted value does not count.
+_CLOSES_ITSELF = re.compile(r"(?:^|[\s\"'])/$")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 
 #: Element names (fixed values of the HTML standard, and which of them are never article text).
@@ -108,15 +113,26 @@ def parse(page: str) -> Node:
     """The tree of a page; its root is the body."""
     root = node = Node("body", None)
     at = 0
-    for m in _MARKUP.finditer(page):
+    endless: set[str] = set()  # elements of LEFT_OUT without a further end tag
+    while (m := _MARKUP.search(page, at)) is not None:
         if m.start() > at:
             node.children.append(page[at : m.start()])
         at = m.end()
-        name = m[3]
+        name = m[2]
         if name is None:
             continue
         name = name.lower()
-        if m[2]:
+        if name in LEFT_OUT:
+            if not m[1] and not (name in ("svg", "math", "iframe") and _CLOSES_ITSELF.search(m[3])):
+                end = None if name in endless else _END[name].search(page, at)
+                if end is not None:
+                    at = end.end()
+                elif name in RAW_TEXT:
+                    at = len(page)
+                else:
+                    endless.add(name)
+            continue
+        if m[1]:
             if name in ("html", "body"):
                 continue
             match = node
@@ -140,9 +156,9 @@ def parse(page: str) -> Node:
                 match = match.parent
             while match is not root and match.name in ends:
                 node = match = match.parent
-        child = Node(name, node, _is_furniture(name, m[4], node), _known_names(name, m[4]))
+        child = Node(name, node, _is_furniture(name, m[3], node), _known_names(name, m[3]))
         node.children.append(child)
-        if name not in VOID and not m[4].endswith("/"):
+        if name not in VOID and not m[3].endswith("/"):
             node = child
     if at < len(page):
         node.children.append(page[at:])

@@ -58,6 +58,28 @@ def test_names_inside_an_article_lose_no_section():
     assert html_text.main_text(page) == TOLD + " Effects Work on tags End"
 
 
+@pytest.mark.parametrize("tag", [
+    "<svg class='i' />", "<svg/>", "<math/>", "<iframe src='x'/>", "<svg-icon name=a></svg-icon>", "<select-box></select-box>", "<title-bar></title-bar>",
+    "<template-part></template-part>", "<style-guide></style-guide>", "<script-x></script-x>", "<svg>", "<math>", "<select>", "<template>", "<noscript>",
+    "<svg><title>t</title><text>x</text></svg>", "<SCRIPT>if (a </p> b) {}</SCRIPT >", "<select><option>x</select>", "<iframe src=http://x/>old browser</iframe>", "<style/>p{}</style>",
+])
+def test_left_out_elements_end_where_they_end(tag):
+    assert html_text.main_text(f"<body><article><p>Before it.</p>{tag}{STORY}</article></body>") == "Before it. " + TOLD
+    if tag != "<svg>":  # open, it would end with the later one
+        assert html_text.main_text(f"<body><article><p>Before it.</p>{tag}{STORY}<svg><text>y</text></svg></article></body>") == "Before it. " + TOLD
+
+
+def test_raw_text_without_an_end_tag_is_left_out():
+    assert html_text.main_text("<article><p>text</p><script>var a = '<p>no</p>'") == "text"
+
+
+def test_left_out_elements_are_read_in_linear_time():
+    start = time.time()
+    for page in ("<svg>" * 50_000, "<svg/>" * 50_000, "<template>x" * 30_000, "<svg><math><select>" * 20_000, "<svg></svg>" * 30_000):
+        html_text.main_text(page)
+    assert time.time() - start < 30
+
+
 def test_a_marked_teaser_does_not_replace_the_core():
     for teaser in ("<article><p>Read this next.</p></article>", "<div class='related'><article><p>Read this next.</p></article></div>"):
         assert html_text.main_text(f"<body><div class='post'>{STORY}</div>{teaser}</body>") == TOLD
