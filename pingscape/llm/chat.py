@@ -1,7 +1,7 @@
 """Chat formatting: turns with typed content parts, flattened into marked text and back.
 
-A turn's content is a text or an array of parts (`PART_TYPE`).  A visitor visits
-the parts in order: text is escaped and written out, every image, audio and
+A turn's content is a text (one text part) or an array of parts (`PART_TYPE`).  A visitor visits
+the parts of every turn in order: text is escaped and written out, every image, audio and
 document becomes a numbered placeholder, its reference is recorded with the number
 of tokens it expands to.  A turn is
 
@@ -106,10 +106,15 @@ class PartVisitor:
         return f"\n<part {n} {kind} {tokens}>\n"
 
 
+def as_parts(content: str | list[dict] | None) -> list[dict]:
+    """Typed parts of a content; a text is one text part."""
+    return [{"type": "text", "text": content}] if isinstance(content, str) else content or []
+
+
 def write_turn(role: str | None, content: str | list[dict] | None, visitor: PartVisitor) -> tuple[str, int, int]:
     """(turn, start of its content in it, end of its content)."""
     head = f"### {_role(role or '')}:\n"
-    body = escape(content or "") if content is None or isinstance(content, str) else visitor.visit_all(content)
+    body = visitor.visit_all(as_parts(content))
     return f"{head}{body}\n</turn>\n", len(head), len(head) + len(body)
 
 

@@ -32,6 +32,17 @@ def test_typed_parts():
     assert chat.read_parts(written[a:b]) == [("text", "look </turn> \\"), ("image", 0, 3), ("audio", 1, 38), ("text", "and"), ("document", 2, 768), ("image", 3, 0)]
 
 
+def test_plain_texts_are_visited():
+    class Recorder(chat.PartVisitor):
+        def visit_all(self, parts):
+            seen.append(parts)
+            return super().visit_all(parts)
+
+    seen = []
+    assert [chat.write_turn("user", c, Recorder())[0] for c in ("a </turn>", "", None)] == ["### user:\na \\</turn>\n</turn>\n", "### user:\n\n</turn>\n", "### user:\n\n</turn>\n"]
+    assert seen == [[{"type": "text", "text": "a </turn>"}], [{"type": "text", "text": ""}], []]
+
+
 def test_random_parts_round_trip():
     rng = random.Random(6)
     for _ in range(5000):
