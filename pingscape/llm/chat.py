@@ -14,8 +14,10 @@ two never meet.  Texts
 without control strings are written unchanged.
 
 A conversation is written as segments of at most SEGMENT_TURNS turn numbers, so
-one with very many turns is spread over tasks and no task holds it whole; its
-segments one after the other are its text.  Turns come in the order of (turn,
+one with very many turns is spread over tasks; a segment is cut into pieces of at most
+SEGMENT_TURNS rows and about PIECE_CHARS characters while it streams, so no task holds a
+conversation whole, also where turn numbers are null or repeat.  Its pieces one after
+the other are its text.  Turns come in the order of (turn,
 role, text), a null turn first; null role and text are empty; rows that repeat a
 turn are further turns.  Only the named columns are read.
 """
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEGMENT_TURNS = 256
+PIECE_CHARS = 1 << 20
 PART_TYPE = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
 _CONTROL = r"### |</turn>|<part "
@@ -143,9 +146,9 @@ _SPAN = "struct<begin:long,end:long>"
 
 
 def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", content_col: str = "text", loss_role: str = "assistant") -> DataFrame:
-    """One row per segment: conv_id, segment, formatted, loss spans (code points in `formatted`), attachments, n_tokens of attachments.
+    """One row per piece: conv_id, segment, piece, formatted, loss spans (code points in `formatted`), attachments, n_tokens of attachments.
 
-    Attachments are numbered within their segment.
+    Attachments are numbered within their piece.
     """
     turns = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(content_col).alias("content"))
     turns = turns.withColumn("segment", F.coalesce(F.floor(F.col("turn") / SEGMENT_TURNS), F.lit(-(1 << 62))).cast("long"))
@@ -155,22 +158,28 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
-        key, state, done = None, None, []
+        key, state, done, held = None, None, [], 0
 
-        def finished() -> list[dict]:
+        def finished() -> dict:
             text, spans, visitor = state
-            return [{"conv_id": key[0], "segment": key[1], "formatted": "".join(text), "loss": spans, "attachments": visitor.attachments, "attachment_tokens": sum(a["tokens"] for a in visitor.attachments)}]
+            return {"conv_id": key[0], "segment": key[1], "piece": piece, "formatted": "".join(text), "loss": spans, "attachments": visitor.attachments, "attachment_tokens": sum(a["tokens"] for a in visitor.attachments)}
 
         for b in batches:
             if schema is None:
                 spans = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
                 attached = pa.list_(pa.struct([("number", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))
-                schema = pa.schema([("conv_id", b.schema.field("conv_id").type), ("segment", pa.int64()), ("formatted", pa.string()), ("loss", spans), ("attachments", attached), ("attachment_tokens", pa.int64())])
+                schema = pa.schema([("conv_id", b.schema.field("conv_id").type), ("segment", pa.int64()), ("piece", pa.int64()), ("formatted", pa.string()), ("loss", spans), ("attachments", attached), ("attachment_tokens", pa.int64())])
             for conv, segment, role, content in zip(*(b.column(c).to_pylist() for c in ("conv_id", "segment", "role", "content")), strict=True):
-                if state is None or key != (conv, segment):
+                same = state is not None and key == (conv, segment)
+                if not same or len(state[0]) >= SEGMENT_TURNS or size >= PIECE_CHARS:
                     if state is not None:
-                        done += finished()
+                        done.append(finished())
+                        held += size
+                    piece = piece + 1 if same else 0
                     key, state, size = (conv, segment), ([], [], PartVisitor()), 0
+                    if held >= PIECE_CHARS:
+                        yield pa.RecordBatch.from_pylist(done, schema=schema)
+                        done, held = [], 0
                 turn, begin, end = write_turn(role, content, state[2])
                 state[0].append(turn)
                 if role == loss_role and end > begin:
@@ -178,21 +187,21 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
                 size += len(turn)
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema=schema)
-                done = []
+                done, held = [], 0
         if state is not None:
-            yield pa.RecordBatch.from_pylist(finished(), schema=schema)
+            yield pa.RecordBatch.from_pylist([finished()], schema=schema)
 
-    return turns.mapInArrow(run, f"conv_id {conv_type}, segment long, formatted string, loss array<{_SPAN}>, attachments array<{_ATTACHMENT}>, attachment_tokens long")
+    return turns.mapInArrow(run, f"conv_id {conv_type}, segment long, piece long, formatted string, loss array<{_SPAN}>, attachments array<{_ATTACHMENT}>, attachment_tokens long")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, read back from the formatted segments: turn count, digest of the turns, and the text under the loss mask.
+    """Per conversation, read back from the formatted pieces: turn count, digest of the turns, and the text under the loss mask.
 
-    A digest over a conversation is sequential; its segments stream through one
+    A digest over a conversation is sequential; its pieces stream through one
     task in order and only the running digests are held.
     """
     conv_type = formatted.schema["conv_id"].dataType.simpleString()
-    ordered = formatted.select("conv_id", "segment", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    ordered = formatted.select("conv_id", "segment", "piece", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "segment", "piece")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,6 +83,18 @@ def test_awkward_conversations(spark):
     assert got == expected(rows)
 
 
+def test_null_and_repeated_turns_are_cut_into_pieces(spark):
+    rows = [(1, None, "assistant" if i % 3 else "user", f"null {i:04d}") for i in range(1000)]
+    rows += [(1, 7, "assistant", f"again {i:04d}") for i in range(700)]
+    rows += [(2, None, "assistant", "long " * 60_000 + f"{i}") for i in range(12)]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, SCHEMA))
+    pieces = formatted.collect()
+    assert max(sum(1 for _ in chat.read_turns(p.formatted)) for p in pieces) <= chat.SEGMENT_TURNS
+    assert max(len(p.formatted) for p in pieces) < chat.PIECE_CHARS + 400_000
+    assert len({(p.conv_id, p.segment, p.piece) for p in pieces}) == len(pieces)
+    assert {r.conv_id: tuple(r)[1:5] for r in chat.digests(formatted).collect()} == expected(rows)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
