@@ -194,15 +194,19 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     recall: float = TARGET_RECALL,
     sample_rows: int = SAMPLE_ROWS,
+    layout: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every vector; links hold within a label at cosine >= threshold."""
+    """(vec_id, n_links, component_id, kept) of every vector; links hold within a label at cosine >= threshold.
+
+    `layout` (bits of a table, number of tables) follows the rows per label unless it is given.
+    """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
     usable = _describe(rows.where("vec_id is not null and label is not null and embedding is not null"))
     key = ["label", "dim", "k1", "k2"]
     narrow = saved(usable.select("vec_id", *key))
     counts = narrow.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    bits, tables = table_layout(counts, threshold, recall)
+    bits, tables = layout or table_layout(counts, threshold, recall)
 
     sample = usable.select("dim", "embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample_rows).toArrow()
     models = {}

@@ -55,6 +55,16 @@ def test_links_are_found_and_none_is_invented(spark):
     assert sum(v[0] for v in got.values()) >= 0.98 * sum(v[0] for v in want.values())
 
 
+@pytest.mark.parametrize("rows_per_label", [10**6, 10**9])
+def test_links_are_found_at_the_widths_of_large_inputs(spark, rows_per_label):
+    rows = planted(4)
+    layout = embeddings.table_layout(rows_per_label, 0.98, embeddings.TARGET_RECALL)
+    assert layout[0] >= 18
+    got, want = collect(embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA), layout=layout)), brute(rows)
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(v[0] for v in got.values()) >= 0.98 * sum(v[0] for v in want.values())
+
+
 def test_blocks_count_every_pair_once(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.standard_normal(16)
