@@ -67,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "road_visits_by_text_id": C.road_visits_by_text_id,
     "poi_circles": C.poi_circles,
     "segment_capsules": C.segment_capsules,
+    "wide_segment_capsules": C.wide_segment_capsules,
     "wide_winter_pings": C.wide_winter_pings,
     "wide_hourly_grid_counts": C.wide_hourly_grid_counts,
     "wide_heat_tiles": T.wide_heat_tiles,
@@ -76,6 +77,8 @@ QUERIES: dict[str, Query] = {
     "tile_offsets_gcj": T.tile_offsets_gcj,
     "road_tile_offsets": T.road_tile_offsets,
     "road_tile_spans": T.road_tile_spans,
+    "wide_road_tile_offsets": T.wide_road_tile_offsets,
+    "wide_road_tile_spans": T.wide_road_tile_spans,
     "gcj_to_wgs_sql": V.gcj_to_wgs_sql,
 }
 

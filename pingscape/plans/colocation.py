@@ -246,9 +246,17 @@ def road_visits_unordered(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEF
 def segment_capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The `ROAD_RADIUS` buffer of every road segment as a ring (a capsule): text-free
     summary of its vertices and area."""
+    return _capsules(inputs.roads_mercator(spark, sf_dir))
+
+
+def wide_segment_capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rings around the segments of the wide roads, one road per supplier."""
+    return _capsules(inputs.wide_roads_mercator(spark, sf_dir))
+
+
+def _capsules(roads: DataFrame) -> DataFrame:
     from ..operators.buffers import capsule_ring
 
-    roads = inputs.roads_mercator(spark, sf_dir)
     segs = roads.select("feature_id", F.posexplode(geom.edges("parts")).alias("seg_idx", "s"))
     rings = segs.withColumn("parts", capsule_ring("s", P.ROAD_RADIUS))
     e = geom.envelope("parts")

@@ -824,8 +824,24 @@ def road_tile_spans() -> str:
     return tile_spans().replace(_with(PINGS, PINGS_M, _env_pings(), _spans(P.MIN_ZOOM, P.MAX_ZOOM)), _with(ROADS_M, _env_roads(), _spans(P.MIN_ZOOM, P.MAX_ZOOM)))
 
 
+def wide_segment_capsules() -> str:
+    numbered = WIDE_ROADS.replace("SELECT a.feature_id, a.x AS x1", "SELECT a.feature_id, a.k AS seg_idx, a.x AS x1")
+    return segment_capsules().replace(ROADS_M, numbered)
+
+
+def wide_road_tile_offsets() -> str:
+    return road_tile_offsets().replace(ROADS_M, WIDE_ROADS)
+
+
+def wide_road_tile_spans() -> str:
+    return road_tile_spans().replace(ROADS_M, WIDE_ROADS)
+
+
 ORACLES.update(
     {
+        "wide_segment_capsules": wide_segment_capsules,
+        "wide_road_tile_offsets": wide_road_tile_offsets,
+        "wide_road_tile_spans": wide_road_tile_spans,
         "poi_circles": poi_circles,
         "shape_measures": shape_measures,
         "block_totals": block_totals,

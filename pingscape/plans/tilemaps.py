@@ -16,11 +16,15 @@ def _ping_env(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.envelope(inputs.pings_mercator(spark, sf_dir)).drop("n")
 
 
-def _road_env(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = inputs.roads_mercator(spark, sf_dir).select(F.explode(geom.vertices("parts")).alias("v"))
+def _line_env(roads: DataFrame) -> DataFrame:
+    v = roads.select(F.explode(geom.vertices("parts")).alias("v"))
     return aggregate.envelope(v.select("v.x", "v.y")).drop("n")
 
 
+def _road_env(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_env(inputs.roads_mercator(spark, sf_dir))
+
+
 def tile_of_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tile of each ping at zoom 18, from lat/lon and from Mercator metres."""
     p = inputs.pings_mercator(spark, sf_dir)
@@ -117,6 +121,16 @@ def road_tile_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(raster.tile_spans(_road_env(spark, sf_dir), P.MIN_ZOOM, P.MAX_ZOOM))
 
 
+def wide_road_tile_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-left tile of the envelope of the wide roads (one per supplier) at zooms 0..MAX_ZOOM."""
+    return raster.tile_offsets(_line_env(inputs.wide_roads_mercator(spark, sf_dir)), P.MAX_ZOOM)
+
+
+def wide_road_tile_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile span and aligned bounds of the envelope of the wide roads per zoom."""
+    return _rounded(raster.tile_spans(_line_env(inputs.wide_roads_mercator(spark, sf_dir)), P.MIN_ZOOM, P.MAX_ZOOM))
+
+
 def wide_lines_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide roads (one per supplier) wholly inside the Beijing box; others cross its edge or lie beyond."""
     return raster.lines_in_box(inputs.wide_roads_mercator(spark, sf_dir), P.BEIJING_BOX_3857).select("feature_id")

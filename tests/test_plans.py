@@ -209,3 +209,10 @@ def test_starred_rows_filter_something(spark):
 def test_scale_of_derived_shapes(spark):
     for layer in (inputs.wide_roads_mercator, inputs.blocks_mercator):
         assert layer(spark, SF01).count() > layer(spark, SF001).count()
+
+
+def test_road_queries_of_supplier_size_grow(spark):
+    q = catalog.QUERIES
+    assert q["wide_segment_capsules"](spark, SF01).count() > q["wide_segment_capsules"](spark, SF001).count() > 0
+    for name in ("wide_road_tile_offsets", "wide_road_tile_spans"):
+        assert q[name](spark, SF01).count() == q[name.replace("wide_", "")](spark, SF01).count()
