@@ -22,7 +22,7 @@ task holds a group's index, one batch of queries and k results each.  The best k
 the groups' best k are the result, exactly.
 
 Defined results: vectors that are null or hold null or non-finite components, rows without id, and
-vectors whose quantised components pass sqrt(2**62 / dimension), for which a score might not fit a
+vectors whose quantised components pass sqrt(2**61 / dimension), for which a score might not fit a
 long, take no part.  Vectors are compared with those of equal dimension; empty ones score 0.  Ties go
 to the smaller id.  Rows that share an id are candidates each, but none to a query of that id; equal rows
 (id and vector) are one query, and only the first k of them can be in a result.  An empty table, or
@@ -101,7 +101,7 @@ class Block:
         raised = np.zeros((chunks * CHUNK, self.rows), dtype=np.int64)
         raised[: self.dim] = (vectors - self.low).T
         width = max(1, int(raised.max(initial=0)).bit_length())
-        self.slices = sliced(raised, width).reshape(width, chunks, CHUNK, -1)
+        self.slices = sliced(raised, width).reshape(width, chunks, CHUNK, -(-self.rows // 64))
         self.sums = raised.sum(axis=0)
         self.every = sliced(np.ones((1, self.rows), dtype=np.int64), 1)[0, 0]
 
@@ -135,9 +135,10 @@ class Block:
             wide = np.zeros((len(odd) + step, *even.shape[1:]), dtype=np.uint64)
             wide[step:, : odd.shape[1]] = odd
             parts, step = add(wide, even), 2 * step
-        width = len(parts) + 2
+        width = min(64, len(parts) + 2)
         # the raised query counted every row's sum 2**(bits - 1) times too often
-        return add(parts[:, 0], sliced(((-(self.sums << (bits - 1))) & ((1 << width) - 1))[None, :], width)[:, 0], width)
+        excess = (-(self.sums << (bits - 1))).view(np.uint64)
+        return add(parts[:, 0], sliced(excess[None, :], width)[:, 0], width)
 
     def top(self, slices: np.ndarray, k: int, not_id: int) -> np.ndarray:
         """Rows with the k highest scores, not those with the id `not_id`; ties to the smaller id."""
@@ -187,7 +188,7 @@ def quantised(df: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFra
             flat = lists.flatten().cast(pa.float64())
             x = np.floor(flat.fill_null(np.nan).to_numpy(zero_copy_only=False) * scale)
             ends = np.cumsum(n)
-            bound = np.repeat(np.minimum(np.floor(np.sqrt(2.0**62 / np.maximum(n, 1))), 2**31 - 1), n)
+            bound = np.repeat(np.minimum(np.floor(np.sqrt(2.0**61 / np.maximum(n, 1))), 2**31 - 1), n)
             wrong = np.concatenate([[0], np.cumsum(~(np.abs(x) <= bound))])  # not a number counts as well
             good = wrong[ends] == wrong[ends - n]
             data = np.where(np.abs(x) <= bound, x, 0).astype("<i4")
