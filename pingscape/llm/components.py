@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingscape.llm.storage import saved
+from pingscape.llm.storage import forget, saved
 
 SALTS = 64
 
@@ -15,8 +15,9 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: every step replaces the edges by
     as many or fewer that point to smaller ids, until all point to their
-    component's least id.  Minima combine map-side; each step is saved, so a lost
-    executor never replays earlier ones.
+    component's least id.  Minima combine map-side, and the edges of an id with very
+    many meet its minimum in salted pieces; each step is saved, so a lost
+    executor never replays earlier ones, and takes the place of the step before it.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     mark = None
@@ -27,12 +28,13 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         mark = stats
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = with_totals(both, ["u"], "v", m=(F.min, F.col("v"))).withColumn("m", F.least("u", "m"))
         # every edge is kept by its higher end, so no edge is made twice
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(lowest, "hi").select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
-        now = saved(small.select("e.hi", "e.lo").where("hi <> lo").distinct())
+        large = saved(least.where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        lowest = with_totals(large, ["hi"], "lo", m=(F.min, F.col("lo")))
+        small = lowest.select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
+        before, now = now, saved(small.select("e.hi", "e.lo").where("hi <> lo").distinct())
+        forget(before, large)
     members = now.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     return members.unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
 
@@ -42,6 +44,17 @@ def salted(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
 
 
+def with_totals(df: DataFrame, keys: list[str], value: str, **totals) -> DataFrame:
+    """`df` with totals over all rows of its keys: name=(F.min, F.max or F.sum, column).
+
+    A key's rows are combined, and meet their totals, in SALTS pieces by a hash of `value`.
+    """
+    rows = salted(df, value)
+    part = rows.groupBy(*keys, "salt").agg(*[fn(c).alias(name) for name, (fn, c) in totals.items()])
+    whole = part.groupBy(*keys).agg(*[fn(name).alias(name) for name, (fn, _) in totals.items()])
+    return rows.join(part.select(*keys, "salt").join(whole, keys), [*keys, "salt"]).drop("salt")
+
+
 def leaders(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, salt, leader, size): the least `value` and the number of rows of every key, per salt.
 

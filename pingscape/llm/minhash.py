@@ -15,13 +15,16 @@ edited text.
    in a sketch share a bucket.
 3. In a bucket every member is verified against one leader (the member that
    shares most buckets: the hub of a group of edited copies), which is linear in
-   the bucket.  Buckets that then still hold several components are finished exactly:
-   all pairs of different components in a bucket of up to PAIRED_MEMBERS members,
-   and in larger ones blocks of members against blocks of members, where one
-   matrix product counts the common shingles of all pairs of two blocks; pairs with enough
-   of them are aligned unless links found meanwhile joined them.  Every pair
-   that shares a sketch is thus verified or already in one component.
-4. Verification aligns in a band: a shingle pair too far off the diagonal to be part of
+   the bucket.  A leader's shingles go to the pieces of its members once, not with every pair.
+4. Buckets that then still hold several components are finished exactly, blocks of members
+   against blocks of members.  First by parity bitmaps of one bit in 4 to 8 a shingle: two
+   documents differ in at least as many shingles as their bitmaps differ in bits, so pairs
+   whose bitmaps differ in more bits than a link allows are dropped, which loses none that
+   is similar.  Only members left in some pair meet again with their shingles: one matrix
+   product counts the common shingles of all pairs of two blocks, and pairs with enough of them
+   are aligned unless links found meanwhile joined them.  Every pair that shares a sketch is
+   thus verified, shown to be too different, or already in one component.
+5. Verification aligns in a band: a shingle pair too far off the diagonal to be part of
    a sufficient alignment is dropped, which loses none that is sufficient.  Only documents
    of candidate pairs leave the scan, as shingle hashes (a bit table of fixed size tells which).
 
@@ -42,15 +45,17 @@ from pyspark.sql import functions as F
 
 from pingscape.llm import text as tx
 from pingscape.llm.bits import bit_table, is_set, place
-from pingscape.llm.components import connected, leaders, salted
-from pingscape.llm.storage import saved
+from pingscape.llm.components import connected, leaders, salted, with_totals
+from pingscape.llm.storage import forget, saved
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 N_SKETCHES = 16
 SKETCH_SIZE = 2
-PAIRED_MEMBERS = 8
-#: A block has about so many members, or shingles where its documents are long.
+#: A block of bitmaps has about so many members, or shingles where its documents are long.
+MARKED_MEMBERS = 1024
+MARKED_SHINGLES = 1 << 20
+#: The same of a block of whole shingle sequences.
 BLOCK_MEMBERS = 256
 BLOCK_SHINGLES = 1 << 18
 #: Shingles of one step of the product that counts common ones.
@@ -191,46 +196,82 @@ def _wanted(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return _sequences(docs.select("doc_id", "text", spot("doc_id")), docs.sparkSession.sparkContext.broadcast(table))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b, ca, cb) that are similar."""
-    wanted = _wanted(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), docs)
-    # both joins take the sequences by id: one exchange serves both
-    both = pairs.join(wanted.withColumnsRenamed({"doc_id": "a", "seq": "seq_a"}).hint("merge"), "a")
-    both = both.join(wanted.withColumnsRenamed({"doc_id": "b", "seq": "seq_b"}).hint("merge"), "b")
+def _long_enough(similarity: float):
+    return F.least("n", "other_n") >= F.lit(similarity) * F.greatest("n", "other_n")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            hit = [similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), similarity) for a, b in zip(x.column("seq_a"), x.column("seq_b"), strict=True)]
-            yield x.select(["a", "b", "ca", "cb"]).filter(pa.array(hit, pa.bool_()))
 
-    return both.select("a", "b", "ca", "cb", "seq_a", "seq_b").mapInArrow(run, "a long, b long, ca long, cb long")
+def _led_links(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The links among pairs (id, lead); the members of a leader are verified in SALTS pieces, to each of which its sequence goes once."""
+    pairs = salted(pairs, "id")
+    asked = pairs.select("lead", "salt", "id", F.lit(True).alias("member"))
+    asked = saved(asked.unionByName(pairs.select("lead", "salt", F.col("lead").alias("id"), F.lit(False).alias("member")).distinct()))
+    met = asked.join(_wanted(asked, docs).withColumnRenamed("doc_id", "id").hint("merge"), "id")
+    met = met.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, led = None, None
+        for x in batches:
+            hit = []
+            for lead, salt, member, seq in zip(*(x.column(c).to_pylist() for c in ("lead", "salt", "member")), x.column("seq"), strict=True):
+                shingled = np.frombuffer(seq.as_buffer(), np.uint64)
+                if not member:
+                    key, led = (lead, salt), shingled.copy()
+                hit.append(member and key == (lead, salt) and similar(led, shingled, similarity))
+            yield x.select(["id", "lead"]).filter(pa.array(hit, pa.bool_()))
 
-def _long_enough(similarity: float):
-    return F.least("n", "other_n") >= F.lit(similarity) * F.greatest("n", "other_n")
+    return met.select("lead", "salt", "member", "id", "seq").mapInArrow(run, "id long, lead long")
 
 
-def _pair() -> tuple[Column, Column, Column, Column]:
-    """The two documents with the smaller id first, and their components."""
-    first = F.col("id") < F.col("lead")
-    swap = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return swap("id", "lead").alias("a"), swap("lead", "id").alias("b"), swap("component", "other").alias("ca"), swap("other", "component").alias("cb")
+def parity_marks(seq: np.ndarray) -> np.ndarray:
+    """Bitmap (bytes) of which bits an odd number of shingles falls on; 4 to 8 bits a shingle, a power of two."""
+    bits = max(64, 1 << (4 * len(seq) - 1).bit_length())
+    return np.packbits(np.bincount((seq & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little")
 
 
-def _led_pairs(members: DataFrame, rank: Column, similarity: float) -> DataFrame:
-    """(a, b, ca, cb): every member of a bucket with the bucket's highest-ranked member, if
-    their components differ."""
-    head = members.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), (-F.col("id")).alias("minus"), F.col("n").alias("n"), F.col("component").alias("component"))).alias("head"))
-    head = head.select("key", (-F.col("head.minus")).alias("lead"), F.col("head.n").alias("other_n"), F.col("head.component").alias("other"))
-    pairs = members.join(head, "key")
-    return pairs.where((F.col("component") != F.col("other")) & _long_enough(similarity)).select(*_pair())
+def _folded(marks: np.ndarray) -> np.ndarray:
+    """The same bitmaps with half as many bits (the upper half of the places falls on the lower)."""
+    half = marks.shape[1] // 2
+    return marks[:, :half] ^ marks[:, half:]
 
 
-def _all_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, ca, cb): all pairs of members of a bucket whose components differ."""
-    others = members.select("key", F.col("id").alias("lead"), F.col("n").alias("other_n"), F.col("component").alias("other"))
-    pairs = members.join(others, "key").where("id < lead and component <> other")
-    return pairs.where(_long_enough(similarity)).select(*_pair())
+def close_pairs(left: list[tuple], right: list[tuple] | None, key: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(places in left, places in right) of the pairs of two blocks of a bucket, or of one block (`right` is None), that may be
+    linked: components differ, bitmaps differ in no more bits than a link allows, and no earlier sketch is
+    shared (that bucket has the pair).  Members are (id, component, keys, n, marks)."""
+    other = left if right is None else right
+    none = np.zeros(0, np.int64)
+    if not left or not other or len({m[1] for m in (*left, *other)}) == 1:
+        return none, none
+    n, other_n = (np.array([m[3] for m in side], dtype=np.int64) for side in (left, other))
+    comp, other_comp = (np.array([m[1] for m in side], dtype=np.int64) for side in (left, other))
+    allowed = (1 - similarity) / (1 + similarity)
+    by_size: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
+    for side in (left, other):
+        size = np.array([len(m[4]) for m in side])
+        by_size.append({s: (at := np.flatnonzero(size == s), np.stack([side[i][4] for i in at]).view(np.uint64)) for s in np.unique(size).tolist()})
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for s, (at, marks) in by_size[0].items():
+        # similar documents have sizes that differ by a factor of two at most
+        for t, (other_at, other_marks) in by_size[1].items():
+            if t not in (s // 2, s, 2 * s):
+                continue
+            a, b = (_folded(marks) if t < s else marks), (_folded(other_marks) if t > s else other_marks)
+            step = max(1, (1 << 20) // max(1, b.size))
+            for lo in range(0, len(a), step):
+                differ = np.bitwise_count(a[lo : lo + step, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+                i, j = np.nonzero(differ <= np.floor(allowed * np.add.outer(n[at[lo : lo + step]], other_n[other_at]) + 1e-9))
+                found.append((at[lo + i], other_at[j]))
+    i, j = (np.concatenate([f[c] for f in found]) if found else none for c in (0, 1))
+    good = (comp[i] != other_comp[j]) & (np.minimum(n[i], other_n[j]) >= similarity * np.maximum(n[i], other_n[j]))
+    if right is None:
+        good &= i < j
+    i, j = i[good], j[good]
+    if len(i):
+        keys, other_keys = np.stack([m[2] for m in left]), np.stack([m[2] for m in other])
+        sketch = int(np.argmax(keys[0] == key))
+        here = ~(keys[i, :sketch] == other_keys[j, :sketch]).any(axis=1)
+        i, j = i[here], j[here]
+    return i, j
 
 
 def common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -293,35 +334,80 @@ def block_links(left: list[tuple], right: list[tuple] | None, key: int, similari
     return links
 
 
-def _block_links(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, ca, cb): links that join all similar members of a bucket; every two blocks of a bucket meet in a group of their own."""
-    weights = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = members.join(weights, "key").withColumn("block", F.pmod(F.xxhash64("key", "id"), "blocks"))
-    placed = placed.join(_wanted(members, docs).withColumnRenamed("doc_id", "id").hint("merge"), "id")
+def _in_blocks(members: DataFrame, most: int, most_shingles: int, run, columns: list[str], schema: str) -> DataFrame:
+    """Every two blocks of a bucket in a group of their own: `run` takes (left members, right members or None, key)
+    and returns rows.  `members` has key, id, n and the given columns."""
+    placed = with_totals(members, ["key"], "id", m=(F.sum, F.lit(1)), total=(F.sum, F.col("n")))
+    placed = placed.withColumn("blocks", F.ceil(F.greatest(F.col("m") / most, F.col("total") / most_shingles)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("key", "id"), "blocks"))
     each = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    each = each.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), (F.col("block") > F.col("with")).alias("second"), "id", "component", "keys", "seq")
+    each = each.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), (F.col("block") > F.col("with")).alias("second"), *columns)
     each = each.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, sides = None, ([], [])
+        names = [c.split()[0] for c in schema.split(",")]
+
+        def result() -> pa.RecordBatch:
+            rows = run(sides[0], None if group[1] == group[2] else sides[1], group[0])
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(len(names))], names=names)
 
-        def links() -> pa.RecordBatch:
-            rows = block_links(sides[0], None if group[1] == group[2] else sides[1], group[0], similarity)
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=["a", "b", "ca", "cb"])
+        def values(column: pa.Array) -> list:
+            if pa.types.is_binary(column.type):
+                return [np.frombuffer(v, np.uint8) for v in column.to_pylist()]
+            if pa.types.is_list(column.type):
+                return [v.values.to_numpy() for v in column]
+            return column.to_pylist()
 
         for x in batches:
-            lists = x.column("keys")
+            second = x.column("second").to_pylist()
+            members = list(zip(*(values(x.column(c)) for c in columns), strict=True))
             for r, now in enumerate(zip(*(x.column(c).to_pylist() for c in ("key", "lo", "hi")), strict=True)):
                 if now != group:
                     if group is not None:
-                        yield links()
+                        yield result()
                     group, sides = now, ([], [])
-                member = x.column("id")[r].as_py(), x.column("component")[r].as_py(), lists[r].values.to_numpy(), np.frombuffer(x.column("seq")[r].as_py(), np.uint64)
-                sides[x.column("second")[r].as_py()].append(member)
+                sides[second[r]].append(members[r])
         if group is not None:
-            yield links()
+            yield result()
+
+    return each.mapInArrow(stream, schema)
+
+
+def _marks(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, marks) of the documents in column `id` (and of some others)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            marks = [parity_marks(np.frombuffer(s.as_buffer(), np.uint64)).tobytes() for s in x.column("seq")]
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(marks, pa.binary())], names=["id", "marks"])
+
+    return _wanted(ids, docs).mapInArrow(run, "id long, marks binary")
+
+
+def _close_members(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The members (key, id, component, n, keys) that may be linked to a member of another component."""
+    marked = saved(members.join(_marks(members, docs).hint("merge"), "id"))
+
+    def run(left: list[tuple], right: list[tuple] | None, key: int) -> list[tuple[int, int]]:
+        i, j = close_pairs(left, right, key, similarity)
+        other = left if right is None else right
+        return [(key, left[x][0]) for x in np.unique(i).tolist()] + [(key, other[x][0]) for x in np.unique(j).tolist()]
+
+    close = saved(_in_blocks(marked, MARKED_MEMBERS, MARKED_SHINGLES, run, ["id", "component", "keys", "n", "marks"], "key long, id long").distinct())
+    forget(marked)
+    return members.join(close, ["key", "id"], "left_semi")
+
+
+def _block_links(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ca, cb): links that join all similar members of a bucket."""
+    whole = saved(members.join(_wanted(members, docs).withColumnRenamed("doc_id", "id").hint("merge"), "id"))
+
+    def run(left: list[tuple], right: list[tuple] | None, key: int) -> list[tuple]:
+        sides = [None if side is None else [(*m[:3], m[3].view(np.uint64)) for m in side] for side in (left, right)]
+        return block_links(sides[0], sides[1], key, similarity)
 
-    return each.mapInArrow(run, "a long, b long, ca long, cb long")
+    return _in_blocks(whole, BLOCK_MEMBERS, BLOCK_SHINGLES, run, ["id", "component", "keys", "seq"], "a long, b long, ca long, cb long")
 
 
 def _joined(comps: DataFrame, found: DataFrame) -> DataFrame:
@@ -340,23 +426,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     led = saved(leaders(sketches.select("doc_id", *key), key, "doc_id"))
 
     # members of buckets with two representatives or more
-    reps = sketches.groupBy(*key).agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("r.*")
-    cells = reps.select(F.col("doc_id").alias("id"), "n", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = cells.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = saved(cells.join(shared, "key"))
+    reps = saved(sketches.groupBy(*key).agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select(F.col("r.doc_id").alias("id"), "r.n", "r.keys"))
+    cells = reps.select("id", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    members = saved(with_totals(cells, ["key"], "id", size=(F.sum, F.lit(1))).where("size > 1"))
     hubs = members.groupBy("id").agg(F.sum("size").alias("hub"))
-    ranked = members.join(hubs, "id").withColumn("component", F.col("id"))
-    pairs = saved(_led_pairs(ranked, F.col("hub"), similarity).distinct())
-    found = _verified(pairs, docs, similarity)
-    comps = _joined(hubs.select("id", F.col("id").alias("component")), found)
+    head = F.struct("hub", (-F.col("id")).alias("minus"), "n")
+    led_by = with_totals(members.join(hubs, "id"), ["key"], "id", head=(F.max, head)).select("id", "n", (-F.col("head.minus")).alias("lead"), F.col("head.n").alias("other_n"))
+    found = saved(_led_links(led_by.where(F.col("id") != F.col("lead")).where(_long_enough(similarity)).select("id", "lead").distinct(), docs, similarity))
+    comps = _joined(hubs.select("id", F.col("id").alias("component")), found.select(F.col("id").alias("ca"), F.col("lead").alias("cb")))
 
     # buckets that still hold several components are finished exactly
-    now = members.join(comps, "id")
-    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_members = saved(now.join(mixed, "key", "left_semi"))
-    pairs = saved(_all_pairs(open_members.where(F.col("size") <= PAIRED_MEMBERS), similarity).distinct())
-    large = saved(open_members.where(F.col("size") > PAIRED_MEMBERS).join(reps.select(F.col("doc_id").alias("id"), "keys"), "id"))
-    comps = _joined(comps, _verified(pairs, docs, similarity).unionByName(_block_links(large, docs, similarity)))
+    now = with_totals(members.join(comps, "id"), ["key"], "id", lo=(F.min, F.col("component")), hi=(F.max, F.col("component")))
+    open_members = saved(now.where("lo < hi").select("key", "id", "component").join(reps, "id"))
+    forget(members, found)
+    close = saved(_close_members(open_members, docs, similarity))
+    forget(open_members)
+    comps = _joined(comps, _block_links(close, docs, similarity))
 
     per_class = led.join(comps.withColumnRenamed("id", "leader"), "leader", "left").select(*key, "salt", F.col("leader").alias("class_id"), F.coalesce("component", "leader").alias("component_id"))
     judged = salted(sketches.select("doc_id", *key), "doc_id").join(per_class, [*key, "salt"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id"))

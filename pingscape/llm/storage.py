@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in `spark.checkpoint.dir`; a scratch folder only where it is unset (tests)."""
+    """The folder that the cluster names in `spark.checkpoint.dir`.
+
+    Where it is unset, a session inside one process (as in tests) gets a scratch folder; on a
+    cluster, whose executors could not see one, that is an error.
+    """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pingscape-shared-"))
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="pingscape-shared-"))
     return sc.getCheckpointDir()
 
 
@@ -25,7 +30,17 @@ def saved(df: DataFrame) -> DataFrame:
     so a lost executor re-reads files instead of recomputing earlier stages."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete saved tables that no later plan reads (their successors are saved)."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(taken: Iterable[str], name: str) -> str:

@@ -112,6 +112,7 @@ def test_planted_links_in_a_large_group_of_unlinked_members(spark):
 
 def test_blocks_of_a_bucket_meet_each_other(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 20)
+    monkeypatch.setattr(minhash, "MARKED_MEMBERS", 32)
     monkeypatch.setattr(minhash, "STEP_SHINGLES", 64)
     rows = spun_copies(8, n=120, planted=15)
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows)).collect()} == brute(rows)
