@@ -3,14 +3,17 @@
 A task collects the distinct pre-tokens of its slice (those not met before), lays
 their bytes end to end, and keeps an inverted index from the rank of a token pair
 to the positions where that pair stands.  Ranks are taken in order; all positions
-of a rank are merged, one of a word at a time from the left, and only the two
-neighbours of each merge are entered anew.  A pair that a merge creates can have a
-lower rank than the one in work; it is then taken first, which keeps the order of
-every word exactly that of the library's word-by-word loop.
+of a rank that do not overlap are merged at once, and only the two neighbours of each merge are
+entered anew.  A pair that a merge creates can have a lower rank than the one in work: a
+word's merges of a round end with the first that makes one, which is then taken first.  That keeps
+the order of every word exactly that of the library's word-by-word loop, and the cost of a
+long word in proportion to its length.
 
 Texts are cut into runs of `white space? + non-space`, which no match of the split
 pattern crosses; runs and pre-tokens are numbered and coded once per task.  Null
-texts count as empty; an empty text has no ids.  Only id and text columns are read.
+texts count as empty; an empty text has no ids; very long texts are coded in several calls and
+never cut.  Repeated rows, and rows that share an id or have none, are rows of their own.  An empty
+table gives an empty one.  Only the id and text columns are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -119,11 +122,34 @@ class MergeReplay:
             places = places[self._pair(token[places], token[after[places]]) == rank]
             if not len(places):
                 continue
+            # of overlapping positions (the second token of one is the first of the next) every other one from the left
+            linked = np.append(False, after[places[:-1]] == places[1:])
+            if linked.any():
+                nth = np.arange(len(places))
+                odd = (nth - np.maximum.accumulate(np.where(linked, 0, nth))) % 2 == 1
+                places = places[~odd]
             leading = np.diff(word[places], prepend=-1) != 0
-            if not leading.all():  # one merge of a word at a time: the one it makes possible may come first
-                index[rank] = [places[~leading]]
-                heapq.heappush(queue, rank)
-                places = places[leading]
+            if not leading.all():
+                # the pairs that each merge makes when those to its left are done: may one come before the others?
+                second = after[places]
+                third = after[second]
+                previous = before[places]
+                joined = np.append(False, third[:-1] == places[1:])
+                new = np.full(len(places), rank)
+                lower = np.zeros(len(places), dtype=bool)
+                right, left = third >= 0, previous >= 0
+                made = self._pair(new[right], token[third[right]])
+                lower[right] |= (made >= 0) & (made < rank)
+                made = self._pair(np.where(joined[left], rank, token[previous[left]]), new[left])
+                lower[left] |= (made >= 0) & (made < rank)
+                # a word's merges up to its first such one
+                stops = np.cumsum(lower) - lower
+                head = np.flatnonzero(leading)
+                wait = stops > np.repeat(stops[head], np.diff(np.append(head, len(places))))
+                if wait.any():
+                    index[rank] = [places[wait]]
+                    heapq.heappush(queue, rank)
+                    places = places[~wait]
             second = after[places]
             token[places], token[second] = rank, -1
             third = after[second]
@@ -131,7 +157,7 @@ class MergeReplay:
             right = third >= 0
             before[third[right]] = places[right]
             left = before[places]
-            touched = np.concatenate([left[left >= 0], places[right]])
+            touched = np.unique(np.concatenate([left[left >= 0], places[right]]))
             if len(touched):
                 enter(touched)
         return token

@@ -19,7 +19,8 @@ SEGMENT_TURNS rows and about PIECE_CHARS characters while it streams, so no task
 conversation whole, also where turn numbers are null or repeat.  Its pieces one after
 the other are its text.  Turns come in the order of (turn,
 role, text), a null turn first; null role and text are empty; rows that repeat a
-turn are further turns.  Only the named columns are read.
+turn are further turns.  A text of any length is read in linear time.  An empty table gives
+an empty one.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ PIECE_CHARS = 1 << 20
 PART_TYPE = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
 _CONTROL = r"### |</turn>|<part "
-_ESCAPE = re.compile(rf"(?=\\*(?:{_CONTROL}))(?<!\\)")
-_UNESCAPE = re.compile(rf"\\(?=\\*(?:{_CONTROL}))(?<!\\\\)")
+# the look behind comes first, so that a run of backslashes is read once
+_ESCAPE = re.compile(rf"(?<!\\)(?=\\*(?:{_CONTROL}))")
+_UNESCAPE = re.compile(rf"(?<!\\)\\(?=\\*(?:{_CONTROL}))")
 _TURN = re.compile(r"### ([^\n]*):\n(.*?)\n</turn>\n", re.DOTALL)
 _PART = re.compile(r"\n<part (\d+) (image|audio|document) (\d+)>\n")
 

@@ -1,17 +1,21 @@
 """Main text of web pages by composite text density.
 
 A page is read into a tree with the usual implied end tags; head, scripts, styles,
-forms and the like never enter it, and subtrees that a page marks as furniture
-(navigation, footers, page headers, sidebars, adverts, notices, reader comments,
+select boxes and the like never enter it, and subtrees that a page marks as furniture
+(navigation, footers, page headers, sidebars, forms, adverts, notices, reader comments,
 by element, role, or a whole class or id) are set aside.  A class or id that is a known name
 does so only where its subtree does not hold the core, most of the page's text outside links or
-its largest `article` or `main`; reader comments count where the page has other text.  For every node with C
+its largest `article` or `main`, and the name of a menu inside an article, `main` or the core only
+where links make up half of it; a form, aside, dialog or header element does so only where it does not
+hold the largest `article` or `main` or, on a page without these, most of the text
+outside links; reader comments count where the page has other text.  For every node with C
 characters in T tags, of which LC lie in LT links, the density is C / T times
 (1 + log(C/LC * T/LT)) / (1 + log(base)), where the base grows with the link text
 of the node and of the page (denominators at least 1).  A node's density sum is that of its children.  The
 node with the largest sum is the core; the least density on the path from it to
 the body is the threshold; the topmost nodes that reach it and, like the core,
-are not made of links give the text.
+are not made of links give the text, with a heading of the first level, or any heading right
+before the path, beside it.
 
 An `article` or `main` element is a hint that only adds text: the innermost one around the core is
 taken whole in the core's place, and with an article the further articles beside it that
@@ -19,7 +23,9 @@ are not made of links.  A core outside any such element stands as it is.
 The text of the chosen nodes is not cut: character references decoded, white space
 inside a block made one space, blocks joined by one space.  Null, empty or
 tag-only pages give an empty text.  Markup that is cut off or badly nested is read
-as far as it goes.
+as far as it goes.  Of equal density sums the first node in page order is the core.  Very long
+pages are read whole, in linear time, one page at a time; repeated rows, and rows without id or
+url, are rows of their own; an empty table gives an empty one.  Only the three named columns are read.
 """
 
 from __future__ import annotations
@@ -36,7 +42,8 @@ from pyspark.sql import functions as F
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|$)"
     r"|<[!?][^>]*(?:>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>])*?)(?:>|$)",
+    # a quote opens a value only after an equals sign
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>])*?)(?:>|$)",
     re.DOTALL | re.IGNORECASE,
 )
 #: Elements that are left out up to their end tag.  Without one, raw text goes on to the page's end, the others lose only the tag.
@@ -54,7 +61,9 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl body html td th article section div".split())
 MAIN = frozenset("html body article main".split())
-FURNITURE = frozenset("nav footer aside form button menu dialog head".split())
+FURNITURE = frozenset("nav footer button menu head".split())
+#: Elements that are furniture unless the page's text is in them.
+LIKELY_FURNITURE = frozenset("aside form dialog header".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 COMMENT_NAMES = frozenset("comment comments comment-list commentlist comment-section comments-section comments-area comments-list disqus disqus-thread replies respond".split())
 FURNITURE_NAMES = frozenset(
@@ -67,6 +76,8 @@ FURNITURE_NAMES = frozenset(
     "sidebar left-sidebar right-sidebar sidebar-left sidebar-right signup sitemap skip skip-link skip-links sponsor sponsored subscribe subscription tag-list toolbar topbar top-bar widget widgets widget-area".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names that an article may use for something else than a list of links.
+MENU_NAMES = frozenset(n for n in FURNITURE_NAMES if n.startswith(("menu", "nav")) or n.endswith(("menu", "nav", "navigation")))
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -80,16 +91,9 @@ class Node:
         self.density = self.density_sum = 0.0
 
 
-def _is_furniture(name: str, attributes: str, parent: Node) -> bool:
+def _is_furniture(name: str, attributes: str) -> bool:
     if name in FURNITURE:
         return True
-    if name == "header":
-        node: Node | None = parent
-        while node is not None:
-            if node.name in ("article", "main"):
-                return False
-            node = node.parent
-        return True
     if not attributes or name in MAIN:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
@@ -152,11 +156,11 @@ def parse(page: str) -> Node:
         if name in CLOSES_P or name in SIBLINGS:
             ends = {"p"} if name in CLOSES_P else SIBLINGS[name]
             match = node
-            while match is not root and match.name not in ends and match.name not in SCOPES and match.name not in FURNITURE:
+            while match is not root and match.name not in ends and match.name not in SCOPES and match.name not in FURNITURE and match.name not in LIKELY_FURNITURE:
                 match = match.parent
             while match is not root and match.name in ends:
                 node = match = match.parent
-        child = Node(name, node, _is_furniture(name, m[3], node), _known_names(name, m[3]))
+        child = Node(name, node, _is_furniture(name, m[3]), _known_names(name, m[3]))
         node.children.append(child)
         if name not in VOID and not m[3].endswith("/"):
             node = child
@@ -229,6 +233,23 @@ def _own_text(node: Node) -> int:
     return node.chars - node.link_chars
 
 
+def _inside(node: Node, names: tuple[str, ...]) -> bool:
+    return any(n.name in names for n in _path(node)[1:])
+
+
+def set_likely_aside(root: Node) -> None:
+    """Make furniture of forms, asides, dialogs and page headers, as far as the page's text is not in them."""
+    likely = [n for n in _in_order(root) if n.name in LIKELY_FURNITURE and not (n.name == "header" and _inside(n, ("article", "main")))]
+    if not likely:
+        return
+    nodes = measure(root)
+    marked = [n for n in nodes if n.name in ("article", "main") and n.chars]
+    held = set(map(id, _path(max(marked, key=_own_text)))) if marked else set()
+    for n in likely:
+        if id(n) not in held and (marked or 2 * _own_text(n) <= _own_text(root)):
+            n.furniture = True
+
+
 def set_named_aside(root: Node) -> None:
     """Make furniture of the subtrees whose class or id names them so, as far as they cannot be the article."""
     everything = _in_order(root)
@@ -249,12 +270,15 @@ def set_named_aside(root: Node) -> None:
     if marked:
         held.update(map(id, _path(max(marked, key=_own_text))))
     for n in named:
+        if n.named <= MENU_NAMES and 2 * n.link_chars < n.chars and (_inside(n, ("article", "main")) or any(p is core for p in _path(n)[1:-1])):
+            continue
         if id(n) not in held and not (n.density_sum > 0.0 and 2 * _own_text(n) > _own_text(root)):
             n.furniture = True
 
 
 def choose(root: Node) -> list[Node]:
     """Subtrees that make up the article, in page order."""
+    set_likely_aside(root)
     set_named_aside(root)
     nodes = measure(root)
     core = max(nodes, key=lambda n: n.density_sum)
@@ -276,6 +300,12 @@ def choose(root: Node) -> list[Node]:
         at = next(i for i, c in enumerate(n.children) if c is below)
         parts = core.name == "article" and below is core
         dense = [isinstance(c, Node) and not c.furniture and (c.density >= threshold or parts and c.name == "article") and 2 * c.link_chars < c.chars for c in n.children]
+        if core.name not in ("article", "main"):
+            # the title above the text
+            before = [i for i, c in enumerate(n.children[:at]) if isinstance(c, Node) and not c.furniture and c.chars]
+            for i in before:
+                c = n.children[i]
+                dense[i] |= (c.name == "h1" or i == before[-1] and c.name in HEADINGS) and 2 * c.link_chars < c.chars
         chosen += [c for c, d in zip(n.children[:at], dense[:at], strict=True) if d]
         after.append([c for c, d in zip(n.children[at + 1 :], dense[at + 1 :], strict=True) if d])
     chosen.append(core)

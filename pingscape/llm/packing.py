@@ -17,12 +17,15 @@ a window) is cut at powers of two, which need no padding, where that is cheaper
 than padding it.
 
 Null and empty texts are one end token.  Rows that repeat an id are separate
-documents, ordered by text.  Only the id and text columns are read.
+documents, ordered by text; rows without id come first, ordered by a hash of their text, so that
+many of them are dealt over many tasks.  A string of the tokenizer's file that is a token by itself
+(an added token) is that token, as in the library's own call.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -86,6 +89,8 @@ _IS_MARK[list(_MARKS)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 MOST_MARKS = 16
+#: Begins a word that stands for an added token; no text holds this byte.
+ADDED = b"\xff"
 #: Coded pieces that a worker process remembers.
 MAX_PIECES = 200_000
 
@@ -102,6 +107,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
+        added = {t.content: i for i, t in self._whole.get_added_tokens_decoder().items() if t.content}
+        self.added = re.compile(b"|".join(re.escape(c.encode()) for c in sorted(added, key=len, reverse=True))) if added else None
+        self._added = {ADDED + str(i).encode(): [i] for i in added.values()}
+        self.marks = {c.encode(): b" " + ADDED + str(i).encode() + b" " for c, i in added.items()}
+        # pieces come in lower case and hold no added token any more, whatever they look like
         self._whole.encode_special_tokens = True
         self._model, self._normal = self._whole.model, self._whole.normalizer.normalize_str
         self._letters = _byte_letters()
@@ -131,7 +141,7 @@ class PieceEncoder:
         for p in pieces:
             ids = known.get(p)
             if ids is None:
-                ids = known[p] = code(p)
+                ids = known[p] = self._added.get(p) or code(p)
             out.append(ids)
         return out
 
@@ -168,6 +178,9 @@ class TextEncoder:
     def __call__(self, texts: list[bytes], closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, lengths, kinds, first) for a list of texts: all ids; per word its number of ids and
         the kind of its end; the first word of each text.  `closed` texts end with the end id, as a last word."""
+        if self._pieces.added:
+            # an added token ends the words around it, like white space
+            texts = [self._pieces.added.sub(lambda m: self._pieces.marks[m[0]], t) for t in texts]
         offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         buf = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
         start, end, first = tx.words(buf, offs)
@@ -376,7 +389,8 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     """Pieces of the packed sequences: which ids of which document lie where, and the ids (little-endian uint32)."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    deal = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    docs = docs.repartitionByRange(parts, "doc_id", deal).sortWithinPartitions("doc_id", deal, "text")
     schema = SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString())
     names = [c.split()[0] for c in schema.split(", ")]
 

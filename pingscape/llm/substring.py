@@ -13,16 +13,18 @@ windows reach to the left and right is an occurrence.
    size; anchors whose bit is not set are unique and stop here.  (A bit set by chance costs
    work, not correctness; a full table would stop nothing and change no result.)
 2. Extend: each repeated anchor is extended to the reach of its windows, and the
-   extension hashed.  In a task's batch only the first of equal occurrences goes on;
+   extension hashed.  Of equal occurrences in a part of a task's rows only the first goes on;
    the others are repeats whatever lies elsewhere.
 3. Equal extensions: all windows of every occurrence but the first are repeats.
    Different extensions of one anchor: their windows are compared one by one.
 4. Repeats are gathered per document, merged, and cut out.
 
 Equality is held by two 64-bit hashes (anchor and extension, or anchor and
-window).  Per key a batch sends one row, so one passage in a third of all rows
-reaches a task as one row per batch.  Null and empty texts have no words and stay
-as they are; documents under `min_words` words lose nothing.  A null id comes before
+window).  Per key a part of PART_BYTES sends one row, so one passage in a third of all rows
+reaches a task as one row per part; an anchor in very many contexts meets their number in
+salted pieces.  Null and empty texts have no words and stay
+as they are; documents under `min_words` words lose nothing; very long texts are never cut.  An empty
+table gives an empty one; other columns, whatever their names, are kept.  A null id comes before
 all others.  Rows with equal id count as one document: none of them is earlier
 than another at the same word; rows equal in id and text get the same result.
 """
@@ -40,7 +42,8 @@ from pyspark.sql import functions as F
 
 from pingscape.llm import text as tx
 from pingscape.llm.bits import bit_table, is_set, place
-from pingscape.llm.storage import free_name, saved
+from pingscape.llm.components import with_totals
+from pingscape.llm.storage import forget, free_name, saved
 
 MIN_WORDS = 20
 ANCHOR_WORDS = 8
@@ -48,6 +51,8 @@ ANCHOR_WORDS = 8
 TABLE_BITS = 1 << 27
 #: Bits of the table of documents that lose words (8 MB).
 DOCUMENT_BITS = 1 << 26
+#: Text that is held with its anchors and windows at a time.
+PART_BYTES = 8 << 20
 _SPAN = "struct<s:int,e:int>"
 
 
@@ -108,11 +113,16 @@ def _claims(docs: DataFrame, table, bits: int, min_words: int, k: int) -> DataFr
     """Rows of two kinds: the first occurrence in a batch of each (anchor, extension), and
     per document the intervals (`cut`) that an earlier row of its batch already repeats."""
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo, hi, _, _ in tx.slices(whole.column("text"), PART_BYTES):
+                yield whole.slice(lo, hi - lo)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         interval = pa.struct([("s", pa.int32()), ("e", pa.int32())])
-        for b in batches:
+        for b in parts(batches):
             ids = b.column("doc_id")
-            # order of ids inside the batch; equal ids share a rank, a null is the least
+            # order of ids inside the part; equal ids share a rank, a null is the least
             order = ids.dictionary_encode()
             values = order.dictionary
             rank_of = np.empty(len(values) + 1, dtype=np.int64)
@@ -176,14 +186,14 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     table = df.sparkSession.sparkContext.broadcast(_repeated_table(_anchor_counts(docs, min_words, anchor_words), table_bits))
     keyed = docs.where("text is not null").withColumn("text_key", F.xxhash64("text"))
     rows = saved(_claims(keyed, table, table_bits, min_words, anchor_words))
+    table.unpersist()
     local = rows.where("cut is not null").select("doc_id", "text_key", "cut")
     claims = rows.where("cut is null").drop("cut")
 
     # one row per (anchor, extension): its first claim, and whether the anchor has other extensions
     spot = F.struct("doc_id", "start")
     firsts = saved(claims.groupBy("anchor", "extension").agg(F.min(spot).alias("spot"), F.count("*").alias("claims")))
-    kinds = firsts.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    facts = firsts.join(kinds, "anchor").where("claims > 1 or kinds > 1").select("anchor", "extension", "spot", (F.col("kinds") > 1).alias("varied"))
+    facts = with_totals(firsts, ["anchor"], "extension", kinds=(F.sum, F.lit(1))).where("claims > 1 or kinds > 1").select("anchor", "extension", "spot", (F.col("kinds") > 1).alias("varied"))
     known = claims.join(facts, ["anchor", "extension"]).withColumn("first", F.struct("doc_id", "start").eqNullSafe(F.col("spot")))
     known = saved(known.where("varied or not first").withColumn("windows", F.when(F.col("first"), F.col("windows"))).drop("spot", "extension"))
 

@@ -67,3 +67,14 @@ def test_awkward_rows(spark, library):
 
 def test_empty_table(spark):
     assert bpe.encode(documents(spark, []), PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_one_long_pre_token_costs_little(library, coder):
+    import time
+
+    rng = random.Random(5)
+    for text in ("ab" * 200_000, "a" * 300_001, "the" * 100_000, "".join(rng.choice("abe") for _ in range(200_000)), "".join(map(chr, rng.choices(range(97, 123), k=300_000)))):
+        start = time.time()
+        got = bpe.encode_texts([text], coder)[0].tolist()
+        assert time.time() - start < 5
+        assert got == library.encode_ordinary(text)

@@ -114,3 +114,13 @@ def test_parts_column(spark):
 def test_empty_table(spark):
     empty = chat.format_conversations(spark.createDataFrame([], SCHEMA))
     assert empty.collect() == [] and chat.digests(empty).collect() == []
+
+
+def test_a_run_of_backslashes_is_read_in_linear_time():
+    import time
+
+    start = time.time()
+    for tail in ("", "### x", "</turn>", "y"):
+        text = "\\" * 1_000_000 + tail
+        assert chat.unescape(chat.escape(text)) == text
+    assert time.time() - start < 4

@@ -130,3 +130,121 @@ def test_awkward_rows(spark):
     df = spark.createDataFrame([(None, None, None, "a"), (1, "u", "<p>x</p>", "b"), (1, "u", "<p>x</p>", "c")], "page_id long, url string, html string, text string")
     assert sorted(html_text.extract(df).collect(), key=str) == sorted([(None, None, "", 0), (1, "u", "x", 1), (1, "u", "x", 1)], key=str)
     assert html_text.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("tag", ['<p class="a"">', "<p data-x=don't>", "<p title='it\"s'>", "<p a=b'c d=\"e>f\">", "<p '>", "<p x = 'y>z'>"])
+def test_stray_quotes_in_a_tag_lose_no_text(tag):
+    assert html_text.main_text(f"<body><div>{tag}First words.</p>{STORY}</div></body>") == "First words. " + TOLD
+
+
+@pytest.mark.parametrize("page", ["<form>{}</form>", "<form id=aspnet><div class=menu><a href=/>x</a></div><div>{}</div></form>", "<form><main>{}</main></form>", "<header><div>{}</div></header>", "<dialog open>{}</dialog>"])
+def test_an_element_around_the_whole_page_is_not_set_aside(page):
+    assert html_text.main_text(f"<body>{page.format(STORY)}<footer>f</footer></body>") == TOLD
+
+
+def test_forms_and_asides_beside_the_text_are_set_aside():
+    for extra in ("<form><p>Your name and address, please.</p></form>", "<aside>" + "<p>Something else of some length for the side of the page.</p>" * 5 + "</aside>", "<dialog><p>We care.</p></dialog>"):
+        assert html_text.main_text(f"<body><div>{STORY}{extra}</div></body>") == TOLD
+        assert html_text.main_text(f"<body>{extra}<article>{STORY}</article></body>") == TOLD
+
+
+def test_a_heading_beside_the_core_is_kept():
+    assert html_text.main_text(f"<body><div><h1>Title</h1><div>{STORY}</div></div></body>") == "Title " + TOLD
+    assert html_text.main_text(f"<body><div><h2>Title</h2><div>{STORY}</div><h2>Next</h2></div></body>") == "Title " + TOLD
+    assert html_text.main_text(f"<body><h1>Site</h1><article>{STORY}</article></body>") == TOLD
+
+
+def test_a_menu_that_is_text_stays_in_an_article():
+    for wrap in ("<article>{}</article>", "<div>{}</div>"):
+        assert html_text.main_text("<body>" + wrap.format(STORY + "<div id='menu'><p>Soup and bread are on the menu today.</p></div>") + "</body>") == TOLD + " Soup and bread are on the menu today."
+        assert html_text.main_text("<body>" + wrap.format(STORY + "<div id='menu'><a href=/>home</a> <a href=/b>more</a></div>") + "</body>") == TOLD
+
+
+def random_tree(rng, depth=0):
+    """A tree of (name, children) with texts as strings, of plain blocks and links."""
+    children = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        words = " ".join(rng.choice(["alpha", "be", "gamma", "delta", "epsilon"]) for _ in range(rng.randint(1, 30)))
+        if kind < 0.35 and depth < 4:
+            children.append(random_tree(rng, depth + 1))
+        elif kind < 0.5:
+            children.append(("div", [("a", [words.split()[0]])]))
+        else:
+            children.append(("div", [words]))
+    return ("div", children)
+
+
+def written(node):
+    return node if isinstance(node, str) else f"<{node[0]}>" + "".join(map(written, node[1])) + f"</{node[0]}>"
+
+
+def reference_text(body):
+    """Composite text density written out a second time, over tuples."""
+    import math
+
+    stat = {}
+
+    def count(n):
+        c = t = lc = lt = 0
+        for x in n[1]:
+            if isinstance(x, str):
+                c += len(x)
+            else:
+                a, b, d, e = count(x)
+                c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e
+        if n[0] == "a":
+            lc, lt = c, lt + 1
+        stat[id(n)] = (c, t, lc, lt)
+        return stat[id(n)]
+
+    all_c, _, all_lc, _ = count(body)
+
+    def density(n):
+        c, t, lc, lt = stat[id(n)]
+        if not c:
+            return 0.0
+        inner = math.log(c / max(1, c - lc) * lc + all_lc / max(1, all_c) * c + math.e)
+        return c / max(1, t) * (1 + math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt)))) / (1 + math.log(inner))
+
+    def walk(n, path):
+        yield n, path
+        for x in n[1]:
+            if not isinstance(x, str):
+                yield from walk(x, [*path, n])
+
+    def density_sum(n):
+        return sum(density(x) for x in n[1] if not isinstance(x, str))
+
+    best = max(((n, path) for n, path in walk(body, [])), key=lambda v: density_sum(v[0]))
+    core, path = best
+    threshold = min(density(n) for n in [core, *path])
+
+    def text(n):
+        return [n] if isinstance(n, str) else [w for x in n[1] for w in text(x)]
+
+    def chosen(n, line):
+        if n is core:
+            return text(n)
+        out = []
+        for x in n[1]:
+            if x is line[0]:
+                out += chosen(x, line[1:])
+            elif not isinstance(x, str) and density(x) >= threshold and 2 * stat[id(x)][2] < stat[id(x)][0]:
+                out += text(x)
+        return out
+
+    return " ".join(chosen(body, [*path, core][1:] or [core]))
+
+
+def test_density_equals_a_second_reference_on_pages_without_an_article():
+    import random
+
+    rng = random.Random(6)
+    several = 0
+    for _ in range(400):
+        body = ("body", [random_tree(rng) for _ in range(rng.randint(1, 3))])
+        got, want = html_text.main_text(written(body)), reference_text(body)
+        assert got == want
+        several += want != " ".join(w for x in body[1] for w in html_text.main_text(written(x)).split())
+    assert several > 50

@@ -14,9 +14,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def check(rows, texts, length=packing.LENGTH):
@@ -165,3 +163,17 @@ def test_blocks_do_not_change_the_tiling(spark, monkeypatch):
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     padding, tokens = check([dict(zip(names, p, strict=True)) for p in pieces], rows, 512)
     assert padding < 0.05 * tokens
+
+
+def test_control_strings_are_coded_as_by_the_library(spark):
+    rng = random.Random(9)
+    parts = ["hello", " ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "world.", "\n", "it's", "9", "<|", "|>"]
+    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))) for i in range(300)]
+    check(packing.pack(documents(spark, texts), PATH).collect(), texts)
+
+
+def test_rows_without_id_are_dealt_over_tasks(spark):
+    rows = [(None, f"text number {i} " * 50) for i in range(400)]
+    got = packing.pack(documents(spark, rows), PATH).collect()
+    assert len({r["sequence_id"] >> 40 for r in got}) > 3
+    assert sum(r["length"] for r in got) == sum(len(library().encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
