@@ -45,9 +45,9 @@ COSTS = np.array([0.0, 1.0, 4.0, 8.0, 64.0])
 TAIL_COST = 16.0
 WORD_STEP = 16
 BROKEN_STEP = 64
-BLOCK_TOKENS = 1 << 19
-CALL_ROWS = 4096
-CALL_BYTES = 4 << 20
+BLOCK_TOKENS = 1 << 17
+CALL_ROWS = 512
+CALL_BYTES = 1 << 20
 
 #: What the last byte of a word says about the boundary after it.
 _KIND = np.full(256, WORD, dtype=np.int8)
@@ -92,7 +92,7 @@ MOST_MARKS = 16
 #: Begins a word that stands for an added token; no text holds this byte.
 ADDED = b"\xff"
 #: Coded pieces that a worker process remembers.
-MAX_PIECES = 200_000
+MAX_PIECES = 100_000
 
 
 class PieceEncoder:
