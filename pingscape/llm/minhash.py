@@ -58,6 +58,9 @@ MARKED_SHINGLES = 1 << 20
 #: The same of a block of whole shingle sequences.
 BLOCK_MEMBERS = 256
 BLOCK_SHINGLES = 1 << 18
+#: Pairs, and words of bitmaps, that are compared in one step.
+STEP_PAIRS = 1 << 16
+STEP_WORDS = 1 << 20
 #: Shingles of one step of the product that counts common ones.
 STEP_SHINGLES = 4096
 #: Bits of the table of documents in candidate pairs (8 MB, whatever the input's size).
@@ -234,44 +237,45 @@ def _folded(marks: np.ndarray) -> np.ndarray:
     return marks[:, :half] ^ marks[:, half:]
 
 
-def close_pairs(left: list[tuple], right: list[tuple] | None, key: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """(places in left, places in right) of the pairs of two blocks of a bucket, or of one block (`right` is None), that may be
-    linked: components differ, bitmaps differ in no more bits than a link allows, and no earlier sketch is
-    shared (that bucket has the pair).  Members are (id, component, keys, n, marks)."""
+def close_members(left: list[tuple], right: list[tuple] | None, key: int, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(places in left, places in right) of the members of two blocks of a bucket, or of one block (`right` is None), that
+    belong to a pair that may be linked: components differ, bitmaps differ in no more bits than a link allows, and
+    no earlier sketch is shared (that bucket has the pair).  Members are (id, component, keys, n, marks)."""
     other = left if right is None else right
-    none = np.zeros(0, np.int64)
-    if not left or not other or len({m[1] for m in (*left, *other)}) == 1:
-        return none, none
-    n, other_n = (np.array([m[3] for m in side], dtype=np.int64) for side in (left, other))
-    comp, other_comp = (np.array([m[1] for m in side], dtype=np.int64) for side in (left, other))
-    allowed = (1 - similarity) / (1 + similarity)
-    by_size: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-    for side in (left, other):
-        size = np.array([len(m[4]) for m in side])
-        by_size.append({s: (at := np.flatnonzero(size == s), np.stack([side[i][4] for i in at]).view(np.uint64)) for s in np.unique(size).tolist()})
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for s, (at, marks) in by_size[0].items():
-        # similar documents have sizes that differ by a factor of two at most
-        for t, (other_at, other_marks) in by_size[1].items():
-            if t not in (s // 2, s, 2 * s):
-                continue
-            a, b = (_folded(marks) if t < s else marks), (_folded(other_marks) if t > s else other_marks)
-            step = max(1, (1 << 20) // max(1, b.size))
-            for lo in range(0, len(a), step):
-                differ = np.bitwise_count(a[lo : lo + step, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
-                i, j = np.nonzero(differ <= np.floor(allowed * np.add.outer(n[at[lo : lo + step]], other_n[other_at]) + 1e-9))
-                found.append((at[lo + i], other_at[j]))
-    i, j = (np.concatenate([f[c] for f in found]) if found else none for c in (0, 1))
-    good = (comp[i] != other_comp[j]) & (np.minimum(n[i], other_n[j]) >= similarity * np.maximum(n[i], other_n[j]))
-    if right is None:
-        good &= i < j
-    i, j = i[good], j[good]
-    if len(i):
+    hit, other_hit = np.zeros(len(left), dtype=bool), np.zeros(len(other), dtype=bool)
+    if left and other and len({m[1] for m in (*left, *other)}) > 1:
+        n, other_n = (np.array([m[3] for m in side], dtype=np.int64) for side in (left, other))
+        comp, other_comp = (np.array([m[1] for m in side], dtype=np.int64) for side in (left, other))
         keys, other_keys = np.stack([m[2] for m in left]), np.stack([m[2] for m in other])
         sketch = int(np.argmax(keys[0] == key))
-        here = ~(keys[i, :sketch] == other_keys[j, :sketch]).any(axis=1)
-        i, j = i[here], j[here]
-    return i, j
+        allowed = (1 - similarity) / (1 + similarity)
+        by_size: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
+        for side in (left, other):
+            size = np.array([len(m[4]) for m in side])
+            by_size.append({s: (at := np.flatnonzero(size == s), np.stack([side[i][4] for i in at]).view(np.uint64)) for s in np.unique(size).tolist()})
+        for s, (at, marks) in by_size[0].items():
+            # similar documents have sizes that differ by a factor of two at most
+            for t, (other_at, other_marks) in by_size[1].items():
+                if t not in (s // 2, s, 2 * s):
+                    continue
+                a, b = (_folded(marks) if t < s else marks), (_folded(other_marks) if t > s else other_marks)
+                step = max(1, min(STEP_PAIRS // len(b), STEP_WORDS // b.size))
+                for lo in range(0, len(a), step):
+                    differ = np.zeros((len(a[lo : lo + step]), len(b)), dtype=np.int64)
+                    for w in range(0, b.shape[1], 16):
+                        differ += np.bitwise_count(a[lo : lo + step, None, w : w + 16] ^ b[None, :, w : w + 16]).sum(axis=2, dtype=np.int64)
+                    i, j = np.nonzero(differ <= np.floor(allowed * np.add.outer(n[at[lo : lo + step]], other_n[other_at]) + 1e-9))
+                    i, j = at[lo + i], other_at[j]
+                    good = (comp[i] != other_comp[j]) & (np.minimum(n[i], other_n[j]) >= similarity * np.maximum(n[i], other_n[j]))
+                    if right is None:
+                        good &= i < j
+                    i, j = i[good], j[good]
+                    for k in range(sketch):
+                        apart = keys[i, k] != other_keys[j, k]
+                        i, j = i[apart], j[apart]
+                    hit[i] = True
+                    other_hit[j] = True
+    return np.flatnonzero(hit), np.flatnonzero(other_hit)
 
 
 def common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -390,9 +394,9 @@ def _close_members(members: DataFrame, docs: DataFrame, similarity: float) -> Da
     marked = saved(members.join(_marks(members, docs).hint("merge"), "id"))
 
     def run(left: list[tuple], right: list[tuple] | None, key: int) -> list[tuple[int, int]]:
-        i, j = close_pairs(left, right, key, similarity)
+        i, j = close_members(left, right, key, similarity)
         other = left if right is None else right
-        return [(key, left[x][0]) for x in np.unique(i).tolist()] + [(key, other[x][0]) for x in np.unique(j).tolist()]
+        return [(key, left[x][0]) for x in i.tolist()] + [(key, other[x][0]) for x in j.tolist()]
 
     close = saved(_in_blocks(marked, MARKED_MEMBERS, MARKED_SHINGLES, run, ["id", "component", "keys", "n", "marks"], "key long, id long").distinct())
     forget(marked)

@@ -181,3 +181,34 @@ def test_sketches_keep_text_order_and_find_similar_texts():
         for i, name in ((1, "near"), (2, "moved"), (3, "other")):
             hits[name] += int((keys[0] == keys[i]).sum())
     assert hits["near"] > 0.85 * 60 * 16 and hits["moved"] < 0.75 * hits["near"] and hits["other"] == 0
+
+
+def test_parity_bitmaps_lose_no_similar_pair():
+    rng = np.random.default_rng(5)
+    found = dropped = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 300))
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        keep = a[rng.random(n) < rng.choice([0.6, 0.9, 1.0])]
+        b = np.concatenate([keep, rng.integers(0, 1 << 63, int(rng.integers(0, n // 3 + 2))).astype(np.uint64)])
+        if not len(b):
+            continue
+        keys = np.arange(16)
+        members = [(i, i, keys, len(x), minhash.parity_marks(x)) for i, x in enumerate((a, b))]
+        i, j = minhash.close_members(members[:1], members[1:], 0)
+        assert (len(i), len(j)) in ((0, 0), (1, 1)) and len(minhash.close_members(members, None, 0)[0]) == len(i)
+        common = len(np.intersect1d(a, b))
+        linked = common >= 0.8 * (len(a) + len(b) - common) - 1e-9
+        assert len(i) or not linked
+        found += linked
+        dropped += not len(i)
+    assert found > 50 and dropped > 80
+
+
+def test_close_members_leave_pairs_of_an_earlier_sketch_and_of_one_component():
+    x = np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    marks, keys = minhash.parity_marks(x), np.arange(16)
+    assert [v.tolist() for v in minhash.close_members([(1, 1, keys, 100, marks)], [(2, 2, keys, 100, marks)], 3)] == [[], []]
+    later = np.where(np.arange(16) < 3, -1, keys)
+    assert [v.tolist() for v in minhash.close_members([(1, 1, keys, 100, marks)], [(2, 2, later, 100, marks)], 3)] == [[0], [0]]
+    assert [v.tolist() for v in minhash.close_members([(1, 1, keys, 100, marks)], [(2, 1, later, 100, marks)], 3)] == [[], []]
