@@ -56,7 +56,8 @@ def capsule_ring(seg, radius: float, vertices: int = 32) -> Column:
 
 
 def line_buffer_area(lines: DataFrame, radius: float, fine: int = 16) -> DataFrame:
-    """`(feature_id, area)`: estimated area of each line's `radius` buffer.
+    """`(feature_id, area)`: estimated area of each line's `radius` buffer, that of a single
+    vertex being a circle; rows that share a `feature_id` are one line here.
 
     Cells are generated per segment column by column: in column [X0, X1] only
     the part of the segment with x in [X0 - r, X1 + r] can be within r, so the
@@ -68,7 +69,7 @@ def line_buffer_area(lines: DataFrame, radius: float, fine: int = 16) -> DataFra
     """
     c = float(radius) / fine
     r = float(radius)
-    segs = lines.select("feature_id", F.explode(geom.edges("parts")).alias("s")).select(
+    segs = lines.select("feature_id", F.explode(geom.segments_of("parts")).alias("s")).select(
         "feature_id", "s.x1", "s.y1", "s.x2", "s.y2"
     )
     cells = segment_band_cells(segs, r, c, partition_cols=["feature_id", "cx"])

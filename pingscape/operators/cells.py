@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,6 +122,28 @@ def fits(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> bool:
     return r["n"] <= max_rows and (max_bytes is None or (r["b"] or 0) <= max_bytes)
 
 
+def apart(shapes: DataFrame) -> DataFrame:
+    """The rows of a shape table with `shape`, a number of each row's own.
+
+    It is a hash of the row and of its number among equal rows, so a retried task gives a
+    row the same number again, wherever the row then lies.  Rows are dealt by it over
+    `spark.sql.shuffle.partitions` tasks, so a table in one file is the work of many.
+    """
+    names = [f"`{c}`" for c in shapes.columns]
+    counted = shapes.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
+    each = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    numbered = each.select(*names, F.xxhash64(*names, "_copy").alias("shape"))
+    return numbered.repartition(int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shape")
+
+
+def held(df: DataFrame) -> DataFrame:
+    """`df` built once for several readers: as a checkpoint where the session names a shared
+    folder for them, else cached (a lost part is computed anew)."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _aqe_splits_skew(df: DataFrame) -> bool:
     conf = df.sparkSession.conf
     on = lambda k, d: str(conf.get(k, d)).lower() == "true"

@@ -7,12 +7,14 @@ Shape coordinates are renamed so they never collide with the point side.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom
 from ..functions.timefn import MS_PER_DAY, epoch_day
-from .cells import DEFAULT_PLAN, JoinPlan, explode_box_cells, keyed_join, segment_band_cells, with_point_cell
+from .cells import DEFAULT_PLAN, JoinPlan, apart, explode_box_cells, fits, held, keyed_join, segment_band_cells, with_point_cell
 
 
 def within_distance(
@@ -45,10 +47,10 @@ def segment_cells(lines: DataFrame, radius: float, size: float) -> DataFrame:
     come within `radius` of it (cells along each segment's band, see
     `segment_band_cells`).  Built on the (small) line side only.
 
-    `line` numbers the input rows, so two rows that share a `feature_id` (or have
+    `line` numbers the input rows (`apart`), so two rows that share a `feature_id` (or have
     none) stay two lines.  A part with one vertex is a segment of length 0.
     """
-    numbered = lines.select("feature_id", F.monotonically_increasing_id().alias("line"), geom.segments_of("parts").alias("edges"))
+    numbered = apart(lines.select("feature_id", geom.segments_of("parts").alias("edges"))).withColumnRenamed("shape", "line")
     segs = numbered.select("feature_id", "line", F.explode("edges").alias("seg")).select(
         "feature_id", "line", "seg", "seg.x1", "seg.y1", "seg.x2", "seg.y2"
     )
@@ -106,86 +108,121 @@ def polygon_levels(polygons: DataFrame, base_size: float, max_cells_per_axis: in
     """The polygons with `level`: 0 unless the polygon's box spans more than
     `max_cells_per_axis` base cells, else the smallest level whose cell
     (base * 2^level) keeps it within that many cells per axis."""
-    ratio = _box_side() / F.lit(float(base_size) * max_cells_per_axis)
-    level = F.when(ratio <= 1.0, F.lit(0)).otherwise(F.ceil(F.log2(ratio)).cast("int"))
-    return polygons.withColumn("level", level)
+    return polygons.withColumn("level", _level_of(_box_side(), base_size, max_cells_per_axis))
 
 
-def polygon_cells(
-    polygons: DataFrame, size: float, max_cells_per_axis: int = 64, levels: list[int] | None = None
-) -> DataFrame:
-    """`(feature_id, level, cx, cy, full, edges)` for every cell that a polygon
-    meets, at the polygon's level (cell side `size * 2^level`).
-
-    Built edge by edge: every edge goes to the rows of cells that its y-range
-    meets, the edges of one (polygon, row) are gathered, and each such row is
-    split into its cells on its own, so a polygon with very many vertices is the
-    work of many tasks.  A ray from a point towards +x stays in the point's row,
-    so the row's edges decide everything about its cells; of those a cell keeps the
-    ones that reach its left side.  A cell that no edge touches lies wholly inside
-    or outside: its centre's parity decides once; outside cells are dropped and
-    inside cells are marked `full` (their points need no test).  Cell bounds are
-    padded by 1e-6 of a cell, so floating-point rounding of the point's cell can
-    only add edges, never lose one, and an edge through the cell always separates
-    the padded corners by a clear margin.
+def _polygon_rows(polygons: DataFrame) -> DataFrame:
+    """`(feature_id, edges, side, shape)`: polygons as rows of their own, with their sides and larger box side."""
+    return apart(polygons.select("feature_id", geom.edges("parts").alias("edges"), _box_side().alias("side")))
 
-    Input rows are polygons of their own, whatever their `feature_id`.
-    """
-    polys = polygon_levels(polygons, size, max_cells_per_axis)
-    if levels is None:
-        levels = sorted(r["level"] for r in polys.select("level").distinct().collect()) or [0]
+
+def _level_of(side, base_size: float, max_cells_per_axis: int):
+    ratio = side / F.lit(float(base_size) * max_cells_per_axis)
+    return F.when(ratio <= 1.0, F.lit(0)).otherwise(F.ceil(F.log2(ratio)).cast("int"))
+
+
+def _spans(polys: DataFrame, size: float, levels: list[int]) -> DataFrame:
+    """`polygon_spans` of `(feature_id, level, shape, edges)`."""
     sizes = {lv: float(size) * (2.0 ** lv) for lv in levels}
     cs = _level_lit(levels, sizes)
     inv = _level_lit(levels, {lv: 1.0 / sizes[lv] for lv in levels})
     pad = 1e-6
     margin = cs * (2 * pad)
-    polys = polys.select("feature_id", "level", F.monotonically_increasing_id().alias("poly"), geom.edges("parts").alias("edges"))
-    each = polys.select("feature_id", "level", "poly", F.explode("edges").alias("e"))
-    low, high = F.least("e.y1", "e.y2") - margin, F.greatest("e.y1", "e.y2") + margin
+    each = polys.select("feature_id", "level", "shape", F.explode("edges").alias("e")).select("feature_id", "level", "shape", "e", "e.*")
+    low, high = F.least("y1", "y2") - margin, F.greatest("y1", "y2") + margin
     rows = each.withColumn("cy", F.explode(F.sequence(_cell_of(low, inv), _cell_of(high, inv))))
-    rows = rows.groupBy("feature_id", "level", "poly", "cy").agg(
-        F.collect_list("e").alias("edges"), F.min(F.least("e.x1", "e.x2")).alias("left"), F.max(F.greatest("e.x1", "e.x2")).alias("right")
-    )
-    cells = rows.withColumn("cx", F.explode(F.sequence(_cell_of(F.col("left") - margin, inv), _cell_of(F.col("right") + margin, inv))))
-    x0 = (F.col("cx").cast("double") - pad) * cs
-    x1 = (F.col("cx").cast("double") + 1 + pad) * cs
-    y0 = (F.col("cy").cast("double") - pad) * cs
-    y1 = (F.col("cy").cast("double") + 1 + pad) * cs
-    reach = F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= x0)
-
-    def _meets_cell(e):
-        # boxes overlap and the four cell corners are not all strictly on one
-        # side of the edge's line (separating-axis test for segment vs box)
-        def side(cx, cy):
-            return (e["x2"] - e["x1"]) * (cy - e["y1"]) - (e["y2"] - e["y1"]) * (cx - e["x1"])
-
-        c = [side(x0, y0), side(x1, y0), side(x0, y1), side(x1, y1)]
-        all_pos = (c[0] > 0) & (c[1] > 0) & (c[2] > 0) & (c[3] > 0)
-        all_neg = (c[0] < 0) & (c[1] < 0) & (c[2] < 0) & (c[3] < 0)
-        return (
-            (F.greatest(e["x1"], e["x2"]) >= x0)
-            & (F.least(e["x1"], e["x2"]) <= x1)
-            & (F.greatest(e["y1"], e["y2"]) >= y0)
-            & (F.least(e["y1"], e["y2"]) <= y1)
-            & ~(all_pos | all_neg)
-        )
-
-    centre_x = (F.col("cx").cast("double") + 0.5) * cs
-    centre_y = (F.col("cy").cast("double") + 0.5) * cs
-    cells = cells.withColumn("touching", F.exists("edges", _meets_cell))
-    cells = cells.withColumn(
-        "full", ~F.col("touching") & geom.within_polygon(centre_x, centre_y, "edges")
-    ).where(F.col("touching") | F.col("full"))
-    return cells.select(
-        "feature_id",
-        "level",
-        "cx",
-        "cy",
-        "full",
+    # the cells of the row that the edge meets: its part between the row's bounds
+    ya = F.greatest(F.least("y1", "y2"), F.col("cy").cast("double") * cs - margin)
+    yb = F.least(F.greatest("y1", "y2"), (F.col("cy").cast("double") + 1) * cs + margin)
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    at = lambda y: F.greatest(F.least("x1", "x2"), F.least(F.greatest("x1", "x2"), F.col("x1") + (y - F.col("y1")) * (dx / dy)))
+    rows = rows.withColumns({"xa": F.when(dy == 0, F.col("x1")).otherwise(at(ya)), "xb": F.when(dy == 0, F.col("x2")).otherwise(at(yb))})
+    # interpolation rounds: a margin relative to the coordinates too
+    wide = margin + F.greatest(F.abs("x1"), F.abs("x2")) * 1e-12
+    met = F.sequence(_cell_of(F.least("xa", "xb") - wide, inv), _cell_of(F.greatest("xa", "xb") + wide, inv))
+    rows = rows.groupBy("feature_id", "level", "shape", "cy").agg(F.collect_list("e").alias("edges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(met)))).alias("met"))
+    span = lambda lo, hi, gap: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(gap).alias("gap"))
+    n = F.size("met")
+    gaps = F.filter(F.zip_with(F.slice("met", F.lit(1), n - 1), F.slice("met", F.lit(2), n - 1), lambda a, b: span(a + 1, b - 1, True)), lambda s: s["lo"] <= s["hi"])
+    parts = rows.withColumn("span", F.explode(F.concat(F.transform("met", lambda c: span(c, c, False)), gaps)))
+    # between two cells that edges meet lie only cells wholly inside or wholly outside: one of them decides
+    middle = lambda c: (F.col(c).cast("double") + 0.5) * cs
+    parts = parts.withColumn("full", F.col("span.gap") & geom.within_polygon(middle("span.lo"), middle("cy"), "edges")).where(~F.col("span.gap") | F.col("full"))
+    left = (F.col("span.lo").cast("double") - pad) * cs
+    reach = F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= left)
+    return parts.select(
+        "feature_id", "level", F.col("span.lo").alias("cx_lo"), F.col("span.hi").alias("cx_hi"), "cy", "full",
         F.when(F.col("full"), F.array().cast(f"array<{geom.EDGE_TYPE}>")).otherwise(reach).alias("edges"),
     )
 
 
+def polygon_spans(
+    polygons: DataFrame, size: float, max_cells_per_axis: int = 64, levels: list[int] | None = None
+) -> DataFrame:
+    """`(feature_id, level, cx_lo, cx_hi, cy, full, edges)`: the cells that a polygon meets, at the
+    polygon's level (cell side `size * 2^level`), as spans of rows: by scan line.
+
+    Every edge goes to the rows of cells that its y-range meets, and in a row to the
+    cells that its part inside the row meets, by plain arithmetic.  The edges of one
+    (polygon, row) are gathered, so a polygon with very many vertices is the work of many
+    tasks.  A cell that an edge meets is a span of its own, with the row's edges that reach
+    its left side: a ray from a point towards +x stays in the point's row, so these decide
+    every point of the cell.  Between two such cells no edge passes: the cells there are one
+    span, whose parity decides once; outside spans are dropped, inside ones are `full` (their points
+    need no test).  So the rows grow with the outline, not with the area.  Cell bounds are widened by
+    2e-6 of a cell, so rounding can only add edges to a cell, never lose one.
+
+    Input rows are polygons of their own, whatever their `feature_id`.
+    """
+    polys = _polygon_rows(polygons).withColumn("level", _level_of(F.col("side"), size, max_cells_per_axis))
+    if levels is None:
+        levels = sorted(r["level"] for r in polys.select("level").distinct().collect()) or [0]
+    return _spans(polys, size, levels)
+
+
+def unit_cells(spans: DataFrame) -> DataFrame:
+    """`(feature_id, level, cx, cy, full, edges)`: every cell of every span."""
+    return spans.withColumn("cx", F.explode(F.sequence("cx_lo", "cx_hi"))).select("feature_id", "level", "cx", "cy", "full", "edges")
+
+
+def polygon_cells(
+    polygons: DataFrame, size: float, max_cells_per_axis: int = 64, levels: list[int] | None = None
+) -> DataFrame:
+    """`(feature_id, level, cx, cy, full, edges)` for every cell that a polygon meets (see `polygon_spans`)."""
+    return unit_cells(polygon_spans(polygons, size, max_cells_per_axis, levels))
+
+
+# lengths of the aligned runs that a span is cut into, as powers of two
+RUNS = (0, 2, 4)
+
+
+def span_runs(spans: DataFrame, runs: tuple[int, ...] = RUNS) -> DataFrame:
+    """`(feature_id, level, run, cx, cy, full, edges)`: every span as the fewest aligned runs of 2^run cells.
+
+    Run b of size 2^k holds the cells b * 2^k to (b + 1) * 2^k - 1; a point meets it by
+    `cell >> k`.  Of each size a span has some runs at either end that no larger one
+    holds, and of the largest size all that fit.
+    """
+    lo, hi = F.col("cx_lo"), F.col("cx_hi")
+    first = lambda k: F.shiftright(lo + ((1 << k) - 1), k)
+    last = lambda k: F.shiftright(hi + 1, k) - 1
+    entry = lambda k: lambda b: F.struct(F.lit(k).alias("run"), b.alias("cx"))
+
+    def outermost(k: int, above: int):
+        parent = lambda b: F.shiftright(b, above - k)
+        return lambda b: (b >= first(k)) & (b <= last(k)) & ~((parent(b) >= first(above)) & (parent(b) <= last(above)))
+
+    pieces = []
+    for k, above in zip(runs, [*runs[1:], None], strict=True):
+        fit = F.when(first(k) <= last(k), F.sequence(first(k), last(k))).otherwise(F.array().cast("array<long>"))
+        if above is not None:
+            ends = F.array_distinct(F.array(*[f for i in range((1 << (above - k)) - 1) for f in (first(k) + i, last(k) - i)]))
+            fit = F.filter(ends, outermost(k, above))
+        pieces.append(F.transform(fit, entry(k)))
+    cut = spans.withColumn("r", F.explode(F.concat(*pieces)))
+    return cut.select("feature_id", "level", F.col("r.run").alias("run"), F.col("r.cx").alias("cx"), "cy", "full", "edges")
+
+
 # cells of a typical polygon per axis: most of its points then fall in cells
 # that lie wholly inside, and need no edge test
 CELLS_PER_POLYGON = 12
@@ -214,24 +251,33 @@ def in_polygons(
 
     Overlapping polygons each get their pair.  Holes and multi-polygons follow
     from the crossing parity over all rings.  Polygons far larger than the
-    typical one sit on coarser cell levels (see `polygon_cells`); every point
-    is keyed once per level present, which is one level in the common case.
+    typical one sit on coarser cell levels.  Polygons are cut into spans of rows once, by many tasks (see
+    `polygon_spans`).  Where the spans, as aligned runs, pass the size check, they are
+    broadcast and every point probes once per level and length of run; else the spans'
+    cells meet the points in a sort-merge join, each point keyed once per level.
     """
-    median, largest = polygon_sides(polygons)
+    polys = held(_polygon_rows(polygons))
+    r = polys.agg(F.percentile_approx("side", 0.5).alias("m"), F.max("side").alias("x")).first()
+    median, largest = (float(r["m"]) if r["m"] and r["m"] > 0 else 1.0), float(r["x"] or 0.0)
     size = float(cell_size or median / CELLS_PER_POLYGON)
+    polys = polys.withColumn("level", _level_of(F.col("side"), size, max_cells_per_axis))
     if largest <= size * max_cells_per_axis:
         levels = [0]  # every polygon fits the base level: no levels job
     else:
-        lv_frame = polygon_levels(polygons, size, max_cells_per_axis)
-        levels = sorted(r["level"] for r in lv_frame.select("level").distinct().collect()) or [0]
-    cells = polygon_cells(polygons, size, max_cells_per_axis, levels)
-    if len(levels) == 1:
-        p = points.withColumn("level", F.lit(levels[0]))
-    else:
-        p = points.withColumn("level", F.explode(F.array(*[F.lit(lv) for lv in levels])))
+        levels = sorted(r["level"] for r in polys.select("level").distinct().collect()) or [0]
+    spans = held(_spans(polys, size, levels))
+    runs = span_runs(spans)
     inv = _level_lit(levels, {lv: 1.0 / (size * (2.0 ** lv)) for lv in levels})
-    p = p.withColumns({"cx": _cell_of(F.col("x"), inv), "cy": _cell_of(F.col("y"), inv)})
-    j = keyed_join(p, cells, ["level", "cx", "cy"], plan)
+    at_level = lambda keys: points.withColumn("key", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in key.items()]) for key in keys]))).select(*[F.col(f"`{c}`") for c in points.columns], "key.*")
+    if plan.force == "broadcast" or plan.force is None and fits(runs, plan.max_broadcast_rows, plan.max_broadcast_bytes):
+        # a probe for each length of run: the shape side stays as small as the outlines
+        p = at_level([{"level": lv, "run": k} for lv in levels for k in RUNS]).withColumns({"cx": _cell_of(F.col("x"), inv), "cy": _cell_of(F.col("y"), inv)})
+        p = p.withColumn("cx", F.expr("shiftright(cx, run)"))
+        j = keyed_join(p, runs, ["level", "run", "cx", "cy"], replace(plan, force="broadcast")).drop("run")
+    else:
+        # shuffled once: points by their own cell
+        p = at_level([{"level": lv} for lv in levels]).withColumns({"cx": _cell_of(F.col("x"), inv), "cy": _cell_of(F.col("y"), inv)})
+        j = keyed_join(p, unit_cells(spans), ["level", "cx", "cy"], replace(plan, force="shuffle"))
     return j.where(F.col("full") | geom.within_polygon("x", "y", "edges")).drop("level", "cx", "cy", "full", "edges")
 
 

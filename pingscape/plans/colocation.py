@@ -53,11 +53,9 @@ def poi_visits_by_day(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT
 def _poi_windows(spark: SparkSession, sf_dir: str, plan: JoinPlan) -> DataFrame:
     """Per POI circle (radius `POI_RADIUS`, boundary excluded): n, n_distinct,
     area = pi r^2 and density = n_distinct / area.  All pings, no time filter."""
-    pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "ping_id", "x", "y")
-    pairs = joins.within_distance(
-        pings, inputs.pois_mercator(spark, sf_dir), P.POI_RADIUS, closed=False, plan=plan
-    )
-    stats = aggregate.window_stats(pairs, "feature_id")
+    pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "x", "y")
+    near = lambda p, t: joins.within_distance(p, t, P.POI_RADIUS, closed=False, plan=plan)
+    stats = aggregate.stats_per_window(pings, inputs.pois_mercator(spark, sf_dir), near)
     return aggregate.with_density(stats, F.lit(P.POI_RADIUS) * F.lit(P.POI_RADIUS) * F.pi())
 
 
@@ -156,14 +154,13 @@ def zone_totals(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN)
     window = second_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
     pings = inputs.only(inputs.pings_utm(spark, sf_dir, window), "ping_id", "sys_time", "x", "y")
     pings = filters.in_time_range(pings, P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
-    pairs = joins.in_polygons(pings, inputs.zones_utm(spark, sf_dir), plan=plan)
-    return aggregate.window_stats(pairs, "feature_id")
+    return aggregate.stats_per_window(pings, inputs.zones_utm(spark, sf_dir), lambda p, t: joins.in_polygons(p, t, plan=plan))
 
 
 def block_totals(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """Pings inside multi-polygons with holes and of very different sizes, per polygon."""
-    pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "ping_id", "x", "y")
-    return aggregate.window_stats(joins.in_polygons(pings, inputs.blocks_mercator(spark, sf_dir), plan=plan), "feature_id")
+    pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "x", "y")
+    return aggregate.stats_per_window(pings, inputs.blocks_mercator(spark, sf_dir), lambda p, t: joins.in_polygons(p, t, plan=plan))
 
 
 def shape_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,9 +188,12 @@ def labeled_zone_hour8(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAUL
 def road_pings(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """Pings strictly nearer than `ROAD_RADIUS` to each road (all pings):
     `n` distinct pings, `n_distinct` distinct positions."""
-    pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "ping_id", "x", "y")
-    pairs = joins.near_lines(pings, inputs.roads_mercator(spark, sf_dir), P.ROAD_RADIUS, plan=plan)
-    return aggregate.window_stats(pairs, "feature_id")
+    return _line_windows(spark, sf_dir, inputs.roads_mercator(spark, sf_dir), plan)
+
+
+def _line_windows(spark: SparkSession, sf_dir: str, lines: DataFrame, plan: JoinPlan) -> DataFrame:
+    pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "x", "y")
+    return aggregate.stats_per_window(pings, lines, lambda p, t: joins.near_lines(p, t, P.ROAD_RADIUS, plan=plan))
 
 
 def road_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,15 +206,28 @@ def road_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def road_window_stats(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """Per road buffer: `n`, `n_distinct`, estimated buffer `area` (fine grid of
     side r/16) and `density = n_distinct / area`, densest first."""
-    from ..operators.buffers import line_buffer_area
+    pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "x", "y")
+    return line_window_stats(pings, inputs.roads_mercator(spark, sf_dir), P.ROAD_RADIUS, plan)
 
-    roads = inputs.roads_mercator(spark, sf_dir)
-    stats = road_pings(spark, sf_dir, plan)
-    area = line_buffer_area(roads, P.ROAD_RADIUS)
-    # both sides are aggregates keyed by feature_id, so they are already
+
+def line_window_stats(pings: DataFrame, lines: DataFrame, radius: float, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
+    """`(feature_id, n, n_distinct, area, density)` of every line with a ping in its buffer, densest first.
+
+    Every row of `lines` is a window of its own, also where rows share an id, have
+    none, or hold a single vertex."""
+    from ..operators.buffers import line_buffer_area
+    from ..operators.cells import apart, held
+
+    # windows by row number; the names come back at the end
+    named = held(apart(lines.select("feature_id", "parts")))
+    rows = named.select(F.col("shape").alias("feature_id"), "parts")
+    stats = aggregate.stats_per_window(pings, rows, lambda p, t: joins.near_lines(p, t, radius, plan=plan))
+    area = line_buffer_area(rows, radius)
+    # both sides are aggregates keyed by the row number, so they are already
     # partitioned on the join key: a shuffled hash join adds no exchange
     out = stats.join(area.hint("shuffle_hash"), "feature_id").withColumn("density", F.col("n_distinct") / F.col("area"))
-    return out.orderBy(F.col("density").desc(), "feature_id")
+    out = out.withColumnRenamed("feature_id", "shape").join(named.select("shape", "feature_id"), "shape")
+    return out.select("feature_id", "n", "n_distinct", "area", "density").orderBy(F.col("density").desc(), "feature_id")
 
 
 def top_road_by_density(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:

@@ -456,3 +456,64 @@ def test_polygon_with_many_vertices_is_split_over_rows(spark):
     assert max(len(c.edges) for c in cells) < n / 4 and sum(c.full for c in cells) > 200
     pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 999.0, 0.0), (3, 1001.0, 0.0), (4, 710.0, 710.0), (5, 700.0, 700.0)], "ping_id long, x double, y double")
     assert _pairs(joins.in_polygons(pts, polys, cell_size=100.0), "ping_id") == [(1,), (2,), (5,)]
+
+
+def test_spans_grow_with_the_outline(spark):
+    from pingscape.operators.joins import polygon_cells, polygon_spans, span_runs
+
+    polys = _shapes(spark, [(1, "POLYGON ((0.5 0.5, 60.5 0.5, 60.5 60.5, 0.5 60.5, 0.5 0.5), (20.5 20.5, 40.5 20.5, 40.5 40.5, 20.5 40.5, 20.5 20.5))")])
+    spans, cells = polygon_spans(polys, 1.0), polygon_cells(polys, 1.0)
+    outline = 4 * 60 + 4 * 20
+    assert cells.where("full").count() > 3 * outline
+    assert spans.where("full").count() <= 2 * 60 and spans.where("not full").count() <= 1.1 * outline
+    assert span_runs(spans).count() < cells.count() / 2
+    # runs are the spans' cells, each once
+    once = span_runs(spans).select("cy", "full", F.explode(F.sequence(F.expr("shiftleft(cx, run)"), F.expr("shiftleft(cx + 1, run) - 1"))).alias("cx"))
+    assert sorted(map(tuple, once.select("cx", "cy", "full").collect())) == sorted(map(tuple, cells.select("cx", "cy", "full").collect()))
+
+
+def test_runs_of_any_span(spark):
+    import random
+
+    from pingscape.operators.joins import span_runs
+
+    rng = random.Random(3)
+    rows = [(i, 0, lo, lo + rng.randrange(70), 0, True, []) for i, lo in enumerate(rng.randrange(-100, 100) for _ in range(300))]
+    spans = spark.createDataFrame(rows, "feature_id long, level int, cx_lo long, cx_hi long, cy long, full boolean, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    got = {}
+    for r in span_runs(spans).collect():
+        got.setdefault(r.feature_id, []).extend(range(r.cx << r.run, (r.cx + 1) << r.run))
+    assert {i: sorted(v) for i, v in got.items()} == {r[0]: list(range(r[2], r[3] + 1)) for r in rows}
+
+
+def test_rows_of_shapes_keep_their_number(spark):
+    from pingscape.operators.cells import apart
+
+    rows = [(1, [1.0]), (1, [1.0]), (None, [2.0]), (2, None), (2, None), (2, None)]
+    df = spark.createDataFrame(rows, "feature_id long, v array<double>")
+    one, two = ({(r.feature_id, str(r.v), r["shape"]) for r in apart(x).collect()} for x in (df, df.repartition(5)))
+    assert one == two and len(one) == len(rows)
+
+
+def test_windows_of_positions_equal_windows_of_points(spark):
+    import random
+
+    rng = random.Random(8)
+    pts = spark.createDataFrame([(i, float(rng.randrange(12)), float(rng.randrange(12))) for i in range(600)], "ping_id long, x double, y double")
+    polys = _shapes(spark, [(1, "POLYGON ((0.5 0.5, 6.5 0.5, 6.5 6.5, 0.5 0.5))"), (2, "POLYGON ((3 3, 9 3, 9 9, 3 9, 3 3))"), (2, "POLYGON ((5 5, 11 5, 11 11, 5 11, 5 5))"), (None, "POLYGON ((1 1, 4 1, 4 4, 1 4, 1 1))")])
+    for shapes in (polys, polys.where("feature_id = 1")):
+        join = lambda p, t: joins.in_polygons(p, t, cell_size=1.0)
+        want = aggregate.window_stats(join(pts, shapes), "feature_id")
+        assert sorted(map(tuple, aggregate.stats_per_window(pts, shapes, join).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_line_windows_keep_every_row(spark):
+    from pingscape.plans.colocation import line_window_stats
+
+    lines = _shapes(spark, [(7, "LINESTRING (0 0, 1000 0)"), (7, "LINESTRING (0 0, 1000 0)"), (None, "LINESTRING (0 5000, 1000 5000)"), (9, "LINESTRING (0 90000, 1 90000)")])
+    lines = lines.unionByName(spark.createDataFrame([(5, "LINESTRING", [[(500.0, 20.0)]])], lines.schema))
+    pts = spark.createDataFrame([(1, 500.0, 10.0), (2, 500.0, 10.0), (3, 10.0, 5050.0)], "ping_id long, x double, y double")
+    got = sorted((r.feature_id or 0, r.n, r.n_distinct, r.area) for r in line_window_stats(pts, lines, 100.0).collect())
+    capsule, circle = 2 * 100 * 1000 + math.pi * 100**2, math.pi * 100**2
+    assert [g[:3] for g in got] == [(0, 1, 1), (5, 2, 1), (7, 2, 1), (7, 2, 1)]
+    assert [g[3] for g in got] == pytest.approx([capsule, circle, capsule, capsule], rel=0.01)

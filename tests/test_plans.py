@@ -216,3 +216,12 @@ def test_road_queries_of_supplier_size_grow(spark):
     assert q["wide_segment_capsules"](spark, SF01).count() > q["wide_segment_capsules"](spark, SF001).count() > 0
     for name in ("wide_road_tile_offsets", "wide_road_tile_spans"):
         assert q[name](spark, SF01).count() == q[name.replace("wide_", "")](spark, SF01).count()
+
+
+@pytest.mark.parametrize("name", ["poi_window_stats", "zone_totals", "road_pings", "block_totals"])
+def test_windows_need_no_distinct_over_pairs(spark, name):
+    """Positions are collapsed before the join: no expansion for a distinct count, and after the join one
+    exchange of partial rows per window."""
+    plan = E.queries()[name](spark, SF01)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+    assert "weight" in plan and "sum(weight" in plan
