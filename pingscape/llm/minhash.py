@@ -174,29 +174,31 @@ def _sketches(df: DataFrame) -> DataFrame:
                 content = np.ascontiguousarray(content).view(np.int64)
                 out = pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(np.ascontiguousarray(content[:, 0])), pa.array(np.ascontiguousarray(content[:, 1])), lists], names=["doc_id", "n", "c1", "c2", "keys"])
                 yield out.filter(pa.array(n > 0))
+        tx.give_back()
 
     return df.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, keys array<long>")
 
 
-def _sequences(df: DataFrame, table) -> DataFrame:
-    """(doc_id, seq): labelled shingles in text order, as bytes, of the documents whose bit is set."""
+def _sequences(df: DataFrame, table, form) -> DataFrame:
+    """(doc_id, seq): labelled shingles in text order, as the bytes of `form`, of the documents whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             b = whole.filter(pa.array(is_set(table.value, whole.column("place").to_numpy())))
             for lo, hi, buf, offs in tx.slices(b.column("text")):
                 _, labelled, begin, _ = shingles(buf, offs)
-                seq = [labelled[i:j].tobytes() for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+                seq = [form(labelled[i:j]).tobytes() for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(seq, pa.binary())], names=["doc_id", "seq"])
+        tx.give_back()
 
     return df.mapInArrow(run, "doc_id long, seq binary")
 
 
-def _wanted(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, seq) of the documents in column `id` (and of some others, where bits meet)."""
+def _wanted(ids: DataFrame, docs: DataFrame, form=np.asarray) -> DataFrame:
+    """(doc_id, seq) of the documents in column `id` (and of some others, where bits meet); `seq` is the whole sequence unless `form` makes something of it."""
     spot = lambda c: place(F.xxhash64(c), TABLE_BITS).alias("place")
     table = bit_table(ids.select(spot("id")), TABLE_BITS)
-    return _sequences(docs.select("doc_id", "text", spot("doc_id")), docs.sparkSession.sparkContext.broadcast(table))
+    return _sequences(docs.select("doc_id", "text", spot("doc_id")), docs.sparkSession.sparkContext.broadcast(table), form)
 
 
 def _long_enough(similarity: float):
@@ -378,20 +380,10 @@ def _in_blocks(members: DataFrame, most: int, most_shingles: int, run, columns:
     return each.mapInArrow(stream, schema)
 
 
-def _marks(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, marks) of the documents in column `id` (and of some others)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            marks = [parity_marks(np.frombuffer(s.as_buffer(), np.uint64)).tobytes() for s in x.column("seq")]
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(marks, pa.binary())], names=["id", "marks"])
-
-    return _wanted(ids, docs).mapInArrow(run, "id long, marks binary")
-
-
 def _close_members(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The members (key, id, component, n, keys) that may be linked to a member of another component."""
-    marked = saved(members.join(_marks(members, docs).hint("merge"), "id"))
+    marks = _wanted(members, docs, parity_marks).withColumnsRenamed({"doc_id": "id", "seq": "marks"})
+    marked = saved(members.join(marks.hint("merge"), "id"))
 
     def run(left: list[tuple], right: list[tuple] | None, key: int) -> list[tuple[int, int]]:
         i, j = close_members(left, right, key, similarity)

@@ -416,5 +416,6 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         rows = stream.flush(True)
         if rows:
             yield table(rows)
+        tx.give_back()
 
     return docs.mapInArrow(run, schema)

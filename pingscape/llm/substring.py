@@ -96,6 +96,7 @@ def _anchor_counts(docs: DataFrame, min_words: int, k: int) -> DataFrame:
             found = [occurrences(buf, offs, min_words, k)["anchor"] for _, _, buf, offs in tx.slices(b.column("text"))]
             anchors, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["anchor", "n"])
+        tx.give_back()
 
     return docs.select("text").mapInArrow(run, "anchor long, n byte")
 
@@ -176,6 +177,7 @@ def _claims(docs: DataFrame, table, bits: int, min_words: int, k: int) -> DataFr
                 rows = pa.array(row[heads])
                 empty = [pa.nulls(len(heads), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([ids.take(rows), key.take(rows), *empty, cut], names=["doc_id", "text_key", "anchor", "extension", "start", "n", "windows", "cut"])
+        tx.give_back()
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_CLAIMS}")
 
