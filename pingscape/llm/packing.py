@@ -45,9 +45,9 @@ COSTS = np.array([0.0, 1.0, 4.0, 8.0, 64.0])
 TAIL_COST = 16.0
 WORD_STEP = 16
 BROKEN_STEP = 64
-BLOCK_TOKENS = 1 << 17
-CALL_ROWS = 512
-CALL_BYTES = 1 << 20
+BLOCK_TOKENS = 1 << 18
+CALL_ROWS = 2048
+CALL_BYTES = 2 << 20
 
 #: What the last byte of a word says about the boundary after it.
 _KIND = np.full(256, WORD, dtype=np.int8)
@@ -92,7 +92,7 @@ MOST_MARKS = 16
 #: Begins a word that stands for an added token; no text holds this byte.
 ADDED = b"\xff"
 #: Coded pieces that a worker process remembers.
-MAX_PIECES = 100_000
+MAX_PIECES = 200_000
 
 
 class PieceEncoder:
@@ -178,11 +178,13 @@ class TextEncoder:
     def __call__(self, texts: list[bytes], closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, lengths, kinds, first) for a list of texts: all ids; per word its number of ids and
         the kind of its end; the first word of each text.  `closed` texts end with the end id, as a last word."""
-        if self._pieces.added:
+        whole = b"".join(texts)
+        if self._pieces.added and self._pieces.added.search(whole):
             # an added token ends the words around it, like white space
             texts = [self._pieces.added.sub(lambda m: self._pieces.marks[m[0]], t) for t in texts]
+            whole = b"".join(texts)
         offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        buf = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+        buf = _LOWER[np.frombuffer(whole, np.uint8)]
         start, end, first = tx.words(buf, offs)
         split = _stem_ends(buf, start, end)
         two = split < end
