@@ -122,14 +122,21 @@ class MergeReplay:
             places = places[self._pair(token[places], token[after[places]]) == rank]
             if not len(places):
                 continue
-            # of overlapping positions (the second token of one is the first of the next) every other one from the left
-            linked = np.append(False, after[places[:-1]] == places[1:])
-            if linked.any():
-                nth = np.arange(len(places))
-                odd = (nth - np.maximum.accumulate(np.where(linked, 0, nth))) % 2 == 1
-                places = places[~odd]
             leading = np.diff(word[places], prepend=-1) != 0
-            if not leading.all():
+            several = len(places) > 4 * int(leading.sum())
+            if not several and not leading.all():
+                # few positions a word: the first of each, the others in the next round
+                index[rank] = [places[~leading]]
+                heapq.heappush(queue, rank)
+                places = places[leading]
+            if several:
+                # of overlapping positions (the second token of one is the first of the next) every other one from the left
+                linked = np.append(False, after[places[:-1]] == places[1:])
+                if linked.any():
+                    nth = np.arange(len(places))
+                    odd = (nth - np.maximum.accumulate(np.where(linked, 0, nth))) % 2 == 1
+                    places = places[~odd]
+                leading = np.diff(word[places], prepend=-1) != 0
                 # the pairs that each merge makes when those to its left are done: may one come before the others?
                 second = after[places]
                 third = after[second]
@@ -157,7 +164,9 @@ class MergeReplay:
             right = third >= 0
             before[third[right]] = places[right]
             left = before[places]
-            touched = np.unique(np.concatenate([left[left >= 0], places[right]]))
+            touched = np.concatenate([left[left >= 0], places[right]])
+            if several:  # neighbours of two merges
+                touched = np.unique(touched)
             if len(touched):
                 enter(touched)
         return token
