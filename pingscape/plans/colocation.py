@@ -204,8 +204,8 @@ def road_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def road_window_stats(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
-    """Per road buffer: `n`, `n_distinct`, estimated buffer `area` (fine grid of
-    side r/16) and `density = n_distinct / area`, densest first."""
+    """Per road buffer: `n`, `n_distinct`, the exact buffer `area` (to 0.01 m2) and
+    `density = n_distinct / area`, densest first."""
     pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "x", "y")
     return line_window_stats(pings, inputs.roads_mercator(spark, sf_dir), P.ROAD_RADIUS, plan)
 
@@ -215,14 +215,14 @@ def line_window_stats(pings: DataFrame, lines: DataFrame, radius: float, plan: J
 
     Every row of `lines` is a window of its own, also where rows share an id, have
     none, or hold a single vertex."""
-    from ..operators.buffers import line_buffer_area
+    from ..operators.buffers import buffer_measures, line_buffer_pieces
     from ..operators.cells import apart, held
 
     # windows by row number; the names come back at the end
     named = held(apart(lines.select("feature_id", "parts")))
     rows = named.select(F.col("shape").alias("feature_id"), "parts")
     stats = aggregate.stats_per_window(pings, rows, lambda p, t: joins.near_lines(p, t, radius, plan=plan))
-    area = line_buffer_area(rows, radius)
+    area = buffer_measures(line_buffer_pieces(rows, radius), radius).select("feature_id", F.round("area", 2).alias("area"))
     # both sides are aggregates keyed by the row number, so they are already
     # partitioned on the join key: a shuffled hash join adds no exchange
     out = stats.join(area.hint("shuffle_hash"), "feature_id").withColumn("density", F.col("n_distinct") / F.col("area"))
@@ -230,6 +230,19 @@ def line_window_stats(pings: DataFrame, lines: DataFrame, radius: float, plan: J
     return out.select("feature_id", "n", "n_distinct", "area", "density").orderBy(F.col("density").desc(), "feature_id")
 
 
+def road_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The `ROAD_RADIUS` buffer of every wide road (one road per supplier) as an outline: its
+    exact area and perimeter, and the vertices and area of its rings."""
+    from ..operators.buffers import line_buffer_rings
+
+    rings = line_buffer_rings(inputs.wide_roads_mercator(spark, sf_dir), P.ROAD_RADIUS)
+    return rings.select(
+        "feature_id", F.round("area", 2).alias("area"), F.round("perimeter", 3).alias("perimeter"),
+        (F.size(geom.vertices("parts")) - F.size("parts")).cast("long").alias("n_vertices"),
+        F.round(geom.polygon_area("parts"), 0).alias("outline_area"),
+    )
+
+
 def top_road_by_density(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """The `FIRST_X` road buffers with the most distinct points per square metre."""
     top = aggregate.top_windows(road_window_stats(spark, sf_dir, plan), P.FIRST_X, "density")

@@ -641,23 +641,84 @@ ORACLES.update(
 )
 
 
+def _road_boundary(r: float, vertices: int = 32) -> str:
+    """CTEs `bpiece` (feature_id, area, arc, n_vertices, chord): the boundary of every road's
+    buffer by brute force.  Every circle around a vertex and every parallel of a segment is
+    cut at all its crossings with the road's other circles and parallels; a part counts where
+    its middle lies outside every capsule of the road.  Reads `roadm`, one vertex a row."""
+    R, two_pi, step = D(r), D(2 * math.pi), D(2 * math.pi / vertices)
+    dist = segment_distance_sql("mx", "my", "s.x1", "s.y1", "s.x2", "s.y2")
+    signs = "(VALUES (1), (-1)) sg(sgn)"
+    return f"""lv AS (
+  SELECT a.feature_id, a.k, a.x - o.x AS x, a.y - o.y AS y FROM roadm a JOIN roadm o ON o.feature_id = a.feature_id AND o.k = 0),
+ls0 AS (
+  SELECT a.feature_id, a.k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS len
+  FROM lv a JOIN lv b ON b.feature_id = a.feature_id AND b.k = a.k + 1),
+ls AS (SELECT *, (x2 - x1) / len AS ux, (y2 - y1) / len AS uy FROM ls0),
+-- circles: angles of all crossings
+cbreak AS (
+  SELECT feature_id, k, {D(0.0)} AS t FROM lv
+  UNION ALL SELECT a.feature_id, a.k, atan2(b.y - a.y, b.x - a.x) + sgn * acos(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) / (2 * {R}))
+    FROM lv a JOIN lv b ON b.feature_id = a.feature_id AND b.k <> a.k, {signs}
+    WHERE sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) < 2 * {R}
+  UNION ALL SELECT a.feature_id, a.k, atan2(s.uy, s.ux) + sgn * pi() / 2 FROM lv a JOIN ls s ON s.feature_id = a.feature_id AND s.k IN (a.k - 1, a.k), {signs}
+  UNION ALL SELECT feature_id, k, unnest([h + asin(q), h + pi() - asin(q)]) FROM (
+    SELECT a.feature_id, a.k, atan2(s.uy, s.ux) AS h, (sgn * {R} - (s.ux * (a.y - s.y1) - s.uy * (a.x - s.x1))) / {R} AS q
+    FROM lv a JOIN ls s ON s.feature_id = a.feature_id AND s.k NOT IN (a.k - 1, a.k), {signs}) WHERE abs(q) <= 1),
+cturn AS (
+  SELECT DISTINCT feature_id, k, t - floor(t / {two_pi}) * {two_pi} AS t FROM cbreak
+  UNION ALL SELECT feature_id, k, {two_pi} FROM lv),
+cpart AS (SELECT *, lead(t) OVER (PARTITION BY feature_id, k ORDER BY t) AS t2 FROM cturn),
+cmid AS (
+  SELECT p.*, a.x, a.y, (t + t2) / 2 AS m, a.x + {R} * cos((t + t2) / 2) AS mx, a.y + {R} * sin((t + t2) / 2) AS my
+  FROM cpart p JOIN lv a USING (feature_id, k) WHERE t2 - t > {D(1e-12)}),
+copen AS (
+  SELECT * FROM cmid c
+  WHERE NOT EXISTS (SELECT 1 FROM ls s WHERE s.feature_id = c.feature_id AND s.k NOT IN (c.k - 1, c.k) AND {dist} < {R})
+    AND NOT EXISTS (SELECT 1 FROM ls s WHERE s.feature_id = c.feature_id AND s.k = c.k AND cos(m) * s.ux + sin(m) * s.uy > 0)
+    AND NOT EXISTS (SELECT 1 FROM ls s WHERE s.feature_id = c.feature_id AND s.k = c.k - 1 AND cos(m) * s.ux + sin(m) * s.uy < 0)),
+crun AS (SELECT *, CASE WHEN t <= lag(t2) OVER w + {D(1e-11)} THEN 0 ELSE 1 END AS fresh FROM copen WINDOW w AS (PARTITION BY feature_id, k ORDER BY t)),
+cisle AS (SELECT *, sum(fresh) OVER (PARTITION BY feature_id, k ORDER BY t) AS isle FROM crun),
+arcs AS (SELECT feature_id, k, isle, x, y, min(t) AS lo, max(t2) AS hi FROM cisle GROUP BY ALL),
+avert AS (
+  SELECT *, unnest([lo] || [i * {step} for i in range(CAST(floor(lo / {step} + {D(1e-9)}) AS BIGINT) + 1, CAST(ceil(hi / {step} - {D(1e-9)}) AS BIGINT))] || [hi]) AS t FROM arcs),
+achord AS (
+  SELECT *, x + {R} * cos(t) AS ax, y + {R} * sin(t) AS ay, lead(t) OVER (PARTITION BY feature_id, k, isle ORDER BY t) AS t2 FROM avert),
+-- parallels: metres along the segment of all crossings
+side AS (SELECT *, sgn, x1 - sgn * {R} * uy AS qx, y1 + sgn * {R} * ux AS qy FROM ls, {signs}),
+sbreak AS (
+  SELECT feature_id, k, sgn, unnest([{D(0.0)}, len]) AS t, len FROM side
+  UNION ALL SELECT feature_id, k, sgn, unnest([-b - sqrt(h), -b + sqrt(h)]), len FROM (
+    SELECT s.*, (qx - a.x) * ux + (qy - a.y) * uy AS b, {R} * {R} - ((qx - a.x) * uy - (qy - a.y) * ux) * ((qx - a.x) * uy - (qy - a.y) * ux) AS h
+    FROM side s JOIN lv a ON a.feature_id = s.feature_id AND a.k NOT IN (s.k, s.k + 1)) WHERE h > 0
+  UNION ALL SELECT feature_id, k, sgn, unnest([({R} - w0) / w1, (-{R} - w0) / w1]), len FROM (
+    SELECT s.*, (qy - o.y1) * o.ux - (qx - o.x1) * o.uy AS w0, s.uy * o.ux - s.ux * o.uy AS w1
+    FROM side s JOIN ls o ON o.feature_id = s.feature_id AND o.k <> s.k) WHERE abs(w1) > {D(1e-14)}
+  UNION ALL SELECT feature_id, k, sgn, unnest([-t0 / t1, (olen - t0) / t1]), len FROM (
+    SELECT s.*, o.len AS olen, (qx - o.x1) * o.ux + (qy - o.y1) * o.uy AS t0, s.ux * o.ux + s.uy * o.uy AS t1
+    FROM side s JOIN ls o ON o.feature_id = s.feature_id AND o.k <> s.k) WHERE abs(t1) > {D(1e-14)}),
+spart AS (
+  SELECT feature_id, k, sgn, t, lead(t) OVER (PARTITION BY feature_id, k, sgn ORDER BY t) AS t2
+  FROM (SELECT DISTINCT feature_id, k, sgn, t FROM sbreak WHERE t >= 0 AND t <= len)),
+smid AS (
+  SELECT p.*, a.qx, a.qy, a.ux, a.uy, a.qx + (t + t2) / 2 * a.ux AS mx, a.qy + (t + t2) / 2 * a.uy AS my
+  FROM spart p JOIN side a USING (feature_id, k, sgn) WHERE t2 - t > {D(1e-12 * r)}),
+sopen AS (SELECT * FROM smid c WHERE NOT EXISTS (SELECT 1 FROM ls s WHERE s.feature_id = c.feature_id AND s.k <> c.k AND {dist} < {R})),
+srun AS (SELECT *, CASE WHEN t <= lag(t2) OVER w + {D(1e-11 * r)} THEN 0 ELSE 1 END AS fresh FROM sopen WINDOW w AS (PARTITION BY feature_id, k, sgn ORDER BY t)),
+sisle AS (SELECT *, sum(fresh) OVER (PARTITION BY feature_id, k, sgn ORDER BY t) AS isle FROM srun),
+sline AS (
+  SELECT feature_id, sgn, max(t2) - min(t) AS arc, qx + min(t) * ux AS ax, qy + min(t) * uy AS ay, qx + max(t2) * ux AS ex, qy + max(t2) * uy AS ey
+  FROM sisle GROUP BY feature_id, k, sgn, isle, qx, qy, ux, uy),
+bpiece AS (
+  SELECT feature_id, (hi - lo) * {R} AS arc, 0 AS n_vertices, {D(0.0)} AS chord,
+    ({R} * {R} * (hi - lo) + {R} * x * (sin(hi) - sin(lo)) - {R} * y * (cos(hi) - cos(lo))) / 2 AS area FROM arcs
+  UNION ALL SELECT feature_id, 0, 1, (ax * (y + {R} * sin(t2)) - (x + {R} * cos(t2)) * ay) / 2, 0 FROM achord WHERE t2 IS NOT NULL
+  UNION ALL SELECT feature_id, arc, 1, -sgn * (ax * ey - ex * ay) / 2, -sgn * (ax * ey - ex * ay) / 2 FROM sline)"""
+
+
 def _road_area() -> str:
-    r = P.ROAD_RADIUS
-    c = r / 16
-    inv = D(1.0 / c)
-    d = segment_distance_sql("cxc", "cyc", "s.x1", "s.y1", "s.x2", "s.y2")
-    return f"""bbox AS (
-  SELECT feature_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM roadm GROUP BY 1),
-cand AS (
-  SELECT b.feature_id, gx.range AS cx, gy.range AS cy,
-    (CAST(gx.range AS DOUBLE) + {D(0.5)}) * {D(c)} AS cxc, (CAST(gy.range AS DOUBLE) + {D(0.5)}) * {D(c)} AS cyc
-  FROM bbox b,
-    LATERAL (SELECT * FROM range(CAST(floor((b.x0 - {D(r)}) * {inv}) AS BIGINT), CAST(floor((b.x1 + {D(r)}) * {inv}) AS BIGINT) + 1)) gx,
-    LATERAL (SELECT * FROM range(CAST(floor((b.y0 - {D(r)}) * {inv}) AS BIGINT), CAST(floor((b.y1 + {D(r)}) * {inv}) AS BIGINT) + 1)) gy),
-inbuf AS (
-  SELECT DISTINCT cand.feature_id, cand.cx, cand.cy FROM cand JOIN segs s ON s.feature_id = cand.feature_id
-  WHERE {d} < {D(r)}),
-rarea AS (SELECT feature_id, CAST(COUNT(*) AS DOUBLE) * {D(c * c)} AS area FROM inbuf GROUP BY 1),
+    return _road_boundary(P.ROAD_RADIUS) + """,
+rarea AS (SELECT feature_id, round(sum(area), 2) AS area FROM bpiece GROUP BY 1),
 rstat AS (
   SELECT rp.feature_id, COUNT(*) AS n, COUNT(DISTINCT (x, y)) AS n_distinct FROM rp GROUP BY 1),
 rwin AS (
@@ -744,6 +805,16 @@ hit AS (
 SELECT feature_id, COUNT(*) AS n, COUNT(DISTINCT (x, y)) AS n_distinct FROM hit GROUP BY 1"""
 
 
+def road_buffers() -> str:
+    return _with(WIDE_ROADS, _road_boundary(P.ROAD_RADIUS)) + """
+SELECT feature_id, round(sum(area), 2) AS area, round(sum(arc), 3) AS perimeter, CAST(sum(n_vertices) AS BIGINT) AS n_vertices,
+  round(sum(chord), 0) AS outline_area
+FROM bpiece GROUP BY feature_id"""
+
+
+ORACLES["road_buffers"] = road_buffers
+
+
 def road_visits_by_text_id() -> str:
     return _with(PINGS, PINGS_M, WIDE_ROADS, _road_pairs()) + """
 SELECT 'R-' || CASE WHEN feature_id % 3 = 0 THEN feature_id + 1 ELSE feature_id END AS text_id, COUNT(*) AS join_count FROM rp GROUP BY 1"""

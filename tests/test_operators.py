@@ -3,7 +3,9 @@ derived fixtures: cell size does not change a join, the salted shuffle path
 equals the broadcast path, counts add up."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,14 +181,105 @@ def test_window_stats_distinct_le_bag(spark):
         assert r.density == pytest.approx(r.n_distinct / (math.pi * 500.0 * 500.0))
 
 
-def test_line_buffer_area_close_to_capsule(spark):
+def _lines(spark, rows):
+    """Lines from `(id, parts)`, a part being a list of (x, y)."""
+    schema = "feature_id long, parts array<array<struct<x:double,y:double>>>"
+    return spark.createDataFrame([(k, [[(float(x), float(y)) for x, y in p] for p in parts]) for k, parts in rows], schema)
+
+
+def _grid_area(parts, r, cell):
+    """Area within `r` of the line by the cells whose middle is: off by at most half a cell along the outline."""
+    pts = np.array([q for p in parts for q in p], float)
+    low = pts.min(0) - r
+    wide = pts.max(0) + r - low
+    gx, gy = np.meshgrid(np.arange(0, wide[0], cell) + cell / 2, np.arange(0, wide[1], cell) + cell / 2)
+    inside = np.zeros(gx.shape, bool)
+    for p in parts:
+        for a, b in list(zip(p, p[1:])) or [(p[0], p[0])]:
+            a, d = np.array(a, float) - low, np.array(b, float) - np.array(a, float)
+            t = np.clip(((gx - a[0]) * d[0] + (gy - a[1]) * d[1]) / (d @ d), 0, 1) if d @ d else 0.0
+            inside |= np.hypot(gx - a[0] - t * d[0], gy - a[1] - t * d[1]) < r
+    return inside.sum() * cell * cell
+
+
+def _sample_lines():
+    rnd = random.Random(5)
+    cases = [
+        [[(1000, 1000), (3000, 1000)]],
+        [[(0, 0), (0, 500), (0, 1000)]],
+        [[(5, 5)]],
+        [[(0, 0), (1000, 0), (200, 0), (500, 0)]],  # back over itself
+        [[(0, 0), (1000, 0), (1000, 1000), (0, 1000), (0, 0)]],  # a ring: a hole inside
+        [[(0, 0), (600, 0), (600, 600), (600, 0), (0, 0)], [(300, -500), (300, 500)]],
+        [[(0, 0), (1000, 0)], [(0, 200), (1000, 200)]],  # buffers that touch along a line
+        [[(0, 0), (100, 0)], [(900, 900)]],  # two parts
+        [[(0, 0), (0, 0), (50, 10), (90, 60), (60, 120), (0, 100)]],  # segments shorter than the radius, a vertex twice
+    ]
+    # Mercator-sized coordinates; crossings, and corners on a lattice with sides in common
+    cases += [[[(1.3e7 + rnd.uniform(0, 900), 4.8e6 + rnd.uniform(0, 900)) for _ in range(rnd.randint(2, 9))]] for _ in range(20)]
+    cases += [[[(100 * rnd.randint(0, 6), 100 * rnd.randint(0, 6)) for _ in range(rnd.randint(2, 9))] for _ in range(2)] for _ in range(10)]
+    return list(enumerate(cases))
+
+
+def test_line_buffer_area_against_a_fine_grid(spark):
     from pingscape.operators.buffers import line_buffer_area
 
-    lines = _shapes(spark, [(1, "LINESTRING (1000 1000, 3000 1000)"), (2, "LINESTRING (0 0, 0 500, 0 1000)")])
-    got = {r.feature_id: r.area for r in line_buffer_area(lines, 100.0).collect()}
-    assert got[1] == pytest.approx(2 * 100 * 2000 + math.pi * 100**2, rel=0.01)
-    # two collinear segments: the shared vertex is not counted twice
-    assert got[2] == pytest.approx(2 * 100 * 1000 + math.pi * 100**2, rel=0.01)
+    rows = _sample_lines()
+    got = {r.feature_id: r for r in line_buffer_area(_lines(spark, rows), 100.0).collect()}
+    assert got[0].area == pytest.approx(2 * 100 * 2000 + math.pi * 100**2, abs=1e-6)
+    assert got[0].perimeter == pytest.approx(2 * 2000 + 2 * math.pi * 100, abs=1e-6)
+    assert got[1].area == pytest.approx(2 * 100 * 1000 + math.pi * 100**2, abs=1e-6)
+    assert got[2].area == pytest.approx(math.pi * 100**2, abs=1e-6)
+    assert got[3].area == pytest.approx(2 * 100 * 1000 + math.pi * 100**2, abs=1e-6)
+    assert got[4].area == pytest.approx(1200 * 1200 - (4 - math.pi) * 100**2 - 800 * 800, abs=1e-6)
+    for k, parts in rows:
+        # a cell is counted or not by its middle: the bound is half a cell on each metre of outline
+        assert abs(got[k].area - _grid_area(parts, 100.0, 1.0)) <= 0.5 * got[k].perimeter + 1.0
+
+
+def test_line_buffer_rows_are_lines_of_their_own(spark):
+    from pingscape.operators.buffers import line_buffer_area, line_buffer_rings
+
+    line = [[(0, 0), (300, 400)]]
+    rows = _lines(spark, [(1, line), (1, line), (None, line), (None, [[(7, 7)]]), (3, []), (4, [[]])])
+    got = sorted((r.feature_id or -1, round(r.area, 6)) for r in line_buffer_area(rows, 50.0).collect())
+    capsule, disc = round(2 * 50 * 500 + math.pi * 2500, 6), round(math.pi * 2500, 6)
+    assert got == [(-1, disc), (-1, capsule), (1, capsule), (1, capsule)]
+    assert line_buffer_rings(rows, 50.0).count() == 4
+    assert line_buffer_rings(rows.limit(0), 50.0).count() == 0
+    bad = spark.createDataFrame([(1, [[(0.0, 0.0), (None, 1.0)]]), (2, None)], rows.schema)
+    assert line_buffer_area(bad, 50.0).count() == 0
+
+
+def test_line_buffer_rings(spark):
+    from pingscape.functions import geom
+    from pingscape.operators.buffers import line_buffer_rings
+    from pingscape.operators.shapes import with_wkt
+
+    rows = _sample_lines()
+    fine = with_wkt(line_buffer_rings(_lines(spark, rows), 100.0, vertices=256))
+    got = {r.feature_id: r for r in fine.withColumn("measured", geom.polygon_area("parts")).collect()}
+    assert len(got) == len(rows)
+    for r in got.values():
+        assert all(ring[0] == ring[-1] and len(ring) > 3 for ring in r.parts)
+        # the rings cut the arcs short by at most this share of a full circle
+        assert abs(r.area - r.measured) <= 0.0003 * r.perimeter * 100.0 + 1e-3
+        assert r.wkt.startswith(r.kind + " ((")
+    assert len(got[0].parts) == 1 and got[0].kind == "POLYGON"
+    assert len(got[4].parts) == 2 and got[4].kind == "POLYGON"
+    assert len(got[7].parts) == 2 and got[7].kind == "MULTIPOLYGON"
+    signed = lambda ring: sum(a.x * b.y - b.x * a.y for a, b in zip(ring, ring[1:]))
+    assert signed(got[4].parts[0]) > 0 > signed(got[4].parts[1])
+    # chunks of a long side leave no vertex on it: two half circles
+    coarse = line_buffer_rings(_lines(spark, [(1, [[(0, 0), (5000, 0)]])]), 100.0).first()
+    assert len(coarse.parts[0]) - 1 in (34, 36)
+
+
+def test_line_buffer_pieces_join_by_cells(spark):
+    from pingscape.operators.buffers import line_buffer_pieces
+
+    plan = line_buffer_pieces(_lines(spark, _sample_lines()), 100.0)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan and "SortMergeJoin" in plan
 
 
 def test_circle_ring(spark):
