@@ -21,12 +21,17 @@ Heat map
 
 Line map
 --------
-Each segment is rasterised per zoom by uniform steps along its longer pixel
-axis (`sequence` + `explode`); hits are counted per pixel.
+Each segment is stepped uniformly along its longer pixel axis, per zoom.  Its steps are
+first clipped to the zoom's span (two linear inequalities, solved for the step number and
+widened by a step), then cut into ranges of at most `STEP_RANGE` steps, which are dealt over
+the tasks as rows; only then pixels are made, tested exactly and counted.  A line across a
+continent thus costs its steps inside the span, and no array holds more than a range.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +39,9 @@ from ..functions import geom
 from ..functions.crs import finite
 from ..functions.tiles import EQUATOR, TILE_PIXELS, mercator_to_tile, tile_to_mercator, world_pixel
 
+# steps of a segment that one row stands for, a power of two
+STEP_RANGE = 4096
+
 
 def tile_offsets(env: DataFrame, max_zoom: int) -> DataFrame:
     """Top-left tile `(z, tx, ty)` of the envelope at zooms 0..max_zoom.
@@ -206,8 +214,9 @@ def assemble_tiles(pixels: DataFrame, weight: str = "n_sum", value: str = "inten
 
 
 def line_pixels(lines: DataFrame, spans: DataFrame, min_zoom: int, max_zoom: int) -> DataFrame:
-    """`(z, px, py, hits)` pixels touched by the line segments, inside the span."""
-    segs = lines.select("feature_id", F.explode(geom.edges("parts")).alias("s"))
+    """`(z, px, py, hits)` pixels touched by the line segments, inside the span (segments
+    with a vertex that is null or not finite touch none)."""
+    segs = lines.select("feature_id", F.explode(geom.edges("parts")).alias("s")).where(finite("s.x1", "s.y1") & finite("s.x2", "s.y2"))
     segs = segs.withColumn("z", F.explode(F.sequence(F.lit(int(min_zoom)), F.lit(int(max_zoom)))))
     scale = F.pow(F.lit(2.0), F.col("z")) * float(TILE_PIXELS)
     half = F.lit(EQUATOR / 2.0)
@@ -222,16 +231,50 @@ def line_pixels(lines: DataFrame, spans: DataFrame, min_zoom: int, max_zoom: int
     )
     steps = F.greatest(
         F.abs(F.floor("fx2") - F.floor("fx1")), F.abs(F.floor("fy2") - F.floor("fy1"))
-    ).cast("int")
-    segs = segs.withColumn("steps", steps).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("steps"))))
-    denom = F.greatest(F.col("steps"), F.lit(1)).cast("double")
-    pix = segs.select(
-        "z",
+    )
+    ranges = _step_ranges(_with_spans(segs.withColumn("steps", steps), spans), max_zoom)
+    pix = ranges.withColumn("t", F.explode(F.sequence("t0", "t1")))
+    denom = F.greatest(F.col("steps"), F.lit(1).cast("long")).cast("double")
+    pix = pix.select(
+        "z", "tx0", "ty0", "tx1", "ty1",
         F.floor(F.col("fx1") + (F.col("fx2") - F.col("fx1")) * F.col("t") / denom).alias("px"),
         F.floor(F.col("fy1") + (F.col("fy2") - F.col("fy1")) * F.col("t") / denom).alias("py"),
     )
-    pix = _with_spans(pix, spans).where(_inside_span())
-    return pix.groupBy("z", "px", "py").agg(F.count(F.lit(1)).alias("hits"))
+    return pix.where(_inside_span()).groupBy("z", "px", "py").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def _clipped_steps(start: str, end: str, low: str, high: str) -> tuple[F.Column, F.Column]:
+    """Steps of a segment that can have their pixel in tiles `low` to `high` along one axis,
+    widened so that rounding loses none: (first, last), the first after the last if none."""
+    at, d = F.col(start), F.col(end) - F.col(start)
+    slack = F.lit(1e-6) + F.abs(at) * 1e-12
+    a = F.col(low).cast("double") * TILE_PIXELS - slack - at
+    b = (F.col(high).cast("double") + 1) * TILE_PIXELS + slack - at
+    whole = F.col("steps").cast("double")
+    denom = F.greatest(whole, F.lit(1.0))
+    # a segment that hardly moves along this axis is inside for all its steps or for none
+    still = F.abs(d) < 1e-9
+    inside = (a <= 0) & (b >= 0)
+    first = F.when(still, F.when(inside, 0.0).otherwise(whole + 1)).otherwise(F.least(a / d, b / d) * denom - 1)
+    last = F.when(still, F.when(inside, whole).otherwise(-1.0)).otherwise(F.greatest(a / d, b / d) * denom + 1)
+    bounded = lambda v: F.greatest(F.lit(-1.0), F.least(whole + 1, v))
+    return F.floor(bounded(first)), F.ceil(bounded(last))
+
+
+def _step_ranges(segs: DataFrame, max_zoom: int) -> DataFrame:
+    """Segments in pixels with their zoom's span, as rows of at most `STEP_RANGE` steps
+    (`t0` to `t1`) that can fall into the span."""
+    x, y = _clipped_steps("fx1", "fx2", "tx0", "tx1"), _clipped_steps("fy1", "fy2", "ty0", "ty1")
+    zero = F.lit(0).cast("long")
+    out = segs.withColumns({"t0": F.greatest(zero, x[0], y[0]), "t1": F.least(F.col("steps"), x[1], y[1])}).where("t0 <= t1")
+    # cut by powers of the range, so that the list of cuts is bounded too
+    bits = STEP_RANGE.bit_length() - 1
+    depth = max(2, math.ceil((int(max_zoom) + math.log2(TILE_PIXELS)) / bits))
+    for level in range(depth - 1, 0, -1):
+        size = F.lit(STEP_RANGE**level).cast("long")
+        out = out.withColumn("cut", F.explode(F.expr(f"sequence(t0 div {STEP_RANGE**level}L, t1 div {STEP_RANGE**level}L)")))
+        out = out.withColumns({"t0": F.greatest("t0", F.col("cut") * size), "t1": F.least("t1", (F.col("cut") + 1) * size - 1)}).drop("cut")
+    return out.repartition("z", "fx1", "fy1", "t0")
 
 
 def lines_in_box(lines: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:

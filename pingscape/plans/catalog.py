@@ -74,6 +74,8 @@ QUERIES: dict[str, Query] = {
     "wide_heat_tiles": T.wide_heat_tiles,
     "wide_heat_tiles_beijing": T.wide_heat_tiles_beijing,
     "wide_lines_in_box": T.wide_lines_in_box,
+    "wide_line_tiles": T.wide_line_tiles,
+    "wide_line_tiles_beijing": T.wide_line_tiles_beijing,
     "heat_pixels_gcj": T.heat_pixels_gcj,
     "tile_offsets_gcj": T.tile_offsets_gcj,
     "road_tile_offsets": T.road_tile_offsets,

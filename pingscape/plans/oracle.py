@@ -805,6 +805,20 @@ hit AS (
 SELECT feature_id, COUNT(*) AS n, COUNT(DISTINCT (x, y)) AS n_distinct FROM hit GROUP BY 1"""
 
 
+def wide_line_tiles() -> str:
+    return line_tiles().replace(ROADS_M, WIDE_ROADS)
+
+
+def wide_line_tiles_beijing() -> str:
+    x0, y0, x1, y1 = P.BEIJING_BOX_3857
+    env = f"env AS (SELECT {D(x0)} AS min_x, {D(y0)} AS min_y, {D(x1)} AS max_x, {D(y1)} AS max_y)"
+    tiles = _line_pix(env) + _tiles_of("(SELECT *, CAST(1.0 AS DOUBLE) AS intensity FROM lp)", "hits", "intensity")
+    return tiles.replace(ROADS_M, WIDE_ROADS)
+
+
+ORACLES.update({"wide_line_tiles": wide_line_tiles, "wide_line_tiles_beijing": wide_line_tiles_beijing})
+
+
 def road_buffers() -> str:
     return _with(WIDE_ROADS, _road_boundary(P.ROAD_RADIUS)) + """
 SELECT feature_id, round(sum(area), 2) AS area, round(sum(arc), 3) AS perimeter, CAST(sum(n_vertices) AS BIGINT) AS n_vertices,

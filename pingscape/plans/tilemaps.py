@@ -157,6 +157,23 @@ def line_tiles_beijing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.assemble_tiles(pix, weight="hits")
 
 
+def wide_line_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-empty tiles per zoom of the wide roads (one per supplier)."""
+    roads = inputs.wide_roads_mercator(spark, sf_dir)
+    spans = raster.tile_spans(_line_env(roads), P.MIN_ZOOM, P.MAX_ZOOM)
+    return _line_tiles(raster.line_pixels(roads, spans, P.MIN_ZOOM, P.MAX_ZOOM))
+
+
+def wide_line_tiles_beijing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of the wide roads on the Beijing box's tile span: roads that cross its edge are
+    clipped to it, those beyond make no pixels."""
+    return _line_tiles(raster.line_pixels(inputs.wide_roads_mercator(spark, sf_dir), _box_spans(spark), P.MIN_ZOOM, P.MAX_ZOOM))
+
+
+def _line_tiles(pixels: DataFrame) -> DataFrame:
+    return raster.assemble_tiles(pixels.withColumn("intensity", F.lit(1.0)), weight="hits")
+
+
 def lines_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roads wholly inside the Beijing box (Mercator)."""
     return raster.lines_in_box(inputs.roads_mercator(spark, sf_dir), P.BEIJING_BOX_3857).select("feature_id")

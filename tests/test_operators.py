@@ -610,3 +610,66 @@ def test_line_windows_keep_every_row(spark):
     capsule, circle = 2 * 100 * 1000 + math.pi * 100**2, math.pi * 100**2
     assert [g[:3] for g in got] == [(0, 1, 1), (5, 2, 1), (7, 2, 1), (7, 2, 1)]
     assert [g[3] for g in got] == pytest.approx([capsule, circle, capsule, capsule], rel=0.01)
+
+
+def _pixels_stepwise(parts, span, z):
+    """Pixels of a line by plain stepping along the longer axis, kept where inside the span."""
+    from pingscape.functions.tiles import EQUATOR
+
+    scale, half, hits = 2.0**z * 256.0, EQUATOR / 2.0, {}
+    for p in parts:
+        for (x1, y1), (x2, y2) in zip(p, p[1:]):
+            fx1, fy1 = (x1 + half) / EQUATOR * scale, (half - y1) / EQUATOR * scale
+            fx2, fy2 = (x2 + half) / EQUATOR * scale, (half - y2) / EQUATOR * scale
+            steps = max(abs(math.floor(fx2) - math.floor(fx1)), abs(math.floor(fy2) - math.floor(fy1)))
+            for t in range(steps + 1):
+                px = math.floor(fx1 + (fx2 - fx1) * t / max(steps, 1))
+                py = math.floor(fy1 + (fy2 - fy1) * t / max(steps, 1))
+                if span[0] * 256 <= px < (span[2] + 1) * 256 and span[1] * 256 <= py < (span[3] + 1) * 256:
+                    hits[z, px, py] = hits.get((z, px, py), 0) + 1
+    return hits
+
+
+def test_clipped_line_pixels_equal_plain_stepping(spark):
+    from pingscape.operators import raster
+
+    rnd = random.Random(9)
+    x0, y0 = 12957000.0, 4852000.0
+    lines = [[[(x0 + rnd.uniform(-2e5, 2e5), y0 + rnd.uniform(-2e5, 2e5)) for _ in range(4)]] for _ in range(12)]
+    lines += [[[(x0, y0 - 3e5), (x0, y0 + 3e5)]], [[(x0 - 3e5, y0), (x0 + 3e5, y0)]], [[(x0, y0), (x0, y0)]], [[(x0 + 9e5, y0), (x0 + 9e5, y0 + 10)]]]
+    box = (x0 - 5000.0, y0 - 5000.0, x0 + 5000.0, y0 + 5000.0)
+    spans = raster.tile_spans(raster.box_envelope(spark, box), 10, 13)
+    rows = _lines(spark, list(enumerate(lines)) + [(99, [[(math.nan, 0.0), (x0, y0)]]), (100, [[(math.inf, 0.0), (x0, y0)]])])
+    got = {(r.z, r.px, r.py): r.hits for r in raster.line_pixels(rows, spans, 10, 13).collect()}
+    want = {}
+    for s in spans.collect():
+        for parts in lines:
+            for k, n in _pixels_stepwise(parts, (s.tx0, s.ty0, s.tx1, s.ty1), s.z).items():
+                want[k] = want.get(k, 0) + n
+    assert got == want and len(got) > 100
+
+
+def test_long_lines_are_stepped_in_short_ranges(spark):
+    from pingscape.operators import raster
+
+    # 1,000 km at zoom 18: 1.7 million pixels
+    x0, y0 = 12957000.0, 4852000.0
+    row = _lines(spark, [(1, [[(x0, y0), (x0 + 1e6, y0 + 4e5)]])])
+    everywhere = raster.tile_spans(raster.box_envelope(spark, (x0 - 1.0, y0 - 1.0, x0 + 1e6, y0 + 4e5)), 18, 18)
+    near = raster.tile_spans(raster.box_envelope(spark, (x0 - 1000.0, y0 - 1000.0, x0 + 1000.0, y0 + 1000.0)), 18, 18)
+    segs = spark.sql("SELECT 18 AS z, 1.0D AS fx1, 1.0D AS fy1, 1674001.5D AS fx2, 700000.5D AS fy2, 1674000L AS steps, 0 AS tx0, 0 AS ty0, 262143 AS tx1, 262143 AS ty1")
+    ranges = raster._step_ranges(segs, 18).selectExpr("t0", "t1").orderBy("t0").collect()
+    assert max(r.t1 - r.t0 for r in ranges) < raster.STEP_RANGE
+    assert ranges[0].t0 == 0 and ranges[-1].t1 == 1674000
+    assert all(a.t1 + 1 == b.t0 for a, b in zip(ranges, ranges[1:]))
+    whole = raster.line_pixels(row, everywhere, 18, 18).agg(F.sum("hits")).first()[0]
+    part = raster.line_pixels(row, near, 18, 18).agg(F.sum("hits")).first()[0]
+    assert whole > 1_600_000 and 0 < part < 5000
+
+
+def test_wide_line_tiles_are_clipped(spark):
+    from pingscape.plans import tilemaps
+
+    inside = {(r.z, r.tx, r.ty) for r in tilemaps.wide_line_tiles_beijing(spark, SF01).collect()}
+    every = {(r.z, r.tx, r.ty) for r in tilemaps.wide_line_tiles(spark, SF01).collect()}
+    assert inside and inside < every
