@@ -63,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "wkt_decode": V.wkt_decode,
     # shapes with holes and members, shared text ids, windows as text, wide inputs
     "shape_measures": C.shape_measures,
+    "ring_nesting": C.ring_nesting,
     "block_totals": C.block_totals,
     "road_visits_by_text_id": C.road_visits_by_text_id,
     "poi_circles": C.poi_circles,

@@ -165,10 +165,20 @@ def block_totals(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN
 
 def shape_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-polygons with holes written as text, read back and measured: kind, rings, members, area."""
+    from ..operators.nesting import polygon_measures
+
     shapes = inputs.blocks_mercator(spark, sf_dir)
     text = shapes.select("feature_id", geom.to_wkt("kind", "parts").alias("wkt"))
     back = text.select("feature_id", geom.wkt_kind("wkt").alias("kind"), geom.wkt_parts("wkt").alias("parts"))
-    return back.select("feature_id", "kind", F.size("parts").alias("n_rings"), F.size(geom.polygon_members("parts")).alias("n_members"), F.round(geom.polygon_area("parts"), 2).alias("area"))
+    return polygon_measures(back).withColumn("area", F.round("area", 2))
+
+
+def ring_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ring of the multi-polygons: how many rings surround it, the smallest of them, its area."""
+    from ..operators.nesting import ring_nesting
+
+    nested = ring_nesting(inputs.blocks_mercator(spark, sf_dir))
+    return nested.select("feature_id", "ring", "depth", "parent", F.round("area", 2).alias("area"))
 
 
 def labeled_zone_hour8(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:

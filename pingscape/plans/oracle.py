@@ -795,6 +795,18 @@ SELECT feature_id, 'MULTIPOLYGON' AS kind, CAST(COUNT(*) AS INTEGER) AS n_rings,
 FROM box GROUP BY 1"""
 
 
+def ring_nesting() -> str:
+    """Squares: one lies in another if its box does."""
+    return _with(BLOCKS) + """
+SELECT a.feature_id, CAST(a.ring AS INTEGER) AS ring, COUNT(b.ring) AS depth,
+  CAST(arg_min(b.ring, (b.x1 - b.x0) * (b.y1 - b.y0)) AS INTEGER) AS parent, round((a.x1 - a.x0) * (a.y1 - a.y0), 2) AS area
+FROM box a LEFT JOIN box b ON a.feature_id = b.feature_id AND b.ring <> a.ring AND b.x0 <= a.x0 AND b.x1 >= a.x1 AND b.y0 <= a.y0 AND b.y1 >= a.y1
+GROUP BY a.feature_id, a.ring, a.x0, a.x1, a.y0, a.y1"""
+
+
+ORACLES["ring_nesting"] = ring_nesting
+
+
 def block_totals() -> str:
     """Strictly inside the outer square and not in the closed hole, or strictly inside the inner square."""
     inside = lambda b: f"x > {b}.x0 AND x < {b}.x1 AND y > {b}.y0 AND y < {b}.y1"

@@ -673,3 +673,63 @@ def test_wide_line_tiles_are_clipped(spark):
     inside = {(r.z, r.tx, r.ty) for r in tilemaps.wide_line_tiles_beijing(spark, SF01).collect()}
     every = {(r.z, r.tx, r.ty) for r in tilemaps.wide_line_tiles(spark, SF01).collect()}
     assert inside and inside < every
+
+
+def _square(x, y, half, back=False):
+    ring = [(x - half, y - half), (x + half, y - half), (x + half, y + half), (x - half, y + half), (x - half, y - half)]
+    return ring[::-1] if back else ring
+
+
+def test_ring_nesting_by_hand(spark):
+    from pingscape.operators.nesting import polygon_measures, ring_nesting
+
+    touching = [(0.0, 0.0), (10.0, 0.0), (10.0, 5.0), (0.0, 5.0), (0.0, 0.0)]  # shares three sides with the square below
+    # a horseshoe around a square that it does not hold, though its box does
+    shoe = [(0, 0), (20, 0), (20, 20), (15, 20), (15, 5), (5, 5), (5, 20), (0, 20), (0, 0)]
+    rows = _lines(spark, [
+        (1, [_square(0, 0, 1), _square(0, 0, 3, True), _square(0, 0, 2), _square(10, 0, 1), _square(0, 0, 3)]),
+        (2, [_square(5, 5, 5), touching]),
+        (3, [shoe, _square(10, 10, 2), _square(2, 10, 1)]),
+        (3, [shoe, [(3, 3), (4, 4), (3, 3)], [(1, math.nan), (2, 2), (3, 1), (1, 1)]]),
+        (None, [_square(0, 0, 1)]),
+        (4, []),
+    ])
+    got = {}
+    for r in ring_nesting(rows).collect():
+        got.setdefault((r.feature_id, r.shape), {})[r.ring] = (r.depth, r.parent)
+    by_id = {}
+    for (k, _), rings in sorted(got.items(), key=str):
+        by_id.setdefault(k, []).append([rings[i] for i in sorted(rings)])
+    assert by_id[1] == [[(3, 2), (1, 4), (2, 1), (0, None), (0, None)]]
+    assert by_id[2] == [[(0, None), (1, 0)]]
+    assert sorted(by_id[3]) == sorted([[(0, None), (0, None), (1, 0)], [(0, None), (0, None), (0, None)]])
+    assert by_id[None] == [[(0, None)]] and 4 not in by_id
+    shapes = rows.withColumn("kind", F.lit("MULTIPOLYGON"))
+    measures = {(r.feature_id, r.n_rings): (r.n_members, r.area) for r in polygon_measures(shapes).collect()}
+    assert measures[(1, 5)] == (3, 36.0 - 36.0 + 16.0 - 4.0 + 4.0)
+    assert measures[(4, 0)] == (0, 0.0) and measures[(None, 1)] == (1, 4.0)
+    assert ring_nesting(rows.limit(0)).count() == 0
+
+
+def test_ring_nesting_of_one_shape_with_many_rings(spark):
+    from pingscape.operators.nesting import polygon_measures, ring_nesting
+
+    # a field of blocks, each with a yard, each yard with a hut; and one wall around them all
+    side, rnd = 60, random.Random(2)
+    rings, want = [], {}
+    for i in range(side):
+        for j in range(side):
+            for depth, half in ((1, 4.0), (2, 2.0), (3, 1.0)):
+                ring = _square(1.2e7 + 10 * i, 4.8e6 + 10 * j, half, rnd.random() < 0.5)
+                rings.append((ring, depth, half * half * 4))
+    rings.append((_square(1.2e7 + 5 * side, 4.8e6 + 5 * side, 10.0 * side), 0, (20.0 * side) ** 2))
+    rnd.shuffle(rings)
+    row = _lines(spark, [(1, [r for r, _, _ in rings])])
+    nested = ring_nesting(row)
+    for r in nested.select("ring", "depth", "area").collect():
+        assert (r.depth, round(r.area, 3)) == rings[r.ring][1:]
+    m = polygon_measures(row.withColumn("kind", F.lit("MULTIPOLYGON"))).first()
+    assert m.n_rings == len(rings) == 3 * side * side + 1 and m.n_members == side * side + 1
+    assert m.area == pytest.approx(sum(a if d % 2 == 0 else -a for _, d, a in rings))
+    plan = nested._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
