@@ -45,6 +45,27 @@ def shape_lines(df: DataFrame, kind: str = "kind", parts: str = "parts", *values
     return df.select(F.concat_ws(",", *[F.coalesce(i, F.lit("")) for i in items]).alias("value"))
 
 
+def window_point_lines(pairs: DataFrame, key: str = "feature_id") -> DataFrame:
+    """`id,POINT (x y)` text: every window with each of its distinct positions, one line a
+    pair, windows in order and their positions by x, then y.
+
+    Pairs are ranged over the tasks by (window, x, y), not by window, and sorted inside: a
+    window with a large share of all pings is the work of several tasks, whose files follow
+    one another, and no list of a window's points is ever held.  A missing id leaves its
+    field empty and comes first; pairs without a position are no points.
+    """
+    spots = pairs.select(key, "x", "y").where(F.col("x").isNotNull() & F.col("y").isNotNull()).distinct()
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = spots.repartitionByRange(tasks, key, "x", "y").sortWithinPartitions(key, "x", "y")
+    point = F.concat(F.lit("POINT ("), F.col("x").cast("string"), F.lit(" "), F.col("y").cast("string"), F.lit(")"))
+    return ordered.select(F.concat_ws(",", F.coalesce(F.col(key).cast("string"), F.lit("")), point).alias("value"))
+
+
+def write_window_points(pairs: DataFrame, path: str, key: str = "feature_id") -> None:
+    """`window_point_lines` as text files, in order by their names."""
+    window_point_lines(pairs, key).write.mode("overwrite").text(path)
+
+
 def write_small(df: DataFrame, path: str, header: bool = True) -> None:
     """A result that is small by construction (a count, a top-k) as one CSV file; all its rows are written."""
     df.coalesce(1).write.mode("overwrite").option("header", header).csv(path)

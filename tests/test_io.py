@@ -163,3 +163,21 @@ def test_point_layer_envelope(spark, scratch):
     e = env.first()
     assert (e.min_x, e.min_y, e.max_x, e.max_y, e.n) == (116.0, 39.0, 117.0, 40.0, 2)
     assert layer.count() == 2
+
+
+def test_windows_with_their_points(spark, tmp_path):
+    from pingscape.sinks.writers import write_window_points
+
+    # window 2 holds nearly all pairs, each position several times
+    rows = [(2, float(i % 997), float(i % 991)) for i in range(20000)] + [(1, 3.0, 4.0), (1, 3.0, 4.0), (None, 0.5, 0.5), (3, None, 1.0)]
+    pairs = spark.createDataFrame(rows, "feature_id long, x double, y double").repartition(5)
+    write_window_points(pairs, str(tmp_path / "points"))
+    files = sorted((tmp_path / "points").glob("part-*"))
+    lines = [line for f in files for line in f.read_text().splitlines()]
+    spots = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] or -1, r[1], r[2]))
+    assert lines == [f"{'' if k is None else k},POINT ({x} {y})" for k, x, y in spots]
+    # the large window is spread over several files, and a task's file is a small part of it
+    held = [sum(line.startswith("2,") for line in f.read_text().splitlines()) for f in files]
+    assert sum(n > 0 for n in held) > 2 and max(held) < 0.6 * sum(held)
+    write_window_points(pairs.limit(0), str(tmp_path / "none"))
+    assert not [line for f in (tmp_path / "none").glob("part-*") for line in f.read_text().splitlines()]
