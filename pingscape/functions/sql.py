@@ -4,6 +4,14 @@ For users who write SQL strings, the projections and predicates are
 registered as Spark SQL scalar functions (`CREATE TEMPORARY FUNCTION ...
 RETURN <expression>`).  These are SQL-bodied functions: Spark inlines the body
 into the query plan, so they run as native expressions (no Python, no UDF).
+
+A distance join in SQL is an equi-join on cells:
+
+    SELECT ... FROM (SELECT *, shape_cells(parts, 300D, 300D) AS cells FROM roads)
+    LATERAL VIEW inline(cells) c AS cx, cy JOIN pings ON cell_of(x, 300D) = cx AND cell_of(y, 300D) = cy
+    WHERE shape_near(x, y, 300D, parts)
+
+A shape has every cell once and a point one cell, so every pair meets once.
 """
 
 from __future__ import annotations
@@ -82,6 +90,25 @@ FUNCTIONS = {
     ),
 }
 
+# The cells that a shape's edges, widened by `pad`, meet: column by column, as the equi-join
+# key of a distance join in SQL.  A cell is one number while repeats are taken out (a hash
+# set), then a struct for `inline`.
+_WIDE = "(pad + 1e-6D * (cell + pad))"
+_COLUMN = f"sequence(floor((least(e.x1, e.x2) - {_WIDE}) / cell), floor((greatest(e.x1, e.x2) + {_WIDE}) / cell))"
+_AT = "CASE WHEN e.x1 = e.x2 THEN {flat} ELSE e.y1 + ({x} - e.x1) * ((e.y2 - e.y1) / (e.x2 - e.x1)) END"
+_FROM = _AT.format(flat="e.y1", x=f"greatest(least(e.x1, e.x2), c * cell - {_WIDE})")
+_TO = _AT.format(flat="e.y2", x=f"least(greatest(e.x1, e.x2), (c + 1) * cell + {_WIDE})")
+_ROWS = f"sequence(floor((least({_FROM}, {_TO}) - {_WIDE}) / cell), floor((greatest({_FROM}, {_TO}) + {_WIDE}) / cell))"
+_POINT = "if(size(p) = 1, transform(p, v -> named_struct('x1', v.x, 'y1', v.y, 'x2', v.x, 'y2', v.y)), array())"
+_CELLS = f"flatten(transform({_COLUMN}, c -> transform({_ROWS}, d -> c * 4294967296 + d + 2147483648)))"
+FUNCTIONS["shape_cells"] = (
+    f"parts {_PARTS}, pad DOUBLE, cell DOUBLE",
+    "ARRAY<STRUCT<cx: BIGINT, cy: BIGINT>>",
+    f"transform(array_distinct(flatten(transform(concat(shape_edges(parts), flatten(transform(parts, p -> {_POINT}))), e -> {_CELLS}))), "
+    "k -> named_struct('cx', shiftright(k, 32), 'cy', (k & 4294967295) - 2147483648))",
+)
+FUNCTIONS["cell_of"] = ("v DOUBLE, cell DOUBLE", "BIGINT", "floor(v / cell)")
+
 
 def register_sql_functions(spark: SparkSession) -> list[str]:
     """Create the temporary SQL functions in this session; returns their names."""

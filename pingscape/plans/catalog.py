@@ -70,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "segment_capsules": C.segment_capsules,
     "wide_segment_capsules": C.wide_segment_capsules,
     "road_buffers": C.road_buffers,
+    "road_visits_sql": C.road_visits_sql,
     "wide_winter_pings": C.wide_winter_pings,
     "wide_hourly_grid_counts": C.wide_hourly_grid_counts,
     "wide_heat_tiles": T.wide_heat_tiles,

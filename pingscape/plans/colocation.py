@@ -279,6 +279,29 @@ def road_visits_unordered(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEF
     return aggregate.count_by_day(pairs, "feature_id", "join_count", P.OFFSET_MS)
 
 
+def road_visits_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pings near the wide roads per (road, day), as SQL over the registered functions: the
+    roads' cells come from `shape_cells`, so the join is one on cell numbers."""
+    from ..functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    window = second_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
+    pings = inputs.only(inputs.pings_mercator(spark, sf_dir, window), "ping_id", "sys_time", "x", "y")
+    pings = filters.in_time_range(pings, P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
+    pings = pings.select("x", "y", day_of("sys_time", P.OFFSET_MS).alias("day"))
+    roads = inputs.wide_roads_mercator(spark, sf_dir).select("feature_id", "parts")
+    r = f"{float(P.ROAD_RADIUS)}D"
+    # merge: the estimate of the exploded side is no bound for a broadcast
+    return spark.sql(
+        f"""WITH road_cells AS (
+  SELECT feature_id, parts, cx, cy FROM (SELECT *, shape_cells(parts, {r}, {r}) AS cells FROM {{roads}}) LATERAL VIEW inline(cells) c AS cx, cy)
+SELECT /*+ MERGE(road_cells) */ feature_id, day, count(*) AS join_count
+FROM {{pings}} p JOIN road_cells ON cell_of(p.x, {r}) = cx AND cell_of(p.y, {r}) = cy
+WHERE shape_near(p.x, p.y, {r}, parts) GROUP BY feature_id, day""",
+        roads=roads, pings=pings,
+    )
+
+
 def segment_capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The `ROAD_RADIUS` buffer of every road segment as a ring (a capsule): text-free
     summary of its vertices and area."""

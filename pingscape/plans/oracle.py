@@ -817,6 +817,13 @@ hit AS (
 SELECT feature_id, COUNT(*) AS n, COUNT(DISTINCT (x, y)) AS n_distinct FROM hit GROUP BY 1"""
 
 
+def road_visits_sql() -> str:
+    return road_visits_unordered().replace(ROADS_M, WIDE_ROADS)
+
+
+ORACLES["road_visits_sql"] = road_visits_sql
+
+
 def wide_line_tiles() -> str:
     return line_tiles().replace(ROADS_M, WIDE_ROADS)
 

@@ -733,3 +733,24 @@ def test_ring_nesting_of_one_shape_with_many_rings(spark):
     assert m.area == pytest.approx(sum(a if d % 2 == 0 else -a for _, d, a in rings))
     plan = nested._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_sql_join_by_shape_cells(spark):
+    from pingscape.functions.sql import register_sql_functions
+    from pingscape.plans import colocation
+
+    register_sql_functions(spark)
+    rnd = random.Random(4)
+    at = lambda: (rnd.uniform(-900, 900), rnd.uniform(-900, 900))
+    lines = _lines(spark, [(k, [[at() for _ in range(rnd.randint(1, 4))] for _ in range(2)]) for k in range(12)] + [(50, [[(0, -700), (0, 700)]]), (51, [])])
+    points = spark.createDataFrame([(i, *at()) for i in range(400)], "ping_id long, x double, y double")
+    for cell in (35.0, 100.0, 700.0):
+        cells = spark.sql(f"SELECT feature_id, parts, cx, cy FROM (SELECT *, shape_cells(parts, 100D, {cell}D) AS cells FROM {{lines}}) LATERAL VIEW inline(cells) c AS cx, cy", lines=lines)
+        assert cells.count() == cells.select("feature_id", "cx", "cy").distinct().count()
+        got = spark.sql(
+            f"SELECT ping_id, feature_id FROM {{points}} JOIN {{cells}} ON cell_of(x, {cell}D) = cx AND cell_of(y, {cell}D) = cy "
+            "WHERE shape_near(x, y, 100D, parts)", points=points, cells=cells)
+        want = spark.sql("SELECT ping_id, feature_id FROM {points} CROSS JOIN {lines} WHERE shape_near(x, y, 100D, parts)", points=points, lines=lines)
+        assert _pairs(got, "ping_id", "feature_id") == _pairs(want, "ping_id", "feature_id") and got.count() > 100
+    plan = colocation.road_visits_sql(spark, SF01)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "SortMergeJoin" in plan and "Python" not in plan
