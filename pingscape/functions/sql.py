@@ -12,6 +12,10 @@ A distance join in SQL is an equi-join on cells:
     WHERE shape_near(x, y, 300D, parts)
 
 A shape has every cell once and a point one cell, so every pair meets once.
+
+Where only counts are asked for, `cell_quarters` refines the cells: one wholly within the
+radius (`inside`) takes the number of its points, and only points of the smallest cells
+along the buffer's edge are compared (see `plans.colocation.road_visits_sql`).
 """
 
 from __future__ import annotations
@@ -109,6 +113,48 @@ FUNCTIONS["shape_cells"] = (
 )
 FUNCTIONS["cell_of"] = ("v DOUBLE, cell DOUBLE", "BIGINT", "floor(v / cell)")
 
+# Cells with the edges that come within `radius` of one of their points, each with its
+# distance `d` from the cell's middle.  The middle decides, half a diagonal (and a margin
+# for rounding) less or more: a cell is `inside` if an edge is near for all its points.
+# Halves are exact, so a point's cell lies in its cell of twice the side.
+_EDGES = "ARRAY<STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE, d: DOUBLE>>"
+_CELL = f"STRUCT<level: INT, cx: BIGINT, cy: BIGINT, inside: BOOLEAN, edges: {_EDGES}>"
+
+
+def _cell(level: str, cx: str, cy: str, side: str, edges: str) -> str:
+    """A cell of side `side` as a struct, its edges taken out of `edges`."""
+    reach = f"({side} * 0.7071067811865476D + 1e-6D * ({side} + radius))"
+    d = segment_distance_sql("m.x", "m.y", "e.x1", "e.y1", "e.x2", "e.y2")
+    near = f"filter(transform({edges}, e -> named_struct('x1', e.x1, 'y1', e.y1, 'x2', e.x2, 'y2', e.y2, 'd', {d})), s -> s.d <= radius + {reach})"
+    return (
+        f"transform(transform(array(named_struct('x', ({cx} + 0.5D) * {side}, 'y', ({cy} + 0.5D) * {side})), m -> {near}), "
+        f"n -> CASE WHEN exists(n, s -> s.d < radius - {reach}) THEN named_struct('level', {level}, 'cx', {cx}, 'cy', {cy}, 'inside', true, 'edges', slice(n, 1, 0)) "
+        f"ELSE named_struct('level', {level}, 'cx', {cx}, 'cy', {cy}, 'inside', false, 'edges', n) END)[0]"
+    )
+
+
+FUNCTIONS["shape_cell"] = (
+    "cx BIGINT, cy BIGINT, cell DOUBLE, radius DOUBLE, edges ARRAY<STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>>",
+    _CELL,
+    _cell("0", "cx", "cy", "cell", "edges"),
+)
+# the quarters of a cell of side `cell` that an edge comes near; a cell that lies inside stays whole
+FUNCTIONS["cell_quarters"] = (
+    f"c {_CELL}, cell DOUBLE, radius DOUBLE",
+    f"ARRAY<{_CELL}>",
+    "CASE WHEN c.inside THEN array(c) ELSE filter(transform(sequence(0, 3), i -> "
+    + _cell("c.level + 1", "(c.cx * 2 + i % 2)", "(c.cy * 2 + i div 2)", "(cell / 2)", "c.edges")
+    + "), q -> q.inside OR size(q.edges) > 0) END",
+)
+_FIRST = segment_distance_sql("x", "y", "edges[0].x1", "edges[0].y1", "edges[0].x2", "edges[0].y2")
+FUNCTIONS["edges_near"] = (
+    f"x DOUBLE, y DOUBLE, radius DOUBLE, edges {_EDGES}",
+    "BOOLEAN",
+    # mostly one: compared without a walk over the array
+    f"CASE WHEN size(edges) = 1 THEN {_FIRST} < radius ELSE exists(edges, e -> "
+    + segment_distance_sql("x", "y", "e.x1", "e.y1", "e.x2", "e.y2") + " < radius) END",
+)
+
 
 def register_sql_functions(spark: SparkSession) -> list[str]:
     """Create the temporary SQL functions in this session; returns their names."""

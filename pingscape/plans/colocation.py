@@ -6,6 +6,8 @@ DataFrame over the whole input tables.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -282,23 +284,59 @@ def road_visits_unordered(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEF
 def road_visits_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pings near the wide roads per (road, day), as SQL over the registered functions: the
     roads' cells come from `shape_cells`, so the join is one on cell numbers."""
-    from ..functions.sql import register_sql_functions
-
-    register_sql_functions(spark)
     window = second_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
     pings = inputs.only(inputs.pings_mercator(spark, sf_dir, window), "ping_id", "sys_time", "x", "y")
     pings = filters.in_time_range(pings, P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
     pings = pings.select("x", "y", day_of("sys_time", P.OFFSET_MS).alias("day"))
-    roads = inputs.wide_roads_mercator(spark, sf_dir).select("feature_id", "parts")
-    r = f"{float(P.ROAD_RADIUS)}D"
-    # merge: the estimate of the exploded side is no bound for a broadcast
+    return line_visits_sql(pings, inputs.wide_roads_mercator(spark, sf_dir), P.ROAD_RADIUS)
+
+
+# points of a typical smallest cell: fewer cost more cells, more cost comparisons
+LEAF_POINTS = 32
+# halvings of the cell side: 2^-8 of the radius is the smallest
+MAX_HALVINGS = 8
+
+
+def line_visits_sql(points: DataFrame, lines: DataFrame, radius: float, halvings: int | None = None) -> DataFrame:
+    """`(feature_id, day, join_count)`: points `(x, y, day)` strictly nearer than `radius` to each line.
+
+    A line's cells (side `radius`) that hold points are halved `halvings` times where the buffer's
+    edge passes.  A cell inside the buffer takes the counts per day of its whole cell; points are
+    compared only in the smallest cells along the edge.  The halvings follow the points of a cell, so
+    the comparisons of a line grow with the root of the points, not with the points in its buffer.
+    """
+    from ..functions.sql import register_sql_functions
+    from ..operators.cells import DEFAULT_PLAN
+
+    spark = points.sparkSession
+    register_sql_functions(spark)
+    r = f"{float(radius)}D"
+    points = points.where("NOT isnan(x) AND NOT isnan(y)")
+    lines = lines.select("feature_id", "parts").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = spark.sql(f"SELECT cell_of(x, {r}) AS cx, cell_of(y, {r}) AS cy, count(*) AS n FROM {{points}} GROUP BY 1, 2", points=points)
+    met = held.agg(F.count(F.lit(1)).alias("cells"), (F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).alias("n")).first()
+    if halvings is None:
+        # the cell that a point typically shares, so that crowded cells count
+        halvings = min(MAX_HALVINGS, max(0, math.ceil(math.log((met["n"] or 1.0) / LEAF_POINTS, 4))))
+    side = lambda level: f"{float(radius) / 2**level!r}D"
+    # only counted cells are broadcast; the estimate of an exploded side is no bound
+    small = met["cells"] <= DEFAULT_PLAN.max_broadcast_rows // 4
+    chain = ",\n".join(f"cells_{k + 1} AS (SELECT feature_id, q AS c FROM (SELECT feature_id, cell_quarters(c, {side(k)}, {r}) AS quarters FROM cells_{k}) LATERAL VIEW OUTER explode(quarters) t AS q)" for k in range(halvings))
+    levels = [f"SELECT {k} AS level, cell_of(x, {side(k)}) AS cx, cell_of(y, {side(k)}) AS cy, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, day, count(*) AS n FROM {{points}} GROUP BY 1, 2, 3, 6" for k in range(halvings)]
+    levels.append(f"SELECT {halvings} AS level, cell_of(x, {side(halvings)}) AS cx, cell_of(y, {side(halvings)}) AS cy, x, y, day, CAST(1 AS BIGINT) AS n FROM {{points}}")
     return spark.sql(
-        f"""WITH road_cells AS (
-  SELECT feature_id, parts, cx, cy FROM (SELECT *, shape_cells(parts, {r}, {r}) AS cells FROM {{roads}}) LATERAL VIEW inline(cells) c AS cx, cy)
-SELECT /*+ MERGE(road_cells) */ feature_id, day, count(*) AS join_count
-FROM {{pings}} p JOIN road_cells ON cell_of(p.x, {r}) = cx AND cell_of(p.y, {r}) = cy
-WHERE shape_near(p.x, p.y, {r}, parts) GROUP BY feature_id, day""",
-        roads=roads, pings=pings,
+        f"""WITH line_cells AS (
+  SELECT feature_id, edges, cx, cy FROM (SELECT feature_id, shape_edges(parts) AS edges, shape_cells(parts, {r}, {r}) AS cells FROM {{lines}}) LATERAL VIEW OUTER inline(cells) t AS cx, cy),
+cells_0 AS (
+  SELECT /*+ {"BROADCAST" if small else "MERGE"}(h) */ feature_id, shape_cell(l.cx, l.cy, {r}, {r}, edges) AS c
+  FROM line_cells l LEFT SEMI JOIN {{held}} h ON l.cx = h.cx AND l.cy = h.cy){"," if chain else ""}
+{chain},
+road_cells AS (SELECT feature_id, c.level AS level, c.cx AS cx, c.cy AS cy, c.inside AS inside, c.edges AS edges FROM cells_{halvings} WHERE c.inside OR size(c.edges) > 0),
+counted AS ({" UNION ALL ".join(levels)})
+SELECT /*+ MERGE(s) */ feature_id, day, sum(n) AS join_count
+FROM counted p JOIN road_cells s ON p.level = s.level AND p.cx = s.cx AND p.cy = s.cy
+WHERE inside OR edges_near(x, y, {r}, edges) GROUP BY feature_id, day""".replace("\n,\nroad_cells", ",\nroad_cells"),
+        lines=lines, points=points, held=held,
     )
 
 

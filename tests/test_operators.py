@@ -754,3 +754,24 @@ def test_sql_join_by_shape_cells(spark):
         assert _pairs(got, "ping_id", "feature_id") == _pairs(want, "ping_id", "feature_id") and got.count() > 100
     plan = colocation.road_visits_sql(spark, SF01)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "SortMergeJoin" in plan and "Python" not in plan
+
+
+def test_sql_visits_by_refined_cells(spark):
+    from pingscape.functions.sql import register_sql_functions
+    from pingscape.plans import colocation
+
+    register_sql_functions(spark)
+    rnd = random.Random(9)
+    at = lambda: (rnd.uniform(-900, 900), rnd.uniform(-900, 900))
+    shapes = [(k % 9, [[at() for _ in range(rnd.randint(1, 4))] for _ in range(2)]) for k in range(12)]
+    lines = _lines(spark, [*shapes, (50, [[(0, -700), (0, 700)]]), (50, [[(0, -700), (0, 700)]]), (51, [])])
+    # a crowd, points at the radius itself and points that come twice
+    crowd = [(rnd.gauss(0, 40), rnd.gauss(0, 40)) for _ in range(500)]
+    points = [(*p, k % 3) for k, p in enumerate([at() for _ in range(500)] + crowd + [(100.0, 0.0), (-100.0, 5.0), (0.0, 800.0)] + crowd[:50])]
+    points = spark.createDataFrame([(x, y, d) for x, y, d in points], "x double, y double, day int")
+    want = _pairs(spark.sql("SELECT feature_id, day, count(*) AS n FROM {points} CROSS JOIN {lines} WHERE shape_near(x, y, 100D, parts) GROUP BY 1, 2", points=points, lines=lines), "feature_id", "day", "n")
+    for halvings in (0, 3):
+        assert _pairs(colocation.line_visits_sql(points, lines, 100.0, halvings), "feature_id", "day", "join_count") == want
+    # cells wholly inside the buffer take counts: pairs are not counted one by one
+    plan = colocation.line_visits_sql(points, lines, 100.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "inside" in plan and "sum(n" in plan and "count(1) AS n" in plan
