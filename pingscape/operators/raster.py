@@ -15,9 +15,10 @@ Heat map
 3. The tile spans of the data follow from the smallest and largest tile of that same
    table (tiles are pixels shifted right), so the points are read once; a fixed box
    gives its spans without reading them.
-4. The counts are blurred with a (2b+1)^2 mean in two passes, along x and then along
-   y (2b+1 copies each), pixels outside the zoom's span are dropped, the rest capped
-   and scaled to [0, 1].
+4. The counts are dealt by tile, each tile with the pixels up to b beyond its edge, over as
+   many tasks as the pixels ask for (`BLUR_PIXELS` each), and blurred there with a (2b+1)^2
+   mean, with no further exchange: a task's memory does not grow with the input.  Pixels
+   outside the zoom's span are dropped, the rest capped and scaled to [0, 1].
 
 Line map
 --------
@@ -41,6 +42,8 @@ from ..functions.tiles import EQUATOR, TILE_PIXELS, mercator_to_tile, tile_to_me
 
 # steps of a segment that one row stands for, a power of two
 STEP_RANGE = 4096
+# counted pixels that one task blurs
+BLUR_PIXELS = 1 << 17
 
 
 def tile_offsets(env: DataFrame, max_zoom: int) -> DataFrame:
@@ -153,11 +156,27 @@ def spans_of_pixels(counts: DataFrame) -> DataFrame:
     return seen.groupBy("z").agg(tile(F.min, "px").alias("tx0"), tile(F.min, "py").alias("ty0"), tile(F.max, "px").alias("tx1"), tile(F.max, "py").alias("ty1"))
 
 
-def _blur_along(counts: DataFrame, axis: str, blur: int) -> DataFrame:
-    """Sum of the 2 * blur + 1 neighbours along one axis."""
-    other = "py" if axis == "px" else "px"
-    moved = counts.withColumn("d", F.explode(F.sequence(F.lit(-blur), F.lit(blur))))
-    return moved.groupBy("z", (F.col(axis) + F.col("d")).alias(axis), other).agg(F.sum("n").alias("n"))
+def _blur_tasks(points: DataFrame, zooms: int, max_zoom: int) -> int:
+    """Tasks for the blur: by the points' number of pixels at the finest zoom (estimated), on every zoom."""
+    px, py = world_pixel("x", "y", int(max_zoom))
+    pixels = points.agg(F.approx_count_distinct(F.struct(px.cast("long"), py.cast("long")))).first()[0]
+    return max(1, math.ceil(pixels * zooms / BLUR_PIXELS))
+
+
+def _blurred(counts: DataFrame, blur: int, tasks: int) -> DataFrame:
+    """Sum of the (2 * blur + 1)^2 neighbours of every pixel, tile by tile."""
+    tile = lambda c: F.floor(c / TILE_PIXELS)
+    reached = lambda c: F.explode(F.sequence(tile(F.col(c) - blur), tile(F.col(c) + blur)))
+    dealt = counts.withColumn("bx", reached("px")).withColumn("by", reached("py")).repartition(tasks, "z", "bx", "by")
+
+    def own(c: str, t: str):
+        """The pixels of the tile that the pixel is a neighbour of."""
+        first = F.col(t) * TILE_PIXELS
+        return F.explode(F.sequence(F.greatest(F.col(c) - blur, first), F.least(F.col(c) + blur, first + (TILE_PIXELS - 1))))
+
+    near = dealt.withColumn("px", own("px", "bx")).withColumn("py", own("py", "by"))
+    # grouped by the tile too: the rows are already dealt by it
+    return near.groupBy("z", "bx", "by", "px", "py").agg(F.sum("n").alias("n")).drop("bx", "by")
 
 
 def heat_pixels(
@@ -182,7 +201,7 @@ def heat_pixels(
     else:
         blurred = _with_spans(counts, spans).where(_inside_span()).select("z", "px", "py", "n")
     if b > 0:
-        blurred = _blur_along(_blur_along(blurred, "px", b), "py", b)
+        blurred = _blurred(blurred, b, _blur_tasks(points, int(max_zoom) - int(min_zoom) + 1, max_zoom))
         blurred = _with_spans(blurred, spans).where(_inside_span())
     blurred = blurred.select("z", "px", "py", F.col("n").alias("n_sum"))
     area = float((2 * b + 1) ** 2)

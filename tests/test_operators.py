@@ -775,3 +775,29 @@ def test_sql_visits_by_refined_cells(spark):
     # cells wholly inside the buffer take counts: pairs are not counted one by one
     plan = colocation.line_visits_sql(points, lines, 100.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "inside" in plan and "sum(n" in plan and "count(1) AS n" in plan
+
+
+def test_heat_blur_is_dealt_by_tile(spark, monkeypatch):
+    from collections import Counter
+
+    from pingscape.operators import raster
+
+    rnd = random.Random(2)
+    size = 40075016.68557849 / (256 * 2**9)
+    # pixels around a corner of four tiles, some often, and one on a far tile
+    pixels = [(256 * 400 + rnd.randint(-4, 3), 256 * 190 + rnd.randint(-4, 3)) for _ in range(60)] + [(256 * 300 + 255, 256 * 100)] * 5
+    points = spark.createDataFrame([((px + 0.5) * size - 40075016.68557849 / 2, 40075016.68557849 / 2 - (py + 0.5) * size) for px, py in pixels], "x double, y double")
+    for blur in (1, 3):
+        want = Counter()
+        for (px, py), n in Counter(pixels).items():
+            for dx in range(-blur, blur + 1):
+                for dy in range(-blur, blur + 1):
+                    want[px + dx, py + dy] += n
+        want = {k: n for k, n in want.items() if 300 * 256 <= k[0] < 401 * 256 and 100 * 256 <= k[1] < 191 * 256}
+        for each in (1 << 17, 7):
+            monkeypatch.setattr(raster, "BLUR_PIXELS", each)
+            got = raster.heat_pixels(points, 9, 9, blur)
+            assert {(r.px, r.py): r.n_sum for r in got.collect()} == want
+    # more tasks for more pixels, and no exchange of the blurred pixels between the passes
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert raster._blur_tasks(points, 1, 9) > 1 and "hashpartitioning(z" in plan and "REPARTITION_BY_NUM" in plan
