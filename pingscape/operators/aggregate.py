@@ -33,16 +33,19 @@ def positions(points: DataFrame, *keys: str) -> DataFrame:
     return points.groupBy("x", "y", *keys).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def stats_per_window(points: DataFrame, shapes: DataFrame, join, key: str = "feature_id") -> DataFrame:
+def stats_per_window(points: DataFrame, shapes: DataFrame, join, key: str = "feature_id", count=None) -> DataFrame:
     """`window_stats` of `join(points, shapes)` with the aggregation before the join.
 
     Points are collapsed to positions first, combined map-side, so a (position, window)
     pair occurs once: `n` sums the weights and `n_distinct` counts the pairs, with no distinct over
     pairs and one exchange of a partial row per window and task.  Only where shape rows share a
     key (asked of the shape side by one small aggregate) may a position meet a key
-    twice; there the positions of a key are told apart.
+    twice; there the positions of a key are told apart.  `count(positions, shapes)`, if given, is asked
+    instead of `join` where no key is shared: the same rows, counted without pairs.
     """
     shared = not shapes.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty()
+    if count is not None and not shared:
+        return count(positions(points), shapes)
     pairs = join(positions(points), shapes)
     distinct = F.count_distinct(F.col("x"), F.col("y")) if shared else F.count(F.lit(1))
     return pairs.groupBy(key).agg(F.sum("weight").alias("n"), distinct.alias("n_distinct"))

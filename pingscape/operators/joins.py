@@ -240,6 +240,27 @@ def auto_cell_size(polygons: DataFrame) -> float:
     return polygon_sides(polygons)[0] / CELLS_PER_POLYGON
 
 
+def _held_spans(polygons: DataFrame, cell_size: float | None, max_cells_per_axis: int) -> tuple[DataFrame, list[int], float]:
+    """The polygons' spans, built once, with their levels and the side of a base cell."""
+    polys = held(_polygon_rows(polygons))
+    r = polys.agg(F.percentile_approx("side", 0.5).alias("m"), F.max("side").alias("x")).first()
+    median, largest = (float(r["m"]) if r["m"] and r["m"] > 0 else 1.0), float(r["x"] or 0.0)
+    size = float(cell_size or median / CELLS_PER_POLYGON)
+    polys = polys.withColumn("level", _level_of(F.col("side"), size, max_cells_per_axis))
+    if largest <= size * max_cells_per_axis:
+        levels = [0]  # every polygon fits the base level: no levels job
+    else:
+        levels = sorted(r["level"] for r in polys.select("level").distinct().collect()) or [0]
+    spans = held(_spans(polys, size, levels))
+    return spans, levels, size
+
+
+def _at_levels(points: DataFrame, keys: list[dict]) -> DataFrame:
+    """The points once for each of `keys`, with its columns."""
+    key = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in each.items()]) for each in keys]))
+    return points.withColumn("key", key).select(*[F.col(f"`{c}`") for c in points.columns], "key.*")
+
+
 def in_polygons(
     points: DataFrame,
     polygons: DataFrame,
@@ -256,19 +277,10 @@ def in_polygons(
     broadcast and every point probes once per level and length of run; else the spans'
     cells meet the points in a sort-merge join, each point keyed once per level.
     """
-    polys = held(_polygon_rows(polygons))
-    r = polys.agg(F.percentile_approx("side", 0.5).alias("m"), F.max("side").alias("x")).first()
-    median, largest = (float(r["m"]) if r["m"] and r["m"] > 0 else 1.0), float(r["x"] or 0.0)
-    size = float(cell_size or median / CELLS_PER_POLYGON)
-    polys = polys.withColumn("level", _level_of(F.col("side"), size, max_cells_per_axis))
-    if largest <= size * max_cells_per_axis:
-        levels = [0]  # every polygon fits the base level: no levels job
-    else:
-        levels = sorted(r["level"] for r in polys.select("level").distinct().collect()) or [0]
-    spans = held(_spans(polys, size, levels))
+    spans, levels, size = _held_spans(polygons, cell_size, max_cells_per_axis)
     runs = span_runs(spans)
     inv = _level_lit(levels, {lv: 1.0 / (size * (2.0 ** lv)) for lv in levels})
-    at_level = lambda keys: points.withColumn("key", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in key.items()]) for key in keys]))).select(*[F.col(f"`{c}`") for c in points.columns], "key.*")
+    at_level = lambda keys: _at_levels(points, keys)
     if plan.force == "broadcast" or plan.force is None and fits(runs, plan.max_broadcast_rows, plan.max_broadcast_bytes):
         # a probe for each length of run: the shape side stays as small as the outlines
         p = at_level([{"level": lv, "run": k} for lv in levels for k in RUNS]).withColumns({"cx": _cell_of(F.col("x"), inv), "cy": _cell_of(F.col("y"), inv)})
@@ -281,6 +293,91 @@ def in_polygons(
     return j.where(F.col("full") | geom.within_polygon("x", "y", "edges")).drop("level", "cx", "cy", "full", "edges")
 
 
+# positions and polygons of one cell that are compared as one row
+CELL_POSITIONS, CELL_POLYGONS = 256, 32
+EDGES_AT_ONCE = 4096
+
+
+def count_in_polygons(
+    positions: DataFrame, polygons: DataFrame, cell_size: float | None = None, plan: JoinPlan = DEFAULT_PLAN, max_cells_per_axis: int = 64
+) -> DataFrame:
+    """`(feature_id, n, n_distinct)`: per polygon the summed `weight` and the number of the positions
+    `(x, y, weight)` strictly inside it; as the pairs of `in_polygons` counted, without making them.
+
+    Every polygon has a `feature_id` of its own.  Cells wholly inside a polygon take the counts of
+    their positions, by aligned runs.  In cells that an edge meets, positions and polygons are gathered
+    to rows of bounded length, every row of positions meets every row of polygons of its cell, and a
+    task compares the two as arrays.
+    """
+    spans, levels, size = _held_spans(polygons, cell_size, max_cells_per_axis)
+    keys = ["level", "cx", "cy"]
+    inv = _level_lit(levels, {lv: 1.0 / (size * (2.0 ** lv)) for lv in levels})
+    placed = _at_levels(positions, [{"level": lv} for lv in levels]).withColumns({"cx": _cell_of(F.col("x"), inv), "cy": _cell_of(F.col("y"), inv)})
+    cells = held(placed.groupBy(*keys).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("positions")))
+
+    run = F.explode(F.array(*[F.lit(k) for k in RUNS]))
+    by_run = cells.withColumn("run", run).groupBy("level", "run", F.expr("shiftright(cx, run)").alias("cx"), "cy").agg(F.sum("weight").alias("weight"), F.sum("positions").alias("positions"))
+    runs = span_runs(spans.where("full")).select("feature_id", "level", "run", "cx", "cy")
+    whole = keyed_join(runs, by_run, ["level", "run", "cx", "cy"], plan).select("feature_id", "weight", "positions")
+
+    pieces = spans.where(~F.col("full") & (F.size("edges") > 0)).select("feature_id", "level", F.col("cx_lo").alias("cx"), "cy", "edges")
+    parts = lambda c, most: F.ceil(F.col(c) / F.lit(most)).alias(c)
+    met = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("polygons")).join(cells, keys)
+    met = held(met.select(*keys, parts("positions", CELL_POSITIONS), parts("polygons", CELL_POLYGONS)))
+    dealt = lambda df, c, *of: keyed_join(df, met.select(*keys, c), keys, plan).groupBy(*keys, F.pmod(F.xxhash64(*of), F.col(c)).alias("part"))
+    each = lambda c, f: F.transform("rows", lambda r: r[f]).alias(c)
+    some = dealt(placed, "positions", "x", "y").agg(F.collect_list(F.struct("x", "y", "weight")).alias("rows"))
+    some = some.select(*keys, each("x", "x"), each("y", "y"), each("w", "weight"))
+    shapes = dealt(pieces, "polygons", "feature_id").agg(F.collect_list(F.struct("feature_id", "edges")).alias("rows"))
+    edges = F.flatten(F.transform("rows", lambda r: r["edges"]))
+    coordinate = lambda c: F.transform(edges, lambda e: e[c]).alias(c)
+    shapes = shapes.select(*keys, each("ids", "feature_id"), F.transform("rows", lambda r: F.size(r["edges"])).alias("sizes"), *[coordinate(c) for c in ("x1", "y1", "x2", "y2")])
+    both = some.join(shapes.hint("merge"), keys).drop(*keys)
+    id_type = polygons.schema["feature_id"].dataType.simpleString()
+    along = both.mapInArrow(_count_rows, f"feature_id {id_type}, weight long, positions long")
+    out = whole.unionByName(along).groupBy("feature_id").agg(F.sum("weight").alias("n"), F.sum("positions").alias("n_distinct"))
+    return out
+
+
+def _count_rows(batches):
+    """Rows of positions and polygons of one cell: weight and number of the positions inside each polygon
+    (the arithmetic of `geom.within_polygon`)."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        split = {}
+        for name in ("x", "y", "w", "sizes", "x1", "y1", "x2", "y2"):
+            column = batch.column(name)
+            bounds = column.offsets.to_numpy()
+            split[name] = (column.flatten().to_numpy(zero_copy_only=False), bounds - bounds[0])
+        ids, weights, counts = batch.column("ids").flatten(), [], []
+        for i in range(batch.num_rows):
+            x, y, w, sizes, x1, y1, x2, y2 = (v[b[i] : b[i + 1]] for v, b in split.values())
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            crossed, on_edge = np.zeros((len(sizes), len(x)), np.int32), np.zeros((len(sizes), len(x)), bool)
+            # some edges at a time: a polygon may have very many in a cell
+            for k in range(0, len(owner), EDGES_AT_ONCE):
+                mine = owner[k : k + EDGES_AT_ONCE]
+                first = np.flatnonzero(np.diff(mine, prepend=-1))
+                ax, ay, bx, by = (v[k : k + EDGES_AT_ONCE, None] for v in (x1, y1, x2, y2))
+                dx, dy, up = bx - ax, by - ay, y - ay
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    crosses = ((ay > y) != (by > y)) & (x < dx * up / dy + ax)
+                crossed[mine[first]] += np.add.reduceat(crosses, first, axis=0, dtype=np.int32)
+                on = dx * up - dy * (x - ax) == 0
+                if on.any():
+                    on &= (x >= np.minimum(ax, bx)) & (x <= np.maximum(ax, bx)) & (y >= np.minimum(ay, by)) & (y <= np.maximum(ay, by))
+                    on_edge[mine[first]] |= np.logical_or.reduceat(on, first, axis=0)
+            inside = (crossed % 2 == 1) & ~on_edge
+            weights.append(inside @ w)
+            counts.append(inside.sum(axis=1))
+        if weights:
+            n, m = np.concatenate(weights), np.concatenate(counts)
+            some = m > 0
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(some)), pa.array(n[some], pa.int64()), pa.array(m[some], pa.int64())], ["feature_id", "weight", "positions"])
+
+
 def case_exposure(
     pings: DataFrame,
     poi_case_pairs: DataFrame,

@@ -156,13 +156,13 @@ def zone_totals(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN)
     window = second_bounds(P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
     pings = inputs.only(inputs.pings_utm(spark, sf_dir, window), "ping_id", "sys_time", "x", "y")
     pings = filters.in_time_range(pings, P.FROM_TIME, P.TO_TIME, P.OFFSET_MS)
-    return aggregate.stats_per_window(pings, inputs.zones_utm(spark, sf_dir), lambda p, t: joins.in_polygons(p, t, plan=plan))
+    return aggregate.stats_per_window(pings, inputs.zones_utm(spark, sf_dir), lambda p, t: joins.in_polygons(p, t, plan=plan), count=lambda p, t: joins.count_in_polygons(p, t, plan=plan))
 
 
 def block_totals(spark: SparkSession, sf_dir: str, plan: JoinPlan = DEFAULT_PLAN) -> DataFrame:
     """Pings inside multi-polygons with holes and of very different sizes, per polygon."""
     pings = inputs.only(inputs.pings_mercator(spark, sf_dir), "x", "y")
-    return aggregate.stats_per_window(pings, inputs.blocks_mercator(spark, sf_dir), lambda p, t: joins.in_polygons(p, t, plan=plan))
+    return aggregate.stats_per_window(pings, inputs.blocks_mercator(spark, sf_dir), lambda p, t: joins.in_polygons(p, t, plan=plan), count=lambda p, t: joins.count_in_polygons(p, t, plan=plan))
 
 
 def shape_measures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -801,3 +801,28 @@ def test_heat_blur_is_dealt_by_tile(spark, monkeypatch):
     # more tasks for more pixels, and no exchange of the blurred pixels between the passes
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert raster._blur_tasks(points, 1, 9) > 1 and "hashpartitioning(z" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_counts_in_polygons_equal_their_pairs(spark, monkeypatch):
+    rnd = random.Random(6)
+    polys = []
+    for k in range(14):
+        x, y, h = rnd.randint(0, 60), rnd.randint(0, 60), rnd.choice([2, 5, 40])
+        ring = [(x, y), (x + h, y), (x + h, y + h), (x + h // 2, y + h + 3), (x, y + h), (x, y)]
+        hole = [(x + h / 4, y + h / 4), (x + h / 2, y + h / 4), (x + h / 4, y + h / 2), (x + h / 4, y + h / 4)]
+        polys.append((k, [ring, hole]))
+    # on corners and edges too, and a crowd of positions in one cell
+    rows = [(float(rnd.randint(-2, 105)), float(rnd.randint(-2, 105)), rnd.randint(1, 3)) for _ in range(600)]
+    rows += [(30 + rnd.random(), 30 + rnd.random(), 1) for _ in range(400)] + [(rnd.uniform(0, 100), rnd.uniform(0, 100), 2) for _ in range(300)]
+    shapes, positions = _lines(spark, polys), spark.createDataFrame(list({r[:2]: r for r in rows}.values()), "x double, y double, weight long")
+    pairs = joins.in_polygons(positions, shapes)
+    want = _pairs(pairs.groupBy("feature_id").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("m")), "feature_id", "n", "m")
+    assert len(want) > 8
+    for size, at_once, plan in ((None, 4096, JoinPlan()), (7.0, 3, SHUFFLE_AQE)):
+        monkeypatch.setattr(joins, "EDGES_AT_ONCE", at_once)
+        got = joins.count_in_polygons(positions, shapes, size, plan, max_cells_per_axis=4)
+        assert _pairs(got, "feature_id", "n", "n_distinct") == want
+    # the registered query counts this way: no row for a pair
+    from pingscape.plans import colocation
+
+    assert "_count_rows" in colocation.block_totals(spark, SF01)._jdf.queryExecution().optimizedPlan().toString()
